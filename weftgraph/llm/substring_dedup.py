@@ -3,7 +3,7 @@
 Plan
 ----
 1. ``mapInArrow``: hash every ``width``-word window of every document.  Within
-   an Arrow batch a window that also starts in a smaller ``doc_id`` of the batch
+   a batch of 8 MB a window that also starts in a smaller ``doc_id`` of the batch
    is already known to be repeated; of the others one row per distinct hash goes
    on.  A window shared by a third of all documents therefore sends at most one
    row per batch to the exchange.
@@ -46,9 +46,8 @@ def _by_id(ids: np.ndarray, hashes: np.ndarray) -> tuple[pa.Array, pa.Array]:
 
 def _hash_windows(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            batch = batch.filter(ids.is_valid())
+        for batch in W.resliced(batches):
+            batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy()
             order = np.argsort(ids, kind="stable")
             data, offsets = W.utf8(batch.column(1).take(pa.array(order)))

@@ -159,6 +159,14 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = min(hi, rows)
 
 
+def resliced(batches: Iterator[pa.RecordBatch], most: int = 8 << 20, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` text bytes, or of one row."""
+    for batch in batches:
+        _, offsets = utf8(batch.column(text))
+        for lo, hi in slices(offsets, most):
+            yield batch.slice(lo, hi - lo)
+
+
 def lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     """List column with ``counts[i]`` consecutive values in row i."""
     at = np.zeros(len(counts) + 1, np.int32)
