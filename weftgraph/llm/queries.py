@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .ngram_join import op8_ngram_jaccard_join
 from .substring_dedup import op10_substring_dedup
+from .token_counts import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op10_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op8_ngram_jaccard_join, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

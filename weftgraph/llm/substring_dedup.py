@@ -37,11 +37,16 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def _by_id(ids: np.ndarray, hashes: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """One row per id: the id and its hashes."""
-    order = np.argsort(ids, kind="stable")
-    own, counts = np.unique(ids[order], return_counts=True)
-    return pa.array(own), W.lists(pa.array(hashes[order].view(np.int64)), counts)
+def _cover(seen: np.ndarray, row: np.ndarray, width: int) -> np.ndarray:
+    """Every ``width``-th window of each run of seen windows, and its last: they cover the same words."""
+    if not len(seen):
+        return seen
+    new = seen.copy()
+    new[1:] &= ~(seen[:-1] & (row[1:] == row[:-1]))
+    last = seen.copy()
+    last[:-1] &= ~(seen[1:] & (row[1:] == row[:-1]))
+    start = np.maximum.accumulate(np.where(new, np.arange(len(seen)), 0))
+    return seen & (((np.arange(len(seen)) - start) % width == 0) | last)
 
 
 def _hash_windows(width: int, buckets: int):
@@ -52,13 +57,14 @@ def _hash_windows(width: int, buckets: int):
             order = np.argsort(ids, kind="stable")
             data, offsets = W.utf8(batch.column(1).take(pa.array(order)))
             ids = ids[order]
-            found, owner = [], []
+            found, owner, rows = [], [], []
             for lo, hi in W.slices(offsets, 4 << 20):
                 at = offsets[lo : hi + 1]
                 words = W.scan(data[at[0] : at[-1]], at - at[0], W.NOT_SPACE, False)
                 first, hashes = W.windows(words, width)
                 found.append(hashes)
-                owner.append(ids[lo + words.row[first]])
+                rows.append(lo + words.row[first])
+                owner.append(ids[rows[-1]])
             if not found or not sum(map(len, found)):
                 continue
             hashes, owner = np.concatenate(found), np.concatenate(owner)
@@ -74,6 +80,7 @@ def _hash_windows(width: int, buckets: int):
             turn = np.argsort(kind.astype(np.uint16) if buckets < 65536 else kind, kind="stable")
             own, counts = np.unique(kind[turn], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), W.lists(pa.array(hashes[open_][turn].view(np.int64)), counts), W.lists(pa.array(owner[open_][turn]), counts)], ["bucket", "hashes", "ids"])
+            seen = _cover(seen, np.concatenate(rows), width)
             if seen.any():
                 there = buckets + np.array([int(ids[0]) % buckets], np.int32)
                 n = np.array([int(seen.sum())])
@@ -94,8 +101,7 @@ def _decide(buckets: int):
             new[1:] = hashes[1:] != hashes[:-1]
             later = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
             hashes, ids = hashes[later], ids[later]
-        own, lists = _by_id(ids, hashes)
-        return pa.Table.from_arrays([own, lists], ["doc_id", "hashes"])
+        return pa.Table.from_arrays([pa.array(ids), pa.array(hashes.view(np.int64))], ["doc_id", "hash"])
 
     return run
 
@@ -175,8 +181,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, bucket_bytes: int
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     buckets = _width_of(docs, bucket_bytes)
     hashed = docs.mapInArrow(_hash_windows(width, buckets), _SHUFFLED)
-    flags = hashed.groupBy("bucket").applyInArrow(_decide(buckets), "doc_id bigint, hashes array<bigint>")
-    flags = flags.groupBy("doc_id").agg(F.flatten(F.collect_list("hashes")).alias("hashes"))
+    flags = hashed.groupBy("bucket").applyInArrow(_decide(buckets), "doc_id bigint, hash bigint")
+    flags = flags.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
     joined = docs.join(flags, "doc_id", "left").select("doc_id", "text", "hashes")
     return joined.mapInArrow(_cut(width), "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string, removed array<struct<first:int,end:int>>")
 
