@@ -3,18 +3,27 @@
 Every document is the set of its distinct 5-word shingles.  Two sets of sizes
 p and q with Jaccard >= t differ in at most (1-t)/(1+t) * (p+q) shingles.
 
-* **Parity sketch.**  A sketch word is the XOR of one-hot bits of the shingles
-  that hash to it, so each differing shingle flips at most one bit: the Hamming
-  distance of two sketches never exceeds the symmetric difference.
-* **Size bands.**  Sizes are cut into intervals of ratio 1/t.  In each, pairs
-  differ in at most d shingles, so of m > d sketch words at least m - d agree
-  (pigeonhole).  A document is probed in its own interval and in the next one.
-* **Words that are zero** say little and would be frequent keys.  A pair that
-  agrees on zero words only has at least m - d of them on both sides; documents
-  with so many are sketched again with another seed, and only those that are
-  left after the last seed emit their zero words.  No pair is lost.
-* **Groups.**  Identical sets are one class.  Sketch words shared by few
-  documents give all their pairs; words shared by many (near copies) give a star
+* **Parity sketch.**  A sketch word is the XOR of the hashes of the shingles that
+  fall to it, so each differing shingle changes at most one word: the distance of
+  two sketches, in words, never exceeds the symmetric difference.  (With one-hot
+  bits for hashes the same holds for bits; that form is used where sketches are
+  compared, and this one where they are joined, as a lone one-hot bit says little.)
+* **Size bands.**  Sizes are cut into intervals of ratio 1/t, in each of which
+  pairs differ in at most d shingles.  The sketch has more than d / 2 groups of
+  three words, so in some group at most one word differs (pigeonhole), and two of
+  its three words agree: those pairs of words are the join keys, each of about
+  six shingles.  A document is probed in its own interval and in the next one.
+* **Frequent shingles** (passages that many documents share) would make frequent
+  keys.  Rows differ no more without them than with them, so the first sketch
+  covers the other shingles only; any set of shingles may be left out, and the
+  most frequent ``COMMON`` are.
+* **Pairs of zero words** say little and would be frequent keys, so they are left
+  out.  A link could only be lost if every group that agrees has such a pair on
+  both sides; documents with so many of them are sketched again with another
+  seed, then in the same way with all their shingles, and those left after the
+  last seed emit their zero pairs too.
+* **Groups.**  Identical sets are one class.  Keys shared by few
+  documents give all their pairs; keys shared by many (near copies) give a star
   to the smallest member, and the members go into a second step that compares
   only members that are still in different components, behind the Hamming bound
   of a 512-bit parity sketch.  Links are verified on the whole sets.
@@ -34,11 +43,13 @@ from pyspark.sql import functions as F
 from . import words as W
 from .shared import connected_components, written
 
-#: Text bytes whose sketch words meet in one task.
+#: Text bytes whose keys meet in one task.
 BUCKET_BYTES = 16 << 20
-#: Sketch words with more members give a star instead of all pairs.
+#: Keys with more members give a star instead of all pairs.
 PAIRED = 8
 SEEDS = 6
+#: Frequent shingles that are left out of the first sketch, at most (8 bytes each are broadcast).
+COMMON = 100_000
 _SKETCH = [f"s{i}" for i in range(8)]
 
 
@@ -84,66 +95,108 @@ def _prints(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _describe(n: int):
-    """Set size, fingerprints and the 512-bit parity sketch of each document."""
+    """Set size, fingerprints and the 512-bit parity sketch of each document.
+
+    A row with ``n_shingles`` -1 has the shingles that occur in three or more
+    documents of its batch, and how many.
+    """
+    names = ["doc_id", "n_shingles", "p", "q", *_SKETCH, "shingles", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.resliced(batches):
+            seen = []
             for ids, hashes, first in _per_slice(batch, n):
                 rows, sizes = len(ids), np.diff(first)
                 p, q = _prints(hashes, first)
                 bit = W.mix(hashes ^ np.uint64(0xA4093822299F31D0)) & np.uint64(511)
                 flip = np.bincount(np.repeat(np.arange(rows), sizes) * 512 + bit.astype(np.int64), minlength=rows * 512) & 1
                 sketch = np.packbits(flip.astype(np.uint8).reshape(rows, 512), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(p.view(np.int64)), pa.array(q.view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(8))], ["doc_id", "n_shingles", "p", "q", *_SKETCH])
+                none = pa.nulls(rows, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(p.view(np.int64)), pa.array(q.view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(8)), none, none], names)
+                seen.append(hashes)
+            all_ = np.sort(np.concatenate(seen)) if seen else np.empty(0, np.uint64)
+            start = np.flatnonzero(np.concatenate([[True], all_[1:] != all_[:-1]])) if len(all_) else np.empty(0, np.int64)
+            counts = np.diff(np.append(start, len(all_)))
+            many = counts >= 3
+            if many.any():
+                none = pa.nulls(1, pa.int64())
+                k = np.array([int(many.sum())])
+                yield pa.RecordBatch.from_arrays([none, pa.array([-1], pa.int64()), *[none] * 10, W.lists(pa.array(all_[start][many].view(np.int64)), k), W.lists(pa.array(counts[many].astype(np.int64)), k)], names)
 
     return run
 
 
+def _common(described: DataFrame, most: int) -> np.ndarray:
+    """The most frequent shingles, ascending; at most ``most``."""
+    each = described.filter("n_shingles = -1").select(F.explode(F.arrays_zip("shingles", "counts")).alias("x")).select("x.shingles", "x.counts")
+    top = each.groupBy("shingles").agg(F.sum("counts").alias("c")).orderBy(F.desc("c"), "shingles").limit(most)
+    return np.sort(np.array([r[0] for r in top.select("shingles").toLocalIterator()], np.int64).view(np.uint64))
+
+
 def intervals(most: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
-    """(least size, largest size, most differing shingles d, sketch words m) of each size interval."""
+    """(least size, largest size, most differing shingles d, groups of words) of each size interval.
+
+    d errors spoil at most d // 2 groups with two errors each; the groups beyond
+    that make up for some whose words are zero.
+    """
     out, lo = [], 1
     while True:
         hi = max(lo, lo * den // num)
         d = (den - num) * 2 * hi // (den + num)
-        out.append((lo, hi, d, d + max(2, -(-d // 5))))
+        out.append((lo, hi, d, d // 2 + 1 + d // 20))
         if hi > most:
             return out
         lo = hi + 1
 
 
-def _sketch_words(hashes: np.ndarray, first: np.ndarray, size_of: np.ndarray, d: np.ndarray, m: np.ndarray, tag: np.ndarray, seed: int, last: bool):
-    """Keys of the non-zero sketch words of each row, the rows, and which rows go on to the next seed."""
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _signatures(hashes: np.ndarray, size_of: np.ndarray, d: np.ndarray, groups: np.ndarray, tag: np.ndarray, seed: int, last: bool):
+    """Keys of the word pairs of each row, the rows, and which rows go on to the next seed.
+
+    A row's shingles, ascending and one row after another, fall into ``groups``
+    times three sketch words.
+    """
     rows = len(size_of)
     row = np.repeat(np.arange(rows), size_of)
     if seed:
         hashes = W.mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * seed & (1 << 64) - 1))
-    word = ((hashes >> np.uint64(32)) * m[row].astype(np.uint64)) >> np.uint64(32)
-    place = (row.astype(np.uint64) << np.uint64(32)) | word
-    bit = np.uint64(1) << (hashes & np.uint64(63))
-    if seed:
+    base = np.concatenate([[0], np.cumsum(3 * groups)])
+    place = base[row] + (((hashes >> np.uint64(32)) * (3 * groups)[row].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+    bit = W.mix(hashes + np.uint64(0x452821E638D01377))
+    if seed:  # the first seed keeps the ascending order of the hashes
         order = np.argsort(place, kind="stable")
         place, bit = place[order], bit[order]
-    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    value = np.bitwise_xor.reduceat(bit, new) if len(new) else np.empty(0, np.uint64)
-    place = place[new][value != 0]
-    value = value[value != 0]
-    owner = (place >> np.uint64(32)).astype(np.int64)
-    zeros = m - np.bincount(owner, minlength=rows)
-    loose = zeros >= m - d
-    key = lambda owner, word, value: W.mix(value ^ W.mix((tag[owner].astype(np.uint64) << np.uint64(40)) ^ (np.uint64(seed) << np.uint64(32)) ^ word))
-    keys = key(owner, place & np.uint64(0xFFFFFFFF), value)
-    if last:
-        for i in np.flatnonzero(loose):
-            empty = np.setdiff1d(np.arange(m[i], dtype=np.uint64), place[owner == i] & np.uint64(0xFFFFFFFF))
-            keys = np.concatenate([keys, key(np.full(len(empty), i), empty, np.zeros(len(empty), np.uint64))])
-            owner = np.concatenate([owner, np.full(len(empty), i)])
-    return keys, owner, loose
-
-
-def _emit(n: int, num: int, den: int, buckets: int):
+    words = np.zeros(base[-1], np.uint64)
+    if len(place):
+        new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        words[place[new]] = np.bitwise_xor.reduceat(bit, new)
+    words = words.reshape(-1, 3)
+    owner = np.repeat(np.arange(rows), groups)
+    number = np.arange(len(words)) - (base[:-1] // 3)[owner]
+    weak = np.bincount(owner, (words == 0).sum(1) >= 2, minlength=rows)
+    loose = weak >= groups - d // 2
+    where = W.mix((tag[owner].astype(np.uint64) << np.uint64(40)) ^ (np.uint64(seed) << np.uint64(34)) ^ number.astype(np.uint64))
+    keys, owners = [], []
+    for k, (x, y) in enumerate(((0, 1), (0, 2), (1, 2))):
+        u, v = words[:, x], words[:, y]
+        use = (u | v) != 0
+        if last:
+            use |= loose[owner]
+        keys.append(W.mix(W.mix(u[use] + where[use]) ^ v[use] ^ np.uint64(k)))
+        owners.append(owner[use])
+    return np.concatenate(keys), np.concatenate(owners), loose
+
+
+def _emit(n: int, num: int, den: int, buckets: int, shared):
     """Keys of all sketch words, as one row of arrays per hash range and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
         for batch in W.resliced(batches):
             batch = batch.filter(batch.column(0).is_valid())
             batch = batch.sort_by(batch.schema.names[0])
@@ -166,13 +219,19 @@ def _emit(n: int, num: int, den: int, buckets: int):
                 above = np.flatnonzero(sizes[keep] * den >= num * lows[np.minimum(own + 1, len(table) - 1)]) if len(table) > 1 else np.empty(0, int)
                 above = above[own[above] + 1 < len(table)]
                 row, tag = np.concatenate([keep, keep[above]]), np.concatenate([own, own[above] + 1])
-                for seed in range(SEEDS):
+                apart = np.array([x[2] for x in table])[tag] > 0  # else only equal sets are linked, and those are one class
+                row, tag = row[apart], tag[apart]
+                rare = ~_among(hashes, common)
+                to = np.concatenate([[0], np.cumsum(rare)])
+                rare_sizes, rare_first, rare_hashes = np.diff(to[first]), to[first], hashes[rare]
+                for seed in range(2 * SEEDS):
                     if not len(row):
                         break
-                    size_of = sizes[row]
-                    at = np.repeat(first[row] - np.concatenate([[0], np.cumsum(size_of)[:-1]]), size_of) + np.arange(size_of.sum())
-                    d, m = (np.array([x[k] for x in table])[tag] for k in (2, 3))
-                    keys, owner, loose = _sketch_words(hashes[at], first, size_of, d, m, tag, seed, seed == SEEDS - 1)
+                    part, begin, size = (rare_hashes, rare_first, rare_sizes) if seed < SEEDS else (hashes, first, sizes)
+                    size_of = size[row]
+                    at = np.repeat(begin[row] - np.concatenate([[0], np.cumsum(size_of)[:-1]]), size_of) + np.arange(size_of.sum())
+                    d, groups = (np.array([x[k] for x in table])[tag] for k in (2, 3))
+                    keys, owner, loose = _signatures(part[at], size_of, d, groups, tag, seed, seed == 2 * SEEDS - 1)
                     all_keys.append(keys)
                     all_ids.append(ids[row[owner]])
                     row, tag = row[loose], tag[loose]
@@ -292,13 +351,15 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = int(min(2_000_000, max(1, -(-total // bucket_bytes))))
     sketch = ", ".join(f"{s} bigint" for s in _SKETCH)
-    described = written(docs.mapInArrow(_describe(n), f"doc_id bigint, n_shingles bigint, p bigint, q bigint, {sketch}"))
+    described = written(docs.mapInArrow(_describe(n), f"doc_id bigint, n_shingles bigint, p bigint, q bigint, {sketch}, shingles array<bigint>, counts array<bigint>"))
+    shared = docs.sparkSession.sparkContext.broadcast(_common(described, COMMON))
+    described = described.filter("n_shingles >= 0").drop("shingles", "counts")
     least = described.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "p", "q").agg(F.min("doc_id").alias("rep"))
     nodes = written(described.join(least, ["n_shingles", "p", "q"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), *_SKETCH))
     to_rep = nodes.select("doc_id", "rep").filter("doc_id is not null").distinct()
     reps = nodes.filter("doc_id = rep").dropDuplicates(["doc_id", "n_shingles", *_SKETCH]).drop("rep")
 
-    emitted = docs.mapInArrow(_emit(n, num, den, buckets), "bucket int, keys array<int>, ids array<bigint>, hot array<boolean>, leaders array<bigint>")
+    emitted = docs.mapInArrow(_emit(n, num, den, buckets, shared), "bucket int, keys array<int>, ids array<bigint>, hot array<boolean>, leaders array<bigint>")
     met = written(emitted.groupBy("bucket").applyInArrow(_meet(buckets), "key bigint, a bigint, b bigint"))
     pairs = met.filter("key is null").select("a", "b").distinct()
     for c in "ab":
