@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from .chat_format import OP9_SQL, op9_chat_formatting
+from .decontamination import op4_benchmark_decontamination
 from .ngram_join import op8_ngram_jaccard_join
+from .quality_rules import OP7_SQL, op7_quality_rules
+from .source_mixing import OP5_SQL, op5_source_mixing
 from .substring_dedup import op10_substring_dedup
 from .token_counts import op2_token_counts
+from .token_files import op6_token_id_output
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op8_ngram_jaccard_join, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_token_counts,
+        op4_benchmark_decontamination,
+        op5_source_mixing,
+        op6_token_id_output,
+        op7_quality_rules,
+        op8_ngram_jaccard_join,
+        op9_chat_formatting,
+        op10_substring_dedup,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Queries without a twin are tested against brute force (tests/llm).
+ORACLE_SQL = {"op5_source_mixing": OP5_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_formatting": OP9_SQL}

@@ -3,7 +3,7 @@
 Plan
 ----
 1. ``mapInArrow``: hash every ``width``-word window of every document.  Within
-   a batch of 8 MB a window that also starts in a smaller ``doc_id`` of the batch
+   a batch of 4 MB a window that also starts in a smaller ``doc_id`` of the batch
    is already known to be repeated; of the others one row per distinct hash goes
    on.  A window shared by a third of all documents therefore sends at most one
    row per batch to the exchange.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import words as W
 
 #: Text bytes whose windows meet in one task of the second stage.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 _SHUFFLED = "bucket int, hashes array<bigint>, ids array<bigint>"
 
 
@@ -51,14 +51,14 @@ def _cover(seen: np.ndarray, row: np.ndarray, width: int) -> np.ndarray:
 
 def _hash_windows(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.resliced(batches):
+        for batch in W.resliced(batches, 4 << 20):
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy()
             order = np.argsort(ids, kind="stable")
             data, offsets = W.utf8(batch.column(1).take(pa.array(order)))
             ids = ids[order]
             found, owner, rows = [], [], []
-            for lo, hi in W.slices(offsets, 4 << 20):
+            for lo, hi in W.slices(offsets, 2 << 20):
                 at = offsets[lo : hi + 1]
                 words = W.scan(data[at[0] : at[-1]], at - at[0], W.NOT_SPACE, False)
                 first, hashes = W.windows(words, width)
@@ -113,7 +113,7 @@ def _cut(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             bytes_, ends = W.utf8(whole.column(1))
-            for lo, hi in W.slices(ends, 4 << 20):
+            for lo, hi in W.slices(ends, 2 << 20):
                 batch = whole.slice(lo, hi - lo)
                 data, offsets = bytes_[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
                 words = W.scan(data, offsets, W.NOT_SPACE, False)

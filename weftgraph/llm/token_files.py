@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -210,14 +210,14 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1,
 
 
 def read_shards(spark, folder: str) -> DataFrame:
-    """The shards, with ``start`` counted from the first document of all."""
+    """The shards, with ``start`` counted from the first document of all.
+
+    One row per written part (16 MB of text) meets in the window; shards within a
+    part were counted as they were written.
+    """
     shards = spark.read.schema(_SCHEMA).parquet(folder)
     ends = shards.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda n, x: n + x)).alias("n"))
-    parts = ends.select(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("all")) if False else ends
-    before = parts.alias("x").join(parts.alias("y"), F.col("y.part") < F.col("x.part"), "left").groupBy("x.part").agg(F.coalesce(F.sum("y.n"), F.lit(0)).cast("bigint").alias("before")) if False else None
-    from pyspark.sql import Window
-
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
+    before = ends.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
     return shards.join(before, "part").withColumn("start", F.col("start") + F.col("before")).drop("before")
 
 
