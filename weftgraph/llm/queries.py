@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .chat_format import OP9_SQL, op9_chat_formatting
 from .decontamination import op4_benchmark_decontamination
+from .line_dedup import op3_line_dedup
 from .ngram_join import op8_ngram_jaccard_join
+from .quality_classifier import op1_quality_classifier
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .source_mixing import OP5_SQL, op5_source_mixing
 from .substring_dedup import op10_substring_dedup
@@ -14,7 +16,9 @@ from .token_files import op6_token_id_output
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_quality_classifier,
         op2_token_counts,
+        op3_line_dedup,
         op4_benchmark_decontamination,
         op5_source_mixing,
         op6_token_id_output,
