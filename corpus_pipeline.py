@@ -49,7 +49,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids are written to files; the result is what the files hold."""
     folder = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     token_files.write_token_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
-    return token_files.read_token_files(spark, folder).drop("ids")
+    return token_files.read_token_files(spark, folder, with_ids=False)
 
 
 STAGES = [

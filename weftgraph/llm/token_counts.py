@@ -27,6 +27,7 @@ tokenizer library: exact for the rest.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -259,6 +260,7 @@ def emissions(machine: Transducer, points: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def _machine(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
     from tokenizers import Tokenizer
 
     spec = json.load(open(path, encoding="utf-8"))

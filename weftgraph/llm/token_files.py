@@ -19,6 +19,9 @@ range of ids is decoded without decoding what precedes it.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,7 +38,7 @@ from . import words as W
 from .shared import shared_folder
 
 SHARD_TOKENS = 1_000_000
-ROUNDS = 4
+ROUNDS = 3
 #: A pair is worth a rule from this many occurrences in the shard.
 LEAST_PAIRS = 16
 #: Distinct words whose ids a worker remembers.
@@ -43,6 +46,10 @@ REMEMBERED = 300_000
 _SCHEMA = "part int, shard int, start bigint, base int, doc_ids array<bigint>, lengths array<int>, rules binary, spans binary, width int, symbols binary"
 
 
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
+
+
 def re_pair(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_PAIRS, most_rules: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules, expansion lengths) of a grammar for ``ids`` (all below ``base``)."""
     if most_rules is None:
@@ -53,14 +60,19 @@ def re_pair(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST
         if len(seq) < 2 or len(rules) >= most_rules:
             break
         pair = seq[:-1] << 32 | seq[1:]
-        kinds, counts = np.unique(pair, return_counts=True)
+        ordered = np.sort(pair)
+        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        counts = np.diff(np.append(start, len(ordered)))
         worth = np.flatnonzero(counts >= least)
-        worth = worth[np.lexsort((kinds[worth], -counts[worth]))][: most_rules - len(rules)]
-        if not len(worth):
+        kinds, counts = ordered[start[worth]], counts[worth]
+        best = np.lexsort((kinds, -counts))[: most_rules - len(rules)]
+        if not len(best):
             break
-        worth.sort()
-        kinds, counts = kinds[worth], counts[worth]
-        where = np.minimum(np.searchsorted(kinds, pair), len(kinds) - 1)
+        kinds, counts = kinds[best], counts[best]
+        # a table by hash; of pairs in one slot the most frequent stays, the others wait for the next round
+        table = np.zeros(1 << 18, np.int32)
+        table[_slot(kinds[::-1])] = np.arange(len(kinds) - 1, -1, -1)
+        where = table[_slot(pair)]
         rank = np.where(kinds[where] == pair, counts[where], 0)
         left = np.concatenate([[0], rank[:-1]])
         right = np.concatenate([rank[1:], [0]])
@@ -115,19 +127,63 @@ class _Encoder:
     """Ids of texts, word by word, with a bounded memory of words.
 
     White space is dropped by this kind of vocabulary, so the ids of a text are
-    those of its white-space-delimited words in turn.
+    those of its white-space-delimited words in turn.  A plain word is letters
+    and then marks, which are encoded apart and share their ids with all words
+    made of them (case doesn't matter to the vocabulary).  New parts are encoded
+    many at a time in one text: each has one token with the word-end suffix, which
+    tells them apart again.  Other words are encoded one by one.
     """
 
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#*$%&]*)")
+
     def __init__(self, path: str):
+        # one task has one core: the library's own threads would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.base = self.tokenizer.get_vocab_size()
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.base, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.first = np.empty(1 << 16, np.int32), [0]
+        self.words: dict[str, int] = {}
+        self.halves = np.empty((0, 2), np.int64)  # the parts of each word
+        self.parts: dict[str, int] = {"": 0}
+        self.flat, self.first = np.empty(1 << 16, np.int32), np.zeros(2, np.int64)
+
+    def _learn(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, n = int(self.first[-1]), len(self.parts)
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[at : at + len(ids)] = ids
+        self.parts.update(zip(parts, range(n, n + len(parts)), strict=True))
+        self.first = np.concatenate([self.first, at + np.cumsum(sizes)])
+
+    def _meet(self, words: list[str]) -> None:
+        """Take new words in."""
+        split, other = [], []
+        for w in words:
+            found = self.PLAIN.fullmatch(w)
+            if found:
+                split.append((found[1].lower(), found[2]))
+            else:
+                key = "\0" + w
+                other.append(w)
+                split.append((key, ""))
+        new = [x for x in dict.fromkeys(x for pair in split for x in pair) if x not in self.parts and x[0] != "\0"]
+        for lo in range(0, len(new), 20_000):
+            some = new[lo : lo + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            self._learn(some, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+        if other:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            self._learn(["\0" + w for w in other], np.array([i for e in each for i in e], np.int64), np.array([len(e) for e in each]))
+        n, place = len(self.words), self.parts
+        self.words.update(zip(words, range(n, n + len(words)), strict=True))
+        self.halves = np.concatenate([self.halves, np.array([(place[x], place[y]) for x, y in split], np.int64).reshape(-1, 2)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -136,25 +192,17 @@ class _Encoder:
             parts = parts.combine_chunks()
         coded = parts.flatten().dictionary_encode()
         kinds = coded.dictionary.to_pylist()
-        if len(self.place) > REMEMBERED:
+        if len(self.words) > REMEMBERED:
             self.forget()
-        unseen = [w for w in kinds if w not in self.place]
-        for lo in range(0, len(unseen), 50_000):
-            for w, e in zip(unseen[lo : lo + 50_000], self.tokenizer.encode_batch_fast(unseen[lo : lo + 50_000], add_special_tokens=False), strict=True):
-                ids = e.ids
-                at = self.first[-1]
-                while at + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                self.flat[at : at + len(ids)] = ids
-                self.place[w] = len(self.first) - 1
-                self.first.append(at + len(ids))
-        first = np.array(self.first, np.int64)
-        place = np.array([self.place[w] for w in kinds], np.int64)
-        words = place[coded.indices.to_numpy()] if len(kinds) else np.empty(0, np.int64)
-        size = first[words + 1] - first[words] if len(words) else words
+        new = [w for w in kinds if w not in self.words]
+        if new:
+            self._meet(new)
+        place = np.fromiter(map(self.words.__getitem__, kinds), np.int64, len(kinds))
+        runs = self.halves[place][coded.indices.to_numpy()].ravel() if len(kinds) else np.empty(0, np.int64)
+        size = self.first[runs + 1] - self.first[runs]
         to = np.cumsum(size)
-        at = np.repeat(first[words] - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)
-        per_text = np.concatenate([[0], to])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        at = np.repeat(self.first[runs] - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)
+        per_text = np.concatenate([[0], to])[2 * (parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py())]
         return self.flat[at], np.diff(per_text)
 
 
@@ -176,7 +224,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
             kinds = {"part": pa.int32(), "shard": pa.int32(), "start": pa.int64(), "base": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "rules": pa.binary(), "spans": pa.binary(), "width": pa.int32(), "symbols": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in kinds.items()], [*kinds])
 
-        for batch in W.resliced(batches, 2 << 20):
+        for batch in W.resliced(batches, 4 << 20):
             flat, sizes = encoder.encode(batch.column(1))
             n = len(sizes)
             out = np.full(len(flat) + n, end_id, np.int32)
@@ -221,28 +269,31 @@ def read_shards(spark, folder: str) -> DataFrame:
     return shards.join(before, "part").withColumn("start", F.col("start") + F.col("before")).drop("before")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            seq, rules, _ = _symbols(row)
-            ids = expand(seq, rules, row["base"]).astype("<u4")
-            to = np.cumsum(row["lengths"], dtype=np.int64)
-            at = to - np.array(row["lengths"], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(at + row["start"]),
-                    pa.array(to - at),
-                    pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.int64()),
-                    W.lists(pa.array(ids.astype(np.int32)), to - at),
-                ],
-                ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-            )
+def _read(with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                seq, rules, _ = _symbols(row)
+                ids = expand(seq, rules, row["base"]).astype("<u4")
+                to = np.cumsum(row["lengths"], dtype=np.int64)
+                at = to - np.array(row["lengths"], np.int64)
+                columns = {
+                    "doc_id": pa.array(row["doc_ids"], pa.int64()),
+                    "start": pa.array(at + row["start"]),
+                    "n_tokens": pa.array(to - at),
+                    "ids_crc32": pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.int64()),
+                }
+                if with_ids:
+                    columns["ids"] = W.lists(pa.array(ids.astype(np.int32)), to - at)
+                yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+    return run
 
 
-def read_token_files(spark, folder: str) -> DataFrame:
-    """Documents decoded from the files: ``doc_id, start, n_tokens, ids_crc32, ids``."""
-    return read_shards(spark, folder).mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+def read_token_files(spark, folder: str, with_ids: bool = True) -> DataFrame:
+    """Documents decoded from the files: ``doc_id, start, n_tokens, ids_crc32`` and, if wanted, ``ids``."""
+    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+    return read_shards(spark, folder).mapInArrow(_read(with_ids), schema)
 
 
 def op6_token_id_output(spark, sf_dir: str) -> DataFrame:
@@ -250,4 +301,4 @@ def op6_token_id_output(spark, sf_dir: str) -> DataFrame:
 
     folder = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("word_bpe_49k.json"))
-    return read_token_files(spark, folder).drop("ids")
+    return read_token_files(spark, folder, with_ids=False)
