@@ -42,7 +42,7 @@ ROUNDS = 3
 #: A pair is worth a rule from this many occurrences in the shard.
 LEAST_PAIRS = 16
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 _SCHEMA = "part int, shard int, start bigint, base int, doc_ids array<bigint>, lengths array<int>, rules binary, spans binary, width int, symbols binary"
 
 
