@@ -17,7 +17,7 @@ from weftgraph.llm import token_files as T
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
-ODD = ["", "a", "<|endoftext|>", "don't 'stuff ''s 're've'll x'LL 'R", "ΣΑΣ Σ", "  ", "é́ é ́x", "İstanbul ½²³ 12a3", "日本語 テスト", "a b\u0085c", "x" * 3000, "'" * 600 + "s", "µÀß÷×", "<|startoftext|>abc<|ENDOFTEXT|>", "\x1c \x1f\x00a", "don’t…", "word. word, WORD!! a|b", "퟿\U0001f600 ok"]
+ODD = ["", "a", "<|endoftext|>", "don't 'stuff ''s 're've'll x'LL 'R", "ΣΑΣ Σ", "  ", "é́ é ́x", "İstanbul ½²³ 12a3", "日本語 テスト", "a b\u0085c", "x" * 3000, "'" * 600 + "s", "µÀß÷×", "<|startoftext|>abc<|ENDOFTEXT|>", "<|endoftext|> <|ENDOFTEXT|> A1 a1", "\x1c \x1f\x00a", "don’t…", "word. word, WORD!! a|b", "퟿\U0001f600 ok"]
 
 
 @pytest.fixture(scope="module")

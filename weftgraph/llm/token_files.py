@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +28,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,8 +39,9 @@ SHARD_TOKENS = 1_000_000
 ROUNDS = 3
 #: A pair is worth a rule from this many occurrences in the shard.
 LEAST_PAIRS = 16
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Runs of characters whose ids a worker keeps before it starts afresh, and slots to find them in.
+REMEMBERED = 2_000_000
+SLOTS = 1 << 21
 _SCHEMA = "part int, shard int, start bigint, base int, doc_ids array<bigint>, lengths array<int>, rules binary, spans binary, width int, symbols binary"
 
 
@@ -123,19 +122,65 @@ def decode_range(row: dict, first: int, end: int) -> np.ndarray:
     return expand(seq[lo:hi], rules, row["base"])[first - before : end - before]
 
 
+_SPACE, _LETTER, _MARK, _ODD = 0, 1, 2, 3
+
+
+def _kinds() -> np.ndarray:
+    """Byte kinds: white space, letters (ASCII, and bytes that may be of U+00C0 to U+00FF), plain marks, others."""
+    kinds = np.full(256, _ODD, np.uint8)
+    kinds[~W.NOT_SPACE] = _SPACE
+    kinds[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 0xC3, *range(0x80, 0xC0)]] = _LETTER
+    kinds[[*b".,;:!?|#*$%&"]] = _MARK
+    return kinds
+
+
+_KIND = _kinds()
+
+
+def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[W.Words, np.ndarray]:
+    """Runs that are encoded each by itself: letters, marks, or a whole white-space-delimited word.
+
+    A word is split into letters and marks if it has nothing else; then each run
+    is one pre-token of the vocabulary.  Other words stay whole, and are marked in
+    the second array.  The hashes of letters fold their case, on which the ids don't
+    depend.
+    """
+    kind = _KIND[data]
+    if len(data):
+        # a byte of a two-byte letter counts only as part of a pair C3 80..BF other than the signs 97 and B7
+        lead, tail = data == 0xC3, (data >= 0x80) & (data < 0xC0)
+        after_lead = np.concatenate([[False], lead[:-1]])
+        before_tail = np.concatenate([tail[1:], [False]])
+        kind[(lead & ~before_tail) | (tail & ~after_lead) | (after_lead & ((data == 0x97) | (data == 0xB7)))] = _ODD
+        odd = np.flatnonzero(kind == _ODD)
+        if len(odd):
+            edge = kind == _SPACE
+            edge = np.concatenate([[True], edge])
+            edge[offsets[:-1]] |= True
+            cut = np.flatnonzero(edge)  # a word begins here or one byte later
+            word = np.unique(np.searchsorted(cut, odd, "right") - 1)
+            lo, hi = cut[word], np.append(cut, len(data))[word + 1]
+            mark = np.zeros(len(data) + 1, np.int8)
+            np.add.at(mark, lo, 1)
+            np.add.at(mark, hi, -1)
+            inside = np.cumsum(mark[:-1]) > 0
+            kind[inside & (kind != _SPACE)] = _ODD
+    small = np.where((kind == _LETTER) & (data >= 0x41) & (data <= 0x5A), data + np.uint8(32), data)
+    found = W.runs(small, offsets, kind, False)
+    return found, kind[found.start] == _ODD
+
+
 class _Encoder:
-    """Ids of texts, word by word, with a bounded memory of words.
+    """Ids of texts, run by run (see pre_tokens), with a direct-mapped memory of runs.
 
     White space is dropped by this kind of vocabulary, so the ids of a text are
-    those of its white-space-delimited words in turn.  A plain word is letters
-    and then marks, which are encoded apart and share their ids with all words
-    made of them (case doesn't matter to the vocabulary).  New parts are encoded
-    many at a time in one text: each has one token with the word-end suffix, which
-    tells them apart again.  Other words are encoded one by one.
+    those of its runs in turn.  Runs that are not remembered are encoded many at
+    a time in one text: letters or marks have one token with the word-end suffix,
+    which tells them apart again; other words are encoded one by one.  Runs are
+    told apart by 64-bit hashes, equal for different ones with probability 2**-64
+    a pair.
     """
 
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#*$%&]*)")
-
     def __init__(self, path: str):
         # one task has one core: the library's own threads would only wait for each other
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -146,63 +191,57 @@ class _Encoder:
         suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
         self.ends = np.zeros(self.base, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.keys, self.place = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.halves = np.empty((0, 2), np.int64)  # the parts of each word
-        self.parts: dict[str, int] = {"": 0}
-        self.flat, self.first = np.empty(1 << 16, np.int32), np.zeros(2, np.int64)
+        self.keys[:] = 0
+        self.flat, self.first = np.empty(1 << 16, np.int32), np.zeros(1, np.int64)
 
-    def _learn(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        at, n = int(self.first[-1]), len(self.parts)
+    def _learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = int(self.first[-1])
         while at + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.flat[at : at + len(ids)] = ids
-        self.parts.update(zip(parts, range(n, n + len(parts)), strict=True))
         self.first = np.concatenate([self.first, at + np.cumsum(sizes)])
 
-    def _meet(self, words: list[str]) -> None:
-        """Take new words in."""
-        split, other = [], []
-        for w in words:
-            found = self.PLAIN.fullmatch(w)
-            if found:
-                split.append((found[1].lower(), found[2]))
-            else:
-                key = "\0" + w
-                other.append(w)
-                split.append((key, ""))
-        new = [x for x in dict.fromkeys(x for pair in split for x in pair) if x not in self.parts and x[0] != "\0"]
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            self._learn(some, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
-        if other:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-            self._learn(["\0" + w for w in other], np.array([i for e in each for i in e], np.int64), np.array([len(e) for e in each]))
-        n, place = len(self.words), self.parts
-        self.words.update(zip(words, range(n, n + len(words)), strict=True))
-        self.halves = np.concatenate([self.halves, np.array([(place[x], place[y]) for x, y in split], np.int64).reshape(-1, 2)])
+    def _encode_new(self, raw: bytes, words: W.Words, which: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """Encode the runs ``which`` of the batch; their places."""
+        base = len(self.first) - 1
+        plain, whole = which[~odd[which]], which[odd[which]]
+        for lo in range(0, len(plain), 50_000):
+            some = plain[lo : lo + 50_000]
+            text = b" ".join([raw[a:b] for a, b in zip(words.start[some].tolist(), words.end[some].tolist(), strict=True)]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            self._learn(ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+        if len(whole):
+            texts = [raw[a:b].decode() for a, b in zip(words.start[whole].tolist(), words.end[whole].tolist(), strict=True)]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self._learn(np.array([i for e in each for i in e], np.int64), np.array([len(e) for e in each]))
+        place = np.empty(len(which), np.int64)
+        place[~odd[which]] = base + np.arange(len(plain))
+        place[odd[which]] = base + len(plain) + np.arange(len(whole))
+        return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        if isinstance(parts, pa.ChunkedArray):
-            parts = parts.combine_chunks()
-        coded = parts.flatten().dictionary_encode()
-        kinds = coded.dictionary.to_pylist()
-        if len(self.words) > REMEMBERED:
+        data, offsets = W.utf8(texts)
+        words, odd = pre_tokens(data, offsets)
+        if len(self.first) > REMEMBERED:
             self.forget()
-        new = [w for w in kinds if w not in self.words]
-        if new:
-            self._meet(new)
-        place = np.fromiter(map(self.words.__getitem__, kinds), np.int64, len(kinds))
-        runs = self.halves[place][coded.indices.to_numpy()].ravel() if len(kinds) else np.empty(0, np.int64)
-        size = self.first[runs + 1] - self.first[runs]
+        slot = (words.hash & np.uint64(SLOTS - 1)).astype(np.int64)
+        run = self.place[slot].astype(np.int64)
+        missed = np.flatnonzero(self.keys[slot] != words.hash)
+        if len(missed):
+            _, at, back = np.unique(words.hash[missed], return_index=True, return_inverse=True)
+            new = missed[at]
+            place = self._encode_new(data.tobytes(), words, new, odd)
+            run[missed] = place[back]
+            self.keys[slot[new]], self.place[slot[new]] = words.hash[new], place
+        size = self.first[run + 1] - self.first[run]
         to = np.cumsum(size)
-        at = np.repeat(self.first[runs] - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)
-        per_text = np.concatenate([[0], to])[2 * (parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py())]
+        at = np.repeat(self.first[run] - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)
+        per_text = np.concatenate([[0], to])[words.first]
         return self.flat[at], np.diff(per_text)
 
 

@@ -86,21 +86,21 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), self.count)
 
 
-def _pieces(data: np.ndarray, cut: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Byte ranges of about PIECE_BYTES that end where no word is open."""
-    at, n = 0, len(data)
+def _pieces(kind: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about PIECE_BYTES that end where a run of one kind ends."""
+    at, n = 0, len(kind)
     while at < n:
         to = min(n, at + PIECE_BYTES)
-        while to < n and inside[data[to]] and inside[data[to - 1]] and not cut[to]:
+        while to < n and kind[to] and kind[to] == kind[to - 1] and not cut[to]:
             to += 1
         yield at, to
         at = to
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: bool) -> Words:
-    """Find and hash the maximal runs of ``inside`` bytes of every row.
+def runs(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, fold: bool) -> Words:
+    """Find and hash the maximal runs of bytes of one kind (uint8 per byte, 0: in no run) of every row.
 
-    ``fold`` hashes A-Z as a-z.  Equal words get equal hashes; the bytes
+    ``fold`` hashes A-Z as a-z.  Equal runs get equal hashes; the bytes
     themselves are not copied.
     """
     n = len(data)
@@ -108,20 +108,17 @@ def scan(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: bool)
     cut[offsets] = True
     values = _FOLDED if fold else _RANDOM
     starts, ends, hashes = [], [], []
-    for lo, hi in _pieces(data, cut, inside):
-        part = data[lo:hi]
-        word = inside[part]
-        before = np.zeros(len(part), bool)
-        before[1:] = word[:-1]
-        before &= ~cut[lo:hi]
-        s = np.flatnonzero(word & ~before)
-        after = np.zeros(len(part), bool)
-        after[:-1] = word[1:]
-        after &= ~cut[lo + 1 : hi + 1]
-        e = np.flatnonzero(word & ~after) + 1
-        up, down = _power(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(values[part] * up[:-1], out=total[1:])
+    for lo, hi in _pieces(kind, cut):
+        k = kind[lo:hi]
+        edge = np.ones(hi - lo + 1, bool)
+        edge[1:-1] = k[1:] != k[:-1]
+        edge[:-1] |= cut[lo:hi]
+        at = np.flatnonzero(edge)
+        inside = k[at[:-1]] != 0
+        s, e = at[:-1][inside], at[1:][inside]
+        up, down = _power(hi - lo + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(values[data[lo:hi]] * up[:-1], out=total[1:])
         h = (total[e] - total[s]) * down[s]
         hashes.append(mix(h + (e - s).astype(np.uint64) * np.uint64(_ODD)))
         starts.append(s + lo)
@@ -131,6 +128,11 @@ def scan(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: bool)
     return Words(start, join(ends, np.int64), join(hashes, np.uint64), np.searchsorted(start, offsets, "left"))
 
 
+def scan(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: bool) -> Words:
+    """Find and hash the maximal runs of ``inside`` bytes of every row."""
+    return runs(data, offsets, inside[data].view(np.uint8), fold)
+
+
 def windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rabin-Karp hash of every window of ``width`` words: (first word, hash).
 
