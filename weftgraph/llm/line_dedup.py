@@ -7,12 +7,12 @@ characters tolerates k(n) edits (0 below 20 characters, 1 below 40, else 2).
   whole (pigeonhole), so a near line has it as a substring, about where it was.
 * **Probe.**  A line probes the lengths that may be linked with it, each segment
   number, and the start positions that the multi-match-aware bound allows: twelve
-  substrings for k = 2.  Index and probes meet in one equi-join on a hash of
-  (length, segment number, substring).
+  substrings for k = 2, its own segments among them.  Index and probes meet on a
+  hash of (length, segment number, substring) in one aggregation per key.
 * **Verification.**  Banded bit-parallel edit distance: vertical differences of a
   band of 2k + 1 cells are kept in the bits of two integers, one step a character.
-* **Groups.**  Equal lines are one class from the start.  Keys with few members
-  give all their pairs; others a star to their smallest indexed line, and what the
+* **Groups.**  Equal lines are one class from the start.  Keys of two lines give
+  that pair and keys with few lines all their pairs; others a star to their smallest indexed line, and what the
   stars leave in different components is compared in a second step.
 """
 
@@ -25,7 +25,7 @@ from .shared import connected_components, written
 
 #: Characters from which one and two edits are tolerated.
 EDITS_FROM = (20, 40)
-#: Keys with more indexed lines give a star instead of all pairs.
+#: Keys with more lines give a star instead of all pairs.
 PAIRED = 8
 _BLANKS = " \t\x0b\f\r"
 
@@ -35,43 +35,34 @@ def tolerated(n: Column) -> Column:
     return F.when(n >= EDITS_FROM[1], F.lit(2)).when(n >= EDITS_FROM[0], F.lit(1)).otherwise(F.lit(0))
 
 
-def _segment(n: Column, k: Column, i: Column) -> tuple[Column, Column]:
+def _segment(n: Column, k: int, i: int) -> tuple[Column, Column]:
     """(first character, from 1; characters) of segment i (from 1) of a line of n characters in k + 1 even segments."""
-    base = F.floor(n / (k + 1)).cast("int")
-    long_from = (k + 1) - n % (k + 1)
-    return (1 + (i - 1) * base + F.greatest(F.lit(0), i - 1 - long_from)).cast("int"), (base + F.when(i > long_from, F.lit(1)).otherwise(F.lit(0))).cast("int")
+    parts = k + 1
+    base = F.floor(n / parts).cast("int")
+    short = parts - n % parts  # segments before the longer ones
+    start = 1 + (i - 1) * base + F.greatest(F.lit(0), F.lit(i - 1) - short)
+    return start.cast("int"), (base + F.when(short < i, 1).otherwise(0)).cast("int")
 
 
-def _key(n: Column, i: Column, part: Column) -> Column:
-    return F.xxhash64(n, i, part)
+def _keys(line: Column, n: Column) -> Column:
+    """Keys of a line: first those of its own segments, then those of substrings that may be a segment of another.
 
-
-def _index_keys(line: Column, n: Column) -> Column:
-    k = tolerated(n)
-
-    def one(i: Column) -> Column:
-        start, size = _segment(n, k, i)
-        return _key(n, i, F.substr(line, start, size))
-
-    return F.when(k > 0, F.transform(F.sequence(F.lit(1), k + 1), one))
-
-
-def _probe_keys(line: Column, n: Column) -> Column:
-    """Keys of the substrings that may be a segment of a line of n - 2 to n characters."""
-
-    def of_length(m: Column) -> Column:
-        k, more = tolerated(m), n - m
-
-        def of_segment(i: Column) -> Column:
-            start, size = _segment(m, k, i)
-            lo = F.greatest(start - (i - 1), start + more - (k + 1 - i), F.lit(1))
-            hi = F.least(start + (i - 1), start + more + (k + 1 - i), n - size + 1)
-            return F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda p: _key(m, i, F.substr(line, p, size)))).otherwise(F.array().cast("array<bigint>"))
-
-        return F.flatten(F.transform(F.sequence(F.lit(1), k + 1), of_segment))
-
-    lengths = F.filter(F.sequence(n - 2, n), lambda m: (tolerated(m) > 0) & (n - m <= tolerated(m)))
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+    Plain expressions, one for each length difference, segment and shift, so that
+    they are compiled and not interpreted.
+    """
+    own, others = [], []
+    for k, longest in ((2, None), (1, EDITS_FROM[1] - 1)):
+        for more in range(k + 1):
+            m = (n - more).cast("int")
+            here = (m >= EDITS_FROM[k - 1]) if longest is None else m.between(EDITS_FROM[k - 1], longest)
+            for i in range(1, k + 2):
+                start, size = _segment(m, k, i)
+                for shift in range(max(-(i - 1), more - (k + 1 - i)), min(i - 1, more + (k + 1 - i)) + 1):
+                    at = start + shift
+                    fits = here if more == shift == 0 else here & (at >= 1) & (at + size - 1 <= n)
+                    key = F.when(fits, F.xxhash64(m, F.lit(i), F.substr(line, at, size)))
+                    (own if more == shift == 0 else others).append(key)
+    return F.array_distinct(F.array_compact(F.array(*own, *others)))
 
 
 def within(a: Column, b: Column, k: int = 2) -> Column:
@@ -155,22 +146,26 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     no rows.  Two different lines count as equal with probability 2**-64 a pair.
     """
     lines = lines_of(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    distinct = written(lines.groupBy("line_id").agg(F.min(place).alias("first"), F.min("line").alias("line")))
+    # a place as one number, which a hash aggregate can keep the least of; null ids last
+    unit, beyond = F.lit(1 << 32).cast("decimal(12,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")
+    place = (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), beyond) * unit + F.col("line_no").cast("decimal(12,0)")).cast("decimal(38,0)")
+    distinct = lines.groupBy("line").agg(F.min(place).alias("first")).withColumn("line_id", F.xxhash64("line"))
+    distinct = written(distinct)
     sized = distinct.select("line_id", "line", F.char_length("line").alias("n")).filter(F.col("n") >= EDITS_FROM[0])
-    index = sized.select(F.explode(_index_keys(F.col("line"), F.col("n"))).alias("key"), F.col("line_id").alias("s"))
-    probe = sized.select(F.explode(_probe_keys(F.col("line"), F.col("n"))).alias("key"), F.col("line_id").alias("r"))
-    # most keys belong to one line: only keys with two lines go on
-    tagged = index.select("key", F.col("s").alias("id"), F.lit(True).alias("indexed")).unionAll(probe.select("key", F.col("r").alias("id"), F.lit(False).alias("indexed")))
-    per_key = tagged.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.when(F.col("indexed"), F.col("id"))).alias("leader"), F.max(F.when(F.col("indexed"), F.col("id"))).alias("other"), F.sum(F.col("indexed").cast("int")).alias("n"))
-    shared = written(per_key.filter("lo < hi and leader is not null").select("key", "lo", "hi", "leader", "n"))
+    spread = sized.select(F.col("line_id").alias("id"), "n", F.posexplode(_keys(F.col("line"), F.col("n"))).alias("at", "key"))
+    tagged = spread.select("key", "id", (F.col("at") <= tolerated(F.col("n"))).alias("indexed"))
+    # a line has a key once, so the rows of a key are its lines; most keys belong to one line
+    per_key = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.when(F.col("indexed"), F.col("id"))).alias("leader"))
+    shared = written(per_key.filter("size > 1 and leader is not null"))
     texts = distinct.select("line_id", "line")
 
-    members = written(tagged.join(shared.select("key", "leader", F.col("n").alias("size")), "key"))
+    two = shared.filter("size = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    members = written(tagged.join(shared.filter("size > 2").select("key", "leader", "size"), "key"))
     star = members.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    few = members.filter(F.col("size").between(2, PAIRED))
-    x, y = few.filter("indexed").alias("x"), few.filter("not indexed").alias("y")
+    few = members.filter(F.col("size") <= PAIRED)
+    x, y = few.filter("indexed").alias("x"), few.alias("y")
     paired = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    star = two.unionAll(star)
     pairs = written(star.unionAll(paired).distinct())
     links = written(_linked(pairs, texts))
     components = connected_components(links)
@@ -181,7 +176,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = placed.join(open_, "key")
     rest = rest.join(texts.withColumnRenamed("line_id", "id"), "id").withColumn("mask", _letters(F.col("line"))).drop("line")
     rest = written(rest)
-    x, y = rest.filter("indexed").alias("x"), rest.filter("not indexed").alias("y")
+    x, y = rest.filter("indexed").alias("x"), rest.alias("y")
     # an edit changes the parity of two characters at most
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.bit_count(F.col("x.mask").bitwiseXOR(F.col("y.mask"))) <= 4))
     more = written(more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
@@ -192,10 +187,12 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = distinct.select("line_id", "first").join(components.withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
     grouped = first.filter("component <> line_id").select("component").distinct().join(first, "component").groupBy("component").agg(F.min("first").alias("class_first"))
     known = first.join(grouped, "component", "left").select("line_id", F.coalesce("class_first", "first").alias("c"))
-    known = written(known)
-    out = lines.select("doc_id", "line_no", "line_id").join(known, "line_id")
-    same = F.col("c.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("c.line_no") == F.col("line_no"))
-    return out.select("doc_id", "line_no", F.col("c.doc_id").alias("class_doc_id"), F.col("c.line_no").alias("class_line_no"), (~same).alias("copy")), links
+    line_no = F.pmod("c", unit)
+    known = known.select("line_id", line_no.cast("int").alias("class_line_no"), ((F.col("c") - line_no) / unit).cast("decimal(20,0)").alias("i"))
+    known = known.select("line_id", "class_line_no", F.when(F.col("i") < beyond, F.col("i").cast("bigint")).alias("class_doc_id"))
+    out = lines.select("doc_id", "line_no", "line_id").join(written(known), "line_id")
+    same = F.col("class_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("class_line_no") == F.col("line_no"))
+    return out.select("doc_id", "line_no", "class_doc_id", "class_line_no", (~same).alias("copy")), links
 
 
 def _letters(line: Column) -> Column:
