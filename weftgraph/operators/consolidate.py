@@ -54,7 +54,7 @@ def invalidate(edges: DataFrame, changed: DataFrame, strict: bool = False) -> Da
     """Edges whose primary receipt, or any with ``strict``, is not in a changed file (``changed.path``)."""
     paths = changed.select("path").distinct()
     if not strict:
-        return edges.withColumn("primary", F.col("receipts")[0]["path"]).join(paths, F.col("primary") == F.col("path"), "left_anti").drop("primary")
+        return edges.withColumn("primary", F.get("receipts", F.lit(0))["path"]).join(paths, F.col("primary") == F.col("path"), "left_anti").drop("primary")
     stale = edges.select(*EDGE_KEY, F.explode("receipts").alias("r")).join(paths, F.col("r.path") == F.col("path"), "left_semi").select(*EDGE_KEY).distinct()
     return edges.join(stale, EDGE_KEY, "left_anti")
 
@@ -73,7 +73,7 @@ def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def is_fresh(header: DataFrame, head: str, changed: DataFrame) -> DataFrame:
     """One row: whether the ledger's commit is ``head`` and no file in its scopes has changed."""
-    dirty = changed.join(F.broadcast(header.select("scopes")), (F.col("scopes")[0] == "all") | F.exists("scopes", lambda s: F.col("path").startswith(s))).agg(F.count(F.lit(1)).alias("dirty"))
+    dirty = changed.join(F.broadcast(header.select("scopes")), (F.get("scopes", F.lit(0)) == "all") | F.exists("scopes", lambda s: F.col("path").startswith(s))).agg(F.count(F.lit(1)).alias("dirty"))
     return header.select("commit").join(dirty).select(((F.col("commit") == head) & (F.col("dirty") == 0)).alias("fresh"))
 
 

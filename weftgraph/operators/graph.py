@@ -151,12 +151,12 @@ def simple_paths(edges: DataFrame, start: DataFrame, end: DataFrame | None = Non
 def reachable(edges: DataFrame, rels: tuple[str, ...], hops: int) -> DataFrame:
     """Distinct ``a, b``: b is reached from a over the relations within ``hops`` calls."""
     pairs = edges.filter(F.col("rel").isin(*rels)).select(F.col("actor").alias("a"), F.col("object").alias("b")).filter("a <> b").distinct()
+    steps = pairs.select(F.col("a").alias("m"), F.col("b").alias("n"))
     seen = frontier = pairs
     for _ in range(hops - 1):
-        step = frontier.join(pairs.withColumnRenamed("a", "m").withColumnRenamed("b", "n"), F.col("b") == F.col("m")).select("a", F.col("n").alias("b")).distinct()
-        frontier = step.join(seen, ["a", "b"], "left_anti")
+        frontier = frontier.join(steps, F.col("b") == F.col("m")).select("a", F.col("n").alias("b")).distinct()
         seen = seen.unionByName(frontier)
-    return seen
+    return seen.distinct()
 
 
 def cycles(edges: DataFrame, rels: tuple[str, ...] = ("http", "grpc", "gql"), most: int = 6) -> DataFrame:
@@ -186,7 +186,7 @@ def overview(edges: DataFrame) -> DataFrame:
 
 def clusters(nodes: DataFrame, by: str = "path") -> DataFrame:
     """Nodes with their cluster: the top directory of the binding, or the first part of the id."""
-    key = T.top_dir(F.col("receipts")[0]["path"]) if by == "path" else F.split("id", "[.-]")[0]
+    key = T.top_dir(F.get("receipts", F.lit(0))["path"]) if by == "path" else F.split("id", "[.-]")[0]
     return nodes.withColumn("cluster", F.coalesce(key, F.split("id", "[.-]")[0]))
 
 
@@ -205,13 +205,12 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     An added and a removed label of the same (actor, rel, object) are one
     relabelled edge if there is exactly one of each.
     """
-    o = old.select(*EDGE_KEY).distinct().withColumn("o", F.lit(1))
-    n = new.select(*EDGE_KEY).distinct().withColumn("n", F.lit(1))
-    both = o.join(n, [o[c].eqNullSafe(n[c]) for c in EDGE_KEY], "full_outer")
-    sides = both.filter("o is null or n is null").select(*(F.coalesce(o[c], n[c]).alias(c) for c in EDGE_KEY), F.col("o").isNotNull().alias("was"))
+    both = old.select(*EDGE_KEY, F.lit(True).alias("was")).distinct().unionByName(new.select(*EDGE_KEY, F.lit(False).alias("was")).distinct())
+    # a key on both sides is unchanged; grouping treats null labels as equal
+    sides = both.groupBy(*EDGE_KEY).agg(F.count(F.lit(1)).alias("n"), F.max("was").alias("was")).filter("n = 1").drop("n")
     per = sides.groupBy("actor", "rel", "object").agg(F.collect_list(F.struct("was", "label")).alias("all"), F.count_if(F.col("was")).alias("gone"), F.count_if(~F.col("was")).alias("come"))
     swap = (F.col("gone") == 1) & (F.col("come") == 1)
-    pick = lambda was: F.filter("all", lambda x: x["was"] == F.lit(was))[0]["label"]
+    pick = lambda was: F.get(F.filter("all", lambda x: x["was"] == F.lit(was)), F.lit(0))["label"]
     relabelled = per.filter(swap).select("actor", "rel", "object", pick(True).alias("old_label"), pick(False).alias("new_label"), F.lit("relabelled").alias("change"))
     others = per.filter(~swap).select("actor", "rel", "object", F.explode("all").alias("x"))
     others = others.select("actor", "rel", "object", F.when(F.col("x.was"), F.col("x.label")).alias("old_label"), F.when(~F.col("x.was"), F.col("x.label")).alias("new_label"), F.when(F.col("x.was"), "removed").otherwise("added").alias("change"))

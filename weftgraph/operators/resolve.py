@@ -1,0 +1,155 @@
+"""From call sites to edges: the ordered ladder that finds what a call names.
+
+The first rung that gives a value wins.  What cannot be named is a gap, never an
+edge; what can be named but not resolved is an inferred edge (messages) or a gap
+(calls).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+MESSAGES = ("pub", "sub")
+_LITERAL = r"[\"'`]([^\"'`]+)[\"'`]"
+_FIELD = r"(?i)\b(?:topics?|destination|queue(?:_?url)?|topic_?arn|subject|channel)\b\s*[:=]\s*\[?\s*[\"'`]([^\"'`]+)[\"'`]"
+
+
+def symbols(lines: DataFrame) -> DataFrame:
+    """Constants and defaults of environment variables: ``path, line, key, value``."""
+    constant = r"^\s*(?:export\s+)?(?:(?:public|private|static|final|const|let|var|val|String)\s+)*([A-Za-z_][A-Za-z0-9_]*)\s*(?::\s*\w+\s*)?(?::=|=)\s*[\"'`]([^\"'`]+)[\"'`]"
+    default = r"([A-Za-z_][A-Za-z0-9_]*)\s*(?::=|=)\s*.*(?:getenv|environ\.get|Getenv|getEnv|envOr|env)\w*\(\s*[\"'][A-Za-z0-9_]+[\"']\s*,\s*[\"']([^\"']+)[\"']"
+    node = r"([A-Za-z_][A-Za-z0-9_]*)\s*=\s*process\.env\.\w+\s*(?:\|\||\?\?)\s*[\"'`]([^\"'`]+)"
+    key = value = F.lit(None).cast("string")
+    for p in (constant, default, node):
+        hit = F.col("text").rlike(p)
+        key, value = F.when(hit, F.regexp_extract("text", p, 1)).otherwise(key), F.when(hit, F.regexp_extract("text", p, 2)).otherwise(value)
+    return lines.select("path", "line", key.alias("key"), value.alias("value")).filter("key is not null")
+
+
+def _named(hits: DataFrame) -> DataFrame:
+    """Literal, its line, and the identifier that a call site passes."""
+    near = F.concat(F.array("text"), "after")
+    first = lambda pattern: F.filter(F.transform(near, lambda t, i: F.struct(F.regexp_extract(t, pattern, 1).alias("v"), i.alias("i"))), lambda x: x["v"] != "")
+    field, here = first(_FIELD), F.regexp_extract("text", r"\(\s*\[?\s*" + _LITERAL, 1)
+    below = F.filter(F.transform("after", lambda t, i: F.struct(F.regexp_extract(t, r"^\s*\[?" + _LITERAL, 1).alias("v"), (i + 1).alias("i"))), lambda x: x["v"] != "")
+    call = F.regexp_extract("text", r"[\"'`(]((?:https?|grpc|postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|rediss?|s3)://[^\"'`\s)]+)", 1)
+    url = F.when(call != "", F.struct(call.alias("v"), F.lit(0).alias("i")))
+    one = lambda found: F.get(found, F.lit(0))
+    pick = F.coalesce(url, one(field), F.when(here != "", F.struct(here.alias("v"), F.lit(0).alias("i"))), one(below))
+    ident = F.regexp_extract("text", r"[({]\s*\[?\s*(?:f?[\"'`]?\$?\{)?([A-Za-z_][A-Za-z0-9_.]*)\b(?!\s*\()", 1)
+    d = hits.withColumn("lit", pick)
+    return d.withColumn("literal", F.col("lit.v")).withColumn("at", F.col("line") + F.coalesce(F.col("lit.i"), F.lit(0))).withColumn("ident", F.nullif(T.last_dotted(ident), F.lit(""))).drop("lit")
+
+
+def ladder(hits: DataFrame, defined: DataFrame, config: DataFrame) -> DataFrame:
+    """Hits with ``rung, value, tag, places``: places are ``array<struct<path, line>>``, the binding first."""
+    h = _named(hits).withColumn("hit", F.xxhash64("path", "line", "family", "rel"))
+    local = defined.groupBy("path", F.col("key").alias("ident")).agg(F.min_by(F.struct("value", "line"), "line").alias("local"))
+    keys = config.select(F.explode(T.spellings(F.col("key"))).alias("k"), "path", "line", "value").groupBy("k").agg(F.count_distinct("value").alias("values"), F.min_by(F.struct("value", "path", "line"), F.struct(F.char_length("path"), "path", "line")).alias("config"))
+    names = h.filter("ident is not null").select("hit", F.explode(T.spellings(F.col("ident"))).alias("k"))
+    by_config = names.join(keys, "k").groupBy("hit").agg(F.min_by("config", "k").alias("config"))
+    other = defined.groupBy(F.col("key").alias("ident")).agg(F.count_distinct("value").alias("n"), F.min_by(F.struct("value", "path", "line"), F.struct("path", "line")).alias("other"), F.array_join(F.array_sort(F.collect_set("value")), ", ").alias("all_values"))
+    j = h.join(local, ["path", "ident"], "left").join(by_config, "hit", "left").join(other, "ident", "left")
+    place = lambda p, n: F.struct(p.alias("path"), n.cast("int").alias("line"))
+    site = place(F.col("path"), F.col("line"))
+    rungs = [
+        (1, F.col("literal").isNotNull(), F.col("literal"), "CODE", F.array(place(F.col("path"), F.col("at")), site)),
+        (2, F.col("local").isNotNull(), F.col("local.value"), "CODE", F.array(site, place(F.col("path"), F.col("local.line")))),
+        (3, F.col("config").isNotNull(), F.col("config.value"), "CODE", F.array(site, place(F.col("config.path"), F.col("config.line")))),
+        (4, F.col("n") == 1, F.col("other.value"), "CODE", F.array(site, place(F.col("other.path"), F.col("other.line")))),
+        (5, F.col("n") > 1, F.col("other.value"), "INFERENCE", F.array(site, place(F.col("other.path"), F.col("other.line")))),
+        (6, F.col("ident").isNotNull() & F.col("rel").isin(*MESSAGES), F.concat("ident", F.lit("?")), "INFERENCE", F.array(site)),
+    ]
+    out = F.struct(F.lit(7).alias("rung"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("tag"), F.array(site).alias("places"))
+    for rung, when, value, tag, places in reversed(rungs):
+        out = F.when(when, F.struct(F.lit(rung).alias("rung"), value.alias("value"), F.lit(tag).alias("tag"), F.array_distinct(places).alias("places"))).otherwise(out)
+    return j.withColumn("r", out).select("family", "rel", "path", "line", "text", "ident", "is_test", "all_values", "r.rung", "r.value", "r.tag", "r.places")
+
+
+def target(resolved: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Resolved hits with ``object, kind, label, tag, gap``.
+
+    ``hosts`` (``host, id, kind``) are deployables and services.  A known host is
+    that node; a public domain is external; a bare unknown host is a reference by
+    inference; loopback is skipped; a path alone is a gap.
+    """
+    value = F.col("value")
+    url_host = F.coalesce(T.host(value), F.when(value.rlike(r"^[A-Za-z0-9.-]+(:[0-9]+)$"), F.substring_index(value, ":", 1)))
+    d = resolved.withColumn("host", F.when(~F.col("rel").isin(*MESSAGES), url_host))
+    d = d.join(hosts.select("host", F.col("id").alias("known"), F.col("kind").alias("known_kind")), "host", "left")
+    message = F.col("rel").isin(*MESSAGES)
+    channel = T.last_segment(value)
+    public = F.col("host").contains(".")
+    object_ = F.when(message, F.when(F.col("rung") == 6, value).otherwise(channel)).otherwise(F.coalesce("known", "host", F.when(F.col("rel").isin("grpc", "uses"), F.coalesce(F.regexp_extract("text", r"\b(\w+)Stub\(", 1), value))))
+    kind = F.when(message, "topic").when(F.col("known").isNotNull(), F.col("known_kind")).when(F.col("rel") == "uses", "store").when(public, "ext").otherwise("ref")
+    method = F.upper(F.regexp_extract("text", r"\.(get|post|put|delete|patch|Get|Post)\(", 1))
+    path = F.regexp_extract(value, r"^[a-z+]+://[^/]+(/[^\"'`]*)", 1)
+    label = F.when(F.col("rel") == "uses", T.engine(value)).when((F.col("rel") == "http") & (path != ""), T.http_label(F.when(method == "", "ANY").otherwise(method), path)).otherwise("-")
+    tag = F.when(message, F.col("tag")).when(F.col("known").isNotNull(), F.col("tag")).when(public, F.col("tag")).otherwise("INFERENCE")
+    skip = F.coalesce(T.is_loopback(F.col("host")), F.lit(False)) | (message & ~F.coalesce(T.valid_channel(channel), F.lit(False)) & (F.col("rung") < 6))
+    named = F.coalesce(object_, F.lit("")) != ""
+    gap = F.when(~named | (F.col("rung") == 7) & (F.col("rel") != "grpc"), F.concat_ws(" ", F.lit("unresolved"), "rel", F.col("ident")))
+    return d.filter(~skip).select(*resolved.columns, F.when(gap.isNull(), object_).alias("object"), kind.alias("kind"), F.coalesce(label, F.lit("-")).alias("label"), tag.alias("edge_tag"), gap.alias("gap"))
+
+
+def edges_of(targets: DataFrame, owned: DataFrame) -> DataFrame:
+    """Sightings of the services that own the call sites; self calls, test code and unowned files give none."""
+    d = targets.filter("gap is null and not is_test").join(owned.select("path", F.col("service_id").alias("actor")), "path").filter("actor is not null and actor <> object")
+    note = F.when(F.col("edge_tag") != "CODE", F.concat(F.lit("confirm: what "), F.coalesce("ident", "object"), F.lit(" names")))
+    return d.select("actor", "rel", "object", "label", F.col("edge_tag").alias("tag"), F.posexplode("places").alias("rank", "p"), note.alias("note")).select("actor", "rel", "object", "label", "tag", F.col("p.path").alias("path"), F.col("p.line").alias("line"), "note")
+
+
+def gaps_of(targets: DataFrame, owned: DataFrame) -> DataFrame:
+    """``subject, detail, path, line`` of what could not be named."""
+    d = targets.filter("gap is not null and not is_test").join(owned.select("path", F.col("service_id").alias("subject")), "path", "left")
+    return d.select(F.coalesce("subject", "path").alias("subject"), F.col("gap").alias("detail"), "path", "line")
+
+
+def unread_variables(addresses: DataFrame, lines: DataFrame) -> DataFrame:
+    """Declared variables without a read, and reads without a declaration: ``var, state``."""
+    declared = addresses.filter(F.col("path").rlike(r"\.(ya?ml|env)$|(^|/)\.env")).select("var").distinct()
+    read = lines.filter(~F.col("path").rlike(r"\.(ya?ml|env)$|(^|/)\.env")).select(F.explode(F.regexp_extract_all("text", F.lit(r"(?:getenv|environ\.get|Getenv|getEnv|env)\w*[\(\[]\s*[\"']([A-Z][A-Z0-9_]+)|process\.env\.([A-Z][A-Z0-9_]+)"), F.lit(1))).alias("var"))
+    node = lines.select(F.explode(F.regexp_extract_all("text", F.lit(r"process\.env\.([A-Z][A-Z0-9_]+)"), F.lit(1))).alias("var"))
+    read = read.unionByName(node).filter("var <> ''").distinct()
+    return declared.join(read, "var", "left_anti").select("var", F.lit("unread").alias("state")).unionByName(read.join(declared, "var", "left_anti").select("var", F.lit("undeclared").alias("state")))
+
+
+def matched_routes(paths: DataFrame, routes: DataFrame) -> DataFrame:
+    """Path-only calls (``path, line, template``) against route templates: one match is an inference, none a gap."""
+    n = F.count("service_id").over(Window.partitionBy("path", "line"))
+    return paths.join(routes.select("template", "service_id").distinct(), "template", "left").withColumn("matches", n).withColumn("outcome", F.when(F.col("matches") == 1, "INFERENCE").otherwise("GAP"))
+
+
+def contract_tag(stubs: DataFrame, registrations: DataFrame, hints: DataFrame) -> DataFrame:
+    """gRPC stubs (``name``) with the service that registers the contract, or a hint, or neither."""
+    reg = registrations.select("name", F.col("service_id").alias("server")).distinct()
+    hint = hints.select("name", F.col("service_id").alias("likely")).distinct()
+    d = stubs.join(reg, "name", "left").join(hint, "name", "left")
+    return d.select("name", F.coalesce("server", "likely", "name").alias("object"), F.when(F.col("server").isNotNull() | F.col("likely").isNotNull(), "svc").otherwise("ref").alias("kind"), F.when(F.col("server").isNotNull(), "CODE").otherwise("INFERENCE").alias("tag"))
+
+
+def bound_exchange(consumers: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Queue consumers: bound queues subscribe to the exchange with ``queue=``, others to the queue, with a gap."""
+    d = consumers.join(bindings.select("queue", "exchange").distinct(), "queue", "left")
+    bound = F.col("exchange").isNotNull()
+    return d.select(*consumers.columns, F.coalesce("exchange", "queue").alias("object"), F.when(bound, F.concat(F.lit("queue="), "queue")).otherwise("-").alias("label"), F.when(~bound, F.concat(F.lit("no binding for "), "queue")).alias("gap"))
+
+
+def extract(files: DataFrame, services: DataFrame, hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sightings and gaps of a corpus (``path, text``) with known services and hosts."""
+    from ..sources import corpus
+    from . import signatures as S
+
+    lines = corpus.split_lines(files.filter(~corpus.is_excluded(F.col("path"))))
+    hits = S.real_clients(S.sweep(lines, open_families=S.gated(lines)), lines)
+    resolved = ladder(hits, symbols(lines), corpus.config_values(lines))
+    targets = target(resolved, hosts)
+    owned = corpus.owners(files.select("path"), services)
+    return edges_of(targets, owned), gaps_of(targets, owned)
+
+
+def is_public(name: Column) -> Column:
+    return name.contains(".") & ~T.is_loopback(name)

@@ -109,7 +109,7 @@ def markdown(title: str, nodes: DataFrame, edges: DataFrame, direction: str = "L
     return row.select(F.concat(F.lit(f"# {title}\n\n"), "line", F.lit("\n\n```mermaid\n"), "mermaid", F.lit("\n```\n\n"), "table", F.lit("\n")).alias("view"))
 
 
-def ranks(nodes: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
+def ranks(nodes: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
     """Layer of each node for drawing: 0 without predecessors, else 1 + the largest of its predecessors.
 
     Layers come from message, use and dependency edges and from calls whose target
@@ -121,11 +121,12 @@ def ranks(nodes: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
     d = flow(edges).select("rel", "actor", "object", "src", "dst").filter("src <> dst")
     back = reachable(d, SYNC, most).select(F.col("a").alias("dst"), F.col("b").alias("src")).withColumn("loop", F.lit(True))
     steps = d.join(back, ["src", "dst"], "left").filter(~(F.col("rel").isin(*SYNC) & F.coalesce("loop", F.lit(False)))).select("src", "dst").distinct()
-    rank = nodes.select("id", F.lit(0).alias("rank"))
-    for _ in range(min(most, MOST_NODES)):
-        up = steps.join(rank, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg((F.max("rank") + 1).alias("up"))
-        rank = rank.join(up, "id", "left").select("id", F.least(F.greatest("rank", F.coalesce("up", F.lit(0))), F.lit(most)).alias("rank"))
-    return rank
+    front = nodes.select("id", F.lit(0).alias("rank"))
+    seen = front
+    for _ in range(most):
+        front = front.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("rank") + 1).alias("rank")).distinct()
+        seen = seen.unionByName(front)
+    return seen.groupBy("id").agg(F.max("rank").alias("rank"))
 
 
 def geometry(nodes: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def drawio(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row ``xml``.  Cells are numbered in ledger order; at most 30 nodes are drawn."""
     from ..operators.graph import flow
 
-    placed = nodes.join(ranks(nodes, edges, 6), "id")
+    placed = nodes.join(ranks(nodes, edges), "id")
     placed = geometry(placed.withColumn("row", F.row_number().over(Window.partitionBy("rank").orderBy("id")) - 1))
     numbered = placed.withColumn("cell", F.concat(F.lit("n"), F.row_number().over(Window.orderBy("id")).cast("string")))
     style = _by_kind(F.col("kind"), {"topic": "shape=hexagon;", "queue": "shape=parallelogram;", "db": "shape=cylinder3;", "store": "shape=cylinder3;", "cache": "shape=cylinder3;", "ext": "rounded=1;arcSize=50;"}, "rounded=1;")

@@ -71,7 +71,7 @@ def manifests(files: DataFrame) -> DataFrame:
     """Build and deploy manifests: ``path, ecosystem``."""
     kinds = F.create_map(*(F.lit(x) for kv in MANIFESTS.items() for x in kv))
     name = file_name(F.col("path"))
-    kind = F.coalesce(F.element_at(kinds, name), F.when(name.rlike(r"\.csproj$"), "dotnet"), F.when(name.rlike(r"^docker-compose\..*ya?ml$"), "compose"))
+    kind = F.coalesce(F.element_at(kinds, name), F.when(name.rlike(r"\.csproj$"), "dotnet"), F.when(name.rlike(r"^(docker-)?compose.*\.ya?ml$"), "compose"))
     return files.select("path", kind.alias("ecosystem")).filter("ecosystem is not null").distinct()
 
 
