@@ -86,6 +86,7 @@ def _repeated(words: Column) -> Column:
         # looking each window up in a short list is cheaper than sorting pairs; for a long list it is not
         return _let(twice, lambda t: F.when(F.size(t) == 0, F.lit(0).cast("bigint")).when(F.size(t) <= 64, few(hashes, t)).otherwise(many(hashes)))
 
+    # words must be bound here (see judge), or each element would split the text again
     hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     return F.when(F.size(words) < 3, F.lit(0).cast("bigint")).otherwise(_let(hashes, counted))
 
@@ -104,20 +105,19 @@ def judge(docs: DataFrame, most_lost: float = 0.5, least_words: int = 50, most_r
     no rows.  Two different windows count as one with probability 2**-64 a pair.
     """
     d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("t"), F.col("text").isNull().alias("absent"))
-    d = d.withColumn("words", F.filter(F.split("t", _SPLIT), lambda w: w != ""))
-    d = d.withColumn("lines", F.split("t", "\n"))
-    d = d.withColumn("good", F.filter("lines", lambda x: ~failing(x)))
-    full = F.filter("lines", lambda x: _drop(x, _BLANKS) != "")
-    d = d.select(
-        "row",
-        "absent",
-        F.size("words").cast("bigint").alias("n_words"),
+    words = F.filter(F.split("t", _SPLIT), lambda w: w != "")
+    lines = F.split("t", "\n")
+    full = F.filter(lines, lambda x: _drop(x, _BLANKS) != "")
+    measured = F.struct(
+        _let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeated(w).alias("repeated"))).alias("words"),
         F.char_length(_drop(F.col("t"), _BLANKS)).cast("bigint").alias("word_chars"),
         _count(F.col("t"), SYMBOLS).cast("bigint").alias("n_symbols"),
         _let(full, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")).alias("n_dup_lines"),
-        _repeated(F.col("words")).alias("n_repeat_words"),
-        F.array_join("good", "\n").alias("clean"),
+        F.array_join(F.filter(lines, lambda x: ~failing(x)), "\n").alias("clean"),
     )
+    # a generator is a barrier: a filter on the verdict above must not measure the text a second time below
+    d = d.select("row", "absent", F.explode(F.array(measured)).alias("m"))
+    d = d.select("row", "absent", F.col("m.words.n").alias("n_words"), "m.word_chars", "m.n_symbols", "m.n_dup_lines", F.col("m.words.repeated").alias("n_repeat_words"), "m.clean")
     lost = F.col("word_chars") - F.char_length(_drop(F.col("clean"), _BLANKS))
     d = d.withColumn("base_failed", (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated))
     d = d.withColumn("lost", F.when(F.col("word_chars") > 0, lost / F.col("word_chars")).otherwise(F.lit(0.0)))
