@@ -53,16 +53,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     left = left.withColumn("left_weight", F.sum("weight").over(after))
     left = left.withColumn("capped", F.col("left_words") * F.col("weight") >= F.col("cap") * F.col("left_weight"))
     # the sources from the first that isn't capped on share what is left then
-    free = left.filter(~F.col("capped"))
-    first = free.agg(F.max(F.struct("left_weight", "left_words")).alias("f")).select("f.left_words", "f.left_weight").toDF("rest", "rest_weight")
-    return left.join(F.broadcast(first)).select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("rest") * F.col("weight") / F.col("rest_weight")).alias("target"))
+    first = F.max(F.when(~F.col("capped"), F.struct("left_weight", "left_words"))).over(everything)
+    left = left.withColumn("first", first)
+    return left.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("first.left_words") * F.col("weight") / F.col("first.left_weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, carry: tuple[str, ...] | None = None) -> DataFrame:
     """How often each document goes into the mix.
 
-    Input: ``doc_id, text, source``.  The input row comes back as the struct
-    ``row`` beside ``size`` (words), ``source_size, target``, ``copies`` and
+    Input: ``doc_id, text, source``.  The input row, or its columns ``carry`` only
+    (texts then don't travel), comes back as the struct ``row`` beside ``size`` (words), ``source_size, target``, ``copies`` and
     ``taken`` (words, repeats counted).  ``copies`` never exceeds ``most``.
 
     A null or empty text has size 0 and no copies; a null source is a source of
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, sha
     gives no rows.
     """
     size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")).cast("bigint")
-    d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", "source", size.alias("size"))
+    d = docs.select(F.struct(*(docs[c] for c in carry or docs.columns)).alias("row"), "doc_id", "source", size.alias("size"))
     d = d.withColumn("pull", F.floor(F.sqrt(F.col("size").cast("double")) * 1000).cast("bigint"))
     sums = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("pull") * F.col("size")).cast("decimal(38,0)")).alias("pulled"), F.count(F.lit(1)).alias("n"))
     aims = targets(sums.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s")
@@ -116,7 +116,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("row.doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, carry=("doc_id",)).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 OP5_SQL = r"""
