@@ -50,6 +50,13 @@ def merge(left: DataFrame, right: DataFrame) -> DataFrame:
     return consolidate(exploded)
 
 
+def with_assertions(edges: DataFrame, said: DataFrame) -> DataFrame:
+    """Edges plus what somebody said (``actor, rel, object, label, note``), tagged as not verified."""
+    stated = said.select(*EDGE_KEY, F.lit("UNVERIFIED").alias("tag"), F.array().cast(RECEIPTS).alias("receipts"), "note")
+    known = edges.select(*EDGE_KEY)
+    return edges.unionByName(stated.join(known, EDGE_KEY, "left_anti"))
+
+
 def invalidate(edges: DataFrame, changed: DataFrame, strict: bool = False) -> DataFrame:
     """Edges whose primary receipt, or any with ``strict``, is not in a changed file (``changed.path``)."""
     paths = changed.select("path").distinct()

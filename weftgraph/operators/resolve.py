@@ -151,5 +151,21 @@ def extract(files: DataFrame, services: DataFrame, hosts: DataFrame) -> tuple[Da
     return edges_of(targets, owned), gaps_of(targets, owned)
 
 
+#: Vendors whose SDK names the external service that is called.
+VENDORS = {"stripe": r"\bstripe\.\w+\.\w+\(", "openai": r"\bOpenAI\(", "twilio": r"\btwilio\.\w+|\bnew Twilio\(", "sendgrid": r"\bsgMail\.|SendGridAPIClient\("}
+
+
+def vendor_calls(lines: DataFrame) -> DataFrame:
+    """Call sites of vendor SDKs: ``vendor, path, line``; each is an external node named after the vendor."""
+    each = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(v)) for v, p in VENDORS.items())))
+    return lines.select("path", "line", F.explode(each).alias("vendor"))
+
+
+def optional_label(label: Column, text: Column) -> Column:
+    """The label of a backend that a flag switches on, marked as optional."""
+    guarded = text.rlike(r"(?i)\bif\b.*\b(enable|use|with)[A-Za-z_]*\b")
+    return F.when(guarded, F.concat(F.lit("optional: "), label)).otherwise(label)
+
+
 def is_public(name: Column) -> Column:
     return name.contains(".") & ~T.is_loopback(name)
