@@ -22,15 +22,25 @@ def merged_receipts(places: Column) -> Column:
 def consolidate(sightings: DataFrame) -> DataFrame:
     """One edge per (actor, rel, object, label): strongest tag, all receipts, a note.
 
-    Repeated places are dropped before the shuffle's final step, so an edge that
-    is seen everywhere carries each place once.  Receipts are ordered by strength
-    of evidence, then path and line.
+    Repeated places are dropped before the shuffle's final step.  Receipts are
+    ordered by strength of evidence, then path and line.  An edge's places end in
+    one row, as its text form is one line; edge_counts and receipt_rows are the
+    forms without that limit.
     """
     place = F.struct(tag_rank(F.col("tag")).alias("rank"), "path", "line")
     grouped = sightings.groupBy(*EDGE_KEY).agg(F.array_sort(F.collect_set(place)).alias("places"), F.min(F.struct(tag_rank(F.col("tag")).alias("rank"), "tag")).alias("best"), F.min("note").alias("note"))
     return grouped.select(*EDGE_KEY, F.col("best.tag").alias("tag"), merged_receipts(F.col("places")).cast(RECEIPTS).alias("receipts"), F.when(F.col("best.tag") != "CODE", F.col("note")).alias("note"))
 
 
+def receipt_rows(sightings: DataFrame) -> DataFrame:
+    """Receipts as rows ``actor, rel, object, label, path, line``, each place once.
+
+    The form for edges with more places than a row should hold: nothing is
+    gathered per edge, so an edge seen everywhere is spread over all tasks.
+    """
+    return sightings.select(*EDGE_KEY, "path", "line").distinct()
+
+
 def edge_counts(sightings: DataFrame) -> DataFrame:
     """Edges with the number of places they were seen at: the full-scale form of consolidate()."""
     return sightings.groupBy(*EDGE_KEY).agg(F.count(F.lit(1)).alias("sightings"), F.min("path").alias("first_path"), F.min(tag_rank(F.col("tag"))).alias("rank"))

@@ -126,6 +126,7 @@ v AS (SELECT * FROM e, s WHERE actor = x OR object = x OR (rel = 'pub' AND objec
 SELECT id, kind, tech FROM n WHERE id IN (SELECT actor FROM v UNION SELECT object FROM v)""",
     "view_stats": f"{E} SELECT (SELECT count(DISTINCT x) FROM (SELECT actor AS x FROM e UNION ALL SELECT object FROM e)) AS nodes, count(*) AS edges, count(*) FILTER (WHERE tag = 'CODE') AS code, count(*) FILTER (WHERE tag <> 'CODE') AS inferred FROM e",
     "consolidate_sightings": f"WITH {ledger(None)} SELECT actor, rel, object, label, count(*) AS sightings, min(path) AS first_path FROM sight GROUP BY ALL",
+    "receipt_rows": f"WITH {ledger(None)}, k AS (SELECT DISTINCT actor, rel, object, label, path, line FROM sight) SELECT rel, path, count(*) AS receipts FROM k GROUP BY rel, path",
     "fold_labels": f"""WITH {ledger()}, k AS (SELECT *, min(CASE WHEN label <> '-' THEN label END) OVER w AS lo, max(CASE WHEN label <> '-' THEN label END) OVER w AS hi FROM sight WINDOW w AS (PARTITION BY actor, rel, object))
 SELECT actor, rel, object, CASE WHEN label = '-' AND lo = hi THEN lo ELSE label END AS label, count(*) AS sightings FROM k GROUP BY ALL""",
     "feign_labels": f"""WITH {ledger(None)}, k AS (SELECT actor, rel, object, list_sort(list(DISTINCT label)) AS l FROM sight WHERE rel = 'http' GROUP BY ALL)

@@ -130,6 +130,12 @@ def consolidate_sightings(spark, d):
     return consolidate.edge_counts(bind.sightings(spark, d)).drop("rank")
 
 
+def receipt_rows(spark, d):
+    """Every line item: receipts per relation and file."""
+    rows = consolidate.receipt_rows(bind.sightings(spark, d))
+    return rows.groupBy("rel", "path").agg(F.count(F.lit(1)).alias("receipts"))
+
+
 def fold_labels(spark, d):
     return consolidate.fold_labels(bind.sightings(spark, d, bind.SPARSE)).groupBy(*EDGE_KEY).agg(F.count(F.lit(1)).alias("sightings"))
 
@@ -410,6 +416,7 @@ QUERIES = {
         view_nodes,
         view_stats,
         consolidate_sightings,
+        receipt_rows,
         fold_labels,
         feign_labels,
         full_degree,
