@@ -8,8 +8,8 @@ of any match that NumPy checks for whole batches.
 
 The test items are a stated set.  They are read in blocks of at most
 ``BLOCK_WORDS`` words; each block has its own automaton (about 200 bytes a word,
-so a proven bound for the broadcast), and the blocks follow each other as passes
-within one stage, without a shuffle.
+so a proven bound for the broadcast), and the blocks follow each other as passes,
+without a shuffle; the usual test sets fit one block.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import written
 
 #: Words of test items in one automaton.
 BLOCK_WORDS = 200_000
@@ -156,7 +157,7 @@ def _pass(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, grams = shared.value
         kind = pa.list_(pa.struct([(x, pa.int32()) for x in ("first", "end", "from_byte", "to_byte")]))
-        for batch in W.resliced(batches):
+        for batch in W.resliced(batches, 2 << 20):
             words, offsets = _scan(batch.column(1))
             at, hashes = W.windows(words, machine.q)
             where = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
@@ -215,7 +216,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_wor
     d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "text")
     d = d.select("row", "text", F.expr("cast(null as array<struct<first:int,end:int,from_byte:int,to_byte:int>>)").alias("spans"), F.expr("cast(null as array<string>)").alias("items"), F.lit(0).cast("bigint").alias("n_words"))
     schema = f"row {d.schema['row'].dataType.simpleString()}, text string, {_FOUND}"
-    for block in [*_blocks(benchmark, block_words)] or [[]]:
+    for number, block in enumerate([*_blocks(benchmark, block_words)] or [[]]):
+        if number:
+            d = written(d)  # one pass a stage: each keeps one automaton in a worker's memory
         machine = SuffixAutomaton(block, width)
         grams = np.unique(_grams(np.array([w for _, x in block for w in x], np.uint64), np.array([len(x) for _, x in block], np.int64), machine.q)[1])
         shared = spark.sparkContext.broadcast((machine, grams if len(grams) else np.zeros(1, np.uint64)))
@@ -223,18 +226,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_wor
     return d
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if spans:
-                raw, at, parts = text.encode(), 0, []
-                for s in spans:
-                    parts.append(raw[at : s["from_byte"]])
-                    at = s["to_byte"]
-                text = b"".join([*parts, raw[at:]]).decode()
-            out.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
+def _without(text: Column, spans: Column) -> Column:
+    """The text without the bytes of its spans, which are in order."""
+    raw, n = text.cast("binary"), F.size(spans)
+
+    def piece(i: Column) -> Column:
+        start = F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["to_byte"])
+        end = F.when(i == n, F.octet_length(text)).otherwise(F.get(spans, i)["from_byte"])
+        return F.substr(raw, start + 1, end - start)
+
+    rest = F.aggregate(F.sequence(F.lit(0), n), F.lit(b""), lambda done, i: F.concat(done, piece(i)))
+    return F.when(n > 0, rest.cast("string")).otherwise(text)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, least_span: int = 10, most_coverage: float = 0.5) -> DataFrame:
@@ -248,9 +250,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, least_
     hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.first)")
     whole = F.col("n_words")
     kept = found.filter(hit <= whole * F.lit(most_coverage))
-    kept = kept.select("row", "text", F.expr(f"filter(spans, s -> s.end - s.first >= {int(least_span)} or {int(least_span)} > {int(width)} or s.end - s.first < {int(width)})").alias("spans"))
-    schema = f"row {kept.schema['row'].dataType.simpleString()}, new_text string"
-    return kept.mapInArrow(_without, schema).select(*(F.col("new_text").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+    long = F.filter("spans", lambda s: (s["end"] - s["first"] >= least_span) | (s["end"] - s["first"] < width))
+    kept = kept.select("row", "text", long.alias("spans"))
+    return kept.select(*((_without(F.col("text"), F.col("spans")) if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

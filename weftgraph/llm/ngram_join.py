@@ -78,7 +78,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
 def _per_slice(batch: pa.RecordBatch, n: int):
     ids = batch.column(0)
     data, offsets = W.utf8(batch.column(1))
-    for lo, hi in W.slices(offsets, 2 << 20):
+    for lo, hi in W.slices(offsets, 1 << 20):
         at = offsets[lo : hi + 1]
         hashes, rows = shingle_sets(data[at[0] : at[-1]], at - at[0], n)
         yield ids.slice(lo, hi - lo), hashes, np.searchsorted(rows, np.arange(hi - lo + 1))
@@ -103,7 +103,7 @@ def _describe(n: int):
     names = ["doc_id", "n_shingles", "p", "q", *_SKETCH, "shingles", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.resliced(batches, 8 << 20):
+        for batch in W.resliced(batches, 4 << 20):
             seen = []
             for ids, hashes, first in _per_slice(batch, n):
                 rows, sizes = len(ids), np.diff(first)
@@ -197,7 +197,7 @@ def _emit(n: int, num: int, den: int, buckets: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        for batch in W.resliced(batches, 4 << 20):
+        for batch in W.resliced(batches, 2 << 20):
             batch = batch.filter(batch.column(0).is_valid())
             batch = batch.sort_by(batch.schema.names[0])
             seen: set[tuple] = set()

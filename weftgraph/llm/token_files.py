@@ -40,8 +40,8 @@ ROUNDS = 3
 #: A pair is worth a rule from this many occurrences in the shard.
 LEAST_PAIRS = 16
 #: Runs of characters whose ids a worker keeps before it starts afresh, and slots to find them in.
-REMEMBERED = 2_000_000
-SLOTS = 1 << 21
+REMEMBERED = 1_000_000
+SLOTS = 1 << 20
 _SCHEMA = "part int, shard int, start bigint, base int, doc_ids array<bigint>, lengths array<int>, rules binary, spans binary, width int, symbols binary"
 
 
@@ -209,8 +209,8 @@ class _Encoder:
         """Encode the runs ``which`` of the batch; their places."""
         base = len(self.first) - 1
         plain, whole = which[~odd[which]], which[odd[which]]
-        for lo in range(0, len(plain), 50_000):
-            some = plain[lo : lo + 50_000]
+        for lo in range(0, len(plain), 10_000):
+            some = plain[lo : lo + 10_000]
             text = b" ".join([raw[a:b] for a, b in zip(words.start[some].tolist(), words.end[some].tolist(), strict=True)]).decode()
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
             self._learn(ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
@@ -263,7 +263,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
             kinds = {"part": pa.int32(), "shard": pa.int32(), "start": pa.int64(), "base": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "rules": pa.binary(), "spans": pa.binary(), "width": pa.int32(), "symbols": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in kinds.items()], [*kinds])
 
-        for batch in W.resliced(batches, 4 << 20):
+        for batch in W.resliced(batches, 2 << 20):
             flat, sizes = encoder.encode(batch.column(1))
             n = len(sizes)
             out = np.full(len(flat) + n, end_id, np.int32)

@@ -4,7 +4,7 @@ The operators that hash words (substring dedup, n-gram join, decontamination)
 run inside ``mapInArrow`` tasks.  This module turns an Arrow column into NumPy
 arrays of word boundaries and 64-bit word hashes without a Python object per
 word.  Memory is bounded by the Arrow batch; bytes are hashed in pieces of
-about one megabyte, cut between words.
+a quarter of a megabyte, cut between words.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
