@@ -12,7 +12,7 @@ characters tolerates k(n) edits (0 below 20 characters, 1 below 40, else 2).
 * **Verification.**  Banded bit-parallel edit distance: vertical differences of a
   band of 2k + 1 cells are kept in the bits of two integers, one step a character.
 * **Groups.**  Equal lines are one class from the start.  Keys of two lines give
-  that pair and keys with few lines all their pairs; others a star to their smallest indexed line, and what the
+  that pair and keys with few lines all their pairs; others a star to their smallest line, and what the
   stars leave in different components is compared in a second step.
 """
 
@@ -155,18 +155,19 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spread = sized.select(F.col("line_id").alias("id"), "n", F.posexplode(_keys(F.col("line"), F.col("n"))).alias("at", "key"))
     tagged = spread.select("key", "id", (F.col("at") <= tolerated(F.col("n"))).alias("indexed"))
     # a line has a key once, so the rows of a key are its lines; most keys belong to one line
-    per_key = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.when(F.col("indexed"), F.col("id"))).alias("leader"))
-    shared = written(per_key.filter("size > 1 and leader is not null"))
+    per_key = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("indexed").alias("indexed"))
+    shared = written(per_key.filter("size > 1 and indexed").drop("indexed"))
     texts = distinct.select("line_id", "line")
 
     two = shared.filter("size = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    members = written(tagged.join(shared.filter("size > 2").select("key", "leader", "size"), "key"))
-    star = members.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    # a table of its own, so that its true size decides how it is joined
+    many = written(shared.filter("size > 2").select("key", F.col("lo").alias("leader"), "size"))
+    members = written(tagged.join(many, "key"))
+    star = members.filter("id <> leader").select("leader", "id").toDF("a", "b")
     few = members.filter(F.col("size") <= PAIRED)
     x, y = few.filter("indexed").alias("x"), few.alias("y")
     paired = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    star = two.unionAll(star)
-    pairs = written(star.unionAll(paired).distinct())
+    pairs = written(two.unionAll(star).unionAll(paired).distinct())
     links = written(_linked(pairs, texts))
     components = connected_components(links)
 
