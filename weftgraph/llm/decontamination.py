@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import written
+from .shared import text_batches, written
 
 #: Words of test items in one automaton.
 BLOCK_WORDS = 200_000
@@ -213,6 +213,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_wor
     marks words but is not listed; without items nothing is hit.
     """
     spark = docs.sparkSession
+    text_batches(docs)
     d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "text")
     d = d.select("row", "text", F.expr("cast(null as array<struct<first:int,end:int,from_byte:int,to_byte:int>>)").alias("spans"), F.expr("cast(null as array<string>)").alias("items"), F.lit(0).cast("bigint").alias("n_words"))
     schema = f"row {d.schema['row'].dataType.simpleString()}, text string, {_FOUND}"

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import connected_components, written
+from .shared import connected_components, text_batches, written
 
 #: Text bytes whose keys meet in one task.
 BUCKET_BYTES = 8 << 20
@@ -347,6 +347,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     rows that share a doc_id are one document; a null doc_id has a null
     component; an empty table gives no rows.
     """
+    text_batches(docs)
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = int(min(2_000_000, max(1, -(-total // bucket_bytes))))

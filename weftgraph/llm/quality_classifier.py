@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import text_batches
 
 #: Labelled documents in the fit, half of each class where there are enough.
 LABELLED = 2_400
@@ -208,6 +209,7 @@ def co_train(x: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int =
 
 def sample_of(docs: DataFrame, labels: DataFrame, column: str, labelled: int = LABELLED, pool: int = POOL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, labels (-1: none) and weights of the bounded sample."""
+    text_batches(docs)
     known = labels.select(F.col("doc_id").cast("bigint"), F.col(column).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("doc_id", F.lit(7))
@@ -249,6 +251,7 @@ def score(docs: DataFrame, model: Model, keep_from: float = 0.5) -> DataFrame:
     null metadata has features of its own; repeated rows score alike; an empty
     table gives no rows.
     """
+    text_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("bigint"))
     return rows.mapInArrow(_score(shared), "doc_id bigint, content_score double, metadata_score double, score double").withColumn("kept", F.col("score") >= keep_from)

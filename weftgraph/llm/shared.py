@@ -21,6 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def text_batches(df: DataFrame, rows: int = 1_000) -> None:
+    """Let the session hand texts to Python at most ``rows`` at a time.
+
+    Rows of texts are long: Arrow batches of Spark's default 10,000 rows take 30 MB
+    and more, several times over in each task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder, and read them back."""
     spark = df.sparkSession

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import text_batches
 
 #: Text bytes whose windows meet in one task of the second stage.
 BUCKET_BYTES = 8 << 20
@@ -178,6 +179,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, bucket_bytes: int
     ``doc_id`` never remove each other's words but are cut alike; fewer words
     than ``width`` have no window; an empty table gives no rows.
     """
+    text_batches(docs)
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     buckets = _width_of(docs, bucket_bytes)
     hashed = docs.mapInArrow(_hash_windows(width, buckets), _SHUFFLED)

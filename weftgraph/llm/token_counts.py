@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import text_batches
 
 #: States at which the tables start afresh; bounds a worker's memory.
 MOST_STATES = 150_000
@@ -312,6 +313,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     in ``text`` count as the empty text (no bytes, no tokens); repeated rows and
     null ids each keep a row; an empty table gives no rows.  No shuffle.
     """
+    text_batches(docs)
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     counted = docs.mapInArrow(_count(path), "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

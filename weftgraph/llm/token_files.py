@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import shared_folder
+from .shared import shared_folder, text_batches
 
 SHARD_TOKENS = 1_000_000
 ROUNDS = 3
@@ -290,6 +290,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1,
     that repeat a doc_id are ordered by text; null ids come first; other columns
     are ignored; an empty table gives an empty dataset.
     """
+    text_batches(docs)
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     dealt = docs.repartitionByRange(max(1, int(-(-total // bytes_per_part))), "doc_id").sortWithinPartitions("doc_id", "text")
