@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, written
+from .shared import connected_components, release_shuffles, written
 
 #: Characters from which one and two edits are tolerated.
 EDITS_FROM = (20, 40)
@@ -151,6 +151,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), beyond) * unit + F.col("line_no").cast("decimal(12,0)")).cast("decimal(38,0)")
     distinct = lines.groupBy("line").agg(F.min(place).alias("first")).withColumn("line_id", F.xxhash64("line"))
     distinct = written(distinct)
+    release_shuffles(docs.sparkSession)
     sized = distinct.select("line_id", "line", F.char_length("line").alias("n")).filter(F.col("n") >= EDITS_FROM[0])
     spread = sized.select(F.col("line_id").alias("id"), "n", F.posexplode(_keys(F.col("line"), F.col("n"))).alias("at", "key"))
     tagged = spread.select("key", "id", (F.col("at") <= tolerated(F.col("n"))).alias("indexed"))
@@ -160,6 +161,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = distinct.select("line_id", "line")
 
     two = shared.filter("size = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    release_shuffles(docs.sparkSession)
     # a table of its own, so that its true size decides how it is joined
     many = written(shared.filter("size > 2").select("key", F.col("lo").alias("leader"), "size"))
     members = written(tagged.join(many, "key"))
@@ -167,6 +169,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     few = members.filter(F.col("size") <= PAIRED)
     x, y = few.filter("indexed").alias("x"), few.alias("y")
     paired = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    release_shuffles(docs.sparkSession)
     pairs = written(two.unionAll(star).unionAll(paired).distinct())
     links = written(_linked(pairs, texts))
     components = connected_components(links)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Ask the driver to collect garbage, on which Spark removes the shuffle files of finished work.
+
+    Without it they stay until the driver happens to run out of young memory;
+    between large written steps that would hold the input several times over.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _print(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return r["n"], r["x"]
