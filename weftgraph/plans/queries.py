@@ -22,7 +22,8 @@ def _start(edges: DataFrame, rels: tuple[str, ...], end: str, column: str) -> Da
 
 
 def _sparse(spark, sf_dir: str) -> DataFrame:
-    return bind.edges(spark, sf_dir, bind.SPARSE)
+    """The edges, kept: lenses use them several times, and must not read the line items for each."""
+    return bind.edges(spark, sf_dir, bind.SPARSE).persist()
 
 
 def _view(edges: DataFrame) -> DataFrame:
@@ -150,8 +151,8 @@ def full_degree(spark, d):
 
 
 def full_impact(spark, d):
-    """Bounded closure over all edges."""
-    e = consolidate.edge_counts(bind.sightings(spark, d))
+    """Bounded closure over all edges: the line items are read once, the distinct edges kept."""
+    e = consolidate.edge_counts(bind.sightings(spark, d)).persist()
     return graph.impact(e, _start(e, ("http",), "min", "actor")).select("node", F.col("ring").cast("bigint").alias("ring"))
 
 
