@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,10 @@ def release_shuffles(spark: SparkSession) -> None:
     Without it they stay until the driver happens to run out of young memory;
     between large written steps that would hold the input several times over.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees the plans, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _print(edges: DataFrame) -> tuple:
