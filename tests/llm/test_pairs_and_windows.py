@@ -77,6 +77,17 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, paired, common):
     assert all(r.a < r.b for r in links.collect())
 
 
+def test_links_across_interval_borders(spark):
+    """One document per partition: partners of the next size interval are in no slice of one another."""
+    rows = []
+    for k, (small, large) in enumerate(((100, 120), (90, 110), (116, 145), (73, 91), (22, 27), (13, 16), (5, 6), (100, 126))):
+        rows += [(10 * k + j, " ".join(f"v{k}x{i}" for i in range(size + 4))) for j, size in enumerate((large, small))]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), SCHEMA)
+    members, links = N.jaccard_classes(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in members.collect()} == jaccard_components(rows)
+    assert sorted((r.a, r.b) for r in links.collect()) == [(10 * k, 10 * k + 1) for k in range(7)]
+
+
 def test_join_edge_cases(spark):
     assert N.jaccard_classes(spark.createDataFrame([], SCHEMA))[0].count() == 0
     rows = [(3, "a b c d e f g"), (3, "a b c d e f g"), (1, "A b C d e f g"), (None, "a b c d e f g"), (None, None)]

@@ -213,7 +213,7 @@ def _emit(n: int, num: int, den: int, buckets: int, shared):
                 if not keep:
                     continue
                 keep = np.array(keep)
-                table = intervals(int(sizes.max()), num, den)
+                table = intervals(int(sizes.max()) * den // num, num, den)  # up to the largest partner in any slice
                 lows = np.array([x[0] for x in table])
                 own = np.searchsorted(lows, sizes[keep], "right") - 1
                 above = np.flatnonzero(sizes[keep] * den >= num * lows[np.minimum(own + 1, len(table) - 1)]) if len(table) > 1 else np.empty(0, int)
