@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from weftgraph.llm import line_dedup as L
+from weftgraph.llm import shared
 
 
 def distance(a, b):
@@ -87,6 +88,17 @@ def test_classes_equal_brute_force(spark, monkeypatch):
         assert got == sorted([*brute(rows[:-2]), (72, 0, 72, 0, False), (73, 0, 72, 0, True)], key=str)
 
 
+def test_all_links_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(shared, "BLOCK", 7)
+    base = "the same line of more than forty characters in all its copies"
+    kinds = [base, *(base[:i] + x + base[i + 1 :] for i in range(2, 60, 3) for x in "#%")]
+    expected = {(a, b) for a in kinds for b in kinds if a < b and distance(a, b) <= 2}
+    _, links = L.line_classes(spark.createDataFrame([(i, x) for i, x in enumerate(kinds)], SCHEMA))
+    ids = {r.h: r.x for r in spark.createDataFrame([(x,) for x in kinds], "x string").select("x", F.xxhash64("x").alias("h")).collect()}
+    got = [tuple(sorted((ids[r.a], ids[r.b]))) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(got) == 41 * 20
+
+
 def test_empty_table_and_repeated_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert L.line_classes(empty)[0].count() == 0

@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from weftgraph.llm import decontamination as D
 from weftgraph.llm import ngram_join as N
+from weftgraph.llm import shared
 from weftgraph.llm import substring_dedup as S
 
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
@@ -88,6 +89,19 @@ def test_links_across_interval_borders(spark):
     assert sorted((r.a, r.b) for r in links.collect()) == [(10 * k, 10 * k + 1) for k in range(7)]
 
 
+def test_all_links_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(shared, "BLOCK", 7)
+    base = [f"v{i}" for i in range(120)]
+    rows = [(i, " ".join([*base, *(f"own{i}x{k}" for k in range(i % 9 + 1))])) for i in range(40)]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    expected = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    _, links = N.jaccard_classes(spark.createDataFrame(rows, SCHEMA).repartition(2))
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(got) > 700
+    counts = {r.id: r.n_links for r in shared.link_counts(links).collect()}
+    assert counts == {i: sum(i in x for x in expected) for i in sets}
+
+
 def test_join_edge_cases(spark):
     assert N.jaccard_classes(spark.createDataFrame([], SCHEMA))[0].count() == 0
     rows = [(3, "a b c d e f g"), (3, "a b c d e f g"), (1, "A b C d e f g"), (None, "a b c d e f g"), (None, None)]

@@ -13,7 +13,8 @@ characters tolerates k(n) edits (0 below 20 characters, 1 below 40, else 2).
   band of 2k + 1 cells are kept in the bits of two integers, one step a character.
 * **Groups.**  Equal lines are one class from the start.  Keys of two lines give
   that pair and keys with few lines all their pairs; others a star to their smallest line, and what the
-  stars leave in different components is compared in a second step.
+  stars leave in different components is compared in a second step.  The links that
+  components don't need are found block by block when the table of links is read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, release_shuffles, written
+from .shared import block_pairs, connected_components, release_shuffles, written
 
 #: Characters from which one and two edits are tolerated.
 EDITS_FROM = (20, 40)
@@ -138,8 +139,9 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Input: ``doc_id, text``; other columns are ignored.  Returns ``(lines,
     links)``: every line with a word, as ``doc_id, line_no, class_doc_id,
     class_line_no, copy`` (the first place of its class by doc_id and line
-    number, null ids last, and whether this line isn't it); and the verified pairs
-    of distinct lines ``a, b`` by line hash.
+    number, null ids last, and whether this line isn't it); and all verified pairs
+    of distinct lines ``a, b`` by line hash, of which those that classes don't need
+    are computed when ``links`` is read.
 
     A null or empty text, and lines without a word, give no rows; rows that
     repeat a doc_id share the places of equal line numbers; an empty table gives
@@ -184,9 +186,14 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # an edit changes the parity of two characters at most
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.bit_count(F.col("x.mask").bitwiseXOR(F.col("y.mask"))) <= 4))
     more = written(more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    compared = pairs
     if not more.isEmpty():
-        links = links.unionAll(written(_linked(more, texts)))
+        links, compared = links.unionAll(written(_linked(more, texts))), pairs.unionAll(more)
         components = connected_components(links)
+    hot = placed.drop("component").join(texts.withColumnRenamed("line_id", "id"), "id").withColumn("mask", _letters(F.col("line"))).drop("line")
+    hot = block_pairs(hot).filter((F.col("x.indexed") | F.col("y.indexed")) & (F.bit_count(F.col("x.mask").bitwiseXOR(F.col("y.mask"))) <= 4))
+    hot = hot.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+    links = links.unionAll(_linked(hot, texts))
 
     first = distinct.select("line_id", "first").join(components.withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
     grouped = first.filter("component <> line_id").select("component").distinct().join(first, "component").groupBy("component").agg(F.min("first").alias("class_first"))

@@ -26,7 +26,9 @@ p and q with Jaccard >= t differ in at most (1-t)/(1+t) * (p+q) shingles.
   documents give all their pairs; keys shared by many (near copies) give a star
   to the smallest member, and the members go into a second step that compares
   only members that are still in different components, behind the Hamming bound
-  of a 512-bit parity sketch.  Links are verified on the whole sets.
+  of a 512-bit parity sketch.  Links are verified on the whole sets.  The links
+  that components don't need are found block by block when the table of links is
+  read.
 
 Shingles are 64-bit hashes; two different ones are equal with probability 2**-64.
 """
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import connected_components, text_batches, written
+from .shared import block_pairs, connected_components, text_batches, written
 
 #: Text bytes whose keys meet in one task.
 BUCKET_BYTES = 8 << 20
@@ -338,9 +340,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     ``(members, links)``.  ``members`` has one row per input row: ``doc_id,
     n_shingles, rep`` (smallest doc_id with the same set) and ``component_id``
     (smallest doc_id reachable by links).  ``links`` has verified pairs ``(a, b)``
-    of representatives of different sets: all pairs, save that groups of more
-    than ``PAIRED`` documents around one sketch word may be joined through their
-    smallest members; components are always exact.
+    of representatives of different sets: all of them.  Those among the members of
+    frequent sketch words that components don't need are computed when ``links`` is
+    read (see ``link_counts`` in shared.py for each document's number of links).
 
     Defined cases: null, empty or blank text has the empty set, is linked with
     nothing and is its own component; fewer than ``n`` words are one shingle;
@@ -384,10 +386,16 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _near(F.col("x.n_shingles"), F.col("y.n_shingles"), num, den, "x", "y"))
     more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = written(more)
+    compared = pairs
     if not more.isEmpty():
         found = written(_verified(docs, more, n, num, den))
-        links = links.unionAll(found)
+        links, compared = links.unionAll(found), pairs.unionAll(more)
         components = connected_components(links.unionAll(twice))
+    hot = block_pairs(members.select("key", "id").join(reps.withColumnRenamed("doc_id", "id"), "id"))
+    hot = hot.filter(_near(F.col("x.n_shingles"), F.col("y.n_shingles"), num, den, "x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    hot = hot.distinct().join(compared, ["a", "b"], "left_anti")
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    links = links.unionAll(_among_sets(hot, _sets_of(docs, ids, n), num, den))
     out = nodes.join(components.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", "rep", F.coalesce("component", "rep").alias("component_id")), links
 
@@ -395,7 +403,14 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Pairs whose whole sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id bigint, shingles array<bigint>"))
+    return _among_sets(pairs, written(_sets_of(docs, ids, n)), num, den)
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id bigint, shingles array<bigint>")
+
+
+def _among_sets(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("u")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("v")), "b")
     common = F.size(F.array_intersect("u", "v"))
     return both.withColumn("i", common).filter(F.col("i") * den >= (F.size("u") + F.size("v") - F.col("i")) * num).select("a", "b").distinct()

@@ -54,6 +54,30 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+#: Members of a key that meet in one block of block_pairs().
+BLOCK = 512
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """All pairs ``x.id < y.id`` of the rows of each ``key``, as rows aliased x and y.
+
+    A key with many members is cut into blocks by id, and every two blocks meet
+    under a key of their own, so that no task gets a whole frequent key.
+    """
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    m = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
+    x, y = m.alias("x"), m.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "lo", "hi")]
+    return x.join(y, same[0] & same[1] & same[2] & (F.col("x.id") < F.col("y.id")) & ((F.col("x.lo") == F.col("x.hi")) | (F.col("x.block") != F.col("y.block"))))
+
+
+def link_counts(links: DataFrame) -> DataFrame:
+    """Number of links of every node that has one: ``(id, n_links)``."""
+    return links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+
+
 def _print(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return r["n"], r["x"]
