@@ -68,6 +68,28 @@ def test_grammar_round_trip(ids, rounds):
     assert [len(T.expand(np.array([5 + k]), rules, 5)) for k in range(len(rules))] == spans.tolist()
 
 
+def test_grammar_has_no_pair_left_that_is_worth_a_rule():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 40000, 500)
+    ids = np.concatenate([x for _ in range(300) for x in (passage, rng.integers(0, 40000, 3))] + [np.full(1000, 7)])
+    for base, least in ((49000, 7), (65000, 4)):
+        seq, rules, spans = T.smallest(ids, base)
+        assert T.expand(seq, rules, base).tolist() == ids.tolist() and spans.max() >= 500
+        pairs = {}
+        for i, p in enumerate(zip(seq.tolist(), seq.tolist()[1:])):
+            pairs.setdefault(p, []).append(i)
+        assert max(len(x) for p, x in pairs.items() if p[0] != p[1]) < least and len(seq) < 300 * 5
+
+
+def test_wide_symbols_only_where_smaller():
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([np.tile(rng.integers(0, 59000, 400), 5) for _ in range(60)] + [np.tile(np.arange(k, k + 1000), 8) for k in range(0, 59000, 1000)])
+    seq, rules, _ = T.smallest(ids, 59000)
+    assert T.expand(seq, rules, 59000).tolist() == ids.tolist()
+    two = T.re_pair(ids, 59000)
+    assert len(two[1]) == 65536 - 59000 and len(rules) > len(two[1]) and 4 * len(seq) + 12 * len(rules) < 2 * len(two[0]) + 12 * len(two[1])
+
+
 def test_grammar_compresses_and_decodes_ranges():
     rng = np.random.default_rng(3)
     phrase = rng.integers(0, 1000, 50)

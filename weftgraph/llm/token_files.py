@@ -12,8 +12,8 @@ that Spark can write will do and a lost task leaves nothing behind:
 ``width, symbols``  the compressed sequence, as little-endian uint16 or uint32
 
 Re-Pair replaces the most frequent adjacent pairs of a shard by nonterminals,
-many pairs a round: a pair is replaced where it is more frequent than its
-neighbours, so that replaced pairs never overlap.  With the expansion lengths a
+many pairs a round, until no pair is worth a rule: a pair is replaced where it is
+more frequent than its neighbours, so that replaced pairs never overlap.  With the expansion lengths a
 range of ids is decoded without decoding what precedes it.
 """
 
@@ -36,9 +36,8 @@ from . import words as W
 from .shared import shared_folder, text_batches
 
 SHARD_TOKENS = 1_000_000
-ROUNDS = 3
-#: A pair is worth a rule from this many occurrences in the shard.
-LEAST_PAIRS = 16
+#: A pair is worth a rule from this many occurrences in the shard: a rule takes 12 bytes, and each saves a symbol of 2 or 4 bytes.
+LEAST_PAIRS = (7, 4)
 #: Runs of characters whose ids a worker keeps before it starts afresh, and slots to find them in.
 REMEMBERED = 1_000_000
 SLOTS = 1 << 20
@@ -49,40 +48,54 @@ def _slot(pair: np.ndarray) -> np.ndarray:
     return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
 
 
-def re_pair(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_PAIRS, most_rules: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, rules, expansion lengths) of a grammar for ``ids`` (all below ``base``)."""
+def re_pair(ids: np.ndarray, base: int, rounds: int | None = None, least: int | None = None, most_rules: int | None = None, begun: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, rules, expansion lengths) of a grammar for ``ids`` (all below ``base``).
+
+    Goes on until no pair occurs ``least`` times, or for ``rounds``; ``begun`` is a grammar to go on from.
+    """
     if most_rules is None:
-        most_rules = 65536 - base if base < 60000 else 1 << 20
-    seq = ids.astype(np.int64)
-    rules, spans = np.empty((0, 2), np.int64), np.ones(base, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2 or len(rules) >= most_rules:
-            break
+        most_rules = 65536 - base if base < 60000 else 1 << 31
+    if least is None:
+        least = LEAST_PAIRS[base + most_rules > 65536]
+    if begun is None:
+        seq, rules, spans = ids.astype(np.int64), np.empty((0, 2), np.int64), np.ones(base, np.int64)
+    else:
+        seq, rules, spans = begun[0], begun[1], np.concatenate([np.ones(base, np.int64), begun[2]])
+    done = 0
+    while (rounds is None or done < rounds) and len(seq) > 1 and len(rules) < most_rules:
+        done += 1
         pair = seq[:-1] << 32 | seq[1:]
+        # a run of one symbol has its pairs at every second place
+        again = np.flatnonzero(np.concatenate([[False], pair[1:] == pair[:-1]]))
+        if len(again):
+            first = np.concatenate([[True], again[1:] != again[:-1] + 1])
+            offset = np.arange(len(again)) - np.maximum.accumulate(np.where(first, np.arange(len(again)), 0))
+            pair[again[offset % 2 == 0]] = -1
         ordered = np.sort(pair)
         start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(start, len(ordered)))
-        worth = np.flatnonzero(counts >= least)
+        counts[ordered[start] < 0] = 0
+        # the most frequent first: the others wait until these are replaced
+        worth = np.flatnonzero(counts >= max(least, int(counts.max()) // 4))
         kinds, counts = ordered[start[worth]], counts[worth]
-        best = np.lexsort((kinds, -counts))[: most_rules - len(rules)]
-        if not len(best):
+        kinds = kinds[np.lexsort((W.mix(kinds.view(np.uint64)), -counts))[: most_rules - len(rules)]]  # equal counts in an order that doesn't rise along a passage
+        if not len(kinds):
             break
-        kinds, counts = kinds[best], counts[best]
-        # a table by hash; of pairs in one slot the most frequent stays, the others wait for the next round
-        table = np.zeros(1 << 18, np.int32)
-        table[_slot(kinds[::-1])] = np.arange(len(kinds) - 1, -1, -1)
-        where = table[_slot(pair)]
-        rank = np.where(kinds[where] == pair, counts[where], 0)
-        left = np.concatenate([[0], rank[:-1]])
-        right = np.concatenate([rank[1:], [0]])
-        peak = (rank > 0) & (rank >= right) & (rank >= left)
-        # of neighbouring peaks (equal counts) every second one, from the left
-        at = np.flatnonzero(peak)
-        new = np.ones(len(at), bool)
-        new[1:] = at[1:] != at[:-1] + 1
-        start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - start) % 2 == 0]
-        used, place = np.unique(where[at], return_inverse=True)
+        # tables by hash; of pairs in one slot the first stays, the others go into the next table
+        rank, todo = np.zeros(len(pair), np.int64), np.arange(len(kinds))
+        while len(todo):
+            table = np.full(1 << 18, todo[0], np.int32)
+            table[_slot(kinds[todo[::-1]])] = todo[::-1]
+            where = table[_slot(pair)]
+            hit = kinds[where] == pair
+            rank[hit] = len(kinds) - where[hit]
+            todo = todo[table[_slot(kinds[todo])] != todo]
+        # no two neighbours have one rank, so what is replaced never overlaps, and the first kind is replaced everywhere
+        at = np.flatnonzero((rank > np.concatenate([[0], rank[:-1]])) & (rank > np.concatenate([rank[1:], [0]])))
+        which = len(kinds) - rank[at]
+        enough = np.bincount(which, minlength=len(kinds)) >= least
+        at, which = at[enough[which]], which[enough[which]]
+        used, place = np.unique(which, return_inverse=True)
         made = np.stack([kinds[used] >> 32, kinds[used] & 0xFFFFFFFF], 1)
         seq = seq.copy()
         seq[at] = base + len(rules) + place
@@ -92,6 +105,15 @@ def re_pair(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST
     return seq, rules, spans[base:]
 
 
+def smallest(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grammar with symbols of 2 bytes, or if these run out before the pairs do, of 4 bytes where that is smaller."""
+    found = re_pair(ids, base)
+    if base >= 60000 or base + len(found[1]) < 65536:
+        return found
+    wide = re_pair(ids, base, most_rules=1 << 31, begun=found)
+    return min(found, wide, key=lambda g: len(g[0]) * (2 if g is found else 4) + len(g[1]) * 12)
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids that a sequence of symbols stands for."""
     seq = seq.astype(np.int64)
@@ -257,7 +279,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
         ids, tokens, lengths, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            seq, rules, spans = re_pair(np.concatenate(tokens), encoder.base)
+            seq, rules, spans = smallest(np.concatenate(tokens), encoder.base)
             width = 2 if encoder.base + len(rules) <= 65536 else 4
             row = {"part": part, "shard": shard, "start": start, "base": encoder.base, "doc_ids": np.concatenate(ids), "lengths": np.concatenate(lengths).astype(np.int32), "rules": rules.astype("<u4").tobytes(), "spans": spans.astype("<u4").tobytes(), "width": width, "symbols": seq.astype(f"<u{width}").tobytes()}
             kinds = {"part": pa.int32(), "shard": pa.int32(), "start": pa.int64(), "base": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "rules": pa.binary(), "spans": pa.binary(), "width": pa.int32(), "symbols": pa.binary()}
