@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 from . import words as W
 from .shared import shared_folder, text_batches
 
-SHARD_TOKENS = 1_000_000
+#: Ids in a shard, about: a worker's grammar tables take some 60 bytes an id.
+SHARD_TOKENS = 1 << 19
+#: Slots of the table that counts pairs.
+SLOT_BITS = 18
 #: A pair is worth a rule from this many occurrences in the shard: a rule takes 12 bytes, and each saves a symbol of 2 or 4 bytes.
 LEAST_PAIRS = (7, 4)
 #: Runs of characters whose ids a worker keeps before it starts afresh, and slots to find them in.
@@ -45,7 +48,7 @@ _SCHEMA = "part int, shard int, start bigint, base int, doc_ids array<bigint>, l
 
 
 def _slot(pair: np.ndarray) -> np.ndarray:
-    return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
+    return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
 
 def re_pair(ids: np.ndarray, base: int, rounds: int | None = None, least: int | None = None, most_rules: int | None = None, begun: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,8 +68,14 @@ def re_pair(ids: np.ndarray, base: int, rounds: int | None = None, least: int |
     while (rounds is None or done < rounds) and len(seq) > 1 and len(rules) < most_rules:
         done += 1
         pair = seq[:-1] << 32 | seq[1:]
+        slot = _slot(pair)
+        # a slot of the hash table holds at least its pairs' counts: where it has too few, none of them is frequent
+        at = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])
+        if not len(at):
+            break
+        pair, slot = pair[at], slot[at]
         # a run of one symbol has its pairs at every second place
-        again = np.flatnonzero(np.concatenate([[False], pair[1:] == pair[:-1]]))
+        again = np.flatnonzero((pair[1:] == pair[:-1]) & (at[1:] == at[:-1] + 1)) + 1
         if len(again):
             first = np.concatenate([[True], again[1:] != again[:-1] + 1])
             offset = np.arange(len(again)) - np.maximum.accumulate(np.where(first, np.arange(len(again)), 0))
@@ -78,28 +87,43 @@ def re_pair(ids: np.ndarray, base: int, rounds: int | None = None, least: int |
         # the most frequent first: the others wait until these are replaced
         worth = np.flatnonzero(counts >= max(least, int(counts.max()) // 4))
         kinds, counts = ordered[start[worth]], counts[worth]
-        kinds = kinds[np.lexsort((W.mix(kinds.view(np.uint64)), -counts))[: most_rules - len(rules)]]  # equal counts in an order that doesn't rise along a passage
+        # equal counts in an order that doesn't rise along a passage
+        kinds = kinds[np.lexsort((W.mix(kinds.view(np.uint64)), -counts))[: most_rules - len(rules)]]
         if not len(kinds):
             break
-        # tables by hash; of pairs in one slot the first stays, the others go into the next table
-        rank, todo = np.zeros(len(pair), np.int64), np.arange(len(kinds))
-        while len(todo):
-            table = np.full(1 << 18, todo[0], np.int32)
-            table[_slot(kinds[todo[::-1]])] = todo[::-1]
-            where = table[_slot(pair)]
-            hit = kinds[where] == pair
-            rank[hit] = len(kinds) - where[hit]
-            todo = todo[table[_slot(kinds[todo])] != todo]
+        table = np.zeros(1 << SLOT_BITS, np.int32)
+        own = _slot(kinds)
+        table[own] = np.arange(len(kinds))
+        where = table[slot]
+        hit = kinds[where] == pair
+        lost = np.flatnonzero(table[own] != np.arange(len(kinds)))
+        if len(lost):  # kinds that share their slot with another are looked up in order
+            lost = lost[np.argsort(kinds[lost])]
+            table[:] = 0
+            table[own[lost]] = 1
+            left = np.flatnonzero(~hit & (table[slot] > 0))
+            found = np.minimum(np.searchsorted(kinds[lost], pair[left]), len(lost) - 1)
+            same = kinds[lost[found]] == pair[left]
+            where[left[same]] = lost[found[same]]
+            hit[left[same]] = True
+        at = at[hit]
+        rank = np.zeros(len(seq) + 1, np.int32)
+        rank[at + 1] = len(kinds) - where[hit]
         # no two neighbours have one rank, so what is replaced never overlaps, and the first kind is replaced everywhere
-        at = np.flatnonzero((rank > np.concatenate([[0], rank[:-1]])) & (rank > np.concatenate([rank[1:], [0]])))
-        which = len(kinds) - rank[at]
+        mine = rank[at + 1]
+        keep = (mine > rank[at]) & (mine > rank[np.minimum(at + 2, len(seq))])
+        at, which = at[keep], len(kinds) - mine[keep]
         enough = np.bincount(which, minlength=len(kinds)) >= least
+        used = np.flatnonzero(enough)
+        if not len(used):
+            break
         at, which = at[enough[which]], which[enough[which]]
-        used, place = np.unique(which, return_inverse=True)
         made = np.stack([kinds[used] >> 32, kinds[used] & 0xFFFFFFFF], 1)
         seq = seq.copy()
-        seq[at] = base + len(rules) + place
-        seq = np.delete(seq, at + 1)
+        seq[at] = base + len(rules) + (np.cumsum(enough) - 1)[which]
+        kept = np.ones(len(seq), bool)
+        kept[at + 1] = False
+        seq = seq[kept]
         spans = np.concatenate([spans, spans[made].sum(1)])
         rules = np.concatenate([rules, made])
     return seq, rules, spans[base:]
@@ -334,13 +358,15 @@ def read_shards(spark, folder: str) -> DataFrame:
 def _read(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(len(batch)):  # one shard at a time
+                doc_ids, lengths = batch.column("doc_ids")[i].values, batch.column("lengths")[i].values.to_numpy().astype(np.int64)
+                row = {k: batch.column(k)[i].as_py() for k in ("start", "base", "rules", "spans", "width", "symbols")}
                 seq, rules, _ = _symbols(row)
                 ids = expand(seq, rules, row["base"]).astype("<u4")
-                to = np.cumsum(row["lengths"], dtype=np.int64)
-                at = to - np.array(row["lengths"], np.int64)
+                to = np.cumsum(lengths)
+                at = to - lengths
                 columns = {
-                    "doc_id": pa.array(row["doc_ids"], pa.int64()),
+                    "doc_id": doc_ids,
                     "start": pa.array(at + row["start"]),
                     "n_tokens": pa.array(to - at),
                     "ids_crc32": pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.int64()),
@@ -355,7 +381,9 @@ def _read(with_ids: bool):
 def read_token_files(spark, folder: str, with_ids: bool = True) -> DataFrame:
     """Documents decoded from the files: ``doc_id, start, n_tokens, ids_crc32`` and, if wanted, ``ids``."""
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return read_shards(spark, folder).mapInArrow(_read(with_ids), schema)
+    shards = read_shards(spark, folder)
+    text_batches(shards)
+    return shards.mapInArrow(_read(with_ids), schema)
 
 
 def op6_token_id_output(spark, sf_dir: str) -> DataFrame:
