@@ -23,12 +23,15 @@ p and q with Jaccard >= t differ in at most (1-t)/(1+t) * (p+q) shingles.
   seed, then in the same way with all their shingles, and those left after the
   last seed emit their zero pairs too.
 * **Groups.**  Identical sets are one class.  Keys shared by few
-  documents give all their pairs; keys shared by many (near copies) give a star
-  to the smallest member, and the members go into a second step that compares
-  only members that are still in different components, behind the Hamming bound
-  of a 512-bit parity sketch.  Links are verified on the whole sets.  The links
-  that components don't need are found block by block when the table of links is
-  read.
+  documents give all their pairs.  The members of keys shared by many (near
+  copies) are compared with one leader, the member with the most such keys.  What
+  is still in different components after that meets by the rarest differences to
+  the leader (``beyond_leaders`` in shared.py), which copies that were changed in
+  different places don't share.
+* **Verification.**  Candidates pass the size bound and the Hamming bound of one-hot parity
+  sketches, whose length grows with the sets, and are then compared on the whole
+  sets.  The links that components don't need are found block by block when the
+  table of links is read.
 
 Shingles are 64-bit hashes; two different ones are equal with probability 2**-64.
 """
@@ -43,16 +46,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import block_pairs, connected_components, text_batches, written
+from .shared import beyond_leaders, block_pairs, connected_components, led, text_batches, written
 
 #: Text bytes whose keys meet in one task.
 BUCKET_BYTES = 8 << 20
-#: Keys with more members give a star instead of all pairs.
+#: Keys with more members go under a leader instead of giving all pairs.
 PAIRED = 8
 SEEDS = 6
 #: Frequent shingles that are left out of the first sketch, at most (8 bytes each are broadcast).
 COMMON = 100_000
-_SKETCH = [f"s{i}" for i in range(8)]
+#: Least bits of a sketch, and bits for each differing shingle that a link allows.
+SKETCH_BITS, BITS_EACH = 512, 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,13 +100,27 @@ def _prints(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-def _describe(n: int):
-    """Set size, fingerprints and the 512-bit parity sketch of each document.
+def _sketches(hashes: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """One-hot parity sketches of all rows as 64-bit words, and the words of each row.
+
+    A sketch's length is a power of two, about ``BITS_EACH`` bits for each shingle in which
+    linked sets of that size may differ; XOR of its halves is the sketch of half the length.
+    """
+    differing = np.maximum(2 * sizes * (den - num) // (den + num), 1)
+    bits = SKETCH_BITS << np.maximum(np.ceil(np.log2(np.maximum(BITS_EACH * differing / SKETCH_BITS, 1))).astype(np.int64), 0)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    bit = W.mix(hashes ^ np.uint64(0xA4093822299F31D0)).view(np.int64) & (np.repeat(bits, sizes) - 1)
+    flip = np.bincount(np.repeat(base[:-1], sizes) + bit, minlength=base[-1]) & 1
+    return np.packbits(flip.astype(np.uint8)).view(np.int64), bits // 64
+
+
+def _describe(n: int, num: int, den: int):
+    """Set size, fingerprints and the parity sketch of each document.
 
     A row with ``n_shingles`` -1 has the shingles that occur in three or more
     documents of its batch, and how many.
     """
-    names = ["doc_id", "n_shingles", "p", "q", *_SKETCH, "shingles", "counts"]
+    names = ["doc_id", "n_shingles", "p", "q", "sketch", "shingles", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.resliced(batches, 4 << 20):
@@ -110,11 +128,9 @@ def _describe(n: int):
             for ids, hashes, first in _per_slice(batch, n):
                 rows, sizes = len(ids), np.diff(first)
                 p, q = _prints(hashes, first)
-                bit = W.mix(hashes ^ np.uint64(0xA4093822299F31D0)) & np.uint64(511)
-                flip = np.bincount(np.repeat(np.arange(rows), sizes) * 512 + bit.astype(np.int64), minlength=rows * 512) & 1
-                sketch = np.packbits(flip.astype(np.uint8).reshape(rows, 512), axis=1).view(np.int64)
+                sketch, words = _sketches(hashes, sizes, num, den)
                 none = pa.nulls(rows, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(p.view(np.int64)), pa.array(q.view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(8)), none, none], names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(p.view(np.int64)), pa.array(q.view(np.int64)), W.lists(pa.array(sketch), words), none, none], names)
                 seen.append(hashes)
             all_ = np.sort(np.concatenate(seen)) if seen else np.empty(0, np.uint64)
             start = np.flatnonzero(np.concatenate([[True], all_[1:] != all_[:-1]])) if len(all_) else np.empty(0, np.int64)
@@ -123,7 +139,7 @@ def _describe(n: int):
             if many.any():
                 none = pa.nulls(1, pa.int64())
                 k = np.array([int(many.sum())])
-                yield pa.RecordBatch.from_arrays([none, pa.array([-1], pa.int64()), *[none] * 10, W.lists(pa.array(all_[start][many].view(np.int64)), k), W.lists(pa.array(counts[many].astype(np.int64)), k)], names)
+                yield pa.RecordBatch.from_arrays([none, pa.array([-1], pa.int64()), none, none, pa.nulls(1, pa.list_(pa.int64())), W.lists(pa.array(all_[start][many].view(np.int64)), k), W.lists(pa.array(counts[many].astype(np.int64)), k)], names)
 
     return run
 
@@ -250,28 +266,25 @@ def _emit(n: int, num: int, den: int, buckets: int, shared):
             many = length[run_of] > PAIRED
             hot[order[many & new]] = True
             local = order[many]  # members of keys that are already frequent in this batch
-            leader = owners[order[start]][run_of][many]
             forward = np.ones(len(keys), bool)
             forward[order[many & ~new]] = False
             f = np.flatnonzero(forward)
             f = f[np.argsort(bucket[f].astype(np.uint16) if buckets < 65536 else bucket[f], kind="stable")]
-            yield _rows(bucket[f], keys[f], owners[f], hot[f], None)
+            yield _rows(bucket[f], keys[f], owners[f], hot[f])
             if len(local):
-                turn = np.argsort(bucket[local], kind="stable")
-                local, leader = local[turn], leader[turn]
-                yield _rows(bucket[local] + buckets, keys[local], owners[local], np.ones(len(local), bool), leader)
+                local = local[np.argsort(bucket[local], kind="stable")]
+                yield _rows(bucket[local] + buckets, keys[local], owners[local], np.ones(len(local), bool))
 
     return run
 
 
-def _rows(bucket, keys, ids, hot, leader) -> pa.RecordBatch:
+def _rows(bucket, keys, ids, hot) -> pa.RecordBatch:
     """One row of arrays per hash range; the inputs are ordered by it."""
     own, counts = np.unique(bucket, return_counts=True)
     lists = lambda x: W.lists(pa.array(x), counts)
     # the bucket holds the upper bits of the key, so the lower half is enough: a chance match is only a candidate
     low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-    leaders = pa.nulls(len(own), pa.list_(pa.int64())) if leader is None else lists(leader)
-    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), lists(low), lists(ids), lists(hot), leaders], ["bucket", "keys", "ids", "hot", "leaders"])
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), lists(low), lists(ids), lists(hot)], ["bucket", "keys", "ids", "hot"])
 
 
 def _meet(buckets: int):
@@ -284,8 +297,7 @@ def _meet(buckets: int):
         base = np.int64(bucket % buckets) << np.int64(32)
         full = base | keys.view(np.uint32).astype(np.int64)
         if bucket >= buckets:
-            leaders, _ = W.split_lists(table.column("leaders"))
-            return _found(leaders, ids, full, ids)
+            return _found(ids[:0], ids[:0], full, ids)
         hot = table.column("hot").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         order = np.lexsort((ids, keys))
         keys, ids, full, hot = keys[order], ids[order], full[order], hot[order]
@@ -300,9 +312,6 @@ def _meet(buckets: int):
             i = np.flatnonzero(few & (place >= k))
             a.append(ids[i - k])
             b.append(ids[i])
-        star = np.flatnonzero(~few & (place > 0))
-        a.append(ids[start[run_of[star]]])
-        b.append(ids[star])
         listed = (~few) | (np.logical_or.reduceat(hot, start)[run_of] if len(keys) else few)
         return _found(np.concatenate(a), np.concatenate(b), full[listed], ids[listed])
 
@@ -327,10 +336,17 @@ def _sets(n: int):
     return run
 
 
-def _near(na, nb, num: int, den: int, a: str, b: str):
-    """Size and Hamming bounds that every link keeps."""
-    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SKETCH[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart * (den + num) <= (na + nb) * (den - num))
+def _near(na, nb, u, v, num: int, den: int):
+    """Size and Hamming bounds that every link keeps; a longer sketch is folded to the shorter's length."""
+    least = F.least(F.size(u), F.size(v))
+
+    def folded(s):
+        parts = lambda i: F.aggregate(F.sequence(i, F.size(s) - 1, least), F.lit(0).cast("bigint"), lambda x, j: x.bitwiseXOR(F.get(s, j)))
+        return F.when(F.size(s) == least, s).otherwise(F.transform(F.sequence(F.lit(0), least - 1), parts))
+
+    apart = F.aggregate(F.zip_with(folded(u), folded(v), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    sizes = F.least(na, nb) * den >= F.greatest(na, nb) * num
+    return sizes & F.when(sizes, apart * (den + num) <= (na + nb) * (den - num))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -353,57 +369,55 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = int(min(2_000_000, max(1, -(-total // bucket_bytes))))
-    sketch = ", ".join(f"{s} bigint" for s in _SKETCH)
-    described = written(docs.mapInArrow(_describe(n), f"doc_id bigint, n_shingles bigint, p bigint, q bigint, {sketch}, shingles array<bigint>, counts array<bigint>"))
+    described = written(docs.mapInArrow(_describe(n, num, den), "doc_id bigint, n_shingles bigint, p bigint, q bigint, sketch array<bigint>, shingles array<bigint>, counts array<bigint>"))
     shared = docs.sparkSession.sparkContext.broadcast(_common(described, COMMON))
     described = described.filter("n_shingles >= 0").drop("shingles", "counts")
     least = described.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "p", "q").agg(F.min("doc_id").alias("rep"))
-    nodes = written(described.join(least, ["n_shingles", "p", "q"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), *_SKETCH))
+    nodes = written(described.join(least, ["n_shingles", "p", "q"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "sketch"))
     to_rep = nodes.select("doc_id", "rep").filter("doc_id is not null").distinct()
-    reps = nodes.filter("doc_id = rep").dropDuplicates(["doc_id", "n_shingles", *_SKETCH]).drop("rep")
+    reps = nodes.filter("doc_id = rep").dropDuplicates(["doc_id", "n_shingles", "sketch"]).drop("rep")
 
-    emitted = docs.mapInArrow(_emit(n, num, den, buckets, shared), "bucket int, keys array<int>, ids array<bigint>, hot array<boolean>, leaders array<bigint>")
-    met = written(emitted.groupBy("bucket").applyInArrow(_meet(buckets), "key bigint, a bigint, b bigint"))
+    emitted = docs.mapInArrow(_emit(n, num, den, buckets, shared), "bucket int, keys array<int>, ids array<bigint>, hot array<boolean>")
+    met = written(emitted.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(buckets), "key bigint, a bigint, b bigint"))
     pairs = met.filter("key is null").select("a", "b").distinct()
     for c in "ab":
         pairs = pairs.join(to_rep.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}")), c)
-    pairs = pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a < b").distinct()
-    for c in "ab":
-        pairs = pairs.join(reps.select(F.col("doc_id").alias(c), F.struct("n_shingles", *_SKETCH).alias(f"{c}_")), c)
-    pairs = written(pairs.filter(_near(F.col("a_.n_shingles"), F.col("b_.n_shingles"), num, den, "a_", "b_")).select("a", "b").distinct())
-    links = written(_verified(docs, pairs, n, num, den))
+    pairs = pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    members = met.filter("key is not null").select("key", F.col("a").alias("doc_id")).join(to_rep, "doc_id").select("key", F.col("rep").alias("id")).distinct()
+    members = written(members)
+    groups = written(led(members))
+    pairs = pairs.unionAll(groups.select(F.least("g", "id").alias("a"), F.greatest("g", "id").alias("b"))).filter("a < b").distinct()
+    pairs = written(_bounded(pairs, reps, num, den))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionAll(groups.select("id")).distinct()
+    sets = written(_sets_of(docs, ids, n))
+    links = written(_among_sets(pairs, sets, num, den))
 
     twice = to_rep.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
     components = connected_components(links.unionAll(twice))
 
-    members = met.filter("key is not null").select("key", F.col("a").alias("doc_id")).join(to_rep, "doc_id").select("key", F.col("rep").alias("id")).distinct()
-    members = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    members = written(members)
-    open_ = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    rest = members.join(open_, "key").join(reps.withColumnRenamed("doc_id", "id"), "id")
-    rest = written(rest)
-    x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _near(F.col("x.n_shingles"), F.col("y.n_shingles"), num, den, "x", "y"))
-    more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(more)
+    # groups whose members are still apart
+    placed = groups.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = placed.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("g")
+    rest = written(placed.join(open_, "g"))
     compared = pairs
-    if not more.isEmpty():
-        found = written(_verified(docs, more, n, num, den))
-        links, compared = links.unionAll(found), pairs.unionAll(more)
+    if not rest.isEmpty():
+        more = beyond_leaders(rest, sets.withColumnRenamed("shingles", "elements"), lambda size: F.floor(size * (den - num) / num))
+        more = written(_bounded(more, reps, num, den).join(pairs, ["a", "b"], "left_anti"))
+        links, compared = links.unionAll(written(_among_sets(more, sets, num, den))), pairs.unionAll(more)
         components = connected_components(links.unionAll(twice))
     hot = block_pairs(members.select("key", "id").join(reps.withColumnRenamed("doc_id", "id"), "id"))
-    hot = hot.filter(_near(F.col("x.n_shingles"), F.col("y.n_shingles"), num, den, "x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    hot = hot.filter(_near(F.col("x.n_shingles"), F.col("y.n_shingles"), F.col("x.sketch"), F.col("y.sketch"), num, den)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     hot = hot.distinct().join(compared, ["a", "b"], "left_anti")
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
-    links = links.unionAll(_among_sets(hot, _sets_of(docs, ids, n), num, den))
+    links = links.unionAll(_among_sets(hot, sets, num, den))
     out = nodes.join(components.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", "rep", F.coalesce("component", "rep").alias("component_id")), links
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return _among_sets(pairs, written(_sets_of(docs, ids, n)), num, den)
+def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs that the size and Hamming bounds leave possible."""
+    for c in "ab":
+        pairs = pairs.join(reps.select(F.col("doc_id").alias(c), F.struct("n_shingles", "sketch").alias(f"{c}_")), c)
+    return pairs.filter(_near(F.col("a_.n_shingles"), F.col("b_.n_shingles"), F.col("a_.sketch"), F.col("b_.sketch"), num, den)).select("a", "b").distinct()
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:

@@ -2,36 +2,39 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (local runs, tests) a new local folder is made.
+    Where the setting is absent a local session (tests) gets a new local folder;
+    on a cluster that is an error, as executors don't share local folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def text_batches(df: DataFrame, rows: int = 1_000) -> None:
-    """Let the session hand texts to Python at most ``rows`` at a time.
+def text_batches(df: DataFrame, most: int = 4 << 20) -> None:
+    """Let the session hand rows to Python in Arrow batches of at most ``most`` bytes, or of one row.
 
-    Rows of texts are long: Arrow batches of Spark's default 10,000 rows take 30 MB
-    and more, several times over in each task.
+    Spark reads the setting when the result is computed, so it holds for the session;
+    a smaller one stays.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = df.sparkSession.conf.get(key, None)
+    if found is None or not found.isdigit() or not 0 < int(found) <= most:
+        df.sparkSession.conf.set(key, str(most))
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -42,18 +45,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Ask the driver to collect garbage, on which Spark removes the shuffle files of finished work.
-
-    Without it they stay until the driver happens to run out of young memory;
-    between large written steps that would hold the input several times over.
-    """
-    for _ in range(2):  # the first round frees the plans, the second what they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 #: Members of a key that meet in one block of block_pairs().
 BLOCK = 512
 
@@ -78,6 +69,66 @@ def link_counts(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
 
 
+def led(members: DataFrame) -> DataFrame:
+    """Members of keys under the leaders of their keys: distinct ``(g, id)``.
+
+    ``members`` has ``key, id``.  A key's leader is the member with the most keys:
+    of near copies that is the one in the middle, from which the others were made.
+    """
+    keys = members.groupBy("id").agg(F.count(F.lit(1)).alias("keys"))
+    # the order as one number, which a hash aggregate can keep the largest of
+    order = F.call_function("shiftleft", F.col("keys"), F.lit(40)).bitwiseOR(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1)))
+    ranked = keys.select("id", order.alias("order"))
+    first = members.join(ranked, "id").groupBy("key").agg(F.max("order").alias("order"))
+    leader = ranked.groupBy("order").agg(F.min("id").alias("g"))
+    return members.join(first.join(leader, "order").select("key", "g"), "key").select("g", "id").distinct()
+
+
+def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column], Column], apart: bool = False) -> DataFrame:
+    """Pairs of one leader's group, in different components, whose sets may be close: ``(a, b)``, ``a < b``.
+
+    ``rest`` has ``g, id, component`` and ``sets`` ``id, elements`` (distinct), also
+    of the leaders.  ``reach`` of a set's size bounds the elements in which it
+    differs from any set that it is linked with.
+
+    x and y differ in exactly the elements in which their differences to the leader
+    differ.  Members that aren't linked with the leader have large differences, so
+    those of a linked pair share many elements, and two sets that share many share
+    one of the first few in a common order (prefix filter): here the rarest of the
+    group first, as many as the sizes of the differences leave possible.  Near
+    copies that were changed in different places share no rare element and don't
+    meet, however many there are.  Differences that need not share an element
+    (``apart``) meet by their sizes.
+    """
+    both = rest.join(sets, "id").join(sets.select(F.col("id").alias("g"), F.col("elements").alias("theirs")), "g")
+    own = F.concat(F.array_except("elements", "theirs"), F.array_except("theirs", "elements"))
+    step = F.greatest(F.lit(1), F.floor(reach(F.size("theirs")) / 4)).cast("int")
+    both = written(both.select("g", "id", "component", reach(F.size("elements")).cast("int").alias("most"), step.alias("step"), own.alias("own")))
+    each = both.select("g", "id", F.explode("own").alias("e"))
+    often = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"))
+    ordered = each.join(often, ["g", "e"]).groupBy("g", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]).alias("rarest"))
+    d = both.drop("own").join(ordered, ["g", "id"], "left").withColumn("s", F.coalesce(F.size("rarest"), F.lit(0)))
+    d = d.withColumn("s", F.greatest("s", F.lit(0))).withColumn("band", F.floor(F.col("s") / F.col("step")).cast("int"))
+    low = F.floor(F.greatest(F.col("s") - F.col("most"), F.lit(0)) / F.col("step")).cast("int")
+    high = F.floor((F.col("s") + F.col("most")) / F.col("step")).cast("int")
+
+    def prefix(band: Column) -> Column:
+        shared = F.greatest(F.lit(1), F.ceil((F.col("s") + band * F.col("step") - F.col("most")) / 2)).cast("int")
+        first = F.slice("rarest", 1, F.greatest(F.col("s") - shared + 1, F.lit(0)))
+        return F.transform(first, lambda e: F.xxhash64("g", e, F.least("band", band), F.greatest("band", band)))
+
+    keys = F.when(F.col("s") > 0, F.flatten(F.transform(F.sequence(low, high), prefix))).otherwise(F.array().cast("array<bigint>"))
+    if apart:
+        keys = F.concat(keys, F.when(F.col("s") <= F.col("most"), F.array(F.xxhash64("g"))).otherwise(F.array().cast("array<bigint>")))
+    met = d.select("id", "component", F.explode(F.array_distinct(keys)).alias("key"))
+    met = written(met)
+    open_ = met.groupBy("key").agg(F.min("component").alias("u"), F.max("component").alias("v")).filter("u < v").select("key")
+    met = met.join(open_, "key")
+    x, y = met.alias("x"), met.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def _print(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return r["n"], r["x"]
