@@ -11,10 +11,12 @@ characters tolerates k(n) edits (0 below 20 characters, 1 below 40, else 2).
   hash of (length, segment number, substring) in one aggregation per key.
 * **Verification.**  Banded bit-parallel edit distance: vertical differences of a
   band of 2k + 1 cells are kept in the bits of two integers, one step a character.
-* **Groups.**  Equal lines are one class from the start.  Keys of two lines give
-  that pair and keys with few lines all their pairs; others a star to their smallest line, and what the
-  stars leave in different components is compared in a second step.  The links that
-  components don't need are found block by block when the table of links is read.
+* **Groups.**  Equal lines are one class from the start.  Keys with few lines give
+  all their pairs; the lines of others are compared with one leader, the line with
+  the most such keys.  What is still in different components meets by the rarest
+  pairs of characters in which it differs from the leader (``beyond_leaders`` in
+  shared.py).  The links that components don't need are found block by block when
+  the table of links is read.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import block_pairs, connected_components, release_shuffles, written
+from .shared import beyond_leaders, block_pairs, connected_components, led, written
 
 #: Characters from which one and two edits are tolerated.
 EDITS_FROM = (20, 40)
-#: Keys with more lines give a star instead of all pairs.
+#: Keys with more lines go under a leader instead of giving all pairs.
 PAIRED = 8
-_BLANKS = " \t\x0b\f\r"
+_BLANKS = " \\t\\x0b\\f\\r"
 
 
 def tolerated(n: Column) -> Column:
@@ -36,34 +38,49 @@ def tolerated(n: Column) -> Column:
     return F.when(n >= EDITS_FROM[1], F.lit(2)).when(n >= EDITS_FROM[0], F.lit(1)).otherwise(F.lit(0))
 
 
-def _segment(n: Column, k: int, i: int) -> tuple[Column, Column]:
-    """(first character, from 1; characters) of segment i (from 1) of a line of n characters in k + 1 even segments."""
-    parts = k + 1
-    base = F.floor(n / parts).cast("int")
-    short = parts - n % parts  # segments before the longer ones
-    start = 1 + (i - 1) * base + F.greatest(F.lit(0), F.lit(i - 1) - short)
-    return start.cast("int"), (base + F.when(short < i, 1).otherwise(0)).cast("int")
+def _probes(k: int, more: int) -> list[tuple[int, int, int, int, int]]:
+    """(k, more, segment, shift, own) of the substrings that a line compares with lines of ``more`` characters less."""
+    return [
+        (k, more, i, shift, int(more == shift == 0))
+        for i in range(1, k + 2)
+        for shift in range(max(-(i - 1), more - (k + 1 - i)), min(i - 1, more + (k + 1 - i)) + 1)
+    ]
 
 
-def _keys(line: Column, n: Column) -> Column:
-    """Keys of a line: first those of its own segments, then those of substrings that may be a segment of another.
+def _probe_table(n: Column) -> Column:
+    """The probes of a line of n characters: those of each length that it may be linked with, its own or less."""
+    one, two = EDITS_FROM
 
-    Plain expressions, one for each length difference, segment and shift, so that
-    they are compiled and not interpreted.
+    def of(length: int) -> Column:
+        found = []
+        for more in range(3):
+            k = 2 if length - more >= two else 1 if length - more >= one else 0
+            if more <= k:
+                found += _probes(k, more) if k else []
+        names = ("k", "more", "i", "shift", "own")
+        return F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(names, p, strict=True))) for p in found))
+
+    out = F.when(n >= two + 2, of(two + 2))
+    for length in (two + 1, two, one):
+        out = out.when(n == length, of(length))
+    return out.when(n > one, of(one + 1))
+
+
+def keyed(lines: DataFrame) -> DataFrame:
+    """Keys of every line: ``key, tag, line``; the tag is the line's id, plus 1 where the key is of a segment of its own.
+
+    One generator over a table of probes, so that one small expression makes all keys.
     """
-    own, others = [], []
-    for k, longest in ((2, None), (1, EDITS_FROM[1] - 1)):
-        for more in range(k + 1):
-            m = (n - more).cast("int")
-            here = (m >= EDITS_FROM[k - 1]) if longest is None else m.between(EDITS_FROM[k - 1], longest)
-            for i in range(1, k + 2):
-                start, size = _segment(m, k, i)
-                for shift in range(max(-(i - 1), more - (k + 1 - i)), min(i - 1, more + (k + 1 - i)) + 1):
-                    at = start + shift
-                    fits = here if more == shift == 0 else here & (at >= 1) & (at + size - 1 <= n)
-                    key = F.when(fits, F.xxhash64(m, F.lit(i), F.substr(line, at, size)))
-                    (own if more == shift == 0 else others).append(key)
-    return F.array_distinct(F.array_compact(F.array(*own, *others)))
+    d = lines.withColumn("n", F.char_length("line")).filter(F.col("n") >= EDITS_FROM[0])
+    d = d.select("line_id", "line", "n", F.explode(_probe_table(F.col("n"))).alias("p"))
+    d = d.select("line_id", "line", "n", (F.col("n") - F.col("p.more")).alias("m"), (F.col("p.k") + 1).alias("parts"), "p.i", "p.shift", "p.own")
+    # even segments, the last ones a character longer
+    d = d.withColumn("base", F.expr("cast(m div parts as int)")).withColumn("short", F.col("parts") - F.col("m") % F.col("parts"))
+    at = 1 + (F.col("i") - 1) * F.col("base") + F.greatest(F.lit(0), F.col("i") - 1 - F.col("short")) + F.col("shift")
+    size = F.col("base") + F.when(F.col("short") < F.col("i"), 1).otherwise(0)
+    d = d.withColumn("at", at).withColumn("size", size).filter((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
+    key = F.xxhash64("m", "i", F.substr("line", F.col("at"), F.col("size")))
+    return d.select(key.alias("key"), F.col("line_id").bitwiseOR(F.col("own").cast("bigint")).alias("tag"), "line")
 
 
 def within(a: Column, b: Column, k: int = 2) -> Column:
@@ -119,20 +136,31 @@ def within(a: Column, b: Column, k: int = 2) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no`` (from 0), ``line`` and its 64-bit hash ``line_id``; lines without a word are left out."""
+    """``doc_id, line_no`` (from 0), ``line`` and ``line_id`` (an even 64-bit hash); lines without a word are left out."""
     lines = docs.select(F.col("doc_id").cast("bigint"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return lines.filter(F.translate("line", _BLANKS, "") != "").withColumn("line_id", F.xxhash64("line"))
+    return lines.filter(F.col("line").rlike(f"[^{_BLANKS}]")).withColumn("line_id", F.xxhash64("line").bitwiseAND(F.lit(-2)))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs
     for c in "ab":
-        both = both.join(texts.select(F.col("line_id").alias(c), F.col("line").alias(f"{c}_line")), c)
+        both = both.join(texts.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line")), c)
     u, v = F.col("a_line"), F.col("b_line")
     shorter = F.least(F.char_length(u), F.char_length(v))
     return both.filter(within(u, v) <= tolerated(shorter)).select("a", "b").distinct()
 
 
+def _grams(line: Column) -> Column:
+    """Pairs of characters as a set of hashes: the k-th occurrence of a pair is an element of its own."""
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.char_length(line) - 1), lambda j: F.xxhash64(F.substr(line, j, F.lit(2)))))
+    return F.element_at(F.transform(F.array(pairs), lambda g: F.transform(g, lambda v, j: F.xxhash64(v, j - F.array_position(g, v)))), 1)
+
+
+def _reach(size: Column) -> Column:
+    """Elements of _grams in which linked lines differ at most: an edit changes two pairs of characters to two others."""
+    return 4 * tolerated(size + 1)
+
+
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of equal and near-equal lines.
 
@@ -145,65 +173,57 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A null or empty text, and lines without a word, give no rows; rows that
     repeat a doc_id share the places of equal line numbers; an empty table gives
-    no rows.  Two different lines count as equal with probability 2**-64 a pair.
+    no rows.  Two different lines count as equal with probability 2**-63 a pair.
     """
     lines = lines_of(docs)
-    # a place as one number, which a hash aggregate can keep the least of; null ids last
-    unit, beyond = F.lit(1 << 32).cast("decimal(12,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")
-    place = (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), beyond) * unit + F.col("line_no").cast("decimal(12,0)")).cast("decimal(38,0)")
-    distinct = lines.groupBy("line").agg(F.min(place).alias("first")).withColumn("line_id", F.xxhash64("line"))
-    distinct = written(distinct)
-    release_shuffles(docs.sparkSession)
-    sized = distinct.select("line_id", "line", F.char_length("line").alias("n")).filter(F.col("n") >= EDITS_FROM[0])
-    spread = sized.select(F.col("line_id").alias("id"), "n", F.posexplode(_keys(F.col("line"), F.col("n"))).alias("at", "key"))
-    tagged = spread.select("key", "id", (F.col("at") <= tolerated(F.col("n"))).alias("indexed"))
-    # a line has a key once, so the rows of a key are its lines; most keys belong to one line
-    per_key = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("indexed").alias("indexed"))
-    shared = written(per_key.filter("size > 1 and indexed").drop("indexed"))
-    texts = distinct.select("line_id", "line")
-
-    two = shared.filter("size = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    release_shuffles(docs.sparkSession)
+    keys = keyed(lines)
+    own = F.col("tag").bitwiseAND(F.lit(1))
+    id_ = F.col("tag").bitwiseAND(F.lit(-2)).alias("id")
+    # most keys belong to one line, and are gone after this aggregation
+    per_key = keys.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"), F.bit_or("tag").alias("tag"))
     # a table of its own, so that its true size decides how it is joined
-    many = written(shared.filter("size > 2").select("key", F.col("lo").alias("leader"), "size"))
-    members = written(tagged.join(many, "key"))
-    star = members.filter("id <> leader").select("leader", "id").toDF("a", "b")
-    few = members.filter(F.col("size") <= PAIRED)
+    shared = written(per_key.filter((own == 1) & (F.shiftright("lo", 1) != F.shiftright("hi", 1))).select("key"))
+    found = written(keys.join(shared, "key").distinct())
+    texts = written(found.select(id_, "line").distinct())
+    members = found.groupBy("key", id_).agg((F.max(own) == 1).alias("indexed"))
+    members = written(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key"))
+
+    few, many = members.filter(F.col("size") <= PAIRED), members.filter(F.col("size") > PAIRED)
     x, y = few.filter("indexed").alias("x"), few.alias("y")
-    paired = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    release_shuffles(docs.sparkSession)
-    pairs = written(two.unionAll(star).unionAll(paired).distinct())
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    groups = written(led(many.select("key", "id")))
+    pairs = written(pairs.unionAll(groups.select(F.least("g", "id").alias("a"), F.greatest("g", "id").alias("b"))).filter("a < b").distinct())
     links = written(_linked(pairs, texts))
     components = connected_components(links)
 
-    placed = members.filter(F.col("size") > PAIRED).join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = written(placed.select("key", "id", "indexed", "component"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("u"), F.max("component").alias("v")).filter("u < v").select("key")
-    rest = placed.join(open_, "key")
-    rest = rest.join(texts.withColumnRenamed("line_id", "id"), "id").withColumn("mask", _letters(F.col("line"))).drop("line")
-    rest = written(rest)
-    x, y = rest.filter("indexed").alias("x"), rest.alias("y")
-    # an edit changes the parity of two characters at most
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.bit_count(F.col("x.mask").bitwiseXOR(F.col("y.mask"))) <= 4))
-    more = written(more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    # groups whose members are still apart
+    placed = groups.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = placed.groupBy("g").agg(F.min("component").alias("u"), F.max("component").alias("v")).filter("u < v").select("g")
+    rest = written(placed.join(open_, "g"))
     compared = pairs
-    if not more.isEmpty():
+    if not rest.isEmpty():
+        used = rest.select("id").unionAll(rest.select("g")).distinct()
+        grams = written(texts.join(used, "id").select("id", _grams(F.col("line")).alias("elements")))
+        more = written(beyond_leaders(rest, grams, _reach, True).join(pairs, ["a", "b"], "left_anti"))
         links, compared = links.unionAll(written(_linked(more, texts))), pairs.unionAll(more)
         components = connected_components(links)
-    hot = placed.drop("component").join(texts.withColumnRenamed("line_id", "id"), "id").withColumn("mask", _letters(F.col("line"))).drop("line")
+    hot = many.select("key", "id", "indexed").join(texts, "id").withColumn("mask", _letters(F.col("line"))).drop("line")
     hot = block_pairs(hot).filter((F.col("x.indexed") | F.col("y.indexed")) & (F.bit_count(F.col("x.mask").bitwiseXOR(F.col("y.mask"))) <= 4))
     hot = hot.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
     links = links.unionAll(_linked(hot, texts))
 
-    first = distinct.select("line_id", "first").join(components.withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
-    grouped = first.filter("component <> line_id").select("component").distinct().join(first, "component").groupBy("component").agg(F.min("first").alias("class_first"))
-    known = first.join(grouped, "component", "left").select("line_id", F.coalesce("class_first", "first").alias("c"))
+    # a place as one number, which a hash aggregate can keep the least of; null ids last
+    unit, beyond = F.lit(1 << 32).cast("decimal(12,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")
+    place = (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), beyond) * unit + F.col("line_no").cast("decimal(12,0)")).cast("decimal(38,0)")
+    placed = written(lines.drop("line")).join(components.withColumnRenamed("id", "line_id"), "line_id", "left").select("doc_id", "line_no", F.coalesce("component", "line_id").alias("class"))
+    first = placed.groupBy("class").agg(F.min(place).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     line_no = F.pmod("c", unit)
-    known = known.select("line_id", line_no.cast("int").alias("class_line_no"), ((F.col("c") - line_no) / unit).cast("decimal(20,0)").alias("i"))
-    known = known.select("line_id", "class_line_no", F.when(F.col("i") < beyond, F.col("i").cast("bigint")).alias("class_doc_id"))
-    out = lines.select("doc_id", "line_no", "line_id").join(written(known), "line_id")
-    same = F.col("class_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("class_line_no") == F.col("line_no"))
-    return out.select("doc_id", "line_no", "class_doc_id", "class_line_no", (~same).alias("copy")), links
+    first = first.select("class", line_no.cast("int").alias("class_line_no"), ((F.col("c") - line_no) / unit).cast("decimal(20,0)").alias("i"))
+    first = first.select("class", "class_line_no", F.when(F.col("i") < beyond, F.col("i").cast("bigint")).alias("class_doc_id"))
+    out = placed.join(first, "class", "left")
+    same = F.col("class_line_no").isNull() | (F.col("class_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("class_line_no") == F.col("line_no")))
+    own_doc = F.when(F.col("class_line_no").isNull(), F.col("doc_id")).otherwise(F.col("class_doc_id"))
+    return out.select("doc_id", "line_no", own_doc.alias("class_doc_id"), F.coalesce("class_line_no", "line_no").alias("class_line_no"), (~same).alias("copy")), links
 
 
 def _letters(line: Column) -> Column:
