@@ -17,7 +17,7 @@ from weftgraph.llm import token_files as T
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
-ODD = ["", "a", "<|endoftext|>", "don't 'stuff ''s 're've'll x'LL 'R", "ΣΑΣ Σ", "  ", "é́ é ́x", "İstanbul ½²³ 12a3", "日本語 テスト", "a b\u0085c", "x" * 3000, "'" * 600 + "s", "µÀß÷×", "<|startoftext|>abc<|ENDOFTEXT|>", "<|endoftext|> <|ENDOFTEXT|> A1 a1", "\x1c \x1f\x00a", "don’t…", "word. word, WORD!! a|b", "퟿\U0001f600 ok"]
+ODD = ["", "a", "<|endoftext|>", "don't 'stuff ''s 're've'll x'LL 'R", "ΣΑΣ Σ", "  ", "é́ é ́x", "İstanbul ½²³ 12a3", "日本語 テスト", "a b\u0085c", "x" * 3000, "'" * 600 + "s", "µÀß÷×", "<|startoftext|>abc<|ENDOFTEXT|>", "<|endoftext|> <|ENDOFTEXT|> A1 a1", "\x1c \x1f\x00a", "don’t…", "word. word, WORD!! a|b", "BB\x1c's©a<|startoftext|><|endoftext|>\x1c", "тест\x1d's\x1e日\x1f\x85本 <|endoftext|>'re", "\u1680\u200b\u2028a\u3000b\u00a0c\ufeff", "퟿\U0001f600 ok"]
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def library():
 
 def texts(seed, n):
     rng = random.Random(seed)
-    return ODD + ["".join(rng.choice("abcdefgst'’ .,!é<|>ÀßZQ01 \n\t́Σ") for _ in range(rng.randint(0, 80))) for _ in range(n)]
+    return ODD + ["".join(rng.choice("abcdefgst'’ .,!é<|>ÀßZQ01 \n\t\x1c\x1f\x85тЖ日́Σ") for _ in range(rng.randint(0, 80))) for _ in range(n)]
 
 
 def test_counts_equal_the_library(library):
@@ -46,11 +46,30 @@ def test_chunk_maps_compose_and_tables_restart(monkeypatch, library):
     some = texts(2, 200)
     expected = [len(library.encode(t, add_special_tokens=False).ids) for t in some]
     assert C.count_texts(some, PATH).tolist() == expected
-    monkeypatch.setattr(C, "MOST_STATES", 50)
+    monkeypatch.setattr(C, "TABLE_BYTES", 1 << 20)  # the library counts what no longer fits
     for lo in range(0, len(some), 20):
         assert C.count_texts(some[lo : lo + 20], PATH).tolist() == expected[lo : lo + 20]
 
 
+def test_a_very_long_word_takes_linear_time(library):
+    import time
+
+    rng = random.Random(8)
+    word = "é" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    C.count_texts([word[:1000]], PATH)
+    began = time.process_time()
+    got = C.count_texts([word, "x" * (1 << 20), "ok"], PATH)
+    assert time.process_time() - began < 20
+    assert got[2] == 1 and got[0] == len(library.encode(word, add_special_tokens=False).ids)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["\x1c", "\x1f", "\x85", " ", "'s", "'", "Б", "б", "日", "a", "Z9", "<|endoftext|>", "<|", "é", "\u0301", "!", "½", "\u2028", "ǅ", "ß", "İ"]), max_size=12))
+def test_spaces_and_scripts_count_as_in_the_library(parts):
+    text = "".join(parts)
+    assert C.count_texts([text], PATH)[0] == len(C._machine(PATH)[0].encode(text, add_special_tokens=False).ids)
+
+
 def test_count_query_shape(spark, library):
     rows = [(1, "hello world"), (1, "hello world"), (2, None), (None, "é x"), (3, "w " * 3000)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("n_bytes", F.lit("clash"))

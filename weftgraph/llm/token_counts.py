@@ -19,9 +19,13 @@ carry the number of tokens they emit.
   maps compose from left to right, which fixes every chunk's incoming state.  A
   prefix sum over the emissions then gives the counts of all documents.
 
-Code points up to U+00FF run through the transducer.  White-space-delimited
-words with others, or with an added token's string, are counted by the
-tokenizer library: exact for the rest.
+The transducer reads the UTF-8 bytes of lower-cased words.  White space, letters,
+numbers and lower case are what the tokenizer says they are: it is asked about a
+code point when that first occurs.  An added token's string is one token and
+ends words.  The library itself counts only texts that its normalisation changes
+by more than lower case and white space (other than NFC, or a code point whose
+lower case is longer), and batches of words so odd that the tables outgrow
+``TABLE_BYTES``.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,10 +46,13 @@ from pyspark.sql import functions as F
 from . import words as W
 from .shared import text_batches
 
-#: States at which the tables start afresh; bounds a worker's memory.
-MOST_STATES = 150_000
+#: Size at which the tables start afresh, and pairs of tokens remembered; both bound a worker's memory.
+TABLE_BYTES = 48 << 20
+MOST_PAIRS = 200_000
 CHUNK = 256
-_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+#: Chunks up to which stepping one by one is faster than in arrays.
+FEW = 4
+_SPACE, _LETTER, _NUMBER, _OTHER, _STRANGE = range(5)
 
 
 def _byte_symbols() -> list[str]:
@@ -53,20 +62,31 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
 
 
-def _latin_classes() -> tuple[np.ndarray, np.ndarray]:
-    import unicodedata
+class Alphabet:
+    """Class and lower case of every code point, asked of the tokenizer when it first occurs."""
 
-    kind, lower = np.zeros(256, np.int8), np.zeros(256, np.uint8)
-    for c in range(256):
-        cat = unicodedata.category(chr(c))
-        space = 0x09 <= c <= 0x0D or c in (0x20, 0x85, 0xA0)
-        kind[c] = _SPACE if space else _LETTER if cat[0] == "L" else _NUMBER if cat[0] == "N" else _OTHER
-        low = chr(c).lower()
-        lower[c] = ord(low) if len(low) == 1 and ord(low) < 256 else c
-    return kind, lower
+    def __init__(self, tokenizer):
+        self.normalizer, self.pre = tokenizer.normalizer, tokenizer.pre_tokenizer
+        self.kind = np.full(sys.maxunicode + 1, -1, np.int8)
+        self.lower = np.zeros(sys.maxunicode + 1, np.int32)
 
+    def classes(self, points: np.ndarray) -> np.ndarray:
+        new = np.unique(points[self.kind[points] < 0])
+        for c in new.tolist():
+            self.kind[c], self.lower[c] = self._ask(chr(c))
+        return self.kind[points]
 
-KIND, LOWER = _latin_classes()
+    def _ask(self, c: str) -> tuple[int, int]:
+        norm = self.normalizer.normalize_str(c)
+        if len(norm) != 1 or unicodedata.category(c) == "Cn":
+            return _STRANGE, 0
+        one = lambda text: len(self.pre.pre_tokenize_str(text))
+        kind = _SPACE if not one(norm) else _LETTER if one(f"a{norm}a") == 1 else _OTHER if one(f"!{norm}!") == 1 else _NUMBER
+        return kind, ord(norm)
+
+
+class TablesFull(Exception):
+    """The transducer's tables have outgrown TABLE_BYTES."""
 
 
 class Transducer:
@@ -106,6 +126,8 @@ class Transducer:
             self.states[x] = len(self.tuples)
             self.tuples.append(x)
             if len(self.tuples) > len(self.next):
+                if 2 * (self.next.nbytes + self.emit.nbytes) > TABLE_BYTES:
+                    raise TablesFull
                 self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
                 self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)])
         return self.states[x]
@@ -123,7 +145,7 @@ class Transducer:
     def _fits(self, before: tuple | None, token: tuple) -> bool:
         key = (before, token)
         if key not in self.valid:
-            if len(self.valid) > 2_000_000:
+            if len(self.valid) > MOST_PAIRS:
                 self.valid.clear()
             want = ["".join(token)] if before is None else ["".join(before), "".join(token)]
             self.valid[key] = self._merged((before or ()) + token) == want
@@ -143,14 +165,9 @@ class Transducer:
         return (*kept, (0, token, 0)), emitted
 
     def _compile(self, state: int, code: int) -> None:
-        """Derive one transition.  code: a lower-cased code point, plus 256 at a word's end."""
-        point, last = code & 255, code >> 8
-        now, emitted = self.tuples[state], 0
-        raw = chr(point).encode()
-        for i, b in enumerate(raw):
-            symbol = self.bytes[b] + (self.suffix if last and i == len(raw) - 1 else "")
-            now, n = self._step(now, symbol)
-            emitted += n
+        """Derive one transition.  code: a byte, plus 256 at a word's end."""
+        byte, last = code & 255, code >> 8
+        now, emitted = self._step(self.tuples[state], self.bytes[byte] + (self.suffix if last else ""))
         to = 0 if last else self._state(now)
         self.next[state, self.column[code]] = to
         self.emit[state, self.column[code]] = emitted
@@ -159,6 +176,8 @@ class Transducer:
         """Table columns of the codes; new codes get new columns."""
         for code in np.flatnonzero(np.bincount(codes, minlength=512)).tolist():
             if self.column[code] < 0:
+                if self.codes == self.width and 2 * (self.next.nbytes + self.emit.nbytes) > TABLE_BYTES:
+                    raise TablesFull
                 self.column[code] = self.codes
                 self.codes += 1
                 if self.codes > self.width:
@@ -171,27 +190,38 @@ class Transducer:
         to = self.next[state, column]
         unknown = np.flatnonzero(to < 0)
         if len(unknown):
-            for key in np.unique(state[unknown].astype(np.int64) << 9 | code[unknown]).tolist():
+            for key in np.unique(state[unknown].astype(np.int64) << 9 | code[unknown].astype(np.int64)).tolist():
                 self._compile(key >> 9, key & 511)
             to = self.next[state, column]
         return to, self.emit[state, column]
 
+    def walk(self, state: int, columns: list[int], codes: list[int]) -> tuple[int, list[int]]:
+        """One chunk, step by step: the state after it and the tokens emitted at each step."""
+        out = []
+        for column, code in zip(columns, codes, strict=True):
+            to = self.next.item(state, column)
+            if to < 0:
+                self._compile(state, code)
+                to = self.next.item(state, column)
+            out.append(self.emit.item(state, column))
+            state = to
+        return state, out
+
 
-def word_ends(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Character class of each code point, and whether a pre-token ends with it.
+def word_ends(kind: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Whether a pre-token ends with each code point, from its class and its lower case.
 
     Fixed pattern: 's|'t|'re|'ve|'m|'ll|'d|[letters]+|[number]|[others]+ .
     """
-    kind = KIND[points]
-    n = len(points)
+    n = len(kind)
     after = np.zeros(n, np.int8)
     after[:-1] = kind[1:]
     end = (kind != _SPACE) & ((kind != after) | (kind == _NUMBER))
-    quote = np.flatnonzero((points == 0x27) & np.concatenate([[True], kind[:-1] != _OTHER]))
+    quote = np.flatnonzero((lower == 0x27) & np.concatenate([[True], kind[:-1] != _OTHER]))
     if len(quote):
-        padded = np.concatenate([LOWER[points], np.zeros(3, np.uint8)])
+        padded = np.concatenate([lower, np.zeros(3, lower.dtype)])
         x, y = padded[quote + 1], padded[quote + 2]
-        one = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+        one = np.isin(x, [*b"stmd"])
         two = ((x == ord("r")) & (y == ord("e"))) | ((x == ord("v")) & (y == ord("e"))) | ((x == ord("l")) & (y == ord("l")))
         for which, length in ((one, 1), (two & ~one, 2)):
             at = quote[which]
@@ -199,33 +229,32 @@ def word_ends(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if length == 2:
                 end[at + 1] = False
             end[at + length] = True
-    return kind, end
+    return end
 
 
-def emissions(machine: Transducer, points: np.ndarray) -> np.ndarray:
-    """Tokens emitted at each code point of a text (signed; prefix sums at word ends are exact)."""
-    n = len(points)
-    out = np.zeros(n + 1, np.int8)
-    kind, end = word_ends(points)
-    if len(machine.tuples) > MOST_STATES:
-        machine.clear()
-    at = np.flatnonzero(kind != _SPACE)  # white space neither emits nor keeps state: words end before it
-    if not len(at):
-        return out[:n]
-    code = LOWER[points[at]].astype(np.int64) | end[at].astype(np.int64) << 8
+def emissions(machine: Transducer, code: np.ndarray) -> np.ndarray:
+    """Tokens emitted at each byte of the words (signed; prefix sums at word ends are exact).
+
+    ``code`` is a byte, plus 256 where it is the last of a word; white space is left out.
+    """
     column = machine.columns(code)
-    emitted = np.zeros(len(at), np.int8)
-    resets = np.flatnonzero(end[at])
-    lo = np.arange(0, len(at), CHUNK)
-    hi = np.minimum(lo + CHUNK, len(at))
+    emitted = np.zeros(len(code), np.int8)
+    resets = np.flatnonzero(code >> 8)
+    lo = np.arange(0, len(code), CHUNK)
+    hi = np.minimum(lo + CHUNK, len(code))
     first = np.searchsorted(resets, lo)
-    body = np.where(first < len(resets), resets[np.minimum(first, len(resets) - 1)] + 1, len(at))
+    body = np.where(first < len(resets), resets[np.minimum(first, len(resets) - 1)] + 1, len(code)) if len(resets) else np.full(len(lo), len(code))
     closed = body <= hi  # chunks whose map is constant
     body = np.where(closed, body, hi)
 
     def run(which: np.ndarray, start: np.ndarray, stop: np.ndarray, state: np.ndarray) -> np.ndarray:
         """Step the chunks from start to stop together; their end states."""
         state = state.copy()
+        if len(state) <= FEW:
+            for j in range(len(state)):
+                a, b = int(start[j]), int(stop[j])
+                state[j], emitted[a:b] = machine.walk(int(state[j]), column[a:b].tolist(), code[a:b].tolist())
+            return state
         order = np.argsort(start - stop, kind="stable")  # the longest first, so the active ones are a prefix
         length = (stop - start)[order]
         s, p = state[order], start[order].copy()
@@ -255,8 +284,7 @@ def emissions(machine: Transducer, points: np.ndarray) -> np.ndarray:
         enters[onward + 1] = leaves[onward]
         todo[:] = False
         todo[onward + 1] = True
-    out[at] = emitted
-    return out[:n]
+    return emitted
 
 
 @lru_cache(maxsize=2)
@@ -264,40 +292,57 @@ def _machine(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
     from tokenizers import Tokenizer
 
-    spec = json.load(open(path, encoding="utf-8"))
+    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
     model = spec["model"]
     special = [t["content"] for t in spec["added_tokens"]]
-    odd = re.compile(rf"[^\s]*(?:[^\x00-\xff]|{'|'.join(map(re.escape, special))})[^\s]*")
     added = set(special)
-    return Tokenizer.from_file(path), Transducer({k: v for k, v in model["vocab"].items() if k not in added}, model["merges"], model["end_of_word_suffix"]), odd
+    machine = Transducer({k: v for k, v in model["vocab"].items() if k not in added}, model["merges"], model["end_of_word_suffix"])
+    return tokenizer, machine, re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)"), Alphabet(tokenizer)
 
 
 def count_texts(texts: list[str], path: str) -> np.ndarray:
     """Tokens of each text."""
-    tokenizer, machine, odd = _machine(path)
+    tokenizer, machine, special, alphabet = _machine(path)
     counts = np.zeros(len(texts), np.int64)
-    plain, owners, words = [], [], []
+    plain = []
     for i, text in enumerate(texts):
-        if not text.isascii() or "<|" in text:
-            found = odd.findall(text)
-            if found:
-                owners += [i] * len(found)
-                words += found
-                text = odd.sub(" ", text)
+        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+            counts[i] = len(tokenizer.encode(text, add_special_tokens=False).ids)
+            text = ""
+        elif "<" in text:
+            text, found = special.subn(" ", text)
+            counts[i] = found
         plain.append(text)
-    if words:
-        kinds = list(dict.fromkeys(words))
-        sizes = {w: len(e.ids) for w, e in zip(kinds, tokenizer.encode_batch(kinds, add_special_tokens=False), strict=True)}
-        np.add.at(counts, owners, [sizes[w] for w in words])
-    points = np.frombuffer(" ".join(plain).encode("latin-1"), np.uint8)
-    total = np.concatenate([[0], np.cumsum(emissions(machine, points), dtype=np.int64)])
-    at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in plain])])
-    return counts + total[np.minimum(at[1:] - 1, len(points))] - total[np.minimum(at[:-1], len(points))]
+    points = np.frombuffer(" ".join(plain).encode("utf-32-le"), np.uint32).astype(np.int32)
+    to = np.cumsum([len(t) + 1 for t in plain])
+    kind = alphabet.classes(points)
+    if (kind == _STRANGE).any():
+        for i in np.unique(np.searchsorted(to, np.flatnonzero(kind == _STRANGE), "right")).tolist():
+            counts[i] = len(tokenizer.encode(texts[i], add_special_tokens=False).ids)
+            kind[to[i] - len(plain[i]) - 1 : to[i] - 1] = _SPACE
+    lower = alphabet.lower[points]
+    end = word_ends(kind, lower)
+    at = np.flatnonzero(kind != _SPACE)  # white space neither emits nor keeps state: words end before it
+    if not len(at):
+        return counts
+    lower = lower[at]
+    last = np.cumsum(1 + (lower >= 0x80) + (lower >= 0x800) + (lower >= 0x10000))  # bytes up to each code point
+    code = np.frombuffer(lower.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8).astype(np.int16)
+    code[last[end[at]] - 1] |= 256
+    try:
+        emitted = emissions(machine, code)
+    except TablesFull:
+        machine.clear()
+        return np.array([len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)], np.int64)
+    total = np.concatenate([[0], np.cumsum(emitted, dtype=np.int64)])[np.concatenate([[0], last])]
+    return counts + np.diff(total[np.searchsorted(at, np.concatenate([[0], to]))])
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.resliced(batches, 4 << 20):
+        for batch in W.resliced(batches, 2 << 20):
             _, offsets = W.utf8(batch.column(1))
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(count_texts(texts, path))], ["doc_id", "n_bytes", "n_tokens"])
@@ -311,7 +356,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     ``path`` is a byte-level BPE file of the tokenizers library with a word-end
     suffix.  Input: ``doc_id`` and ``text``; other columns are ignored.  Nulls
     in ``text`` count as the empty text (no bytes, no tokens); repeated rows and
-    null ids each keep a row; an empty table gives no rows.  No shuffle.
+    null ids each keep a row; an empty table gives no rows; a very long text is counted
+    whole, in time proportional to its length.  No shuffle.
     """
     text_batches(docs)
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
