@@ -30,6 +30,8 @@ from .shared import beyond_leaders, block_pairs, connected_components, led, writ
 EDITS_FROM = (20, 40)
 #: Keys with more lines go under a leader instead of giving all pairs.
 PAIRED = 8
+#: Shared keys that are broadcast, at most (16 bytes each in memory); more of them are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 _BLANKS = " \\t\\x0b\\f\\r"
 
 
@@ -38,48 +40,54 @@ def tolerated(n: Column) -> Column:
     return F.when(n >= EDITS_FROM[1], F.lit(2)).when(n >= EDITS_FROM[0], F.lit(1)).otherwise(F.lit(0))
 
 
-def _probes(k: int, more: int) -> list[tuple[int, int, int, int, int]]:
-    """(k, more, segment, shift, own) of the substrings that a line compares with lines of ``more`` characters less."""
-    return [
-        (k, more, i, shift, int(more == shift == 0))
-        for i in range(1, k + 2)
-        for shift in range(max(-(i - 1), more - (k + 1 - i)), min(i - 1, more + (k + 1 - i)) + 1)
-    ]
+def _structs(rows: list[tuple], names: tuple[str, ...]) -> Column:
+    return F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(names, r, strict=True))) for r in rows))
 
 
-def _probe_table(n: Column) -> Column:
-    """The probes of a line of n characters: those of each length that it may be linked with, its own or less."""
+def _lengths(n: Column) -> Column:
+    """The tolerance ``k`` of each length that a line of n characters may be linked with, its own or ``more`` less."""
     one, two = EDITS_FROM
 
     def of(length: int) -> Column:
-        found = []
-        for more in range(3):
-            k = 2 if length - more >= two else 1 if length - more >= one else 0
-            if more <= k:
-                found += _probes(k, more) if k else []
-        names = ("k", "more", "i", "shift", "own")
-        return F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(names, p, strict=True))) for p in found))
+        found = [(2 if length - more >= two else 1 if length - more >= one else 0, more) for more in range(3)]
+        return _structs([x for x in found if x[0] and x[1] <= x[0]], ("k", "more"))
 
     out = F.when(n >= two + 2, of(two + 2))
-    for length in (two + 1, two, one):
+    for length in (two + 1, two):
         out = out.when(n == length, of(length))
-    return out.when(n > one, of(one + 1))
+    return out.when(n > one, of(one + 1)).otherwise(of(one))
+
+
+def _places(k: Column, more: Column) -> Column:
+    """Segments and shifts of the substrings that a line compares with lines of ``more`` characters less, ``own`` for its own."""
+
+    def of(k: int, more: int) -> Column:
+        shifts = lambda i: range(max(-(i - 1), more - (k + 1 - i)), min(i - 1, more + (k + 1 - i)) + 1)
+        return _structs([(i, shift, int(more == shift == 0)) for i in range(1, k + 2) for shift in shifts(i)], ("i", "shift", "own"))
+
+    out = F.when((k == 2) & (more == 0), of(2, 0)).when((k == 2) & (more == 1), of(2, 1)).when(k == 2, of(2, 2))
+    return out.when(more == 0, of(1, 0)).otherwise(of(1, 1))
 
 
 def keyed(lines: DataFrame) -> DataFrame:
     """Keys of every line: ``key, tag, line``; the tag is the line's id, plus 1 where the key is of a segment of its own.
 
-    One generator over a table of probes, so that one small expression makes all keys.
+    Generators over small tables, so that one short expression makes all keys.
     """
     d = lines.withColumn("n", F.char_length("line")).filter(F.col("n") >= EDITS_FROM[0])
-    d = d.select("line_id", "line", "n", F.explode(_probe_table(F.col("n"))).alias("p"))
-    d = d.select("line_id", "line", "n", (F.col("n") - F.col("p.more")).alias("m"), (F.col("p.k") + 1).alias("parts"), "p.i", "p.shift", "p.own")
+    # the bytes of an ASCII line: a substring of these is cut without counting characters
+    plain = F.when(F.octet_length("line") == F.col("n"), F.col("line").cast("binary"))
+    d = d.select("line_id", "line", "n", plain.alias("plain"), F.inline(_lengths(F.col("n"))))
     # even segments, the last ones a character longer
-    d = d.withColumn("base", F.expr("cast(m div parts as int)")).withColumn("short", F.col("parts") - F.col("m") % F.col("parts"))
-    at = 1 + (F.col("i") - 1) * F.col("base") + F.greatest(F.lit(0), F.col("i") - 1 - F.col("short")) + F.col("shift")
+    d = d.select("line_id", "line", "n", "plain", "k", "more", F.expr("cast((n - more) div (k + 1) as int)").alias("base"), (F.col("k") + 1 - (F.col("n") - F.col("more")) % (F.col("k") + 1)).alias("short"))
+    d = d.select("line_id", "line", "n", "plain", "more", "base", "short", F.inline(_places(F.col("k"), F.col("more"))))
+    before = F.col("i") - 1
+    at = 1 + before * F.col("base") + F.greatest(F.lit(0), before - F.col("short")) + F.col("shift")
     size = F.col("base") + F.when(F.col("short") < F.col("i"), 1).otherwise(0)
-    d = d.withColumn("at", at).withColumn("size", size).filter((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
-    key = F.xxhash64("m", "i", F.substr("line", F.col("at"), F.col("size")))
+    # a place outside the line would give a shorter substring, and no other line has it under this key
+    at = F.greatest(at, F.lit(1))
+    text = F.when(F.col("plain").isNotNull(), F.substr("plain", at, size).cast("string")).otherwise(F.substr("line", at, size))
+    key = F.xxhash64(F.col("n") - F.col("more"), "i", text)
     return d.select(key.alias("key"), F.col("line_id").bitwiseOR(F.col("own").cast("bigint")).alias("tag"), "line")
 
 
@@ -156,9 +164,9 @@ def _grams(line: Column) -> Column:
     return F.element_at(F.transform(F.array(pairs), lambda g: F.transform(g, lambda v, j: F.xxhash64(v, j - F.array_position(g, v)))), 1)
 
 
-def _reach(size: Column) -> Column:
-    """Elements of _grams in which linked lines differ at most: an edit changes two pairs of characters to two others."""
-    return 4 * tolerated(size + 1)
+def _reach(n: Column, m: Column) -> Column:
+    """Elements of _grams in which linked lines of n + 1 and m + 1 characters differ at most: an edit changes two pairs of characters to two others."""
+    return 4 * tolerated(F.least(n, m) + 1)
 
 
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,8 +191,13 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     per_key = keys.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"), F.bit_or("tag").alias("tag"))
     # a table of its own, so that its true size decides how it is joined
     shared = written(per_key.filter((own == 1) & (F.shiftright("lo", 1) != F.shiftright("hi", 1))).select("key"))
-    found = written(keys.join(shared, "key").distinct())
-    texts = written(found.select(id_, "line").distinct())
+    if shared.count() <= BROADCAST_KEYS:
+        found = written(keys.join(F.broadcast(shared), "key").distinct())
+        texts = found.select(id_, "line").distinct()
+    else:  # texts stay where they are
+        found = written(keys.select("key", "tag").join(shared, "key").distinct())
+        texts = lines.select(F.col("line_id").alias("id"), "line").join(found.select(id_).distinct(), "id").distinct()
+    texts = written(texts)
     members = found.groupBy("key", id_).agg((F.max(own) == 1).alias("indexed"))
     members = written(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key"))
 
