@@ -62,14 +62,14 @@ def test_pairs_beyond_leaders_lose_no_link(spark, seed):
     assert wanted
     frame = spark.createDataFrame(rest, "g bigint, id bigint, component bigint")
     elements = spark.createDataFrame([(i, [int(v) for v in x]) for i, x in sets.items()], "id bigint, elements array<bigint>")
-    found = {(r.a, r.b) for r in shared.beyond_leaders(frame, elements, lambda size: F.floor(size * 20 / 80)).collect()}
+    found = {(r.a, r.b) for r in shared.beyond_leaders(frame, elements, lambda n, m: F.floor((n + F.least(m, F.floor(n * 100 / 80))) * 20 / 180)).collect()}
     assert wanted <= found
     # a bound that doesn't depend on the size: differences of a pair may have nothing in common
     near = lambda a, b: len(sets[a] ^ sets[b]) <= 8
     rest = [(g, i, i) for g, i, _ in rest]
     wanted = {(a, b) for a in sets for b in sets if a < b and a // 100 == b // 100 and near(a, b)}
     frame = spark.createDataFrame(rest, "g bigint, id bigint, component bigint")
-    found = {(r.a, r.b) for r in shared.beyond_leaders(frame, elements, lambda size: F.lit(8) + size * 0, True).collect()}
+    found = {(r.a, r.b) for r in shared.beyond_leaders(frame, elements, lambda n, m: F.lit(8), True).collect()}
     assert wanted <= found
 
 

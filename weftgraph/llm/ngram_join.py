@@ -401,7 +401,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     rest = written(placed.join(open_, "g"))
     compared = pairs
     if not rest.isEmpty():
-        more = beyond_leaders(rest, sets.withColumnRenamed("shingles", "elements"), lambda size: F.floor(size * (den - num) / num))
+        more = beyond_leaders(rest, sets.withColumnRenamed("shingles", "elements"), lambda p, q: F.floor((p + F.least(q, F.floor(p * den / num))) * (den - num) / (den + num)))
         more = written(_bounded(more, reps, num, den).join(pairs, ["a", "b"], "left_anti"))
         links, compared = links.unionAll(written(_among_sets(more, sets, num, den))), pairs.unionAll(more)
         components = connected_components(links.unionAll(twice))

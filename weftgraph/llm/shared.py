@@ -74,59 +74,71 @@ def led(members: DataFrame) -> DataFrame:
 
     ``members`` has ``key, id``.  A key's leader is the member with the most keys:
     of near copies that is the one in the middle, from which the others were made.
+    Groups whose leaders are in turn members of another group are joined to that, two steps up.
     """
     keys = members.groupBy("id").agg(F.count(F.lit(1)).alias("keys"))
     # the order as one number, which a hash aggregate can keep the largest of
     order = F.call_function("shiftleft", F.col("keys"), F.lit(40)).bitwiseOR(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1)))
     ranked = keys.select("id", order.alias("order"))
     first = members.join(ranked, "id").groupBy("key").agg(F.max("order").alias("order"))
+    groups = written(members.join(first, "key").select("order", "id").distinct().join(ranked.withColumnRenamed("order", "own"), "id"))
+    # a leader that is a member of another group takes its own there: any common one will do
+    up = groups.groupBy("own").agg(F.max("order").alias("up"))
+    for _ in range(2):
+        groups = groups.join(up.withColumnRenamed("own", "order"), "order").select(F.col("up").alias("order"), "id", "own").distinct()
     leader = ranked.groupBy("order").agg(F.min("id").alias("g"))
-    return members.join(first.join(leader, "order").select("key", "g"), "key").select("g", "id").distinct()
+    return groups.join(leader, "order").select("g", "id").distinct()
 
 
-def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column], Column], apart: bool = False) -> DataFrame:
+def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column, Column], Column], apart: bool = False) -> DataFrame:
     """Pairs of one leader's group, in different components, whose sets may be close: ``(a, b)``, ``a < b``.
 
     ``rest`` has ``g, id, component`` and ``sets`` ``id, elements`` (distinct), also
-    of the leaders.  ``reach`` of a set's size bounds the elements in which it
-    differs from any set that it is linked with.
+    of the leaders.  ``reach(n, m)``, which grows with m, bounds the elements in
+    which linked sets of n and m elements differ.
 
     x and y differ in exactly the elements in which their differences to the leader
     differ.  Members that aren't linked with the leader have large differences, so
     those of a linked pair share many elements, and two sets that share many share
     one of the first few in a common order (prefix filter): here the rarest of the
-    group first, as many as the sizes of the differences leave possible.  Near
+    group first, as many as the sizes of the two differences leave possible.
+    Elements of one member only count in that order, but aren't joined.  Near
     copies that were changed in different places share no rare element and don't
     meet, however many there are.  Differences that need not share an element
-    (``apart``) meet by their sizes.
+    (``apart``) meet by their sizes, at least one of them outside the leader's component.
     """
     both = rest.join(sets, "id").join(sets.select(F.col("id").alias("g"), F.col("elements").alias("theirs")), "g")
     own = F.concat(F.array_except("elements", "theirs"), F.array_except("theirs", "elements"))
-    step = F.greatest(F.lit(1), F.floor(reach(F.size("theirs")) / 4)).cast("int")
-    both = written(both.select("g", "id", "component", reach(F.size("elements")).cast("int").alias("most"), step.alias("step"), own.alias("own")))
+    both = written(both.select("g", "id", "component", F.size("elements").alias("n"), F.size(own).alias("s"), own.alias("own")))
+    groups = both.groupBy("g").agg(F.max("n").alias("largest"), F.max(F.when(F.col("id") == F.col("g"), F.col("component"))).alias("home"))
+    most = reach(F.col("n"), F.col("largest")).cast("int")
+    step = F.greatest(F.lit(1), F.floor(reach(F.col("largest"), F.col("largest")) / 16)).cast("int")
     each = both.select("g", "id", F.explode("own").alias("e"))
-    often = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"))
-    ordered = each.join(often, ["g", "e"]).groupBy("g", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]).alias("rarest"))
-    d = both.drop("own").join(ordered, ["g", "id"], "left").withColumn("s", F.coalesce(F.size("rarest"), F.lit(0)))
-    d = d.withColumn("s", F.greatest("s", F.lit(0))).withColumn("band", F.floor(F.col("s") / F.col("step")).cast("int"))
-    low = F.floor(F.greatest(F.col("s") - F.col("most"), F.lit(0)) / F.col("step")).cast("int")
-    high = F.floor((F.col("s") + F.col("most")) / F.col("step")).cast("int")
-
-    def prefix(band: Column) -> Column:
-        shared = F.greatest(F.lit(1), F.ceil((F.col("s") + band * F.col("step") - F.col("most")) / 2)).cast("int")
-        first = F.slice("rarest", 1, F.greatest(F.col("s") - shared + 1, F.lit(0)))
-        return F.transform(first, lambda e: F.xxhash64("g", e, F.least("band", band), F.greatest("band", band)))
-
-    keys = F.when(F.col("s") > 0, F.flatten(F.transform(F.sequence(low, high), prefix))).otherwise(F.array().cast("array<bigint>"))
+    often = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    ordered = each.join(often, ["g", "e"]).groupBy("g", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "e"))), lambda x: x["e"]).alias("shared"))
+    d = both.drop("own").join(ordered, ["g", "id"], "left").join(groups, "g").select("*", most.alias("most"), step.alias("step"))
+    d = written(d.withColumn("band", F.floor(F.col("s") / F.col("step")).cast("int")))
+    at = d.filter("shared is not null").select("g", "id", "component", "n", "s", "most", "step", "band", F.size("shared").alias("k"), F.posexplode("shared").alias("pos", "e"))
+    at = at.withColumn("pos", F.col("s") - F.col("k") + F.col("pos") + 1).filter(F.col("pos") <= F.col("most") + 1)
+    # of two members the one with the smaller difference looks for the bands of the other's
+    bands = at.withColumn("band", F.explode(F.sequence("band", F.floor((F.col("s") + F.col("most")) / F.col("step")).cast("int"))))
+    shared = F.greatest(F.lit(1), F.ceil((F.col("s") + F.greatest(F.col("s"), F.col("band") * F.col("step")) - F.col("most")) / 2))
+    bands = bands.filter(F.col("pos") <= F.col("s") - shared + 1)
+    kept = ("id", "component", "n", "s", "pos")
+    x = bands.select(F.xxhash64("g", "e", "band").alias("key"), *kept).alias("x")
+    y = at.select(F.xxhash64("g", "e", "band").alias("key"), *kept).alias("y")
+    shared = F.greatest(F.lit(1), F.ceil((F.col("x.s") + F.col("y.s") - reach(F.col("x.n"), F.col("y.n"))) / 2))
+    possible = (F.col("x.s") - F.col("x.pos") + 1 >= shared) & (F.col("y.s") - F.col("y.pos") + 1 >= shared)
+    order = (F.col("x.s") < F.col("y.s")) | ((F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order & possible)
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     if apart:
-        keys = F.concat(keys, F.when(F.col("s") <= F.col("most"), F.array(F.xxhash64("g"))).otherwise(F.array().cast("array<bigint>")))
-    met = d.select("id", "component", F.explode(F.array_distinct(keys)).alias("key"))
-    met = written(met)
-    open_ = met.groupBy("key").agg(F.min("component").alias("u"), F.max("component").alias("v")).filter("u < v").select("key")
-    met = met.join(open_, "key")
-    x, y = met.alias("x"), met.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        small = d.filter("s <= most")
+        x, y = small.filter("home is null or component <> home").alias("x"), small.alias("y")
+        near = F.col("x.s") + F.col("y.s") <= reach(F.col("x.n"), F.col("y.n"))
+        small = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.component") != F.col("y.component")) & near)
+        pairs = pairs.unionAll(small.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    return pairs.distinct()
 
 
 def _print(edges: DataFrame) -> tuple:
