@@ -111,13 +111,13 @@ def test_edges_of_the_repository(spark, files, lines):
     edges = consolidate.consolidate(seen).collect()
     got = {(e.actor, e.rel, e.object, e.label, e.tag) for e in edges}
     assert {
-        ("basket", "pub", "paid", "-", "CODE"),
+        ("basket", "pub", "paid", "key=orderID", "CODE"),
         ("basket", "uses", "order-db", "sql", "CODE"),
         ("courier", "sub", "paid", "-", "CODE"),
         ("courier", "pub", "shipped", "-", "CODE"),
         ("courier", "http", "api.postline.io", "ANY /v1/send", "CODE"),
         ("courier", "pub", "unknownTopic?", "-", "INFERENCE"),
-        ("ledger", "sub", "paid", "-", "CODE"),
+        ("ledger", "sub", "paid", "group=ledger", "CODE"),
         ("ledger", "grpc", "Quotes", "-", "INFERENCE"),
     } <= got
     assert any(x[:3] == ("courier", "http", "basket") for x in got)

@@ -13,23 +13,22 @@ def tag_rank(tag: Column) -> Column:
     return F.when(tag == "CODE", 1).when(tag == "INFERENCE", 2).otherwise(3)
 
 
-def merged_receipts(places: Column) -> Column:
-    """Receipts of an ordered array of ``struct<path, line>``: files in first-seen order, each with its lines."""
-    paths = F.array_distinct(F.transform(places, lambda p: p["path"]))
-    return F.transform(paths, lambda path: F.struct(path.alias("path"), F.array_distinct(F.transform(F.filter(places, lambda p: p["path"] == path), lambda p: p["line"])).alias("lines")))
-
-
 def consolidate(sightings: DataFrame) -> DataFrame:
     """One edge per (actor, rel, object, label): strongest tag, all receipts, a note.
 
-    Repeated places are dropped before the shuffle's final step.  Receipts are
-    ordered by strength of evidence, then path and line.  An edge's places end in
-    one row, as its text form is one line; edge_counts and receipt_rows are the
-    forms without that limit.
+    Receipts are gathered per file and then per edge, files ordered by strength of
+    evidence and path, lines by strength and number.  An edge's places end in one
+    row, as its text form is one line; edge_counts and receipt_rows are the forms
+    without that limit.
     """
-    place = F.struct(tag_rank(F.col("tag")).alias("rank"), "path", "line")
-    grouped = sightings.groupBy(*EDGE_KEY).agg(F.array_sort(F.collect_set(place)).alias("places"), F.min(F.struct(tag_rank(F.col("tag")).alias("rank"), "tag")).alias("best"), F.min("note").alias("note"))
-    return grouped.select(*EDGE_KEY, F.col("best.tag").alias("tag"), merged_receipts(F.col("places")).cast(RECEIPTS).alias("receipts"), F.when(F.col("best.tag") != "CODE", F.col("note")).alias("note"))
+    rank = tag_rank(F.col("tag")).alias("rank")
+    best = lambda: F.min(F.struct(rank, "tag")).alias("best")
+    files = sightings.groupBy(*EDGE_KEY, "path").agg(F.array_sort(F.collect_set(F.struct(rank, "line"))).alias("lines"), best(), F.min("note").alias("note"))
+    numbers = F.array_distinct(F.transform("lines", lambda x: x["line"])).alias("lines")
+    file = F.struct(F.col("best.rank").alias("rank"), "path", numbers)
+    grouped = files.groupBy(*EDGE_KEY).agg(F.array_sort(F.collect_list(file)).alias("files"), F.min("best").alias("best"), F.min("note").alias("note"))
+    receipts = F.transform("files", lambda f: F.struct(f["path"].alias("path"), f["lines"].alias("lines")))
+    return grouped.select(*EDGE_KEY, F.col("best.tag").alias("tag"), receipts.cast(RECEIPTS).alias("receipts"), F.when(F.col("best.tag") != "CODE", F.col("note")).alias("note"))
 
 
 def receipt_rows(sightings: DataFrame) -> DataFrame:
@@ -46,6 +45,13 @@ def edge_counts(sightings: DataFrame) -> DataFrame:
     return sightings.groupBy(*EDGE_KEY).agg(F.count(F.lit(1)).alias("sightings"), F.min("path").alias("first_path"), F.min(tag_rank(F.col("tag"))).alias("rank"))
 
 
+def edge_tags(sightings: DataFrame) -> DataFrame:
+    """Edges with their strongest tag and its note, without receipts: what the lenses need."""
+    each = sightings.groupBy(*EDGE_KEY).agg(F.min(tag_rank(F.col("tag"))).alias("rank"), F.min("note").alias("note"))
+    tag = F.when(F.col("rank") == 1, "CODE").when(F.col("rank") == 2, "INFERENCE").otherwise("UNVERIFIED")
+    return each.select(*EDGE_KEY, tag.alias("tag"), F.when(F.col("rank") > 1, F.col("note")).alias("note"))
+
+
 def fold_labels(sightings: DataFrame) -> DataFrame:
     """Sightings without a label join the only labelled edge of the same (actor, rel, object)."""
     w = Window.partitionBy("actor", "rel", "object")

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..schema import CHANNELS, EDGE_KEY, STORES, SYNC
+from ..schema import EDGE_KEY, STORES, SYNC
+from ..sources.shared import kept
 
 
 @dataclass
@@ -47,20 +48,21 @@ def service_dependencies(edges: DataFrame) -> DataFrame:
 
 
 def _rings(pairs: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """Nodes reached over ``pairs(from, to)`` from ``start(id)`` and the least number of hops, 1 to ``hops``."""
-    seen = start.select("id", F.lit(0).alias("ring"))
-    frontier = seen
+    """Nodes reached over ``pairs(from, to)`` from ``start(id)`` and the least number of hops, 1 to ``hops``.
+
+    The pairs are written once.  A hop is one join and one aggregate: every node
+    has a pair with itself that costs nothing, so what is reached stays.
+    """
+    ids = pairs.select(F.explode(F.array("from", "to")).alias("id")).unionByName(start.select("id")).distinct()
+    steps = kept(pairs.select("from", "to", F.lit(1).alias("cost")).unionByName(ids.select(F.col("id").alias("from"), F.col("id").alias("to"), F.lit(0).alias("cost"))).groupBy("from", "to").agg(F.min("cost").alias("cost")))
+    seen = start.select("id").distinct().withColumn("ring", F.lit(0))
     for hop in range(1, hops + 1):
-        step = frontier.join(pairs, frontier["id"] == pairs["from"]).select(F.col("to").alias("id")).distinct()
-        frontier = step.join(seen, "id", "left_anti").withColumn("ring", F.lit(hop))
-        seen = seen.unionByName(frontier)
+        # only what the last hop has reached can go on; the rest steps to itself
+        step = seen.join(steps, (seen["id"] == steps["from"]) & ((F.col("cost") == 0) | (F.col("ring") == hop - 1)))
+        seen = step.select(F.col("to").alias("id"), (F.col("ring") + F.col("cost")).alias("ring")).groupBy("id").agg(F.min("ring").alias("ring"))
     return seen.filter("ring > 0")
 
 
-def subject(nodes: DataFrame, name: str) -> DataFrame:
-    return nodes.sparkSession.createDataFrame([(name,)], "id string")
-
-
 def impact(edges: DataFrame, start: DataFrame, hops: int = 3) -> DataFrame:
     """Who is affected when the start nodes break: ``node, ring``.
 
@@ -114,16 +116,21 @@ def lineage_channels(edges: DataFrame, start: DataFrame, hops: int = 4) -> DataF
 
 
 def lineage(edges: DataFrame, start: DataFrame, hops: int = 4) -> DataFrame:
-    """Edges from the producers of a channel to its consumers and onward, and calls back upstream."""
-    reached = lineage_channels(edges, start, hops).select("id", "ring").unionByName(start.select("id", F.lit(0).alias("ring")))
-    on = edges.filter(F.col("rel").isin("pub", "sub")).join(reached, F.col("object") == F.col("id"))
-    # the last channels are drawn, but what their readers do further on is not
-    kept = on.select(*edges.columns)
-    origin = start.select(F.col("id").alias("t"))
-    producers = edges.filter("rel = 'pub'").join(origin, F.col("object") == F.col("t"), "left_semi").select(F.col("actor").alias("p")).distinct()
-    consumers = kept.filter("rel = 'sub'").select(F.col("actor").alias("c")).distinct()
-    back = edges.filter(F.col("rel").isin(*SYNC)).join(producers, F.col("object") == F.col("p"), "left_semi").join(consumers, F.col("actor") == F.col("c"), "left_semi")
-    return kept.unionByName(back).dropDuplicates(EDGE_KEY)
+    """Edges from the producers of a channel to its consumers, what those publish, and so on; and calls back upstream.
+
+    Beyond the start channel's own producers, only actors that read a channel of
+    the ring before are drawn as producers.
+    """
+    reached = kept(lineage_channels(edges, start, hops).select("id", "ring").unionByName(start.select("id", F.lit(0).alias("ring"))))
+    read = edges.filter("rel = 'sub'").join(reached, F.col("object") == F.col("id")).drop("id", "ring")
+    first = edges.filter("rel = 'pub'").join(start, F.col("object") == F.col("id"), "left_semi")
+    readers = edges.filter("rel = 'sub'").join(reached, F.col("object") == F.col("id")).select(F.col("actor").alias("reader"), (F.col("ring") + 1).alias("next")).distinct()
+    # a reader at a ring publishes onward to channels of the next ring or of one before (a repeat)
+    pub = edges.filter("rel = 'pub'").join(reached.filter("ring > 0"), F.col("object") == F.col("id"))
+    onward = pub.join(readers.filter(F.col("next") <= hops), (F.col("actor") == F.col("reader")) & (F.col("ring") <= F.col("next")), "left_semi").drop("id", "ring")
+    origin = first.select(F.col("actor").alias("p")).distinct()
+    back = edges.filter(F.col("rel").isin(*SYNC)).join(origin, F.col("object") == F.col("p"), "left_semi").join(readers, F.col("actor") == F.col("reader"), "left_semi")
+    return read.unionByName(first).unionByName(onward).unionByName(back).dropDuplicates(EDGE_KEY)
 
 
 def simple_paths(edges: DataFrame, start: DataFrame, end: DataFrame | None = None, hops: int = 6, rels: tuple[str, ...] | None = None) -> DataFrame:
@@ -150,13 +157,13 @@ def simple_paths(edges: DataFrame, start: DataFrame, end: DataFrame | None = Non
 
 def reachable(edges: DataFrame, rels: tuple[str, ...], hops: int) -> DataFrame:
     """Distinct ``a, b``: b is reached from a over the relations within ``hops`` calls."""
-    pairs = edges.filter(F.col("rel").isin(*rels)).select(F.col("actor").alias("a"), F.col("object").alias("b")).filter("a <> b").distinct()
+    pairs = kept(edges.filter(F.col("rel").isin(*rels)).select(F.col("actor").alias("a"), F.col("object").alias("b")).filter("a <> b").distinct())
+    seen = pairs
     steps = pairs.select(F.col("a").alias("m"), F.col("b").alias("n"))
-    seen = frontier = pairs
+    steps = steps.unionByName(steps.select(F.explode(F.array("m", "n")).alias("m")).distinct().withColumn("n", F.col("m")))
     for _ in range(hops - 1):
-        frontier = frontier.join(steps, F.col("b") == F.col("m")).select("a", F.col("n").alias("b")).distinct()
-        seen = seen.unionByName(frontier)
-    return seen.distinct()
+        seen = seen.join(steps, F.col("b") == F.col("m")).select("a", F.col("n").alias("b")).distinct()
+    return seen
 
 
 def cycles(edges: DataFrame, rels: tuple[str, ...] = ("http", "grpc", "gql"), most: int = 6) -> DataFrame:
@@ -234,7 +241,3 @@ def stats(edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, CODE edges, inferred edges."""
     ends = edges.select(F.explode(F.array("actor", "object")).alias("id")).agg(F.count_distinct("id").alias("nodes"))
     return edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("tag") == "CODE").alias("code"), F.count_if(F.col("tag") != "CODE").alias("inferred")).join(F.broadcast(ends))
-
-
-def is_conduit(kind: str = "kind"):
-    return F.col(kind).isin(*CHANNELS)

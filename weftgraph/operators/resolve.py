@@ -7,16 +7,22 @@ edge; what can be named but not resolved is an inferred edge (messages) or a gap
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import kept
 
 MESSAGES = ("pub", "sub")
 _LITERAL = r"[\"'`]([^\"'`]+)[\"'`]"
 _FIELD = r"(?i)\b(?:topics?|destination|queue(?:_?url)?|topic_?arn|subject|channel)\b\s*[:=]\s*\[?\s*[\"'`]([^\"'`]+)[\"'`]"
 
 
+_FIELD_NAME = r"(?i)\b(?:topics?|destination|queue(?:_?url)?|topic_?arn|subject|channel)\b"
+
+
 def symbols(lines: DataFrame) -> DataFrame:
     """Constants and defaults of environment variables: ``path, line, key, value``."""
     constant = r"^\s*(?:export\s+)?(?:(?:public|private|static|final|const|let|var|val|String)\s+)*([A-Za-z_][A-Za-z0-9_]*)\s*(?::\s*\w+\s*)?(?::=|=)\s*[\"'`]([^\"'`]+)[\"'`]"
@@ -39,9 +45,15 @@ def _named(hits: DataFrame) -> DataFrame:
     url = F.when(call != "", F.struct(call.alias("v"), F.lit(0).alias("i")))
     one = lambda found: F.get(found, F.lit(0))
     pick = F.coalesce(url, one(field), F.when(here != "", F.struct(here.alias("v"), F.lit(0).alias("i"))), one(below))
-    ident = F.regexp_extract("text", r"[({]\s*\[?\s*(?:f?[\"'`]?\$?\{)?([A-Za-z_][A-Za-z0-9_.]*)\b(?!\s*\()", 1)
+    # the identifier that a named field has, else the first argument; a function's result is computed at run time
+    name = r"([A-Za-z_][A-Za-z0-9_.]*)"
+    held = F.regexp_extract("text", _FIELD_NAME + r"\s*[:=]\s*\[?\s*" + name + r"\b(?!\s*\()", 1)
+    argument = r"^[^({]*[({]\s*\{?\s*\[?\s*(?:f?[\"'`]?\$?\{)?" + name
+    passed, called = F.regexp_extract("text", argument + r"\b(?!\s*[(:])", 1), F.regexp_extract("text", argument + r"\s*\(", 1)
+    computed = F.when((held == "") & (called != ""), called)
+    ident = F.when(held != "", held).when(called == "", passed)
     d = hits.withColumn("lit", pick)
-    return d.withColumn("literal", F.col("lit.v")).withColumn("at", F.col("line") + F.coalesce(F.col("lit.i"), F.lit(0))).withColumn("ident", F.nullif(T.last_dotted(ident), F.lit(""))).drop("lit")
+    return d.withColumn("literal", F.col("lit.v")).withColumn("at", F.col("line") + F.coalesce(F.col("lit.i"), F.lit(0))).withColumn("ident", F.nullif(T.last_dotted(ident), F.lit(""))).withColumn("computed", computed).drop("lit")
 
 
 def ladder(hits: DataFrame, defined: DataFrame, config: DataFrame) -> DataFrame:
@@ -66,7 +78,15 @@ def ladder(hits: DataFrame, defined: DataFrame, config: DataFrame) -> DataFrame:
     out = F.struct(F.lit(7).alias("rung"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("tag"), F.array(site).alias("places"))
     for rung, when, value, tag, places in reversed(rungs):
         out = F.when(when, F.struct(F.lit(rung).alias("rung"), value.alias("value"), F.lit(tag).alias("tag"), F.array_distinct(places).alias("places"))).otherwise(out)
-    return j.withColumn("r", out).select("family", "rel", "path", "line", "text", "ident", "is_test", "all_values", "r.rung", "r.value", "r.tag", "r.places")
+    return j.withColumn("r", out).withColumn("ident", F.coalesce("ident", "computed")).select("family", "rel", "path", "line", "text", "after", "ident", "is_test", "all_values", "r.rung", "r.value", "r.tag", "r.places")
+
+
+def message_label(rel: Column, text: Column) -> Column:
+    """``key=``, ``rk=``, ``group=`` or ``queue=`` of a message call site, as far as it says; else null."""
+    word = r"\s*[:=(]+\s*(?:\[\]byte\()?[\"'`]?([A-Za-z_][A-Za-z0-9_.*#-]*)"
+    said = lambda name: F.nullif(F.regexp_extract(text, rf"\b{name}{word}", 1), F.lit(""))
+    of = lambda label, name: F.concat(F.lit(f"{label}="), said(name))
+    return F.when(rel == "pub", F.coalesce(of("key", "[kK]ey"), of("rk", "[rR]outing_?[kK]ey"))).otherwise(F.coalesce(of("group", "[gG]roup(?:_?[iI][dD])?"), of("queue", "[qQ]ueue")))
 
 
 def target(resolved: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -78,6 +98,9 @@ def target(resolved: DataFrame, hosts: DataFrame) -> DataFrame:
     """
     value = F.col("value")
     url_host = F.coalesce(T.host(value), F.when(value.rlike(r"^[A-Za-z0-9.-]+(:[0-9]+)$"), F.substring_index(value, ":", 1)))
+    # names inside a cluster or a private network are known by their first part
+    private = url_host.rlike(r"\.(svc|local|internal|lan|cluster)$|\.svc\.")
+    url_host = F.when(private, F.substring_index(url_host, ".", 1)).otherwise(url_host)
     d = resolved.withColumn("host", F.when(~F.col("rel").isin(*MESSAGES), url_host))
     d = d.join(hosts.select("host", F.col("id").alias("known"), F.col("kind").alias("known_kind")), "host", "left")
     message = F.col("rel").isin(*MESSAGES)
@@ -87,7 +110,8 @@ def target(resolved: DataFrame, hosts: DataFrame) -> DataFrame:
     kind = F.when(message, "topic").when(F.col("known").isNotNull(), F.col("known_kind")).when(F.col("rel") == "uses", "store").when(public, "ext").otherwise("ref")
     method = F.upper(F.regexp_extract("text", r"\.(get|post|put|delete|patch|Get|Post)\(", 1))
     path = F.regexp_extract(value, r"^[a-z+]+://[^/]+(/[^\"'`]*)", 1)
-    label = F.when(F.col("rel") == "uses", T.engine(value)).when((F.col("rel") == "http") & (path != ""), T.http_label(F.when(method == "", "ANY").otherwise(method), path)).otherwise("-")
+    near = F.array_join(F.concat(F.array("text"), "after"), " ") if "after" in resolved.columns else F.col("text")
+    label = F.when(message, message_label(F.col("rel"), near)).when(F.col("rel") == "uses", optional_label(T.engine(value), F.col("text"))).when((F.col("rel") == "http") & (path != ""), T.http_label(F.when(method == "", "ANY").otherwise(method), path)).otherwise("-")
     tag = F.when(message, F.col("tag")).when(F.col("known").isNotNull(), F.col("tag")).when(public, F.col("tag")).otherwise("INFERENCE")
     skip = F.coalesce(T.is_loopback(F.col("host")), F.lit(False)) | (message & ~F.coalesce(T.valid_channel(channel), F.lit(False)) & (F.col("rung") < 6))
     named = F.coalesce(object_, F.lit("")) != ""
@@ -138,21 +162,85 @@ def bound_exchange(consumers: DataFrame, bindings: DataFrame) -> DataFrame:
     return d.select(*consumers.columns, F.coalesce("exchange", "queue").alias("object"), F.when(bound, F.concat(F.lit("queue="), "queue")).otherwise("-").alias("label"), F.when(~bound, F.concat(F.lit("no binding for "), "queue")).alias("gap"))
 
 
-def extract(files: DataFrame, services: DataFrame, hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sightings and gaps of a corpus (``path, text``) with known services and hosts."""
+def path_calls(resolved: DataFrame, lines: DataFrame, owned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls that name a path only, against the routes of all services: sightings of the one match, and gaps.
+
+    A match is an inference that cites the route beside the call.
+    """
+    from ..sources import corpus
+
+    calls = resolved.filter((F.col("rel") == "http") & F.col("value").startswith("/") & ~F.col("is_test")).withColumn("template", T.template(F.col("value")))
+    routes = corpus.routes(lines).join(owned.select("path", "service_id"), "path").filter("service_id is not null")
+    first = routes.groupBy("template", "service_id").agg(F.min(F.struct("path", "line")).alias("route"))
+    matched = matched_routes(calls.select("path", "line", "template").distinct(), first)
+    caller = owned.select("path", F.col("service_id").alias("actor"))
+    method = calls.groupBy("path", "line").agg(F.max(F.upper(F.regexp_extract("text", r"\.(get|post|put|delete|patch|Get|Post)\(", 1))).alias("method"))
+    one = matched.filter("outcome = 'INFERENCE'").join(first, ["template", "service_id"]).join(method, ["path", "line"]).join(caller, "path").filter("actor is not null and actor <> service_id")
+    label = T.http_label(F.when(F.col("method") == "", "ANY").otherwise(F.col("method")), F.col("template"))
+    places = F.array(F.struct("path", "line"), F.col("route"))
+    seen = one.select("actor", F.lit("http").alias("rel"), F.col("service_id").alias("object"), label.alias("label"), F.lit("INFERENCE").alias("tag"), F.explode(places).alias("p"), F.concat(F.lit("confirm: the only route "), "template").alias("note"))
+    gaps = matched.filter("outcome = 'GAP'").select("path", "line", "template").distinct().join(caller, "path", "left")
+    return seen.select("actor", "rel", "object", "label", "tag", "p.path", "p.line", "note"), gaps.select(F.coalesce("actor", "path").alias("subject"), F.concat(F.lit("no single route "), "template").alias("detail"), "path", "line")
+
+
+def grpc_calls(resolved: DataFrame, lines: DataFrame, owned: DataFrame) -> DataFrame:
+    """Sightings of gRPC stubs by the owner of their contract: the service that registers it, else the one whose folder holds it."""
+    from ..sources import corpus
+    from . import signatures as S
+
+    stubs = resolved.filter((F.col("rel") == "grpc") & ~F.col("is_test")).select(S.first_of(F.col("text"), S.STUBS).alias("name"), "path", "line").filter("name is not null")
+    service = owned.select("path", "service_id").filter("service_id is not null")
+    registered = S.registrations(lines).join(service, "path").select("name", "service_id").distinct()
+    hinted = corpus.contracts(lines).join(service, "path").select("name", "service_id").distinct()
+    to = contract_tag(stubs.select("name").distinct(), registered, hinted)
+    calls = stubs.join(to, "name").join(service.withColumnRenamed("service_id", "actor"), "path")
+    # a caller's own copy of a contract says nothing of its server
+    calls = calls.withColumn("object", F.when((F.col("tag") != "CODE") & (F.col("actor") == F.col("object")), F.col("name")).otherwise(F.col("object"))).filter("actor <> object")
+    note = F.when(F.col("tag") != "CODE", F.concat(F.lit("confirm: who serves "), "name"))
+    return calls.select("actor", F.lit("grpc").alias("rel"), "object", F.lit("-").alias("label"), "tag", "path", "line", note.alias("note"))
+
+
+def extract(files: DataFrame, services: DataFrame, hosts: DataFrame, wrappers: DataFrame | None = None, bindings: DataFrame | None = None, scopes: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Sightings and gaps of a corpus (``path, text``) with known services and hosts.
+
+    ``wrappers`` (``symbol, family, rel``) are confirmed project wrappers, ``bindings``
+    (``queue, exchange``) the exchanges of queues; ``scopes`` bounds the sweep to some folders.
+    """
     from ..sources import corpus
     from . import signatures as S
 
-    lines = corpus.split_lines(files.filter(~corpus.is_excluded(F.col("path"))))
-    hits = S.real_clients(S.sweep(lines, open_families=S.gated(lines)), lines)
-    resolved = ladder(hits, symbols(lines), corpus.config_values(lines))
-    targets = target(resolved, hosts)
+    inside = reduce(lambda a, b: a | b, (F.col("path").startswith(s) for s in scopes)) if scopes else F.lit(True)
+    swept = files.filter(~corpus.is_excluded(F.col("path")))
+    every, lines = corpus.split_lines(swept), corpus.split_lines(swept.filter(inside))
+    hits = S.sweep(lines, open_families=S.gated(every))
+    if wrappers is not None:
+        hits = S.with_wrappers(lines, hits, wrappers)
     owned = corpus.owners(files.select("path"), services)
-    return edges_of(targets, owned), gaps_of(targets, owned)
+    # the values of all files may resolve a name in scope
+    resolved = kept(ladder(S.real_clients(hits, lines), symbols(every), corpus.config_values(every)))
+    by_path, no_route = path_calls(resolved, every, owned)
+    served = grpc_calls(resolved, every, owned)
+    named = resolved.filter(~((F.col("rel") == "http") & F.coalesce(F.col("value").startswith("/"), F.lit(False))))
+    # a stub that names its contract is resolved by that; others by their address
+    named = named.filter(~((F.col("rel") == "grpc") & S.first_of(F.col("text"), S.STUBS).isNotNull()))
+    targets = target(named, hosts)
+    gaps = gaps_of(targets, owned).unionByName(no_route)
+    if bindings is not None:
+        queues = targets.filter("family = 'rabbit' and rel = 'sub' and gap is null").withColumn("queue", F.col("object")).drop("object", "label", "gap")
+        bound = bound_exchange(queues, bindings)
+        gaps = gaps.unionByName(gaps_of(bound, owned))
+        targets = targets.filter("not (family = 'rabbit' and rel = 'sub' and gap is null)").unionByName(bound.withColumn("gap", F.lit(None).cast("string")).select(*targets.columns))
+    service = owned.select("path", F.col("service_id").alias("actor")).filter("actor is not null")
+    plain = lambda df, rel, object_, label: df.join(service, "path").select("actor", rel.alias("rel"), object_.alias("object"), F.lit(label).alias("label"), F.lit("CODE").alias("tag"), "path", "line", F.lit(None).cast("string").alias("note"))
+    vendors = plain(vendor_calls(lines.filter(~corpus.is_test(F.col("path")))), F.lit("http"), F.col("vendor"), "-")
+    streams = plain(S.stream_bindings(corpus.config_values(lines)), F.col("rel"), F.col("channel"), "-")
+    fanned = S.iac_subscriptions(lines).select(F.col("topic").alias("actor"), F.lit("pub").alias("rel"), F.col("queue").alias("object"), F.lit("-").alias("label"), F.lit("CODE").alias("tag"), "path", "line", F.lit(None).cast("string").alias("note"))
+    seen = reduce(DataFrame.unionByName, [edges_of(targets, owned), by_path, served, vendors, streams, fanned])
+    return seen, gaps
 
 
 #: Vendors whose SDK names the external service that is called.
-VENDORS = {"stripe": r"\bstripe\.\w+\.\w+\(", "openai": r"\bOpenAI\(", "twilio": r"\btwilio\.\w+|\bnew Twilio\(", "sendgrid": r"\bsgMail\.|SendGridAPIClient\("}
+VENDORS = {"stripe": r"\bstripe\.\w+\.\w+\(|\bnew Stripe\(", "openai": r"\bOpenAI\(", "anthropic": r"\bAnthropic\(", "gemini": r"\bGenerativeAI\(|\bgenai\.Client\(", "twilio": r"\btwilio\.\w+|\bnew Twilio\(", "sendgrid": r"\bsgMail\.|SendGridAPIClient\("}
 
 
 def vendor_calls(lines: DataFrame) -> DataFrame:
@@ -165,7 +253,3 @@ def optional_label(label: Column, text: Column) -> Column:
     """The label of a backend that a flag switches on, marked as optional."""
     guarded = text.rlike(r"(?i)\bif\b.*\b(enable|use|with)[A-Za-z_]*\b")
     return F.when(guarded, F.concat(F.lit("optional: "), label)).otherwise(label)
-
-
-def is_public(name: Column) -> Column:
-    return name.contains(".") & ~T.is_loopback(name)

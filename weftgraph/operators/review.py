@@ -73,9 +73,11 @@ def t5_deep_sync_chain(edges: DataFrame, least: int = 3, most: int = 6) -> DataF
     return _finding(found, "T5", "med", F.concat(F.lit("sync chain of "), depth, F.lit(" hops from "), "start"), F.array("start"), F.array())
 
 
-def t6_hub(edges: DataFrame) -> DataFrame:
+def t6_hub(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Services (nodes of kind ``svc``) that hold a large part of all edges."""
     total = edges.agg(F.count(F.lit(1)).alias("n"))
     degree = edges.select(F.explode(F.array("actor", "object")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    degree = degree.join(nodes.filter("kind = 'svc'").select(F.col("id").alias("node")), "node", "left_semi")
     found = degree.join(F.broadcast(total)).filter((F.col("degree") >= 6) & (F.col("degree") * 10 >= F.col("n") * 3))
     return _finding(found, "T6", "med", F.concat("node", F.lit(" has degree "), F.col("degree").cast("string")), F.array("node"), F.array())
 
@@ -108,14 +110,19 @@ def t10_ping_pong(edges: DataFrame) -> DataFrame:
 
 
 def t11_unowned_contract(nodes: DataFrame, edges: DataFrame, contracts: DataFrame | None = None) -> DataFrame:
-    """``ref`` nodes, and grpc edges to a target without a contract (``contracts.name``); external targets are left out."""
+    """``ref`` nodes, and targets of grpc and http edges without a contract; external targets are left out.
+
+    ``contracts`` has ``rel`` (grpc: a .proto service, http: an API description) and
+    the ``name`` of the node that it describes; without it only ``ref`` nodes are found.
+    """
     refs = nodes.filter("kind = 'ref'").select("id")
     outside = nodes.filter("kind = 'ext'").select("id")
-    grpc = edges.filter("rel = 'grpc'").select(F.col("object").alias("id")).distinct().join(outside, "id", "left_anti")
-    found = refs.distinct()
+    found = refs
     if contracts is not None:
-        grpc = grpc.join(contracts.select(F.col("name").alias("id")), "id", "left_anti")
-        found = refs.unionByName(grpc).distinct()
+        called = edges.filter("rel in ('grpc', 'http')").select("rel", F.col("object").alias("id")).distinct().join(outside, "id", "left_anti")
+        open_ = called.join(contracts.select("rel", F.col("name").alias("id")), ["rel", "id"], "left_anti")
+        found = refs.unionByName(open_.select("id"))
+    found = found.distinct()
     return _finding(found, "T11", "info", F.concat("id", F.lit(" has no contract in scope")), F.array("id"), F.array())
 
 
@@ -124,9 +131,9 @@ def t12_inference_debt(edges: DataFrame) -> DataFrame:
     return _finding(share.filter("5 * k > n"), "T12", "info", F.concat(F.col("k").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" edges are not from code")), F.array().cast("array<string>"), F.array())
 
 
-def findings(nodes: DataFrame, edges: DataFrame, scopes_all: bool = True, cycle_hops: int = 6) -> DataFrame:
-    """All findings, with whether they rest on inferred edges."""
-    all_ = reduce(DataFrame.unionByName, [t1_sync_cycle(edges, cycle_hops), t2_event_then_callback(edges), t3_shared_store(nodes, edges), t4_orphan_channel(edges, scopes_all), t5_deep_sync_chain(edges), t6_hub(edges), t7_chatty_pair(edges), t8_hard_wired(edges), t9_unkeyed_event(edges), t10_ping_pong(edges), t11_unowned_contract(nodes, edges), t12_inference_debt(edges)])
+def findings(nodes: DataFrame, edges: DataFrame, scopes_all: bool = True, cycle_hops: int = 6, contracts: DataFrame | None = None) -> DataFrame:
+    """All findings of the twelve rules."""
+    all_ = reduce(DataFrame.unionByName, [t1_sync_cycle(edges, cycle_hops), t2_event_then_callback(edges), t3_shared_store(nodes, edges), t4_orphan_channel(edges, scopes_all), t5_deep_sync_chain(edges), t6_hub(nodes, edges), t7_chatty_pair(edges), t8_hard_wired(edges), t9_unkeyed_event(edges), t10_ping_pong(edges), t11_unowned_contract(nodes, edges, contracts), t12_inference_debt(edges)])
     return all_
 
 
@@ -137,7 +144,7 @@ def ordered(found: DataFrame) -> DataFrame:
 def disclosed(found: DataFrame, edges: DataFrame) -> DataFrame:
     """Findings with ``inferred``: whether an edge of their evidence is not from code."""
     weak = edges.filter("tag <> 'CODE'").select("actor", "rel", "object").distinct().withColumn("weak", F.lit(True))
-    each = found.withColumn("f", F.monotonically_increasing_id()).select("f", "*", F.explode_outer("evidence").alias("e"))
+    each = found.select("*", F.explode_outer("evidence").alias("e"))
     each = each.withColumn("actor", F.col("e.actor")).withColumn("rel", F.col("e.rel")).withColumn("object", F.col("e.object"))
     joined = each.join(weak, ["actor", "rel", "object"], "left")
     return joined.groupBy("id", "severity", "finding", "participants", "evidence").agg(F.max(F.coalesce("weak", F.lit(False))).alias("inferred"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.corpus import is_test, with_after
+from ..sources.corpus import after_hits, is_manifest, is_test
 
 
 @dataclass(frozen=True)
@@ -34,53 +34,67 @@ _JOBS = r"(?i)bullmq|\bbull\b|celery|sidekiq|redis"
 
 #: Public call names of the client libraries, by family.
 SIGNATURES: tuple[Signature, ...] = (
-    Signature("kafka", "pub", r"kafkaTemplate\.send\(|new ProducerRecord|@SendTo\(|\bproducer\.(send|produce|send_and_wait|sendBatch)\(|kafka\.(Message|WriterConfig)\{|sarama\.ProducerMessage\{|streamBridge\.send\(", _KAFKA),
+    Signature("kafka", "pub", r"kafkaTemplate\.send\(|new ProducerRecord|@SendTo\(|\bproducer\.(send|produce|send_and_wait|sendBatch)\(|kafka\.(Message|WriterConfig)\{|sarama\.ProducerMessage\{|streamBridge\.send\(|\bKStream\w*\.to\(|\.to\(\s*[\"'][^\"']+[\"']\s*(,\s*Produced|\))", _KAFKA),
     Signature("kafka", "sub", r"@KafkaListener\(|@StreamListener\(|\b(AIO)?KafkaConsumer\(|\bconsumer\.subscribe\(|kafka\.ReaderConfig\{|\.ConsumePartition\(|@(EventPattern|MessagePattern)\(|@app\.agent\(", _KAFKA),
-    Signature("rabbit", "pub", r"\.convertAndSend\(|\.basic_?[pP]ublish\(|\.sendToQueue\(|\bchannel\.publish\(|\.PublishWithContext\(", _RABBIT),
-    Signature("rabbit", "sub", r"@RabbitListener\(|\.basic_?[cC]onsume\(|\bchannel\.consume\(|\.queue_?[bB]ind\(|\.QueueBind\(", _RABBIT),
+    Signature("rabbit", "pub", r"\.convertAndSend\(|\.basic_?[pP]ublish\(|\.sendToQueue\(|\bchannel\.publish\(|\.PublishWithContext\(|\bch\.Publish\(|\b_?(bus|publishEndpoint)\.Publish(<|\()", _RABBIT),
+    Signature("rabbit", "sub", r"@RabbitListener\(|\.basic_?[cC]onsume\(|\bchannel\.consume\(|\.queue_?[bB]ind\(|\.QueueBind\(|\bch\.Consume\(|:\s*IConsumer<|\.ReceiveEndpoint\(", _RABBIT),
     Signature("aws", "pub", r"\bSendMessage(Batch)?(Command)?\(|\.send_message\(|\bPublishCommand\(|\bsns\.publish\(|\.put_(events|records?)\(|\bPut(Events|Records?)(Command)?\(", _AWS),
     Signature("aws", "sub", r"\bReceiveMessage(Command)?\(|\.receive_message\(|@SqsListener\(|\.get_records\(|@KinesisListener\(", _AWS),
-    Signature("gcp", "pub", r"\.topic\([^)]*\)\.publish|\bpublisher\.publish\(|\.publishMessage\(", _GCP),
-    Signature("gcp", "sub", r"\.subscription\(|\.Subscription\(|\bsubscriber\.subscribe\(", _GCP),
+    Signature("gcp", "pub", r"\.topic\([^)]*\)\.publish|\bpublisher\.publish\(|\.publishMessage\(|\btopic\.Publish\(", _GCP),
+    Signature("gcp", "sub", r"\.subscription\(|\.Subscription\(|\bsubscriber\.subscribe\(|\bsub\.Receive\(", _GCP),
     Signature("nats", "pub", r"\b(nc|js|nats)\.(p|P)ublish\(", _NATS),
     Signature("nats", "sub", r"\b(nc|js|nats)\.(Queue|Pull)?(s|S)ubscribe\(", _NATS),
     Signature("azure", "pub", r"\.(get_)?(queue|topic)_sender\(|\.createSender\(|\.CreateSender\(|\.SendMessageAsync\(|\bEventHubProducerClient\b", _AZURE),
     Signature("azure", "sub", r"\.(get_)?(queue|subscription)_receiver\(|\.createReceiver\(|\.CreateProcessor\(|\bServiceBusProcessor\b|\bEventProcessorClient\b", _AZURE),
     Signature("jobs", "pub", r"\.xadd\(|\bnew Queue\(|\.apply_async\(|\.send_task\(|\.perform_async\(", _JOBS),
     Signature("jobs", "sub", r"\.xreadgroup\(|\bnew Worker\(|@shared_task|@(app|celery)\.task|include Sidekiq::(Worker|Job)", _JOBS),
-    Signature("http", "http", r"\brequests\.(get|post|put|delete|patch)\(|\bhttpx\.(get|post|put|delete|patch)\(|\bfetch\(|\baxios(\.(get|post|put|delete|patch))?\(|\bhttp\.(Get|Post|NewRequest(WithContext)?)\(|\brestTemplate\.\w+\(|\bWebClient\.|\bHttpClient\b|\breqwest::|\bFaraday\.|\bHTTParty\.|new GuzzleHttp"),
+    Signature(
+        "http",
+        "http",
+        r"\brequests\.(get|post|put|delete|patch|request)\(|\bhttpx\.(get|post|put|delete|patch)\(|\baiohttp\.|\bsession\.(get|post|put|delete|patch)\(|\bfetch\(|\baxios(\.\w+)?\(|\bgot(\.(get|post|put|delete|patch))?\(|\bsuperagent\.|\bky\.(get|post|put|delete|patch)\("
+        r"|\bhttp\.(Get|Post|Head|PostForm|NewRequest(WithContext)?)\(|\bresty\.|\.R\(\)\.(Get|Post|Put|Delete)\(|\brestTemplate\.\w+\(|\bRestClient\.|\bWebClient\.|\bHttpClient\b|@FeignClient|@HttpExchange|@RegisterRestClient|\bRequest\.Builder\(\)"
+        r"|\breqwest::|\bFaraday\.|\bNet::HTTP|\bHTTParty\.|\bnew (GuzzleHttp|Guzzle)|\bcurl_init\(|\bbaseURL\s*:|\bBaseAddress\s*=|\bbase_url\s*=|\.baseUrl\(",
+    ),
     Signature("graphql", "gql", r"\bgraphql_client\.execute\(|\bgqlClient\.\w+\(|new ApolloClient\(|\bGraphQLClient\("),
     Signature("websocket", "ws", r"new WebSocket\(|\bwebsockets\.connect\(|\bwebsocket\.Dial"),
-    Signature("grpc", "grpc", r"\b\w+Stub\(|\bNew\w+Client\(\s*conn|\bnew \w+Client\([^)]*credentials|@GrpcClient\("),
-    Signature("store", "uses", r"\b(postgres(ql)?|mysql|mariadb|mongodb(\+srv)?|rediss?|valkey|clickhouse|cassandra|s3)://|\bjdbc:\w+:|\bsql\.Open\(|\bcreate_engine\(|\bmongoose\.connect\(|\bMongoClient\(|\bRedis\(|\bredis\.(from_url|Redis|NewClient)\(|boto3\.(client|resource)\("),
+    Signature("grpc", "grpc", r"\b\w+Stub\(|\bnew(Blocking|Future)?Stub\(|\bNew\w+Client\(\s*[\w.]*(conn|Conn|cc)\b|\bnew \w+Client\([^)]*(credentials|channel)|@GrpcClient\("),
+    Signature(
+        "store",
+        "uses",
+        r"\b(postgres(ql)?|mysql|mariadb|sqlserver|oracle|mongodb(\+srv)?|rediss?|valkey|memcached|neo4j|elasticsearch|opensearch|clickhouse|cassandra|s3)://|\bjdbc:\w+:|\bsql\.Open\(|\bgorm\.Open\(|\bpgx(pool)?\.(Connect|New)|\bcreate_engine\(|\bmongoose\.connect\(|\bMongoClient\(|\bRedis\("
+        r"|\bredis\.(from_url|Redis|StrictRedis|createClient|NewClient)\(|\bAddStackExchangeRedisCache\(|\bConnectionMultiplexer\b|\bnew Jedis|\bDynamoDB(Client)?\(|\bS3Client\(|boto3\.(client|resource)\(\s*[\"'](s3|dynamodb)|\bbigquery\.(NewClient|Client)\(|\bfirestore\.(NewClient|Client)\(|\bspanner\.NewClient\(|\bCosmosClient\(|\bBlobServiceClient\(",
+    ),
 )
 
 
 def gated(lines: DataFrame, signatures: tuple[Signature, ...] = SIGNATURES) -> DataFrame:
-    """Families whose gate occurs in a line outside lock files: ``family``."""
+    """Families whose gate occurs in a manifest or an import, outside lock files: ``family``."""
     gates = {s.family: s.gate for s in signatures}
     open_ = F.array_compact(F.array(*(F.lit(f) if g is None else F.when(F.col("text").rlike(g), F.lit(f)) for f, g in gates.items())))
     always = [f for f, g in gates.items() if g is None]
-    found = lines.filter(~F.col("path").rlike(r"(lock|\.sum)$")).select(F.explode(open_).alias("family")).distinct()
+    locked = F.col("path").rlike(r"([.-]lock(\.(json|ya?ml))?|(^|/)go\.sum|lock\.hcl)$")
+    imports = F.col("text").rlike(r"^\s*(import|from|using|use|require|require_relative|#include|@import)\b|\brequire\(|^\s*\"[\w./@-]+\"\s*$|\b(kafka|sarama|amqp|nats)\.\w+")
+    found = lines.filter(~locked & (is_manifest(F.col("path")) | imports)).select(F.explode(open_).alias("family")).distinct()
     return found.unionByName(lines.sparkSession.createDataFrame([(f,) for f in always], "family string")).distinct() if always else found
 
 
 def sweep(lines: DataFrame, signatures: tuple[Signature, ...] = SIGNATURES, open_families: DataFrame | None = None) -> DataFrame:
     """Call sites: ``family, rel, path, line, text, after, is_test``.
 
-    All patterns are tried on a line in one pass.  Test code keeps its hits,
-    marked; it gives no edges but may resolve values.
+    All patterns are tried on a line in one pass; the lines after are fetched for
+    hits only.  Test code keeps its hits, marked; it gives no edges but may resolve values.
     """
     each = F.array_compact(F.array(*(F.when(F.col("text").rlike(s.pattern), F.struct(F.lit(s.family).alias("family"), F.lit(s.rel).alias("rel"))) for s in signatures)))
-    hits = with_after(lines, 2).select("path", "line", "text", "after", F.explode(each).alias("s")).select("s.family", "s.rel", "path", "line", "text", "after", is_test(F.col("path")).alias("is_test"))
+    found = lines.select("path", "line", "text", F.explode(each).alias("s")).select("s.family", "s.rel", "path", "line", "text")
+    hits = after_hits(lines, found, 2).select("family", "rel", "path", "line", "text", "after", is_test(F.col("path")).alias("is_test"))
     return hits if open_families is None else hits.join(F.broadcast(open_families), "family", "left_semi")
 
 
 def with_wrappers(lines: DataFrame, hits: DataFrame, wrappers: DataFrame) -> DataFrame:
     """Hits plus the call sites of confirmed project wrappers (``symbol, family, rel``)."""
-    calls = with_after(lines, 2).withColumn("symbol", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))))
-    found = calls.join(F.broadcast(wrappers.select("symbol", "family", "rel")), "symbol")
-    own = found.filter(~F.col("text").rlike(r"^\s*(def|func|function|async function|public|private|export)\b"))
+    calls = lines.withColumn("symbol", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))))
+    found = calls.join(wrappers.select("symbol", "family", "rel"), "symbol")
+    own = after_hits(lines, found, 2).filter(~F.col("text").rlike(r"^\s*(def|func|function|async function|public|private|export)\b"))
     return hits.unionByName(own.select("family", "rel", "path", "line", "text", "after", is_test(F.col("path")).alias("is_test"))).distinct()
 
 
@@ -94,6 +108,22 @@ def real_clients(hits: DataFrame, lines: DataFrame) -> DataFrame:
     return kept.filter(~rx).select(*hits.columns)
 
 
+#: How a server registers a gRPC contract, by language; the first group is its name.
+REGISTRATIONS = (r"\bRegister(\w+)Server\(", r"\badd_(\w+)Servicer_to_server\(", r"\b(\w+)Grpc\.\w+ImplBase\b", r"\bMapGrpcService<(\w+?)(?:Service)?>", r"\.addService\(\s*(?:\w+\.)*(\w+)\.service\b")
+#: How a client names the contract that it calls.
+STUBS = (r"\b(\w+)Stub\(", r"\b(\w+)Grpc\.new(?:Blocking|Future)?Stub\(", r"\bNew(\w+)Client\(", r"\bnew (?:\w+\.)*(\w+)Client\(", r"@GrpcClient\(\s*[\"']([^\"']+)")
+
+
+def first_of(text: Column, patterns: tuple[str, ...]) -> Column:
+    """The first group of the first pattern that matches; null if none does."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns))
+
+
+def registrations(lines: DataFrame) -> DataFrame:
+    """Servers' registrations of gRPC contracts: ``name, path, line``."""
+    return lines.filter(~F.col("path").endswith(".proto")).select(first_of(F.col("text"), REGISTRATIONS).alias("name"), "path", "line").filter("name is not null")
+
+
 def binding_direction(name: Column) -> Column:
     """pub or sub of a stream binding by the words of its name; null if they don't tell."""
     return F.when(F.lower(name).rlike(r"(^|[-_.])(out(put)?|producer|supplier|source)([-_.0-9]|$)"), "pub").when(F.lower(name).rlike(r"(^|[-_.])(in(put)?|consumer|sink|listener)([-_.0-9]|$)"), "sub")

@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.consolidate import consolidate
+from ..operators.consolidate import edge_tags as tags
 from ..schema import RECEIPTS
 
-#: Slices of lineitem by order key: [lo, hi).
-SPARSE, OLD, NEW = (0, 20), (0, 18), (2, 20)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def base(spark: SparkSession, sf_dir: str, keys: tuple[int, int] | None = None) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the nations, brand, type and segment that they tie together."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    if keys:
-        items = items.filter(F.col("l_orderkey").between(keys[0], keys[1] - 1))
-        orders = orders.filter(F.col("o_orderkey").between(keys[0], keys[1] - 1))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
@@ -42,7 +39,7 @@ def base(spark: SparkSession, sf_dir: str, keys: tuple[int, int] | None = None)
     )
 
 
-def sightings(spark: SparkSession, sf_dir: str, keys: tuple[int, int] | None = None) -> DataFrame:
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per fact that a line item shows; the line items are read once."""
     fact = lambda actor, rel, object_, label, tag="CODE", note=None: F.struct(F.col(actor).alias("actor"), F.lit(rel).alias("rel"), object_.alias("object"), label.alias("label"), F.lit(tag).alias("tag"), (F.lit(None).cast("string") if note is None else note).alias("note"))
     none = F.lit(None).cast("struct<actor:string,rel:string,object:string,label:string,tag:string,note:string>")
@@ -55,7 +52,7 @@ def sightings(spark: SparkSession, sf_dir: str, keys: tuple[int, int] | None = N
         F.when(F.col("flag") == "R", fact("s", "pub", F.concat(F.lit("returns."), "brand"), F.lit("-"))).otherwise(none),
         fact("c", "sub", F.concat(F.lit("promo."), "segment"), F.concat(F.lit("group="), "c")),
     )
-    seen = base(spark, sf_dir, keys).select("path", "line", F.explode(facts).alias("f")).filter("f is not null").select("f.actor", "f.rel", "f.object", "f.label", "f.tag", "path", "line", "f.note")
+    seen = base(spark, sf_dir).select("path", "line", F.explode(facts).alias("f")).filter("f is not null").select("f.actor", "f.rel", "f.object", "f.label", "f.tag", "path", "line", "f.note")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     uses = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.concat(F.lit("svc-"), F.col("n_nationkey").cast("string")).alias("actor"),
@@ -70,8 +67,58 @@ def sightings(spark: SparkSession, sf_dir: str, keys: tuple[int, int] | None = N
     return seen.unionByName(uses)
 
 
-def edges(spark: SparkSession, sf_dir: str, keys: tuple[int, int] | None = SPARSE) -> DataFrame:
-    return consolidate(sightings(spark, sf_dir, keys))
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's edges with all receipts."""
+    return consolidate(sightings(spark, sf_dir))
+
+
+def edge_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's edges without receipts: a count-like aggregate, from which lenses are cut."""
+    return tags(sightings(spark, sf_dir))
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sightings of the ledger before and after a change.
+
+    Before, nobody published returns; after, low priorities are no longer called
+    and the stores are reached by another driver.
+    """
+    all_ = sightings(spark, sf_dir)
+    old = all_.filter("not (rel = 'pub' and object like 'returns.%')")
+    new = all_.filter("label <> 'GET /5-LOW'").withColumn("label", F.when(F.col("rel") == "uses", "jdbc").otherwise(F.col("label")))
+    return old, new
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second ledger with few nodes, for paths and cycles: kinds of events are services.
+
+    Who does one thing after another shows a call between the two; every event
+    uses the store of its amount and is published to the channel of its kind.
+    """
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    svc = lambda c: F.concat(F.lit("svc-"), c)
+    d = events.withColumn("next", F.lead("event_type").over(w))
+    fact = lambda rel, object_, label: F.struct(F.lit(rel).alias("rel"), object_.alias("object"), F.lit(label).alias("label"))
+    facts = F.array(
+        F.when(F.col("next") != F.col("event_type"), fact("http", svc(F.col("next")), "GET /next")),
+        fact("uses", F.when(F.col("value") < 10, "db-small").otherwise("db-large"), "sql"),
+        fact("pub", F.concat(F.col("event_type"), F.lit(".seen")), "-"),
+    )
+    each = d.select(svc(F.col("event_type")).alias("actor"), F.concat(F.lit("users/"), F.col("user_id").cast("string")).alias("path"), F.dayofyear("ts").alias("line"), F.explode(facts).alias("f")).filter("f is not null")
+    return each.select("actor", "f.rel", "f.object", "f.label", F.lit("CODE").alias("tag"), "path", "line", F.lit(None).cast("string").alias("note"))
+
+
+def visit_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
+    stores = spark.range(2).select(F.when(F.col("id") == 0, "db-small").otherwise("db-large").alias("id"), F.lit("db").alias("kind"), F.lit("postgres").alias("tech"))
+    svc = kinds.select(F.concat(F.lit("svc-"), "event_type").alias("id"), F.lit("svc").alias("kind"), F.lit("app").alias("tech"))
+    topics = kinds.select(F.concat("event_type", F.lit(".seen")).alias("id"), F.lit("topic").alias("kind"), F.lit("kafka").alias("tech"))
+    return _bound(svc.unionByName(stores).unionByName(topics))
+
+
+def _bound(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("receipts", F.array(F.struct(F.concat("kind", F.lit("/"), "id").alias("path"), F.array(F.lit(1)).alias("lines"))).cast(RECEIPTS))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +140,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)
-    return all_.withColumn("receipts", F.array(F.struct(F.concat("kind", F.lit("/"), "id").alias("path"), F.array(F.lit(1)).alias("lines"))).cast(RECEIPTS))
+    return _bound(all_)
 
 
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,3 +157,49 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.corpus import split_lines
 
     return split_lines(pages.unionByName(docs))
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus of source files, ``path, text``, written from the tables: nations are services, each with a module and a server.
+
+    Every supplier and every customer of a nation is a file of its service, and
+    regions are stores and channels; what the files say is what extraction must find.
+    """
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("n"), F.col("n_regionkey").cast("string").alias("r"))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").cast("string").alias("n")).join(nation, "n").withColumn("k", F.col("key").cast("string"))
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("string").alias("n")).join(nation, "n")
+    customer = customer.withColumn("k", F.col("key").cast("string")).withColumn("m", (F.col("key") % 25).cast("string")).withColumn("t", (F.col("key") % 5).cast("string"))
+
+    def filled(df: DataFrame, path: str, text: str) -> DataFrame:
+        """Files of a template with <column> filled in."""
+
+        def expression(template: str):
+            parts = [F.col(x) if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"<(\w+)>", template))]
+            return F.concat(*parts)
+
+        return df.select(expression(path).alias("path"), expression(text).alias("text"))
+
+    module = filled(nation, "svc-<n>/go.mod", "module shop.test/svc-<n>\n\nrequire google.golang.org/grpc v1.60\n")
+    server = filled(nation, "svc-<n>/server.go", 'package main\n\nfunc main() {\n\tpb.RegisterNation<n>Server(s, srv)\n\tmux.HandleFunc("GET /n<n>/customers/{id}", h)\n}\n')
+    settings = filled(nation, "svc-<n>/src/main/resources/application.properties", "spring.cloud.stream.bindings.audit-out-0.destination=audit.<r>\n")
+    infra = filled(table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("r")), "infra/region<r>.tf", 'resource "aws_sns_topic_subscription" "s" {\n  topic_arn = aws_sns_topic.prices-<r>.arn\n  endpoint  = aws_sqs_queue.work-<r>.arn\n}\n')
+    python_ = filled(
+        supplier,
+        "svc-<n>/src/supplier<k>.py",
+        'import kafka\nTOPIC = "restock.<r>"\nproducer.send(TOPIC, item, key=part)\nrequests.get("http://svc-<r>:8080/stock/<k>?full=1")\nrequests.post("https://api.bank<n>.com/v1/pay", json=body)\n'
+        'engine = create_engine("postgres://app:secret@db-<r>:5432/main")\nrequests.get("http://localhost:9/health")\n',
+    )
+    script = filled(
+        customer,
+        "svc-<n>/src/customer<k>.ts",
+        'import { Kafka } from "kafkajs";\nawait consumer.subscribe({ topic: "restock.<t>", groupId: "shop" });\nconst c = new Nation<m>Client(addr, grpc.credentials.createInsecure());\n'
+        'await fetch("/n<m>/customers/<k>");\nawait fetch("/none/<k>");\nawait producer.send(topicOf(order));\nconst paid = await stripe.charges.create({ amount });\n',
+    )
+    return reduce(DataFrame.unionByName, [module, server, settings, infra, python_, script])
+
+
+def deployed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of the services and of the regions' stores: ``host, id, kind``."""
+    svc = table(spark, sf_dir, "nation").select(F.concat(F.lit("svc-"), F.col("n_nationkey").cast("string")).alias("host"), F.lit("svc").alias("kind"))
+    stores = table(spark, sf_dir, "region").select(F.concat(F.lit("db-"), F.col("r_regionkey").cast("string")).alias("host"), F.lit("db").alias("kind"))
+    return svc.unionByName(stores).select("host", F.col("host").alias("id"), "kind")

@@ -3,26 +3,25 @@
 from __future__ import annotations
 
 
-def ledger(lo: int | None = 0, hi: int | None = 20, tag: str = "") -> str:
-    """Common table expressions ``sight`` and ``e`` (edges), with a suffix."""
-    where = "" if lo is None else f"AND l_orderkey >= {lo} AND l_orderkey < {hi}"
-    return f"""
-base{tag} AS (
+def ledger() -> str:
+    """Common table expressions ``sight`` and ``e`` (edges)."""
+    return """
+base AS (
   SELECT 'svc-' || c_nationkey AS c, 'svc-' || s_nationkey AS s, p_brand AS brand, p_type AS ptype, c_mktsegment AS segment,
     l_returnflag AS flag, o_orderpriority AS priority, 'orders/' || l_orderkey AS path, l_linenumber AS line
   FROM lineitem, orders, customer, supplier, part
-  WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND l_partkey = p_partkey {where}),
-sight{tag} AS (
-  SELECT s AS actor, 'pub' AS rel, brand AS object, CASE WHEN flag = 'N' THEN '-' ELSE 'key=' || flag END AS label, 'CODE' AS tag, path, line FROM base{tag}
-  UNION ALL SELECT c, 'sub', brand, 'group=' || c, 'CODE', path, line FROM base{tag}
-  UNION ALL SELECT c, 'http', s, 'GET /' || priority, 'CODE', path, line FROM base{tag} WHERE c <> s
-  UNION ALL SELECT s, 'http', 'ext-' || ptype, 'POST /v1/' || ptype, 'CODE', path, line FROM base{tag}
-  UNION ALL SELECT c, 'grpc', 'ref-' || segment, '-', 'INFERENCE', path, line FROM base{tag}
-  UNION ALL SELECT s, 'pub', 'returns.' || brand, '-', 'CODE', path, line FROM base{tag} WHERE flag = 'R'
-  UNION ALL SELECT c, 'sub', 'promo.' || segment, 'group=' || c, 'CODE', path, line FROM base{tag}
+  WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND l_partkey = p_partkey),
+sight AS (
+  SELECT s AS actor, 'pub' AS rel, brand AS object, CASE WHEN flag = 'N' THEN '-' ELSE 'key=' || flag END AS label, 'CODE' AS tag, path, line FROM base
+  UNION ALL SELECT c, 'sub', brand, 'group=' || c, 'CODE', path, line FROM base
+  UNION ALL SELECT c, 'http', s, 'GET /' || priority, 'CODE', path, line FROM base WHERE c <> s
+  UNION ALL SELECT s, 'http', 'ext-' || ptype, 'POST /v1/' || ptype, 'CODE', path, line FROM base
+  UNION ALL SELECT c, 'grpc', 'ref-' || segment, '-', 'INFERENCE', path, line FROM base
+  UNION ALL SELECT s, 'pub', 'returns.' || brand, '-', 'CODE', path, line FROM base WHERE flag = 'R'
+  UNION ALL SELECT c, 'sub', 'promo.' || segment, 'group=' || c, 'CODE', path, line FROM base
   UNION ALL SELECT 'svc-' || n_nationkey, 'uses', 'db-' || r_name, 'sql', 'CODE', 'nations/' || n_nationkey, 1 FROM nation, region WHERE n_regionkey = r_regionkey),
-perfile{tag} AS (SELECT actor, rel, object, label, min(tag) AS tag, path, path || ':' || string_agg(DISTINCT line::VARCHAR, ',' ORDER BY line::VARCHAR) AS item FROM sight{tag} GROUP BY actor, rel, object, label, path),
-e{tag} AS (SELECT actor, rel, object, label, min(tag) AS tag, string_agg(item, '; ' ORDER BY path) AS receipts FROM perfile{tag} GROUP BY actor, rel, object, label)"""
+perfile AS (SELECT actor, rel, object, label, min(tag) AS tag, path, path || ':' || string_agg(DISTINCT line::VARCHAR, ',' ORDER BY line::VARCHAR) AS item FROM sight GROUP BY actor, rel, object, label, path),
+e AS (SELECT actor, rel, object, label, min(tag) AS tag, string_agg(item, '; ' ORDER BY path) AS receipts FROM perfile GROUP BY actor, rel, object, label)"""
 
 
 NODES = """
@@ -67,19 +66,49 @@ _T2 = "(SELECT DISTINCT c.actor AS x, c.object AS p, s.object AS t FROM e c JOIN
 _T3 = "(SELECT object, string_agg(actor, ', ' ORDER BY actor) AS users, string_agg(actor, ',' ORDER BY actor) AS who, string_agg(actor || ' uses ' || object, '; ' ORDER BY actor) AS ev FROM (SELECT DISTINCT actor, object FROM e JOIN n ON n.id = e.object AND n.kind = 'db' WHERE rel = 'uses') GROUP BY object HAVING count(*) >= 2)"
 _T4 = "(SELECT object, count(*) FILTER (WHERE rel = 'pub') AS pubs, count(*) FILTER (WHERE rel = 'sub') AS subs FROM e WHERE rel IN ('pub', 'sub') GROUP BY object HAVING pubs = 0 OR subs = 0)"
 _T9 = "(SELECT actor, e.object, b.k FROM e JOIN (SELECT object, count(DISTINCT actor) AS k FROM e WHERE rel = 'sub' GROUP BY object HAVING k >= 2) b ON b.object = e.object WHERE rel = 'pub' AND label NOT LIKE '%key=%')"
+_VISITS = """
+ev AS (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events),
+sight AS (
+  SELECT 'svc-' || event_type AS actor, 'http' AS rel, 'svc-' || nx AS object, 'GET /next' AS label, 'CODE' AS tag, 'users/' || user_id AS path, dayofyear(ts) AS line FROM ev WHERE nx <> event_type
+  UNION ALL SELECT 'svc-' || event_type, 'uses', CASE WHEN value < 10 THEN 'db-small' ELSE 'db-large' END, 'sql', 'CODE', 'users/' || user_id, dayofyear(ts) FROM ev
+  UNION ALL SELECT 'svc-' || event_type, 'pub', event_type || '.seen', '-', 'CODE', 'users/' || user_id, dayofyear(ts) FROM ev),
+e AS (SELECT actor, rel, object, label, min(tag) AS tag, count(DISTINCT path || ':' || line) AS places FROM sight GROUP BY actor, rel, object, label),
+n AS (SELECT DISTINCT 'svc-' || event_type AS id, 'svc' AS kind FROM events UNION ALL SELECT DISTINCT event_type || '.seen', 'topic' FROM events UNION ALL VALUES ('db-small', 'db'), ('db-large', 'db'))"""
+V = f"WITH RECURSIVE {_VISITS}"
 _SYNC_PATHS = """
 c AS (SELECT DISTINCT actor AS a, object AS b FROM e WHERE rel IN ('http', 'grpc', 'gql', 'ws') AND actor <> object),
 w AS (SELECT a AS start, '/' || a || '/' || b || '/' AS p, b AS at, 1 AS hops FROM c
-  UNION ALL SELECT start, p || c.b || '/', c.b, hops + 1 FROM w JOIN c ON c.a = w.at WHERE hops < 3 AND instr(p, '/' || c.b || '/') = 0)"""
-_DIFF = f"""WITH {ledger(0, 18, '_o')}, {ledger(2, 20, '_n')},
-side AS (SELECT actor, rel, object, label, true AS was FROM e_o WHERE (actor, rel, object, label) NOT IN (SELECT (actor, rel, object, label) FROM e_n)
-  UNION ALL SELECT actor, rel, object, label, false FROM e_n WHERE (actor, rel, object, label) NOT IN (SELECT (actor, rel, object, label) FROM e_o)),
+  UNION ALL SELECT start, p || c.b || '/', c.b, hops + 1 FROM w JOIN c ON c.a = w.at WHERE hops < 6 AND instr(p, '/' || c.b || '/') = 0)"""
+_CYCLES = """
+cc AS (SELECT DISTINCT actor AS a, object AS b FROM e WHERE rel IN ('http', 'grpc', 'gql') AND actor <> object),
+cw AS (SELECT DISTINCT a AS root, [a] AS p, a AS at, 1 AS hops FROM cc
+  UNION ALL SELECT root, list_append(p, b), b, hops + 1 FROM cw JOIN cc ON cc.a = cw.at WHERE hops < 6 AND b > root AND NOT list_contains(p, b)),
+cyc AS (SELECT p, root FROM cw JOIN cc ON cc.a = cw.at AND cc.b = cw.root)"""
+_HUBS = "(SELECT node, count(*) AS k FROM (SELECT actor AS node FROM e UNION ALL SELECT object FROM e) WHERE node IN (SELECT id FROM n WHERE kind = 'svc') GROUP BY node HAVING k >= 6 AND k * 10 >= 3 * (SELECT count(*) FROM e))"
+_CHAINS = "(SELECT start, max(hops) AS depth FROM w GROUP BY start HAVING max(hops) >= 3)"
+_ONCE = "(SELECT actor, rel, object, label FROM sight WHERE rel IN ('http', 'grpc', 'gql', 'ws') AND tag = 'CODE' GROUP BY ALL HAVING count(DISTINCT path || ':' || line) = 1)"
+_SNAPSHOTS = f"""{ledger()},
+was AS (SELECT * FROM sight WHERE NOT (rel = 'pub' AND object LIKE 'returns.%')),
+now AS (SELECT actor, rel, object, CASE WHEN rel = 'uses' THEN 'jdbc' ELSE label END AS label, tag, path, line FROM sight WHERE label <> 'GET /5-LOW'),
+e_o AS (SELECT DISTINCT actor, rel, object, label FROM was), e_n AS (SELECT DISTINCT actor, rel, object, label FROM now)"""
+_DIFF = f"""WITH {_SNAPSHOTS},
+side AS (SELECT *, true AS was FROM (FROM e_o EXCEPT FROM e_n) UNION ALL SELECT *, false FROM (FROM e_n EXCEPT FROM e_o)),
 k AS (SELECT *, count(*) FILTER (WHERE was) OVER w AS gone, count(*) FILTER (WHERE NOT was) OVER w AS come FROM side WINDOW w AS (PARTITION BY actor, rel, object)),
 d AS (SELECT actor, rel, object, max(label) FILTER (WHERE was) AS old_label, max(label) FILTER (WHERE NOT was) AS new_label, 'relabelled' AS change FROM k WHERE gone = 1 AND come = 1 GROUP BY actor, rel, object
   UNION ALL SELECT actor, rel, object, CASE WHEN was THEN label END, CASE WHEN NOT was THEN label END, CASE WHEN was THEN 'removed' ELSE 'added' END FROM k WHERE NOT (gone = 1 AND come = 1))"""
 _MID = "CASE WHEN kind IN ('svc', 'ref') THEN 's_' WHEN kind IN ('topic', 'queue') THEN 't_' WHEN kind = 'ext' THEN 'x_' ELSE 'd_' END || regexp_replace(id, '[^A-Za-z0-9]', '_', 'g')"
 _ELIDE = "CASE WHEN length({0}) > 28 THEN substr({0}, 1, 14) || '…' || right({0}, 13) ELSE {0} END"
-_HEALTH = "h AS (SELECT * FROM e WHERE rel IN ('http', 'uses', 'pub', 'sub') AND object NOT LIKE 'ext-%')"
+_ALL = f"""{V},{_SYNC_PATHS},{_CYCLES},
+f AS (SELECT 'T1' AS id, 'high' AS severity FROM cyc UNION ALL SELECT 'T2', 'med' FROM {_T2} UNION ALL SELECT 'T3', 'high' FROM {_T3} UNION ALL SELECT 'T4', 'low' FROM {_T4} UNION ALL SELECT 'T5', 'med' FROM {_CHAINS}
+  UNION ALL SELECT 'T6', 'med' FROM {_HUBS} UNION ALL SELECT 'T7', 'low' FROM (SELECT actor, object FROM e WHERE rel IN ('http', 'grpc', 'gql', 'ws') GROUP BY actor, object HAVING count(DISTINCT label) >= 4)
+  UNION ALL SELECT 'T8', 'low' FROM {_ONCE} UNION ALL SELECT 'T9', 'info' FROM {_T9} UNION ALL SELECT 'T11', 'info' FROM n WHERE kind = 'ref'
+  UNION ALL SELECT 'T12', 'info' FROM (SELECT count(*) FILTER (WHERE tag <> 'CODE') AS k, count(*) AS n FROM e) WHERE 5 * k > n)"""
+
+#: What the files of bind.sources() say, from the tables and not from the text.
+_FILES = """
+na AS (SELECT n_nationkey::VARCHAR AS n, n_regionkey::VARCHAR AS r FROM nation),
+su AS (SELECT s_suppkey::VARCHAR AS k, n, r, 'svc-' || n || '/src/supplier' || s_suppkey || '.py' AS path FROM supplier JOIN na ON n = s_nationkey::VARCHAR),
+cu AS (SELECT c_custkey::VARCHAR AS k, n, r, (c_custkey % 25)::VARCHAR AS m, (c_custkey % 5)::VARCHAR AS t, 'svc-' || n || '/src/customer' || c_custkey || '.ts' AS path FROM customer JOIN na ON n = c_nationkey::VARCHAR)"""
 
 ORACLE_SQL = {
     "bind_nodes": f"WITH {NODES} SELECT id, kind, tech, kind || '/' || id || ':1' AS receipts FROM n",
@@ -94,29 +123,33 @@ SELECT actor, u.object, kind, label, users, users >= 2 AS shared FROM u JOIN (SE
     "lens_overview": f"{E} {_VIEW} FROM e WHERE rel <> 'dep'",
     "overview_clusters": f"WITH {NODES} SELECT kind AS cluster, count(*) FILTER (WHERE kind <> 'ext') AS members, count(*) FILTER (WHERE kind = 'ext') AS external, count(*) FILTER (WHERE kind = 'ext') || ' external APIs' AS collapsed FROM n GROUP BY kind",
     "lineage_channels": f"""{E}, st AS (SELECT DISTINCT r.object AS f, w.object AS t FROM e r JOIN e w ON r.actor = w.actor AND r.rel = 'sub' AND w.rel = 'pub' WHERE r.object <> w.object),
-r AS (SELECT min(object) AS id, 0 AS ring FROM e WHERE rel = 'pub' UNION SELECT st.t, ring + 1 FROM r JOIN st ON st.f = r.id WHERE ring < 2)
+r AS (SELECT min(object) AS id, 0 AS ring FROM e WHERE rel = 'pub' UNION SELECT st.t, ring + 1 FROM r JOIN st ON st.f = r.id WHERE ring < 4)
 SELECT id, min(ring)::BIGINT AS ring FROM r GROUP BY id HAVING min(ring) > 0""",
     "lens_lineage": f"""{E}, st AS (SELECT DISTINCT r.object AS f, w.object AS t FROM e r JOIN e w ON r.actor = w.actor AND r.rel = 'sub' AND w.rel = 'pub' WHERE r.object <> w.object),
 s AS (SELECT min(object) AS x FROM e WHERE rel = 'pub'),
-r AS (SELECT x AS id, 0 AS ring FROM s UNION SELECT st.t, ring + 1 FROM r JOIN st ON st.f = r.id WHERE ring < 2),
-k AS (SELECT * FROM e WHERE rel IN ('pub', 'sub') AND object IN (SELECT id FROM r))
-{_VIEW} FROM k UNION {_VIEW} FROM e WHERE rel IN ('http', 'grpc', 'gql', 'ws') AND actor IN (SELECT actor FROM k WHERE rel = 'sub') AND object IN (SELECT actor FROM e, s WHERE rel = 'pub' AND object = x)""",
-    "lens_impact": _closure("dependency", "dependent", "min(actor)", 3, _IMPACT_EXTRA),
+r AS (SELECT x AS id, 0 AS ring FROM s UNION SELECT st.t, ring + 1 FROM r JOIN st ON st.f = r.id WHERE ring < 4),
+g AS (SELECT id, min(ring) AS ring FROM r GROUP BY id),
+rd AS (SELECT DISTINCT actor AS reader, ring + 1 AS nxt FROM e JOIN g ON object = id WHERE rel = 'sub')
+{_VIEW} FROM e WHERE rel = 'sub' AND object IN (SELECT id FROM g)
+UNION {_VIEW} FROM e, s WHERE rel = 'pub' AND object = x
+UNION {_VIEW} FROM e JOIN g ON object = id AND ring > 0 WHERE rel = 'pub' AND EXISTS (SELECT 1 FROM rd WHERE reader = actor AND g.ring <= nxt AND nxt <= 4)
+UNION {_VIEW} FROM e WHERE rel IN ('http', 'grpc', 'gql', 'ws') AND actor IN (SELECT reader FROM rd) AND object IN (SELECT actor FROM e, s WHERE rel = 'pub' AND object = x)""",
+    "lens_impact": _closure("dependency", "dependent", "max(object)", 3, _IMPACT_EXTRA),
     "lens_deps": _closure("dependent", "dependency", "max(actor)", 3),
-    "full_impact": _closure("dependency", "dependent", "min(actor)", 3, _IMPACT_EXTRA).replace(ledger(), ledger(None)),
+    "full_impact": _closure("dependency", "dependent", "max(object)", 3, _IMPACT_EXTRA),
     "impact_reasons": f"""{E},{_SVC}, p AS (SELECT dependency AS f, dependent AS t FROM pairs {_IMPACT_EXTRA}),
-r AS (SELECT min(actor) AS id, 0 AS ring FROM e WHERE rel = 'http' UNION SELECT p.t, r.ring + 1 FROM r JOIN p ON p.f = r.id WHERE r.ring < 2),
+r AS (SELECT max(object) AS id, 0 AS ring FROM e WHERE rel = 'http' UNION SELECT p.t, r.ring + 1 FROM r JOIN p ON p.f = r.id WHERE r.ring < 3),
 g AS (SELECT id, min(ring) AS ring FROM r GROUP BY id),
 why AS (SELECT r.actor AS node, w.actor AS source, 'consumes ' || r.object AS why FROM e r JOIN e w ON r.object = w.object AND r.rel = 'sub' AND w.rel = 'pub'
   UNION SELECT actor, object, 'calls ' || object FROM e WHERE rel NOT IN ('pub', 'sub'))
 SELECT a.id AS node, a.ring::BIGINT AS ring, string_agg(DISTINCT why, '; ' ORDER BY why) AS reasons FROM why JOIN g a ON a.id = node JOIN g b ON b.id = source WHERE node <> source AND a.ring > 0 AND b.ring = a.ring - 1 GROUP BY a.id, a.ring""",
-    "lens_path": f"""{E}, fl AS (SELECT CASE rel WHEN 'sub' THEN object ELSE actor END AS a, CASE rel WHEN 'sub' THEN actor ELSE object END AS b, bool_or(rel IN ('http', 'grpc', 'gql', 'ws')) AS call FROM e GROUP BY 1, 2 HAVING a <> b),
+    "lens_path": f"""{V}, fl AS (SELECT CASE rel WHEN 'sub' THEN object ELSE actor END AS a, CASE rel WHEN 'sub' THEN actor ELSE object END AS b, bool_or(rel IN ('http', 'grpc', 'gql', 'ws')) AS call FROM e GROUP BY 1, 2 HAVING a <> b),
 z AS (SELECT max(object) AS id FROM e WHERE rel = 'uses'),
 w AS (SELECT min(actor) AS p, min(actor) AS cur, 0 AS hops, true AS sync FROM e WHERE rel = 'http'
   UNION ALL SELECT p || '/' || b, b, hops + 1, sync AND call FROM w JOIN fl ON a = cur WHERE hops < 6 AND cur <> (SELECT id FROM z) AND instr('/' || p || '/', '/' || b || '/') = 0)
 SELECT p AS path, hops::BIGINT AS hops, sync FROM w WHERE cur = (SELECT id FROM z) AND hops > 0""",
-    "path_steps": f"""{E}, fl AS (SELECT DISTINCT CASE rel WHEN 'sub' THEN object ELSE actor END AS a, CASE rel WHEN 'sub' THEN actor ELSE object END AS b FROM e WHERE actor <> object),
-w AS (SELECT [min(actor)] AS p, 0 AS hops FROM e WHERE rel = 'http' UNION ALL SELECT list_append(p, b), hops + 1 FROM w JOIN fl ON a = p[-1] WHERE hops < 2 AND NOT list_contains(p, b))
+    "path_steps": f"""{V}, fl AS (SELECT DISTINCT CASE rel WHEN 'sub' THEN object ELSE actor END AS a, CASE rel WHEN 'sub' THEN actor ELSE object END AS b FROM e WHERE actor <> object),
+w AS (SELECT [min(actor)] AS p, 0 AS hops FROM e WHERE rel = 'http' UNION ALL SELECT list_append(p, b), hops + 1 FROM w JOIN fl ON a = p[-1] WHERE hops < 6 AND NOT list_contains(p, b))
 SELECT array_to_string(p, '/') AS path, unnest(range(1, len(p) + 1))::BIGINT AS step, unnest(p) AS node FROM w WHERE hops > 0""",
     "lens_diff": f"{_DIFF} SELECT * FROM d",
     "diff_relabelled": f"{_DIFF} SELECT actor, rel, object, old_label, new_label FROM d WHERE change = 'relabelled'",
@@ -125,23 +158,23 @@ SELECT array_to_string(p, '/') AS path, unnest(range(1, len(p) + 1))::BIGINT AS
 v AS (SELECT * FROM e, s WHERE actor = x OR object = x OR (rel = 'pub' AND object IN (SELECT object FROM e, s WHERE rel = 'sub' AND actor = x)) OR (rel = 'sub' AND object IN (SELECT object FROM e, s WHERE rel = 'pub' AND actor = x)))
 SELECT id, kind, tech FROM n WHERE id IN (SELECT actor FROM v UNION SELECT object FROM v)""",
     "view_stats": f"{E} SELECT (SELECT count(DISTINCT x) FROM (SELECT actor AS x FROM e UNION ALL SELECT object FROM e)) AS nodes, count(*) AS edges, count(*) FILTER (WHERE tag = 'CODE') AS code, count(*) FILTER (WHERE tag <> 'CODE') AS inferred FROM e",
-    "consolidate_sightings": f"WITH {ledger(None)} SELECT actor, rel, object, label, count(*) AS sightings, min(path) AS first_path FROM sight GROUP BY ALL",
-    "receipt_rows": f"WITH {ledger(None)}, k AS (SELECT DISTINCT actor, rel, object, label, path, line FROM sight) SELECT rel, path, count(*) AS receipts FROM k GROUP BY rel, path",
+    "consolidate_sightings": f"WITH {ledger()} SELECT actor, rel, object, label, count(*) AS sightings, min(path) AS first_path FROM sight GROUP BY ALL",
+    "receipt_rows": f"WITH {ledger()}, k AS (SELECT DISTINCT actor, rel, object, label, path, line FROM sight) SELECT rel, path, count(*) AS receipts FROM k GROUP BY rel, path",
     "fold_labels": f"""WITH {ledger()}, k AS (SELECT *, min(CASE WHEN label <> '-' THEN label END) OVER w AS lo, max(CASE WHEN label <> '-' THEN label END) OVER w AS hi FROM sight WINDOW w AS (PARTITION BY actor, rel, object))
 SELECT actor, rel, object, CASE WHEN label = '-' AND lo = hi THEN lo ELSE label END AS label, count(*) AS sightings FROM k GROUP BY ALL""",
-    "feign_labels": f"""WITH {ledger(None)}, k AS (SELECT actor, rel, object, list_sort(list(DISTINCT label)) AS l FROM sight WHERE rel = 'http' GROUP BY ALL)
+    "feign_labels": f"""WITH {ledger()}, k AS (SELECT actor, rel, object, list_sort(list(DISTINCT label)) AS l FROM sight WHERE rel = 'http' GROUP BY ALL)
 SELECT actor, rel, object, array_to_string(l[1:3], ', ') AS shown, CASE WHEN len(l) > 3 THEN '+' || (len(l) - 3) || ' more' ELSE '' END AS more FROM k""",
-    "full_degree": f"WITH {ledger(None)}, k AS (SELECT DISTINCT actor, rel, object, label FROM sight) SELECT node, count(*) AS degree FROM (SELECT actor AS node FROM k UNION ALL SELECT object FROM k) GROUP BY node",
-    "review_t1": _finding("T1", "high", "'sync cycle ' || a || ' → ' || b || ' → ' || a", "a || ',' || b", "a || ' sync ' || b || '; ' || b || ' sync ' || a", "(SELECT DISTINCT x.actor AS a, x.object AS b FROM e x JOIN e y ON x.actor = y.object AND x.object = y.actor WHERE x.rel IN ('http', 'grpc', 'gql') AND y.rel IN ('http', 'grpc', 'gql') AND x.actor < x.object)"),
+    "full_degree": f"WITH {ledger()}, k AS (SELECT DISTINCT actor, rel, object, label FROM sight) SELECT node, count(*) AS degree FROM (SELECT actor AS node FROM k UNION ALL SELECT object FROM k) GROUP BY node",
+    "review_t1": f"""{V},{_CYCLES} SELECT 'T1' AS id, 'high' AS severity, 'sync cycle ' || array_to_string(list_append(p, root), ' → ') AS finding, array_to_string(p, ',') AS participants,
+array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || ' sync ' || list_append(p, root)[i + 1]), '; ') AS evidence FROM cyc""",
     "review_t2": _finding("T2", "med", "x || ' reads ' || t || ' and calls its producer ' || p", "x || ',' || p", "x || ' sub ' || t || '; ' || x || ' call ' || p", _T2),
     "review_t3": _finding("T3", "high", "object || ' is used by ' || users", "who", "ev", _T3, EN),
     "review_t4": f"""{E} SELECT 'T4' AS id, 'low' AS severity, o.object || CASE WHEN subs = 0 THEN ' has no consumer' ELSE ' has no producer' END AS finding, string_agg(DISTINCT actor, ',' ORDER BY actor) AS participants,
 string_agg(DISTINCT actor || CASE WHEN subs = 0 THEN ' pub ' ELSE ' sub ' END || o.object, '; ' ORDER BY actor || CASE WHEN subs = 0 THEN ' pub ' ELSE ' sub ' END || o.object) AS evidence FROM {_T4} o JOIN e ON e.object = o.object AND rel IN ('pub', 'sub') GROUP BY o.object, subs""",
-    "review_t5": f"{E},{_SYNC_PATHS} SELECT 'T5' AS id, 'med' AS severity, 'sync chain of >=3 hops from ' || start AS finding, start AS participants, '' AS evidence FROM w GROUP BY start HAVING max(hops) >= 3",
-    "review_t6": f"""{E}, h AS (SELECT * FROM e WHERE rel IN ('http', 'uses')), d AS (SELECT node, count(*) AS k FROM (SELECT actor AS node FROM h UNION ALL SELECT object FROM h) GROUP BY node)
-SELECT 'T6' AS id, 'med' AS severity, node || ' has degree ' || k AS finding, node AS participants, '' AS evidence FROM d WHERE k >= 6 AND k * 10 >= 3 * (SELECT count(*) FROM h)""",
-    "review_t7": f"WITH {ledger(None)} SELECT 'T7' AS id, 'low' AS severity, actor || ' makes ' || count(DISTINCT label) || ' different calls to ' || object AS finding, actor || ',' || object AS participants, actor || ' ' || min(rel) || ' ' || object AS evidence FROM sight WHERE rel IN ('http', 'grpc', 'gql', 'ws') GROUP BY actor, object HAVING count(DISTINCT label) >= 4",
-    "review_t8": _finding("T8", "low", "actor || ' names ' || object || ' in code'", "actor", "actor || ' ' || rel || ' ' || object", "(SELECT actor, rel, object, label FROM sight WHERE rel IN ('http', 'grpc', 'gql', 'ws') AND tag = 'CODE' GROUP BY ALL HAVING count(DISTINCT path || ':' || line) = 1)"),
+    "review_t5": f"{V},{_SYNC_PATHS} SELECT 'T5' AS id, 'med' AS severity, 'sync chain of ' || CASE WHEN depth >= 6 THEN '>=6' ELSE depth::VARCHAR END || ' hops from ' || start AS finding, start AS participants, '' AS evidence FROM {_CHAINS}",
+    "review_t6": f"{V} SELECT 'T6' AS id, 'med' AS severity, node || ' has degree ' || k AS finding, node AS participants, '' AS evidence FROM {_HUBS}",
+    "review_t7": f"WITH {ledger()} SELECT 'T7' AS id, 'low' AS severity, actor || ' makes ' || count(DISTINCT label) || ' different calls to ' || object AS finding, actor || ',' || object AS participants, actor || ' ' || min(rel) || ' ' || object AS evidence FROM sight WHERE rel IN ('http', 'grpc', 'gql', 'ws') GROUP BY actor, object HAVING count(DISTINCT label) >= 4",
+    "review_t8": _finding("T8", "low", "actor || ' names ' || object || ' in code'", "actor", "actor || ' ' || rel || ' ' || object", _ONCE),
     "review_t9": _finding("T9", "info", "actor || ' writes ' || object || ' without a key for ' || k || ' consumers'", "actor", "actor || ' pub ' || object", _T9),
     "review_t10": _finding(
         "T10",
@@ -151,24 +184,16 @@ SELECT 'T6' AS id, 'med' AS severity, node || ' has degree ' || k AS finding, no
         "p || ' pub ' || t || '; ' || c || ' sub ' || t || '; ' || c || ' pub ' || u || '; ' || p || ' sub ' || u",
         "(SELECT DISTINCT a.actor AS p, b.actor AS c, a.object AS t, x.object AS u FROM e a JOIN e b ON a.object = b.object AND a.rel = 'pub' AND b.rel = 'sub' JOIN e x ON x.actor = b.actor AND x.rel = 'pub' JOIN e y ON y.object = x.object AND y.rel = 'sub' AND y.actor = a.actor WHERE a.actor < b.actor AND a.object <> x.object)",
     ),
-    "review_t11": f"WITH {NODES} SELECT 'T11' AS id, 'info' AS severity, id || ' has no contract in scope' AS finding, id AS participants, '' AS evidence FROM n WHERE kind = 'ref'",
-    "review_t12": f"{E}, h AS (SELECT count(*) FILTER (WHERE tag <> 'CODE') AS k, count(*) AS n FROM e WHERE rel IN ('grpc', 'uses')) SELECT 'T12' AS id, 'info' AS severity, k || ' of ' || n || ' edges are not from code' AS finding, '' AS participants, '' AS evidence FROM h WHERE 5 * k > n",
-    "review_severities": f"""{EN}, deg AS (SELECT node, count(*) AS k FROM (SELECT actor AS node FROM e UNION ALL SELECT object FROM e) GROUP BY node),
-f AS (SELECT 'med' AS severity FROM {_T2} UNION ALL SELECT 'high' FROM {_T3} UNION ALL SELECT 'low' FROM {_T4} UNION ALL SELECT 'info' FROM {_T9}
-  UNION ALL SELECT 'med' FROM deg WHERE k >= 6 AND k * 10 >= 3 * (SELECT count(*) FROM e)
-  UNION ALL SELECT 'low' FROM (SELECT actor, object FROM e WHERE rel IN ('http', 'grpc', 'gql', 'ws') GROUP BY actor, object HAVING count(DISTINCT label) >= 4)
-  UNION ALL SELECT 'low' FROM (SELECT actor, rel, object, label FROM sight WHERE rel IN ('http', 'grpc', 'gql', 'ws') AND tag = 'CODE' GROUP BY ALL HAVING count(DISTINCT path || ':' || line) = 1)
-  UNION ALL SELECT 'info' FROM (SELECT DISTINCT a.actor, b.actor, a.object, x.object FROM e a JOIN e b ON a.object = b.object AND a.rel = 'pub' AND b.rel = 'sub' JOIN e x ON x.actor = b.actor AND x.rel = 'pub' JOIN e y ON y.object = x.object AND y.rel = 'sub' AND y.actor = a.actor WHERE a.actor < b.actor AND a.object <> x.object)
-  UNION ALL SELECT 'info' FROM n WHERE kind = 'ref'
-  UNION ALL SELECT 'info' FROM (SELECT count(*) FILTER (WHERE tag <> 'CODE') AS k, count(*) AS n FROM e) WHERE 5 * k > n)
-SELECT severity, count(*) AS findings FROM f GROUP BY severity""",
+    "review_t11": f"""{EN}, d AS (SELECT DISTINCT object AS id FROM e WHERE (rel = 'grpc' OR rel = 'http' AND object NOT IN (SELECT 'svc-' || n_nationkey FROM nation WHERE n_regionkey <> 0)) AND object NOT IN (SELECT id FROM n WHERE kind = 'ext') UNION SELECT id FROM n WHERE kind = 'ref')
+SELECT 'T11' AS id, 'info' AS severity, id || ' has no contract in scope' AS finding, id AS participants, '' AS evidence FROM d""",
+    "review_t12": f"{E}, h AS (SELECT count(*) FILTER (WHERE tag <> 'CODE') AS k, count(*) AS n FROM e) SELECT 'T12' AS id, 'info' AS severity, k || ' of ' || n || ' edges are not from code' AS finding, '' AS participants, '' AS evidence FROM h WHERE 5 * k > n",
+    "review_severities": f"{_ALL} SELECT severity, count(*) AS findings FROM f GROUP BY severity",
     "review_warned": f"{EN} SELECT x AS id FROM {_T2} UNION SELECT p FROM {_T2} UNION SELECT actor FROM e WHERE rel = 'uses' AND object IN (SELECT object FROM {_T3})",
     "review_inferred": f"""{E} SELECT 'T9' AS id, actor || ' writes ' || object || ' without a key for ' || k || ' consumers' AS finding, object LIKE 'Brand#1%' AS inferred FROM {_T9}
-UNION ALL SELECT DISTINCT 'T8', actor || ' names ' || object || ' in code', bool_or(false) FROM (SELECT actor, rel, object, label FROM sight WHERE rel IN ('http', 'grpc', 'gql', 'ws') AND tag = 'CODE' GROUP BY ALL HAVING count(DISTINCT path || ':' || line) = 1) GROUP BY actor, rel, object""",
-    "review_health": f"""WITH RECURSIVE {ledger(tag='_')}, e AS (SELECT * FROM e_ WHERE rel IN ('http', 'uses', 'pub', 'sub') AND object NOT LIKE 'ext-%'),{NODES}
-SELECT (SELECT count(*) FROM n WHERE kind = 'svc') AS services, (SELECT count(*) FROM n WHERE kind = 'ref') AS referenced, (SELECT count(*) FROM e) AS edges,
-  (SELECT round(100 * count(*) FILTER (WHERE tag = 'CODE') / count(*))::BIGINT FROM e) AS code_percent, (SELECT (count(*) > 0)::BIGINT FROM e WHERE rel = 'http' AND actor <> object) AS sync_depth,
-  0::BIGINT AS cycles, (SELECT count(*) FROM {_T3}) AS shared_stores, (SELECT count(*) FROM {_T3}) AS high, (SELECT count(*) FROM {_T2}) AS med, (SELECT count(*) FROM {_T4}) AS low, (SELECT count(*) FROM {_T9}) AS info""",
+UNION ALL SELECT DISTINCT 'T8', actor || ' names ' || object || ' in code', false FROM {_ONCE} GROUP BY actor, rel, object""",
+    "review_health": f"""{_ALL} SELECT (SELECT count(*) FROM n WHERE kind = 'svc') AS services, (SELECT count(*) FROM n WHERE kind = 'ref') AS referenced, (SELECT count(*) FROM e) AS edges,
+  (SELECT round(100 * count(*) FILTER (WHERE tag = 'CODE') / count(*))::BIGINT FROM e) AS code_percent, (SELECT max(hops)::BIGINT FROM w) AS sync_depth, count(*) FILTER (WHERE id = 'T1') AS cycles, count(*) FILTER (WHERE id = 'T3') AS shared_stores,
+  count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'med') AS med, count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info FROM f""",
     "review_to_be": f"""{E}, g AS (SELECT DISTINCT actor, rel, object FROM e WHERE rel = 'pub' AND object LIKE 'returns.%')
 SELECT actor, rel, object, label, tag FROM e WHERE (actor, rel, object) NOT IN (SELECT (actor, rel, object) FROM g) UNION ALL SELECT actor, rel, substr(object, 9), NULL, NULL FROM g""",
     "check_dangling": f"{EN} SELECT actor, rel, object, label, m AS missing FROM (SELECT actor, rel, object, label, unnest([actor, object]) AS m FROM e) WHERE m NOT IN (SELECT id FROM n WHERE kind <> 'ext')",
@@ -177,13 +202,15 @@ SELECT actor, rel, object, label, tag FROM e WHERE (actor, rel, object) NOT IN (
     "check_duplicate_keys": f"{E} SELECT actor, rel, object, label, 2::BIGINT AS n FROM e WHERE rel = 'uses'",
     "check_sorted": f"""WITH {NODES}, l AS (SELECT 'N ' || id || ' ' || kind || ' ' || tech || ' | ' || kind || '/' || id || ':1' AS v FROM n), k AS (SELECT v, row_number() OVER (ORDER BY reverse(v), v) AS line_no FROM l)
 SELECT 'CHK-3' AS check_id, line_no FROM (SELECT line_no, v, lag(v) OVER (ORDER BY line_no) AS b FROM k) WHERE b >= v""",
-    "check_receipt_range": f"""{E}, k AS (SELECT 'orders/' || l_orderkey AS path, least(count(*), 2) AS n_lines FROM lineitem WHERE l_orderkey < 20 AND l_orderkey % 3 <> 0 GROUP BY l_orderkey)
+    "check_receipt_range": f"""{E}, k AS (SELECT 'orders/' || l_orderkey AS path, max(l_linenumber) AS n_lines FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey)
 SELECT check_id, message, count(*) AS n FROM (
   SELECT 'CHK-10' AS check_id, 'no file ' || path AS message FROM perfile WHERE path NOT IN (SELECT path FROM k)
   UNION ALL SELECT 'CHK-11', s.path || ' has no line ' || line FROM (SELECT DISTINCT actor, rel, object, label, path, line FROM sight) s JOIN k ON k.path = s.path WHERE line < 1 OR line > n_lines) GROUP BY ALL""",
-    "check_outside_ledger": f"WITH {ledger(0, 18, '_o')}, {ledger(2, 20, '_n')} SELECT actor, rel, object, label FROM e_n EXCEPT SELECT actor, rel, object, label FROM e_o",
-    "refresh_invalidate": f"{E} {_VIEW} FROM e WHERE split_part(receipts, ':', 1) NOT IN ('orders/0', 'orders/5', 'orders/10', 'orders/15')",
-    "refresh_merge": f"{E} {_VIEW} FROM e",
+    "check_outside_ledger": f"WITH {_SNAPSHOTS} FROM e_n EXCEPT FROM e_o",
+    "refresh_invalidate": f"{E} {_VIEW} FROM e WHERE split_part(receipts, ':', 1) NOT IN (SELECT 'orders/' || o_orderkey FROM orders WHERE o_orderstatus = 'O')",
+    "refresh_merge": f"""WITH {_SNAPSHOTS}, both_ AS (FROM was UNION ALL FROM now),
+per AS (SELECT actor, rel, object, label, min(tag) AS tag, path, path || ':' || string_agg(DISTINCT line::VARCHAR, ',' ORDER BY line::VARCHAR) AS item FROM both_ GROUP BY actor, rel, object, label, path)
+SELECT actor, rel, object, label, min(tag) AS tag, string_agg(item, '; ' ORDER BY path) AS receipts FROM per GROUP BY actor, rel, object, label""",
     "refresh_changed_files": "SELECT 'documents/' || doc_id AS path FROM documents WHERE length(CASE WHEN length(text) % 7 = 0 THEN text || '!' ELSE text END) % 11 = 0 OR length(text) % 7 = 0",
     "refresh_dep_subsumed": f"""{E}, h AS (SELECT least(actor, object) AS lo, greatest(actor, object) AS hi FROM e WHERE rel = 'http'), d AS (SELECT DISTINCT actor, object FROM e WHERE rel IN ('http', 'grpc'))
 SELECT 'http' AS rel, count(*) AS edges FROM h UNION ALL SELECT 'dep', count(*) FROM d WHERE (least(actor, object), greatest(actor, object)) NOT IN (SELECT (lo, hi) FROM h) HAVING count(*) > 0""",
@@ -193,30 +220,65 @@ SELECT 'http' AS rel, count(*) AS edges FROM h UNION ALL SELECT 'dep', count(*)
     "echo_hits": f"WITH {_LINES}, h AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS name FROM pages), k AS (SELECT DISTINCT path, line, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._-]*')) AS name FROM lines) SELECT h.name, path, line::BIGINT AS line FROM k JOIN h ON h.name = k.name",
     "host_extract": "SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, regexp_extract(url, '^(https?):', 1) AS scheme, regexp_replace(lower(url), '[^a-z0-9._-]+', '-', 'g') AS slug FROM pages",
     "link_targets": """SELECT href, count(*) AS links, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY href""",
-    "gate_families": "WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS token FROM documents) SELECT family, token FROM (VALUES ('en', 'with'), ('de', 'der'), ('fr', 'pour'), ('es', 'para'), ('none', 'kafkajs')) g(family, token) WHERE token IN (SELECT token FROM w)",
     "owner_deepest_prefix": """WITH p AS (SELECT DISTINCT regexp_replace(url, '^https?://|[?].*$', '', 'g') AS path FROM pages), r AS (SELECT array_to_string(string_split(path, '/')[1:2], '/') AS root FROM p UNION SELECT string_split(path, '/')[1] FROM p)
 SELECT path, max_by(root, length(root)) AS service_id FROM p LEFT JOIN r ON starts_with(path, root || '/') GROUP BY path""",
-    "ladder_first_hit": """WITH k AS (SELECT doc_id, nullif(regexp_extract(text, '([A-Z]{6,})!!', 1), '') AS a, nullif(regexp_extract(text, '([A-Za-z]+) \\|', 1), '') AS b, source FROM documents)
-SELECT doc_id, CASE WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 ELSE 3 END::BIGINT AS rung, coalesce(a, b, source) AS value FROM k""",
-    "grpc_owner_tag": f"{E} SELECT actor, object, CASE WHEN object IN (SELECT 'ref-' || c_mktsegment FROM customer WHERE c_nationkey = 0) THEN 'CODE' ELSE 'INFERENCE' END AS tag FROM e WHERE rel = 'grpc'",
-    "route_match": """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '[?#].*$', ''), '/[0-9]+(/|$)', '/{id}\\1', 'g') AS template FROM pages)
-SELECT page_id, template, CASE WHEN template IN (SELECT template FROM p WHERE page_id % 5 = 0) THEN 'INFERENCE' ELSE 'GAP' END AS outcome FROM p""",
     "mermaid_ids": f"""WITH {NODES}, k AS (SELECT id, kind, {_MID} AS m FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY id) AS i FROM k)
 SELECT id, CASE WHEN i = 1 THEN m ELSE m || '_' || i END AS mid, CASE kind WHEN 'queue' THEN 'topic' WHEN 'store' THEN 'db' ELSE kind END AS class FROM r""",
     "mermaid_edges": f"""{EN}, k AS (SELECT id, kind, {_MID} AS m FROM n), r AS (SELECT id, CASE WHEN row_number() OVER (PARTITION BY m ORDER BY id) = 1 THEN m ELSE m || '_' || row_number() OVER (PARTITION BY m ORDER BY id) END AS mid FROM k),
 f AS (SELECT CASE rel WHEN 'sub' THEN object ELSE actor END AS a, CASE rel WHEN 'sub' THEN actor ELSE object END AS b, tag, rel || CASE WHEN label = '-' THEN '' ELSE ' ' || label END AS l FROM e)
 SELECT '  ' || x.mid || CASE tag WHEN 'CODE' THEN ' -->' ELSE ' -.->' END || '|"' || {_ELIDE.format('l')} || '"| ' || y.mid AS line FROM f JOIN r x ON x.id = a JOIN r y ON y.id = b""",
-    "drawio_geometry": f"""WITH {NODES}, k AS (SELECT id, kind, length(id) % 4 AS rank, row_number() OVER (PARTITION BY length(id) % 4 ORDER BY id) - 1 AS row FROM n), s AS (SELECT *, CASE WHEN kind = 'topic' THEN 140 WHEN kind = 'db' THEN 120 ELSE 160 END AS w FROM k)
-SELECT id, (40 + rank * 240 + (160 - w) // 2)::BIGINT AS x, (40 + row * 140)::BIGINT AS y, w::BIGINT AS width, CASE kind WHEN 'db' THEN 80 ELSE 60 END::BIGINT AS height FROM s""",
-    "label_elide": f"""SELECT page_id, {_ELIDE.format('url')} AS label, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(10), '&lt;br&gt;') AS xml FROM pages""",
+    "drawio_geometry": f"""{V}, es AS (SELECT actor AS a, object AS b, row_number() OVER (ORDER BY rel IN ('http', 'grpc', 'gql', 'ws'), actor, rel, object, label) AS i FROM e WHERE actor <> object),
+fold AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS reach, []::VARCHAR[] AS took
+  UNION ALL SELECT es.i, CASE WHEN list_contains(reach, es.b || '>' || es.a) THEN reach ELSE list_distinct(list_concat(reach, flatten([[x || '>' || y
+      for y in list_concat([es.b], [split_part(r, '>', 2) for r in reach if split_part(r, '>', 1) = es.b])] for x in list_concat([es.a], [split_part(r, '>', 1) for r in reach if split_part(r, '>', 2) = es.a])]))) END,
+    CASE WHEN list_contains(reach, es.b || '>' || es.a) THEN took ELSE list_append(took, es.a || '>' || es.b) END FROM fold JOIN es ON es.i = fold.i + 1),
+k AS (SELECT DISTINCT split_part(t, '>', 1) AS a, split_part(t, '>', 2) AS b FROM (SELECT unnest(took) AS t FROM (SELECT took FROM fold ORDER BY i DESC LIMIT 1))),
+walk AS (SELECT id, 0 AS rank FROM n UNION SELECT k.b, rank + 1 FROM walk JOIN k ON k.a = walk.id),
+rk AS (SELECT id, max(rank) AS rank FROM walk GROUP BY id),
+place AS (SELECT 0 AS rank, list(struct_pack(id := id, row := r)) AS rows FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM rk WHERE rank = 0)
+  UNION ALL SELECT p.rank + 1, list_concat(p.rows, (SELECT list(struct_pack(id := id, row := r)) FROM (SELECT m.id, row_number() OVER (ORDER BY avg(u.x.row), m.id) - 1 AS r FROM rk m JOIN k ON k.b = m.id JOIN (SELECT unnest(p.rows) AS x) u ON u.x.id = k.a WHERE m.rank = p.rank + 1 GROUP BY m.id)))
+  FROM place p WHERE p.rank < (SELECT max(rank) FROM rk)),
+pos AS (SELECT x.id AS id, x.row AS row FROM (SELECT unnest(rows) AS x FROM (SELECT rows FROM place ORDER BY rank DESC LIMIT 1))),
+g AS (SELECT n.id, kind, rank, row, CASE kind WHEN 'svc' THEN 160 WHEN 'topic' THEN 140 ELSE 120 END AS w, CASE kind WHEN 'db' THEN 80 ELSE 60 END AS h FROM n JOIN rk ON rk.id = n.id JOIN pos ON pos.id = n.id)
+SELECT id, rank::BIGINT AS rank, row::BIGINT AS row, (40 + rank * 240 + (160 - w) // 2)::BIGINT AS x, (40 + row * 140)::BIGINT AS y, w::BIGINT AS width, h::BIGINT AS height FROM g""",
+    "label_elide": f"""SELECT page_id, {_ELIDE.format('url')} AS label, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(10), '&lt;br&gt;') AS xml FROM pages""",
     "ledger_text": f"""{EN} SELECT 0::BIGINT AS block, 'N ' || id || ' ' || kind || ' ' || tech || ' | ' || kind || '/' || id || ':1' AS line FROM n
 UNION ALL SELECT 1, 'E ' || actor || ' ' || rel || ' ' || object || ' | ' || label || ' | ' || tag || ' | ' || receipts || CASE WHEN rel = 'grpc' THEN ' | confirm: contract of ' || substr(object, 5) ELSE '' END FROM e
 UNION ALL SELECT 2, 'G ' || o_orderkey || ' | priority not specified | orders/' || o_orderkey || ':1' FROM orders WHERE o_orderpriority LIKE '%NOT SPECIFIED'""",
     "key_spellings": """WITH k AS (SELECT p_partkey, 'partType.' || regexp_replace(p_type, '[^A-Za-z]', '', 'g') AS k FROM part), s AS (SELECT *, lower(regexp_replace(k, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS sn FROM k)
 SELECT p_partkey, k || ',' || upper(regexp_replace(sn, '[^A-Za-z0-9]+', '_', 'g')) || ',' || regexp_replace(sn, '[^A-Za-z0-9]+', '.', 'g') || ',' || string_split(k, '.')[2] || ',' || sn AS keys FROM s""",
     "token_budget": "SELECT source, sum(octet_length(encode(text)) // 4)::BIGINT AS tokens, sum(octet_length(encode(text)) // 4) > 20000 AS over FROM documents GROUP BY source",
-    "yaml_sections": f"""WITH {_LINES}, k AS (SELECT path, line, max(CASE WHEN regexp_matches(text, '^[A-Za-z]+$') THEN line END) OVER (PARTITION BY path ORDER BY line) AS at FROM lines WHERE path LIKE 'documents/%')
-SELECT h.text AS section, count(*) AS lines FROM k JOIN lines h ON h.path = k.path AND h.line = k.at GROUP BY h.text""",
     "after_context": f"WITH {_LINES}, k AS (SELECT path, max(line) AS n FROM lines GROUP BY path) SELECT l.path, l.line::BIGINT AS line, least(2, n - l.line)::BIGINT AS following FROM lines l JOIN k ON k.path = l.path WHERE l.path LIKE 'documents/%' AND text LIKE '%|%'",
     "stream_refresh": """SELECT 'user-' || user_id % 10 AS actor, 'pub' AS rel, event_type AS object, count(DISTINCT strftime(ts, '%Y-%m-%d %H'))::BIGINT AS places FROM events GROUP BY ALL""",
+    "extract_edges": f"""WITH {_FILES}, f AS (
+  SELECT 'svc-' || n AS actor, 'pub' AS rel, 'restock.' || r AS object, 'key=part' AS label, 'CODE' AS tag, path FROM su, range(2)
+  UNION ALL SELECT 'svc-' || n, 'http', 'svc-' || r, 'GET /stock/{{id}}', 'CODE', path FROM su WHERE n <> r
+  UNION ALL SELECT 'svc-' || n, 'http', 'api.bank' || n || '.com', 'POST /v1/pay', 'CODE', path FROM su
+  UNION ALL SELECT 'svc-' || n, 'uses', 'db-' || r, 'sql', 'CODE', path FROM su
+  UNION ALL SELECT 'svc-' || n, 'sub', 'restock.' || t, 'group=shop', 'CODE', path FROM cu
+  UNION ALL SELECT 'svc-' || n, 'grpc', 'svc-' || m, '-', 'CODE', path FROM cu WHERE n <> m
+  UNION ALL SELECT 'svc-' || n, 'http', 'svc-' || m, 'ANY /n' || m || '/customers/{{id}}', 'INFERENCE', unnest([path, 'svc-' || m || '/server.go']) FROM cu WHERE n <> m
+  UNION ALL SELECT 'svc-' || n, 'http', 'stripe', '-', 'CODE', path FROM cu
+  UNION ALL SELECT 'svc-' || n, 'pub', 'audit.' || r, '-', 'CODE', 'svc-' || n || '/src/main/resources/application.properties' FROM na
+  UNION ALL SELECT 'prices-' || r_regionkey, 'pub', 'work-' || r_regionkey, '-', 'CODE', 'infra/region' || r_regionkey || '.tf' FROM region)
+SELECT actor, rel, object, label, tag, count(*) AS sightings, min(path) AS first_path FROM f GROUP BY actor, rel, object, label, tag""",
+    "extract_gaps": f"""WITH {_FILES} SELECT 'svc-' || n AS subject, 'no single route /none/{{id}}' AS detail, count(*) AS places FROM cu GROUP BY n
+UNION ALL SELECT 'svc-' || n, 'unresolved pub topicOf', count(*) FROM cu GROUP BY n""",
+    "sweep_families": """WITH c AS (SELECT count(*) AS c FROM customer), s AS (SELECT count(*) AS s FROM supplier)
+SELECT 'kafka' AS family, 'pub' AS rel, c + s AS hits, c + s AS files FROM c, s UNION ALL SELECT 'kafka', 'sub', c, c FROM c UNION ALL SELECT 'http', 'http', 3 * s + 2 * c, s + c FROM c, s
+UNION ALL SELECT 'grpc', 'grpc', c, c FROM c UNION ALL SELECT 'store', 'uses', s, s FROM s""",
+    "gate_families": "SELECT unnest(['kafka', 'http', 'graphql', 'websocket', 'grpc', 'store']) AS family",
+    "ladder_rungs": """WITH c AS (SELECT count(*) AS c FROM customer), s AS (SELECT count(*) AS s FROM supplier)
+SELECT 'pub' AS rel, 2::BIGINT AS rung, s AS hits FROM s UNION ALL SELECT 'pub', 7, c FROM c UNION ALL SELECT 'sub', 1, c FROM c UNION ALL SELECT 'http', 1, 3 * s + 2 * c FROM c, s
+UNION ALL SELECT 'grpc', 6 + 1, c FROM c UNION ALL SELECT 'uses', 1, s FROM s""",
+    "service_names": "SELECT 'svc-' || n_nationkey AS service_id, 'svc-' || n_nationkey AS root_path, 'go' AS tech, 'svc-' || n_nationkey || '/go.mod' AS path, 1::BIGINT AS line FROM nation",
+    "grpc_owner_tag": """WITH s AS (SELECT DISTINCT c_custkey % 30 AS k FROM customer)
+SELECT 'Nation' || k AS name, CASE WHEN n_regionkey <= 3 THEN 'svc-' || k ELSE 'Nation' || k END AS object, CASE WHEN n_regionkey <= 3 THEN 'svc' ELSE 'ref' END AS kind, CASE WHEN n_regionkey < 3 THEN 'CODE' ELSE 'INFERENCE' END AS tag FROM s LEFT JOIN nation ON n_nationkey = k""",
+    "route_match": """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '[?#].*$', ''), '/[0-9]+(/|$)', '/{id}\\1', 'g') AS template FROM pages),
+h AS (SELECT DISTINCT host, template FROM p), k AS (SELECT template, count(*) AS n FROM h GROUP BY template)
+SELECT 'pages/' || page_id AS path, p.template, h.host AS service_id, n AS matches, CASE WHEN n = 1 THEN 'INFERENCE' ELSE 'GAP' END AS outcome FROM p JOIN h ON h.template = p.template JOIN k ON k.template = p.template""",
+    "yaml_sections": """WITH f AS (SELECT 'deploy/' || n_nationkey || '/compose.yml' AS path, n_nationkey AS n, n_regionkey AS r FROM nation)
+SELECT path, 'services' AS section, NULL AS entry, 1::BIGINT AS lines, NULL AS image, NULL::BIGINT AS variables FROM f
+UNION ALL SELECT path, 'services', 'svc-' || n, 4, 'postgres:1' || r, 1 FROM f UNION ALL SELECT path, 'services', 'cache-' || n, 2, 'redis:7', 0 FROM f
+UNION ALL SELECT path, 'volumes', NULL, 1, NULL, NULL FROM f UNION ALL SELECT path, 'volumes', 'data', 1, NULL, NULL FROM f""",
 }

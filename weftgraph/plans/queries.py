@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, consolidate, graph, review
-from ..schema import EDGE_KEY
+from ..operators import checks, consolidate, graph, resolve, review, signatures
+from ..schema import EDGE_KEY, EDGES
 from ..sources import corpus
 from ..sources.ledger import ledger_lines
+from ..sources.shared import kept
 from . import bind, render
 
 
@@ -21,9 +22,18 @@ def _start(edges: DataFrame, rels: tuple[str, ...], end: str, column: str) -> Da
     return edges.filter(F.col("rel").isin(*rels)).agg(pick(column).alias("id"))
 
 
-def _sparse(spark, sf_dir: str) -> DataFrame:
-    """The edges, kept: lenses use them several times, and must not read the line items for each."""
-    return bind.edges(spark, sf_dir, bind.SPARSE).persist()
+def _edges(spark, sf_dir: str) -> DataFrame:
+    """All edges with receipts, written once: lenses use them several times, and must not read the line items for each."""
+    return kept(bind.edges(spark, sf_dir))
+
+
+def _tags(spark, sf_dir: str) -> DataFrame:
+    """All edges without receipts, written once."""
+    return kept(bind.edge_tags(spark, sf_dir))
+
+
+def _visits(spark, sf_dir: str) -> DataFrame:
+    return kept(consolidate.consolidate(bind.visits(spark, sf_dir)))
 
 
 def _view(edges: DataFrame) -> DataFrame:
@@ -35,7 +45,7 @@ def bind_nodes(spark, d):
 
 
 def bind_edges(spark, d):
-    return _view(_sparse(spark, d))
+    return _view(_edges(spark, d))
 
 
 def bind_gaps(spark, d):
@@ -43,24 +53,24 @@ def bind_gaps(spark, d):
 
 
 def flow_orient(spark, d):
-    return graph.flow(_sparse(spark, d)).select(*EDGE_KEY, "src", "dst")
+    return graph.flow(_tags(spark, d)).select(*EDGE_KEY, "src", "dst")
 
 
 def dep_orient(spark, d):
-    return graph.dependency(_sparse(spark, d)).select(*EDGE_KEY, "dependent", "dependency")
+    return graph.dependency(_tags(spark, d)).select(*EDGE_KEY, "dependent", "dependency")
 
 
 def lens_focus(spark, d):
-    e = _sparse(spark, d)
+    e = _edges(spark, d)
     return _view(graph.focus(e, _start(e, ("http",), "max", "actor")))
 
 
 def lens_data(spark, d):
-    return graph.data(bind.nodes(spark, d), _sparse(spark, d))
+    return graph.data(bind.nodes(spark, d), _tags(spark, d))
 
 
 def lens_overview(spark, d):
-    return _view(graph.overview(_sparse(spark, d)))
+    return _view(graph.overview(_edges(spark, d)))
 
 
 def overview_clusters(spark, d):
@@ -68,44 +78,46 @@ def overview_clusters(spark, d):
 
 
 def lens_lineage(spark, d):
-    e = _sparse(spark, d)
-    return _view(graph.lineage(e, _start(e, ("pub",), "min", "object"), 2))
+    e = _edges(spark, d)
+    return _view(graph.lineage(e, _start(e, ("pub",), "min", "object")))
 
 
 def lineage_channels(spark, d):
-    e = _sparse(spark, d)
-    return graph.lineage_channels(e, _start(e, ("pub",), "min", "object"), 2).select("id", F.col("ring").cast("bigint").alias("ring"))
+    e = _tags(spark, d)
+    return graph.lineage_channels(e, _start(e, ("pub",), "min", "object")).select("id", F.col("ring").cast("bigint").alias("ring"))
 
 
 def lens_impact(spark, d):
-    e = _sparse(spark, d)
-    return graph.impact(e, _start(e, ("http",), "min", "actor")).select("node", F.col("ring").cast("bigint").alias("ring"))
+    e = _tags(spark, d)
+    return graph.impact(e, _start(e, ("http",), "max", "object")).select("node", F.col("ring").cast("bigint").alias("ring"))
 
 
 def impact_reasons(spark, d):
-    e = _sparse(spark, d)
-    return graph.impact_reasons(e, _start(e, ("http",), "min", "actor"), 2).select("node", F.col("ring").cast("bigint").alias("ring"), "reasons")
+    e = _tags(spark, d)
+    return graph.impact_reasons(e, _start(e, ("http",), "max", "object")).select("node", F.col("ring").cast("bigint").alias("ring"), "reasons")
 
 
 def lens_deps(spark, d):
-    e = _sparse(spark, d)
+    e = _tags(spark, d)
     return graph.deps(e, _start(e, ("http",), "max", "actor")).select("node", F.col("ring").cast("bigint").alias("ring"))
 
 
 def lens_path(spark, d):
-    e = _sparse(spark, d)
+    """All simple paths of up to six hops between two nodes of the events' ledger."""
+    e = _visits(spark, d)
     found = graph.simple_paths(e, _start(e, ("http",), "min", "actor"), _start(e, ("uses",), "max", "object"))
     return found.select(F.array_join("nodes", "/").alias("path"), F.col("hops").cast("bigint").alias("hops"), "sync")
 
 
 def path_steps(spark, d):
-    e = _sparse(spark, d)
-    found = graph.simple_paths(e, _start(e, ("http",), "min", "actor"), None, 2)
+    e = _visits(spark, d)
+    found = graph.simple_paths(e, _start(e, ("http",), "min", "actor"))
     return found.select(F.array_join("nodes", "/").alias("path"), F.posexplode("nodes").alias("pos", "node")).select("path", (F.col("pos") + 1).cast("bigint").alias("step"), "node")
 
 
 def lens_diff(spark, d):
-    return graph.diff(bind.edges(spark, d, bind.OLD), bind.edges(spark, d, bind.NEW))
+    old, new = bind.snapshots(spark, d)
+    return graph.diff(consolidate.edge_tags(old), consolidate.edge_tags(new))
 
 
 def diff_relabelled(spark, d):
@@ -113,17 +125,17 @@ def diff_relabelled(spark, d):
 
 
 def lens_custom_stores(spark, d):
-    view = graph.stores_only(bind.nodes(spark, d), graph.overview(_sparse(spark, d)), ("db",))
+    view = graph.stores_only(bind.nodes(spark, d), graph.overview(_edges(spark, d)), ("db",))
     return _view(view.edges)
 
 
 def view_nodes(spark, d):
-    e = _sparse(spark, d)
+    e = _tags(spark, d)
     return graph.endpoints(bind.nodes(spark, d), graph.focus(e, _start(e, ("http",), "max", "actor"))).select("id", "kind", "tech")
 
 
 def view_stats(spark, d):
-    return graph.stats(_sparse(spark, d))
+    return graph.stats(_tags(spark, d))
 
 
 def consolidate_sightings(spark, d):
@@ -138,11 +150,11 @@ def receipt_rows(spark, d):
 
 
 def fold_labels(spark, d):
-    return consolidate.fold_labels(bind.sightings(spark, d, bind.SPARSE)).groupBy(*EDGE_KEY).agg(F.count(F.lit(1)).alias("sightings"))
+    return consolidate.fold_labels(bind.sightings(spark, d)).groupBy(*EDGE_KEY).agg(F.count(F.lit(1)).alias("sightings"))
 
 
 def feign_labels(spark, d):
-    return consolidate.label_cap(bind.edges(spark, d, None).filter("rel = 'http'"), 3)
+    return consolidate.label_cap(bind.edge_tags(spark, d).filter("rel = 'http'"), 3)
 
 
 def full_degree(spark, d):
@@ -152,8 +164,8 @@ def full_degree(spark, d):
 
 def full_impact(spark, d):
     """Bounded closure over all edges: the line items are read once, the distinct edges kept."""
-    e = consolidate.edge_counts(bind.sightings(spark, d)).persist()
-    return graph.impact(e, _start(e, ("http",), "min", "actor")).select("node", F.col("ring").cast("bigint").alias("ring"))
+    e = kept(consolidate.edge_counts(bind.sightings(spark, d)))
+    return graph.impact(e, _start(e, ("http",), "max", "object")).select("node", F.col("ring").cast("bigint").alias("ring"))
 
 
 def _rule(df: DataFrame) -> DataFrame:
@@ -162,60 +174,62 @@ def _rule(df: DataFrame) -> DataFrame:
 
 
 def _t(spark, d, rule: str) -> DataFrame:
-    n, e = bind.nodes(spark, d), _sparse(spark, d)
+    """Paths, cycles and hubs over the events' ledger, whose nodes are few; the other rules over that of the line items."""
+    n, v = bind.nodes(spark, d), bind.visit_nodes(spark, d)
     counted = {
-        "t1": lambda: review.t1_sync_cycle(e, 2),
-        "t2": lambda: review.t2_event_then_callback(e),
-        "t3": lambda: review.t3_shared_store(n, e),
-        "t4": lambda: review.t4_orphan_channel(e),
-        "t5": lambda: review.t5_deep_sync_chain(e, 3, 3),
-        "t6": lambda: review.t6_hub(e.filter("rel in ('http', 'uses')")),
-        "t7": lambda: review.t7_chatty_pair(bind.edges(spark, d, None)),
-        "t8": lambda: review.t8_hard_wired(e),
-        "t9": lambda: review.t9_unkeyed_event(e),
-        "t10": lambda: review.t10_ping_pong(e),
-        "t11": lambda: review.t11_unowned_contract(n, e),
-        "t12": lambda: review.t12_inference_debt(e.filter("rel in ('grpc', 'uses')")),
+        "t1": lambda: review.t1_sync_cycle(_visits(spark, d)),
+        "t2": lambda: review.t2_event_then_callback(_tags(spark, d)),
+        "t3": lambda: review.t3_shared_store(n, _tags(spark, d)),
+        "t4": lambda: review.t4_orphan_channel(_tags(spark, d)),
+        "t5": lambda: review.t5_deep_sync_chain(_visits(spark, d)),
+        "t6": lambda: review.t6_hub(v, _visits(spark, d)),
+        "t7": lambda: review.t7_chatty_pair(_tags(spark, d)),
+        "t8": lambda: review.t8_hard_wired(_edges(spark, d)),
+        "t9": lambda: review.t9_unkeyed_event(_tags(spark, d)),
+        "t10": lambda: review.t10_ping_pong(_tags(spark, d)),
+        "t11": lambda: review.t11_unowned_contract(n, _tags(spark, d), _contracts(spark, d)),
+        "t12": lambda: review.t12_inference_debt(_tags(spark, d)),
     }
     return _rule(counted[rule]())
 
 
-def _findings(spark, d):
-    n, e = bind.nodes(spark, d), _sparse(spark, d)
-    return n, e, review.findings(n, e, True, 2)
+def _contracts(spark, d) -> DataFrame:
+    """API descriptions: every nation outside the first region has one."""
+    named = bind.table(spark, d, "nation").filter("n_regionkey <> 0")
+    return named.select(F.lit("http").alias("rel"), F.concat(F.lit("svc-"), F.col("n_nationkey").cast("string")).alias("name"))
 
 
 def review_severities(spark, d):
-    _, _, found = _findings(spark, d)
-    return found.filter("id not in ('T1', 'T5')").groupBy("severity").agg(F.count(F.lit(1)).alias("findings"))
+    """All twelve rules over the events' ledger."""
+    found = review.findings(bind.visit_nodes(spark, d), _visits(spark, d))
+    return found.groupBy("severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
 def review_warned(spark, d):
-    n, e = bind.nodes(spark, d), _sparse(spark, d)
+    n, e = bind.nodes(spark, d), _tags(spark, d)
     return review.warned(review.t2_event_then_callback(e).unionByName(review.t3_shared_store(n, e)))
 
 
 def review_inferred(spark, d):
-    e = _sparse(spark, d)
+    e = _edges(spark, d)
     found = review.t9_unkeyed_event(e).unionByName(review.t8_hard_wired(e))
     return review.disclosed(found, e.withColumn("tag", F.when(F.col("object").startswith("Brand#1"), "INFERENCE").otherwise(F.col("tag")))).select("id", "finding", "inferred")
 
 
 def review_health(spark, d):
-    n, e = bind.nodes(spark, d), _sparse(spark, d).filter("rel in ('http', 'uses', 'pub', 'sub') and not object like 'ext-%'")
-    found = review.t3_shared_store(n, e).unionByName(review.t4_orphan_channel(e)).unionByName(review.t9_unkeyed_event(e)).unionByName(review.t2_event_then_callback(e))
-    return review.health(n, e, found, 1)
+    n, e = bind.visit_nodes(spark, d), _visits(spark, d)
+    return review.health(n, e, kept(review.findings(n, e)))
 
 
 def review_to_be(spark, d):
-    e = _sparse(spark, d)
+    e = _tags(spark, d)
     gone = e.filter("rel = 'pub' and object like 'returns.%'").select("actor", "rel", "object").distinct().withColumn("op", F.lit("removed"))
     come = gone.withColumn("op", F.lit("added")).withColumn("object", F.regexp_replace("object", "^returns\\.", ""))
-    return review.to_be(e.drop("receipts"), gone.unionByName(come)).select("actor", "rel", "object", "label", "tag")
+    return review.to_be(e, gone.unionByName(come)).select("actor", "rel", "object", "label", "tag")
 
 
 def check_dangling(spark, d):
-    return checks.dangling(bind.nodes(spark, d).filter("kind <> 'ext'"), _sparse(spark, d))
+    return checks.dangling(bind.nodes(spark, d).filter("kind <> 'ext'"), _tags(spark, d))
 
 
 def check_dup_nodes(spark, d):
@@ -225,43 +239,47 @@ def check_dup_nodes(spark, d):
 
 
 def check_missing_note(spark, d):
-    e = _sparse(spark, d).withColumn("note", F.when(F.col("object") != "ref-BUILDING", F.col("note"))).withColumn("line_no", F.lit(1))
+    e = _tags(spark, d).withColumn("note", F.when(F.col("object") != "ref-BUILDING", F.col("note"))).withColumn("line_no", F.lit(1))
     return checks.edge_checks(e).groupBy("check_id", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
 def check_duplicate_keys(spark, d):
-    e = _sparse(spark, d)
+    e = _tags(spark, d)
     return checks.duplicate_keys(e.unionByName(e.filter("rel = 'uses'")))
 
 
 def check_sorted(spark, d):
     """The node block in id order of another kind order: the lines that break the byte order."""
     n = bind.nodes(spark, d)
-    raw = ledger_lines(n, _sparse(spark, d).limit(0), bind.gaps(spark, d).limit(0))
+    raw = ledger_lines(n, spark.createDataFrame([], EDGES), bind.gaps(spark, d).limit(0))
     numbered = raw.select(F.col("line").alias("value"), (F.row_number().over(Window.orderBy(F.reverse("line"), "line"))).alias("line_no"))
     return checks.sorted_unique(numbered).select("check_id", F.col("line_no").cast("bigint").alias("line_no"))
 
 
 def check_receipt_range(spark, d):
-    """Receipts against the number of lines that each order really has."""
-    e = _sparse(spark, d)
-    counts = bind.table(spark, d, "lineitem").filter("l_orderkey < 20 and l_orderkey % 3 <> 0").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
-    counts = counts.select(F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string")).alias("path"), F.least(F.col("n_lines"), F.lit(2)).alias("n_lines"))
+    """Receipts against the lines of each order that a return flag leaves: the line counts of the corpus as it is now."""
+    e = _edges(spark, d)
+    now = bind.table(spark, d, "lineitem").filter("l_returnflag <> 'R'")
+    lines = now.select(F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string")).alias("path"), F.col("l_linenumber").alias("line"))
+    counts = corpus.line_counts(lines)
     receipts = e.select(F.lit(1).alias("line_no"), F.lit("E").alias("type"), T.receipt_text(F.col("receipts")).alias("text"))
     return checks.receipt_checks(receipts, counts).groupBy("check_id", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
 def check_outside_ledger(spark, d):
-    return checks.outside_ledger(bind.edges(spark, d, bind.NEW), bind.edges(spark, d, bind.OLD))
+    old, new = bind.snapshots(spark, d)
+    return checks.outside_ledger(consolidate.edge_tags(new), consolidate.edge_tags(old))
 
 
 def refresh_invalidate(spark, d):
-    changed = spark.range(0, 20, 5).select(F.concat(F.lit("orders/"), F.col("id").cast("string")).alias("path"))
-    return _view(consolidate.invalidate(_sparse(spark, d), changed))
+    """Orders that are still open have changed."""
+    changed = bind.table(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return _view(consolidate.invalidate(_edges(spark, d), changed))
 
 
 def refresh_merge(spark, d):
-    return _view(consolidate.merge(bind.edges(spark, d, bind.OLD), bind.edges(spark, d, bind.NEW)))
+    old, new = bind.snapshots(spark, d)
+    return _view(consolidate.merge(consolidate.consolidate(old), consolidate.consolidate(new)))
 
 
 def refresh_changed_files(spark, d):
@@ -271,7 +289,7 @@ def refresh_changed_files(spark, d):
 
 
 def refresh_dep_subsumed(spark, d):
-    e = _sparse(spark, d)
+    e = _edges(spark, d)
     dep = e.filter("rel in ('http', 'grpc')").withColumn("rel", F.lit("dep")).withColumn("label", F.lit("-")).dropDuplicates(["actor", "object"])
     return consolidate.subsume_dep(e.filter("rel = 'http'").unionByName(dep)).groupBy("rel").agg(F.count(F.lit(1)).alias("edges"))
 
@@ -280,6 +298,46 @@ def _hrefs(spark, d) -> DataFrame:
     return bind.lines(spark, d).filter("path like 'pages/%'").select("path", "line", F.explode(F.regexp_extract_all("text", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
+def _extracted(spark, d) -> tuple[DataFrame, DataFrame]:
+    files = bind.sources(spark, d)
+    services = corpus.service_names(corpus.split_lines(files)).select("service_id", "root_path")
+    return resolve.extract(files, services, bind.deployed(spark, d))
+
+
+def extract_edges(spark, d):
+    """The whole chain from source text to edges: sweep, ladder, targets, routes, contracts, vendors, bindings, infrastructure."""
+    seen, _ = _extracted(spark, d)
+    return consolidate.edge_counts(seen).select(*EDGE_KEY, F.when(F.col("rank") == 1, "CODE").otherwise("INFERENCE").alias("tag"), "sightings", "first_path")
+
+
+def extract_gaps(spark, d):
+    _, gaps = _extracted(spark, d)
+    return gaps.groupBy("subject", "detail").agg(F.count(F.lit(1)).alias("places"))
+
+
+def sweep_families(spark, d):
+    """Call sites per family and relation, behind the gates of the corpus' manifests and imports."""
+    lines = corpus.split_lines(bind.sources(spark, d))
+    hits = signatures.sweep(lines, open_families=signatures.gated(lines))
+    return hits.groupBy("family", "rel").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("path").alias("files"))
+
+
+def gate_families(spark, d):
+    return signatures.gated(corpus.split_lines(bind.sources(spark, d)))
+
+
+def ladder_rungs(spark, d):
+    """Which rung of the resolution ladder names the call sites."""
+    lines = corpus.split_lines(bind.sources(spark, d))
+    hits = signatures.sweep(lines, open_families=signatures.gated(lines))
+    found = resolve.ladder(hits, resolve.symbols(lines), corpus.config_values(lines))
+    return found.groupBy("rel", F.col("rung").cast("bigint").alias("rung")).agg(F.count(F.lit(1)).alias("hits"))
+
+
+def service_names(spark, d):
+    return corpus.service_names(corpus.split_lines(bind.sources(spark, d))).select("service_id", "root_path", "tech", "path", F.col("line").cast("bigint").alias("line"))
+
+
 def sweep_hits(spark, d):
     """One pass over all lines with several pattern families."""
     families = {"link": 'href="', "markup": "<script|<style", "license": "(?i)licen[sc]e", "entity": "&amp;"}
@@ -303,43 +361,24 @@ def link_targets(spark, d):
     return _hrefs(spark, d).groupBy("href").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("path").alias("pages"))
 
 
-def gate_families(spark, d):
-    """Families whose gate words occur anywhere in the documents."""
-    gates = spark.createDataFrame([("en", "with"), ("de", "der"), ("fr", "pour"), ("es", "para"), ("none", "kafkajs")], "family string, token string")
-    words = bind.table(spark, d, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("token")).distinct()
-    return gates.join(words, "token", "left_semi")
-
-
 def owner_deepest_prefix(spark, d):
     p = bind.table(spark, d, "pages").select(F.regexp_replace("url", "^https?://|[?].*$", "").alias("path"))
     roots = p.select(F.concat_ws("/", F.slice(F.split("path", "/"), 1, 2)).alias("root_path")).unionByName(p.select(F.split("path", "/")[0].alias("root_path"))).distinct()
     return corpus.owners(p, roots.withColumn("service_id", F.col("root_path"))).select("path", "service_id")
 
 
-def ladder_first_hit(spark, d):
-    """Documents' values by an ordered list of fallbacks: the first that gives one wins."""
-    docs = bind.table(spark, d, "documents")
-    rungs = F.array(
-        F.struct(F.lit(1).alias("rung"), F.nullif(F.regexp_extract("text", "([A-Z]{6,})!!", 1), F.lit("")).alias("value")),
-        F.struct(F.lit(2).alias("rung"), F.nullif(F.regexp_extract("text", "([A-Za-z]+) \\|", 1), F.lit("")).alias("value")),
-        F.struct(F.lit(3).alias("rung"), F.col("source").alias("value")),
-    )
-    first = F.filter(rungs, lambda r: r["value"].isNotNull())[0]
-    return docs.select("doc_id", first.alias("r")).select("doc_id", F.col("r.rung").cast("bigint").alias("rung"), "r.value")
-
-
 def grpc_owner_tag(spark, d):
-    """Stubs with a registration are code, others inference."""
-    e = _sparse(spark, d).filter("rel = 'grpc'")
-    owned = bind.table(spark, d, "customer").filter("c_nationkey = 0").select(F.concat(F.lit("ref-"), "c_mktsegment").alias("object")).distinct().withColumn("found", F.lit(True))
-    return e.join(owned, "object", "left").select("actor", "object", F.when(F.col("found"), "CODE").otherwise("INFERENCE").alias("tag"))
+    """Contracts that customers' files call: their server's name, or the file's folder as a hint, or neither."""
+    stubs = bind.table(spark, d, "customer").select(F.concat(F.lit("Nation"), (F.col("c_custkey") % 30).cast("string")).alias("name")).distinct()
+    nation = bind.table(spark, d, "nation").select(F.concat(F.lit("Nation"), F.col("n_nationkey").cast("string")).alias("name"), F.concat(F.lit("svc-"), F.col("n_nationkey").cast("string")).alias("service_id"), "n_regionkey")
+    return resolve.contract_tag(stubs, nation.filter("n_regionkey < 3"), nation.filter("n_regionkey = 3"))
 
 
 def route_match(spark, d):
-    """Page paths against route templates, both normalised: one match is inference, none a gap."""
-    p = bind.table(spark, d, "pages").select("page_id", T.template(F.regexp_replace("url", "^https?://[^/]+", "")).alias("template"))
-    routes = p.filter("page_id % 5 = 0").select("template").distinct().withColumn("found", F.lit(1))
-    return p.join(routes, "template", "left").select("page_id", "template", F.when(F.col("found") == 1, "INFERENCE").otherwise("GAP").alias("outcome"))
+    """Page paths against the routes that the pages' links name, both normalised: one host is inference, none or several a gap."""
+    p = bind.table(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), F.lit(1).alias("line"), T.template(F.regexp_replace("url", "^https?://[^/]+", "")).alias("template"))
+    named = bind.table(spark, d, "pages").select(T.host(F.col("url")).alias("service_id"), T.template(F.regexp_replace("url", "^https?://[^/]+", "")).alias("template"))
+    return resolve.matched_routes(p, named).select("path", "template", "service_id", F.col("matches").cast("bigint").alias("matches"), "outcome")
 
 
 def mermaid_ids(spark, d):
@@ -347,21 +386,21 @@ def mermaid_ids(spark, d):
 
 
 def mermaid_edges(spark, d):
-    return render.edge_lines(bind.nodes(spark, d), _sparse(spark, d)).select("line")
+    return render.edge_lines(bind.nodes(spark, d), _tags(spark, d)).select("line")
 
 
 def drawio_geometry(spark, d):
-    n = bind.nodes(spark, d).withColumn("rank", F.char_length("id") % 4).withColumn("row", F.row_number().over(Window.partitionBy("rank").orderBy("id")) - 1)
-    return render.geometry(n).select("id", *(F.col(c).cast("bigint").alias(c) for c in ("x", "y", "width", "height")))
+    n, e = bind.visit_nodes(spark, d), _visits(spark, d)
+    return render.geometry(n.join(render.layers(n, e), "id")).select("id", *(F.col(c).cast("bigint").alias(c) for c in ("rank", "row", "x", "y", "width", "height")))
 
 
 def label_elide(spark, d):
     p = bind.table(spark, d, "pages")
-    return p.select("page_id", T.elide(F.col("url")).alias("label"), T.xml_escape(F.substring("html", 1, 200)).alias("xml"))
+    return p.select("page_id", T.elide(F.col("url")).alias("label"), T.xml_escape(F.col("html")).alias("xml"))
 
 
 def ledger_text(spark, d):
-    return ledger_lines(bind.nodes(spark, d), _sparse(spark, d), bind.gaps(spark, d)).select(F.col("block").cast("bigint").alias("block"), "line")
+    return ledger_lines(bind.nodes(spark, d), _edges(spark, d), bind.gaps(spark, d)).select(F.col("block").cast("bigint").alias("block"), "line")
 
 
 def key_spellings(spark, d):
@@ -374,11 +413,13 @@ def token_budget(spark, d):
 
 
 def yaml_sections(spark, d):
-    """Carried keys: each document line with the last line before it that is a heading (one word)."""
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = bind.lines(spark, d).filter("path like 'documents/%'")
-    key = F.when(F.col("text").rlike("^[A-Za-z]+$"), F.col("text"))
-    return lines.withColumn("section", F.last(key, ignorenulls=True).over(w)).filter("section is not null").groupBy("section").agg(F.count(F.lit(1)).alias("lines"))
+    """Enclosing keys of deployment files made of the tables: each nation's workload with its settings."""
+    n = bind.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("n"), F.col("n_regionkey").cast("string").alias("r"))
+    text = F.concat(F.lit("services:\n  svc-"), "n", F.lit(":\n    image: postgres:1"), "r", F.lit("\n    environment:\n      REGION_URL: http://svc-"), "r", F.lit("\n  cache-"), "n", F.lit(":\n    image: redis:7\nvolumes:\n  data:\n"))
+    lines = corpus.split_lines(n.select(F.concat(F.lit("deploy/"), "n", F.lit("/compose.yml")).alias("path"), text.alias("text")))
+    keys = corpus.enclosing_key(lines).groupBy("path", "section", "entry").agg(F.count(F.lit(1)).alias("lines"))
+    units = corpus.compose_services(lines).select("path", F.lit("services").alias("section"), F.col("name").alias("entry"), "image", F.size("environment").cast("bigint").alias("variables"))
+    return keys.join(units, ["path", "section", "entry"], "left")
 
 
 def after_context(spark, d):
@@ -438,13 +479,17 @@ QUERIES = {
         refresh_merge,
         refresh_changed_files,
         refresh_dep_subsumed,
+        extract_edges,
+        extract_gaps,
+        sweep_families,
+        ladder_rungs,
+        service_names,
         sweep_hits,
         echo_hits,
         host_extract,
         link_targets,
         gate_families,
         owner_deepest_prefix,
-        ladder_first_hit,
         grpc_owner_tag,
         route_match,
         mermaid_ids,

@@ -15,7 +15,11 @@ MOST_NODES = 30
 #: Shapes of Mermaid nodes by kind, around the quoted label.
 SHAPES = {"svc": ('["', '"]'), "ref": ('["', ' ?"]'), "topic": ('{{"', '"}}'), "queue": ('[/"', '"/]'), "db": ('[("', '")]'), "store": ('[("', '")]'), "cache": ('[("', '")]'), "ext": ('(["', '"])')}
 #: Width and height of draw.io cells.
-SIZES = {"svc": (160, 60), "ref": (160, 60), "topic": (140, 60), "queue": (140, 60), "ext": (160, 60), "db": (120, 80), "store": (120, 80), "cache": (120, 80)}
+SIZES = {"svc": (160, 60), "ref": (160, 60), "topic": (140, 60), "queue": (140, 60), "ext": (140, 60), "db": (120, 80), "store": (120, 80), "cache": (120, 80)}
+
+
+#: Stroke of draw.io edges by relation.
+STROKES = {"pub": "#8250df", "sub": "#8250df", "http": "#0969da", "grpc": "#0969da", "gql": "#0969da", "ws": "#0969da", "uses": "#1a7f37"}
 
 
 def _by_kind(kind: Column, values: dict, default) -> Column:
@@ -69,11 +73,11 @@ def flowchart(nodes: DataFrame, edges: DataFrame, direction: str = "LR", marks:
 
 
 def sequence(steps: DataFrame) -> DataFrame:
-    """One row ``mermaid`` of a synchronous path: ``step, src, dst, label, tag``."""
+    """One row ``mermaid`` of a path: ``step, src, dst, label, tag`` and, where messages have another arrow, ``rel``."""
     people = steps.select(F.col("src").alias("id"), (F.col("step") * 2).alias("at")).unionByName(steps.select(F.col("dst").alias("id"), (F.col("step") * 2 + 1).alias("at")))
     names = people.groupBy("id").agg(F.min("at").alias("at")).select(F.lit(0).alias("part"), "at", F.concat(F.lit("  participant "), F.regexp_replace("id", "[^A-Za-z0-9]", "_"), F.lit(" as "), "id").alias("line"))
     short = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "_")
-    arrow = F.when(F.col("tag") == "CODE", "->>").otherwise("-->>")
+    arrow = F.when(F.col("rel").isin("pub", "sub"), "-)").when(F.col("tag") == "CODE", "->>").otherwise("-->>") if "rel" in steps.columns else F.when(F.col("tag") == "CODE", "->>").otherwise("-->>")
     calls = steps.select(F.lit(1).alias("part"), F.col("step").alias("at"), F.concat(F.lit("  "), short("src"), arrow, short("dst"), F.lit(": "), "label").alias("line"))
     all_ = names.unionByName(calls)
     return all_.agg(F.concat(F.lit("sequenceDiagram\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "line"))), lambda x: x["line"]), "\n")).alias("mermaid"))
@@ -109,24 +113,48 @@ def markdown(title: str, nodes: DataFrame, edges: DataFrame, direction: str = "L
     return row.select(F.concat(F.lit(f"# {title}\n\n"), "line", F.lit("\n\n```mermaid\n"), "mermaid", F.lit("\n```\n\n"), "table", F.lit("\n")).alias("view"))
 
 
-def ranks(nodes: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
-    """Layer of each node for drawing: 0 without predecessors, else 1 + the largest of its predecessors.
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Layer and row of each node for drawing: ``id, rank, row``.
 
-    Layers come from message, use and dependency edges and from calls whose target
-    doesn't reach their source; longer chains than ``most`` share the last layer.
+    Message, use and dependency edges rank, then in ledger order each call whose
+    target doesn't already reach its source.  A node without predecessors has rank
+    0, others 1 + the largest of their predecessors; within a rank nodes stand by
+    the mean row of their predecessors, then by id.  The order of the edges
+    matters, so they are folded in one row: a view that is drawn has at most
+    ``MOST_NODES`` nodes.
     """
-    from ..operators.graph import flow, reachable
+    from ..operators.graph import flow
     from ..schema import SYNC
 
-    d = flow(edges).select("rel", "actor", "object", "src", "dst").filter("src <> dst")
-    back = reachable(d, SYNC, most).select(F.col("a").alias("dst"), F.col("b").alias("src")).withColumn("loop", F.lit(True))
-    steps = d.join(back, ["src", "dst"], "left").filter(~(F.col("rel").isin(*SYNC) & F.coalesce("loop", F.lit(False)))).select("src", "dst").distinct()
-    front = nodes.select("id", F.lit(0).alias("rank"))
-    seen = front
-    for _ in range(most):
-        front = front.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("rank") + 1).alias("rank")).distinct()
-        seen = seen.unionByName(front)
-    return seen.groupBy("id").agg(F.max("rank").alias("rank"))
+    d = flow(edges).filter("src <> dst").select(F.struct(F.col("rel").isin(*SYNC).alias("call"), "actor", "rel", "object", "label", "src", "dst").alias("e"))
+    row = nodes.agg(F.array_sort(F.collect_set("id")).alias("ids")).join(d.agg(F.array_sort(F.collect_set("e")).alias("es")))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    none = F.array().cast("array<struct<a:string,b:string>>")
+
+    def add(s: Column, e: Column) -> Column:
+        from_ = F.concat(F.array(e["src"]), F.transform(F.filter(s["reach"], lambda r: r["b"] == e["src"]), lambda r: r["a"]))
+        to = F.concat(F.array(e["dst"]), F.transform(F.filter(s["reach"], lambda r: r["a"] == e["dst"]), lambda r: r["b"]))
+        more = F.array_union(s["reach"], F.flatten(F.transform(from_, lambda x: F.transform(to, lambda y: pair(x, y)))))
+        back = F.array_contains(s["reach"], pair(e["dst"], e["src"]))
+        return F.struct(F.when(back, s["reach"]).otherwise(more).alias("reach"), F.when(back, s["kept"]).otherwise(F.array_union(s["kept"], F.array(pair(e["src"], e["dst"])))).alias("kept"))
+
+    row = row.select("ids", F.aggregate("es", F.struct(none.alias("reach"), none.alias("kept")), add, lambda s: s["kept"]).alias("kept"))
+    before = lambda id_: F.transform(F.filter("kept", lambda k: k["b"] == id_), lambda k: F.array_position("ids", k["a"]).cast("int"))
+    higher = lambda ranks: F.transform("ids", lambda id_: F.coalesce(F.array_max(F.transform(before(id_), lambda p: F.get(ranks, p - 1) + 1)), F.lit(0)))
+    row = row.withColumn("ranks", F.aggregate("ids", F.transform("ids", lambda _: F.lit(0)), lambda ranks, _: higher(ranks)))
+
+    def place(rows: Column, rank: Column) -> Column:
+        def mean(id_: Column) -> Column:
+            at = F.transform(before(id_), lambda p: F.get(rows, p - 1))
+            return F.when(F.size(at) == 0, F.lit(0.0)).otherwise(F.aggregate(at, F.lit(0.0), lambda n, x: n + x) / F.size(at))
+
+        here = F.filter("ids", lambda id_, i: F.get("ranks", i) == rank)
+        ordered = F.transform(F.array_sort(F.transform(here, lambda id_: F.struct(mean(id_).alias("m"), id_.alias("id")))), lambda x: x["id"])
+        return F.transform("ids", lambda id_, i: F.when(F.get("ranks", i) == rank, F.array_position(ordered, id_).cast("int") - 1).otherwise(F.get(rows, i)))
+
+    steps = F.sequence(F.lit(0), F.coalesce(F.array_max("ranks"), F.lit(0)))
+    row = row.withColumn("rows", F.aggregate(steps, F.transform("ids", lambda _: F.lit(0)), place))
+    return row.select(F.explode(F.arrays_zip("ids", "ranks", "rows")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.ranks").alias("rank"), F.col("x.rows").alias("row"))
 
 
 def geometry(nodes: DataFrame) -> DataFrame:
@@ -136,11 +164,16 @@ def geometry(nodes: DataFrame) -> DataFrame:
 
 
 def drawio(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row ``xml``.  Cells are numbered in ledger order; at most 30 nodes are drawn."""
+    """One row ``xml, note``.  Cells are numbered in ledger order.
+
+    A view of more than ``MOST_NODES`` nodes is not drawn: ``xml`` is null and the note says so.
+    """
     from ..operators.graph import flow
 
-    placed = nodes.join(ranks(nodes, edges), "id")
-    placed = geometry(placed.withColumn("row", F.row_number().over(Window.partitionBy("rank").orderBy("id")) - 1))
+    drawn = nodes.limit(MOST_NODES + 1).count()
+    if drawn > MOST_NODES:
+        return nodes.agg(F.lit(None).cast("string").alias("xml"), F.format_string(f"%d nodes, more than {MOST_NODES}: not drawn, see the Mermaid view", F.count(F.lit(1))).alias("note"))
+    placed = geometry(nodes.join(layers(nodes, edges), "id"))
     numbered = placed.withColumn("cell", F.concat(F.lit("n"), F.row_number().over(Window.orderBy("id")).cast("string")))
     style = _by_kind(F.col("kind"), {"topic": "shape=hexagon;", "queue": "shape=parallelogram;", "db": "shape=cylinder3;", "store": "shape=cylinder3;", "cache": "shape=cylinder3;", "ext": "rounded=1;arcSize=50;"}, "rounded=1;")
     vertex = numbered.select(F.lit(0).alias("part"), F.col("id").alias("key"), F.format_string('<UserObject id="%s" label="%s" tooltip="%s"><mxCell style="%s" vertex="1" parent="1"><mxGeometry x="%d" y="%d" width="%d" height="%d" as="geometry"/></mxCell></UserObject>', "cell", T.xml_escape(F.col("id")), T.xml_escape(T.receipt_text(F.slice("receipts", 1, 1))), style, "x", "y", "width", "height").alias("xml"))
@@ -149,6 +182,50 @@ def drawio(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     d = d.withColumn("cell", F.concat(F.lit("e"), F.row_number().over(Window.orderBy("actor", "rel", "object", "label")).cast("string")))
     dashed = F.when(F.col("tag") == "CODE", "").otherwise("dashed=1;")
     label = T.xml_escape(T.elide(F.concat_ws(" ", "rel", F.when(F.col("label") != "-", F.col("label")))))
-    arc = d.select(F.lit(1).alias("part"), F.concat_ws(" ", "actor", "rel", "object", "label").alias("key"), F.format_string('<UserObject id="%s" label="%s" tooltip="%s"><mxCell style="endArrow=block;%s" edge="1" parent="1" source="%s" target="%s"><mxGeometry relative="1" as="geometry"/></mxCell></UserObject>', "cell", label, T.xml_escape(T.receipt_text(F.slice("receipts", 1, 1))), dashed, "a", "b").alias("xml"))
+    arc = d.select(F.lit(1).alias("part"), F.concat_ws(" ", "actor", "rel", "object", "label").alias("key"), F.format_string('<UserObject id="%s" label="%s" tooltip="%s"><mxCell style="endArrow=block;strokeColor=%s;%s" edge="1" parent="1" source="%s" target="%s"><mxGeometry relative="1" as="geometry"/></mxCell></UserObject>', "cell", label, T.xml_escape(T.receipt_text(F.slice("receipts", 1, 1))), _by_kind(F.col("rel"), STROKES, "#57606a"), dashed, "a", "b").alias("xml"))
     body = vertex.unionByName(arc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "key", "xml"))), lambda x: x["xml"]), "").alias("b"))
-    return body.select(F.concat(F.lit('<mxfile><diagram><mxGraphModel><root><mxCell id="0"/><mxCell id="1" parent="0"/>'), "b", F.lit("</root></mxGraphModel></diagram></mxfile>")).alias("xml"))
+    return body.select(F.concat(F.lit('<mxfile><diagram><mxGraphModel><root><mxCell id="0"/><mxCell id="1" parent="0"/>'), "b", F.lit("</root></mxGraphModel></diagram></mxfile>")).alias("xml"), F.lit(None).cast("string").alias("note"))
+
+
+def overview(nodes: DataFrame, edges: DataFrame, direction: str = "LR") -> DataFrame:
+    """One row ``mermaid``: all edges but ``dep``; beyond ``MOST_NODES`` nodes one subgraph per cluster.
+
+    External services of a cluster are then one node, ``3 external APIs``, and edges of the same ends one edge.
+    """
+    from ..operators.graph import clusters, flow
+    from ..operators.graph import overview as lens
+
+    shown = lens(edges)
+    if nodes.limit(MOST_NODES + 1).count() <= MOST_NODES:
+        return flowchart(nodes, shown, direction)
+    owner = flow(shown).select(F.col("actor").alias("service"), F.col("object").alias("id")).groupBy("id").agg(F.min("service").alias("service"))
+    c = clusters(nodes, "id")
+    # an external node stands in the cluster of the first service that calls it
+    home = c.filter("kind <> 'ext'").select(F.col("id").alias("service"), F.col("cluster").alias("home"))
+    c = c.join(owner, "id", "left").join(home, "service", "left")
+    c = c.withColumn("cluster", F.when(F.col("kind") == "ext", F.coalesce("home", "cluster")).otherwise(F.col("cluster")))
+    count = F.count(F.lit(1)).over(Window.partitionBy("cluster", "kind"))
+    c = c.withColumn("shown", F.when(F.col("kind") == "ext", F.concat(F.col("cluster"), F.lit(": "), count.cast("string"), F.lit(" external APIs"))).otherwise(F.col("id")))
+    drawn = c.groupBy(F.col("shown").alias("id")).agg(F.min("kind").alias("kind"), F.min("cluster").alias("cluster"))
+    to = c.select("id", "shown")
+    e = shown.join(to.toDF("actor", "a"), "actor").join(to.toDF("object", "o"), "object").groupBy(F.col("a").alias("actor"), "rel", F.col("o").alias("object")).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first"), F.min("tag").alias("tag"))
+    e = e.select("actor", "rel", "object", F.when(F.col("n") == 1, F.col("first")).otherwise(F.concat(F.lit("x"), F.col("n").cast("string"))).alias("label"), "tag")
+    ids = node_lines(drawn).join(drawn.select("id", "cluster"), "id")
+    sub = ids.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("  "), "line"))), "\n").alias("inner"))
+    sub = sub.select(F.lit(1).alias("part"), F.concat(F.lit("  subgraph "), F.regexp_replace("cluster", "[^A-Za-z0-9]", "_"), F.lit('["'), "cluster", F.lit('"]\n'), "inner", F.lit("\n  end")).alias("line"))
+    parts = sub.unionByName(edge_lines(drawn, e).select(F.lit(2).alias("part"), "line"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]), "\n")
+    return parts.agg(F.concat(F.lit(f"flowchart {direction}\n"), body).alias("mermaid"))
+
+
+def review_view(nodes: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
+    """One row ``view``: the health line, the table of findings, and the diagram with the nodes of high and medium findings marked."""
+    from ..operators.review import health, health_line, severity_rank, warned
+
+    keys = F.array_join(F.transform("evidence", lambda e: F.concat(F.lit("`"), e["actor"], F.lit(" "), e["rel"], F.lit(" "), e["object"], F.lit("`"))), " · ")
+    line = F.concat(F.lit("| "), "id", F.lit(" | "), "severity", F.lit(" | "), F.replace("finding", F.lit("|"), F.lit("/")), F.lit(" | "), keys, F.lit(" |"))
+    rows = found.select(F.struct(severity_rank(F.col("severity")).alias("r"), F.expr("cast(substring(id, 2) as int)").alias("n"), line.alias("line")).alias("x"))
+    table = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("table"))
+    chart = flowchart(nodes, edges, marks=warned(found).select("id", F.lit("warn").alias("class")))
+    row = health_line(health(nodes, edges, found)).join(table).join(chart)
+    return row.select(F.concat("line", F.lit("\n\n| Id | Severity | Finding | Evidence |\n|---|---|---|---|\n"), "table", F.lit("\n\n```mermaid\n"), "mermaid", F.lit("\n```\n")).alias("view"))

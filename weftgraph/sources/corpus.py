@@ -29,6 +29,7 @@ MANIFESTS = {
     "docker-compose.yaml": "compose",
     "compose.yaml": "compose",
     "application.yml": "spring",
+    "application.yaml": "spring",
     "application.properties": "spring",
 }
 
@@ -38,9 +39,10 @@ def file_name(path: Column) -> Column:
 
 
 def is_excluded(path: Column, output_dir: str | None = None) -> Column:
+    """Folders and files that are never swept, rendered bundles among them."""
     dirs = "|".join(d.replace(".", r"\.") for d in (*EXCLUDED_DIRS, *([output_dir] if output_dir else [])))
     suffixes = "|".join(s.replace(".", r"\.") for s in EXCLUDED_SUFFIXES)
-    return path.rlike(rf"(^|/)({dirs})/") | path.rlike(rf"({suffixes})$")
+    return path.rlike(rf"(^|/)({dirs})/") | path.rlike(rf"({suffixes})$") | path.rlike(r"(^|/)releases?/[^/]+\.ya?ml$")
 
 
 def is_test(path: Column) -> Column:
@@ -75,6 +77,11 @@ def manifests(files: DataFrame) -> DataFrame:
     return files.select("path", kind.alias("ecosystem")).filter("ecosystem is not null").distinct()
 
 
+def is_manifest(path: Column) -> Column:
+    name = file_name(path)
+    return name.isin(*MANIFESTS) | name.rlike(r"\.csproj$|^(docker-)?compose.*\.ya?ml$")
+
+
 def workloads(lines: DataFrame) -> DataFrame:
     """Kubernetes manifests by kind: ``path, line, kind``."""
     kind = F.regexp_extract("text", r"^kind:\s*(Deployment|StatefulSet|Service)\s*$", 1)
@@ -88,6 +95,17 @@ def with_after(lines: DataFrame, n: int = 2) -> DataFrame:
     return lines.withColumn("after", following)
 
 
+def after_hits(lines: DataFrame, hits: DataFrame, n: int = 2) -> DataFrame:
+    """Hits (any columns with ``path, line``) with the next ``n`` lines of their file as ``after``.
+
+    The numbers of the wanted lines meet the lines in an equi-join, so only hits are
+    gathered and no file is sorted.
+    """
+    wanted = hits.select("path", "line").distinct().select("path", F.col("line").alias("hit"), F.explode(F.sequence(F.col("line") + 1, F.col("line") + n)).alias("line"))
+    near = wanted.join(lines.select("path", "line", "text"), ["path", "line"]).groupBy("path", F.col("hit").alias("line")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("line").alias("l"), "text"))), lambda x: x["text"]).alias("after"))
+    return hits.join(near, ["path", "line"], "left").withColumn("after", F.coalesce("after", F.array().cast("array<string>")))
+
+
 def window_around(lines: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     """The lines within ``k`` of each hit, joined on (path, line) after the offsets are spread out."""
     wanted = hits.select("path", F.col("line").alias("hit")).distinct().select("path", "hit", F.explode(F.sequence(F.col("hit") - k, F.col("hit") + k)).alias("line"))
@@ -173,6 +191,40 @@ def owners(paths: DataFrame, services: DataFrame) -> DataFrame:
     return paths.select("path").distinct().join(best, "path", "left").select("path", "o.service_id", "o.root")
 
 
+def deployables(lines: DataFrame) -> DataFrame:
+    """What compose files and Kubernetes manifests run: ``name, path, line, image, build``."""
+    compose = compose_services(lines).select("name", "path", "line", "image", "build")
+    kinds = workloads(lines).select("path").distinct()
+    yaml = lines.join(kinds, "path", "left_semi")
+    named = yaml.withColumn("name", F.regexp_extract("text", r"^  name:\s*[\"']?([A-Za-z0-9.-]+)", 1)).filter("name <> ''")
+    first = named.groupBy("path", "name").agg(F.min("line").alias("line"))
+    image = yaml.withColumn("image", F.regexp_extract("text", r"^\s+(?:- )?image:\s*[\"']?([^\"'\s]+)", 1)).filter("image <> ''").groupBy("path").agg(F.min("image").alias("image"))
+    kube = first.join(image, "path", "left").select("name", "path", "line", "image", F.lit(None).cast("string").alias("build"))
+    return compose.unionByName(kube)
+
+
+def deployable_hosts(units: DataFrame) -> DataFrame:
+    """Host names of deployables: ``host, id, kind``; images of stores are stores, brokers are not drawn."""
+    from ..functions.text import is_broker, store_kind
+
+    kept = units.filter(~F.coalesce(is_broker(F.col("image")), F.lit(False)))
+    return kept.groupBy(F.col("name").alias("host")).agg(F.coalesce(F.max(store_kind(F.col("image"))), F.lit("svc")).alias("kind")).select("host", F.col("host").alias("id"), "kind")
+
+
+def named_by_deployment(services: DataFrame, units: DataFrame) -> DataFrame:
+    """Services under the name of the deployable that builds their folder, or is called like it.
+
+    ``services`` are those of service_names(): a build name never beats the
+    deployable's, and a folder that is deployed without a manifest name is a service too.
+    """
+    build = F.regexp_replace(F.regexp_replace(F.coalesce("build", F.lit("")), r"^\./", ""), r"/$", "")
+    from_ = F.when(build == "", F.lit("")).otherwise(F.concat(F.regexp_replace("path", r"[^/]+$", ""), build))
+    by_build = units.select(F.col("name").alias("unit"), from_.alias("root_path")).filter("root_path <> ''").groupBy("root_path").agg(F.min("unit").alias("built"))
+    by_name = units.select(F.col("name").alias("folder")).distinct().withColumn("called", F.col("folder"))
+    named = services.join(by_build, "root_path", "full_outer").withColumn("folder", F.substring_index("root_path", "/", -1)).join(by_name, "folder", "left")
+    return named.withColumn("service_id", F.coalesce("built", "called", "service_id", "folder")).select(*services.columns)
+
+
 def service_names(lines: DataFrame) -> DataFrame:
     """Services by manifest: ``service_id, root_path, tech, path, line``, the best-ranked name of each directory."""
     from ..functions.text import last_segment, without_scope
@@ -193,7 +245,8 @@ def service_names(lines: DataFrame) -> DataFrame:
         hit = where & F.col("text").rlike(pattern)
         rank, tech, id_ = F.when(hit, r).otherwise(rank), F.when(hit, F.lit(t)).otherwise(tech), F.when(hit, F.regexp_extract("text", pattern, 1)).otherwise(id_)
     found = lines.select("path", "line", rank.alias("rank"), tech.alias("tech"), last_segment(without_scope(id_)).alias("service_id")).filter("rank is not null")
-    root = F.regexp_replace("path", r"/?[^/]+$", "")
+    # a Spring module's root is the folder above src/main/resources
+    root = F.regexp_replace("path", r"(/src/main/resources)?/?[^/]+$", "")
     best = found.withColumn("root_path", root).groupBy("root_path").agg(F.min_by(F.struct("service_id", "tech", "path", "line"), F.struct("rank", "line")).alias("s"))
     return best.select("s.service_id", "root_path", "s.tech", "s.path", "s.line")
 

@@ -7,20 +7,12 @@ again after a failure writes the same snapshot again.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.consolidate import consolidate, merge
 from ..schema import EDGES
-
-
-def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from ..sources.shared import shared_folder
 
 
 def fold_stream(sightings: DataFrame, root: str) -> str:
@@ -57,7 +49,7 @@ def replay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files, folded to edges: one row per edge with its number of places."""
     source = f"{sf_dir}/events.parquet"
     static = spark.read.parquet(source)
-    root = folder(spark)
+    root = shared_folder(spark)
     # the source is one file or one folder; the stream reads a folder, four files at a time
     static.select("ts", "user_id", "event_type").write.parquet(f"{root}/in")
     stream = spark.readStream.schema(static.select("ts", "user_id", "event_type").schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
