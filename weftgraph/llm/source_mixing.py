@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Documents in a cell, about.
 CELL = 2_000
 #: Weights of the sources in code-point order, repeating.
@@ -38,7 +40,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     """Target words of each source: ``source, source_size, target``.
 
     ``sizes`` has one row per source with its words.  Weights are dealt in code
-    point order, null last.  One row per source meets in the windows.
+    point order, null last.  One row per source meets in the windows, some 60 bytes
+    each: sources are named sets of documents, up to some millions.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     named = sizes.withColumn("turn", ((F.row_number().over(by_name) - 1) % len(weights)).cast("int"))
@@ -72,6 +75,8 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, sha
     """
     size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")).cast("bigint")
     d = docs.select(F.struct(*(docs[c] for c in carry or docs.columns)).alias("row"), "doc_id", "source", size.alias("size"))
+    if carry is not None:  # narrow rows: every text is split once
+        d = written(d)
     d = d.withColumn("pull", F.floor(F.sqrt(F.col("size").cast("double")) * 1000).cast("bigint"))
     sums = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("pull") * F.col("size")).cast("decimal(38,0)")).alias("pulled"), F.count(F.lit(1)).alias("n"))
     aims = targets(sums.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s")
