@@ -6,10 +6,11 @@ each word tell which windows of test words end there.  Only stretches whose word
 q-grams all occur in the test items enter the automaton: a necessary condition
 of any match that NumPy checks for whole batches.
 
-The test items are a stated set.  They are read in blocks of at most
-``BLOCK_WORDS`` words; each block has its own automaton (about 200 bytes a word,
-so a proven bound for the broadcast), and the blocks follow each other as passes,
-without a shuffle; the usual test sets fit one block.
+The test items are a stated set.  They are cut into words by Spark and dealt to
+blocks of about ``BLOCK_WORDS`` words; each block has its own automaton (some 550
+bytes a word, about 110 MB, which bounds the driver's share and the broadcast),
+and the blocks follow each other as passes, without a shuffle; the usual test
+sets fit one block.
 """
 
 from __future__ import annotations
@@ -130,20 +131,34 @@ def _scan(texts: pa.Array) -> tuple[W.Words, np.ndarray]:
     return W.scan(data, offsets, W.ALPHANUMERIC, True), offsets
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, list[int]]]]:
-    """Items in blocks of at most ``block_words`` words, or of one item."""
-    block, n = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
-        words, _ = _scan(pa.array([row["text"]], pa.string()))
-        if not len(words.hash):
-            continue
-        if n and n + len(words.hash) > block_words:
-            yield block
-            block, n = [], 0
-        block.append((row["i"], words.hash.tolist()))
-        n += len(words.hash)
-    if block:
-        yield block
+def _item_words(width: int, block_words: int):
+    """Word hashes of the items; an item longer than a block in pieces that overlap by all but one word of a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.resliced(batches, 2 << 20):
+            words, _ = _scan(batch.column(1))
+            names, pieces = [], []
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                lo, end = int(words.first[i]), int(words.first[i + 1])
+                while lo < end:
+                    hi = min(end, lo + max(block_words, width))
+                    names.append(name)
+                    pieces.append(words.hash[lo:hi].view(np.int64))
+                    lo = end if hi == end else hi - width + 1
+            flat = np.concatenate(pieces) if pieces else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), W.lists(pa.array(flat), np.array([len(x) for x in pieces], np.int64))], ["item", "words"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, width: int, block_words: int) -> Iterator[list[tuple[str | None, list[int]]]]:
+    """Items in blocks of about ``block_words`` words, dealt by hash; one block at a time is brought to the driver."""
+    items = written(benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(_item_words(width, block_words), "item string, words array<bigint>"))
+    total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-total // block_words))
+    for number in range(blocks):
+        rows = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == number).collect()
+        yield [(r["item"], np.array(r["words"], np.int64).view(np.uint64).tolist()) for r in rows]
 
 
 def _grams(hashes: np.ndarray, counts: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,14 +225,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_wor
 
     Defined cases: null or empty text has no words and no hits; repeated rows are
     judged alike; items that repeat an id count once; an item without an id still
-    marks words but is not listed; without items nothing is hit.
+    marks words but is not listed; without items nothing is hit; very long texts are
+    read whole, and an item longer than a block goes in overlapping pieces.
     """
     spark = docs.sparkSession
     text_batches(docs)
     d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "text")
     d = d.select("row", "text", F.expr("cast(null as array<struct<first:int,end:int,from_byte:int,to_byte:int>>)").alias("spans"), F.expr("cast(null as array<string>)").alias("items"), F.lit(0).cast("bigint").alias("n_words"))
     schema = f"row {d.schema['row'].dataType.simpleString()}, text string, {_FOUND}"
-    for number, block in enumerate([*_blocks(benchmark, block_words)] or [[]]):
+    for number, block in enumerate(_blocks(benchmark, width, block_words)):
         if number:
             d = written(d)  # one pass a stage: each keeps one automaton in a worker's memory
         machine = SuffixAutomaton(block, width)
