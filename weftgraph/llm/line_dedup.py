@@ -14,7 +14,7 @@ characters tolerates k(n) edits (0 below 20 characters, 1 below 40, else 2).
 * **Groups.**  Equal lines are one class from the start.  Keys with few lines give
   all their pairs; the lines of others are compared with one leader, the line with
   the most such keys.  What is still in different components meets by the rarest
-  pairs of characters in which it differs from the leader (``beyond_leaders`` in
+  triples of characters in which it differs from the leader (``beyond_leaders`` in
   shared.py).  The links that components don't need are found block by block when
   the table of links is read.
 """
@@ -159,14 +159,14 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _grams(line: Column) -> Column:
-    """Pairs of characters as a set of hashes: the k-th occurrence of a pair is an element of its own."""
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.char_length(line) - 1), lambda j: F.xxhash64(F.substr(line, j, F.lit(2)))))
-    return F.element_at(F.transform(F.array(pairs), lambda g: F.transform(g, lambda v, j: F.xxhash64(v, j - F.array_position(g, v)))), 1)
+    """Triples of characters as a set of hashes: the k-th occurrence of a triple is an element of its own."""
+    triples = F.array_sort(F.transform(F.sequence(F.lit(1), F.char_length(line) - 2), lambda j: F.xxhash64(F.substr(line, j, F.lit(3)))))
+    return F.element_at(F.transform(F.array(triples), lambda g: F.transform(g, lambda v, j: F.xxhash64(v, j - F.array_position(g, v)))), 1)
 
 
 def _reach(n: Column, m: Column) -> Column:
-    """Elements of _grams in which linked lines of n + 1 and m + 1 characters differ at most: an edit changes two pairs of characters to two others."""
-    return 4 * tolerated(F.least(n, m) + 1)
+    """Elements of _grams in which linked lines of n + 2 and m + 2 characters differ at most: an edit changes three triples to three others."""
+    return 6 * tolerated(F.least(n, m) + 2)
 
 
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

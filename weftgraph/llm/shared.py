@@ -90,7 +90,7 @@ def led(members: DataFrame) -> DataFrame:
     return groups.join(leader, "order").select("g", "id").distinct()
 
 
-def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column, Column], Column], apart: bool = False) -> DataFrame:
+def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column, Column], Column], few: bool = False) -> DataFrame:
     """Pairs of one leader's group, in different components, whose sets may be close: ``(a, b)``, ``a < b``.
 
     ``rest`` has ``g, id, component`` and ``sets`` ``id, elements`` (distinct), also
@@ -104,35 +104,45 @@ def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column, Co
     group first, as many as the sizes of the two differences leave possible.
     Elements of one member only count in that order, but aren't joined.  Near
     copies that were changed in different places share no rare element and don't
-    meet, however many there are.  Differences that need not share an element
-    (``apart``) meet by their sizes, at least one of them outside the leader's component.
+    meet, however many there are.
+
+    Where the bound is a small number (``few``), nothing is counted: elements that the
+    leader lacks come before those that only it has, and only the first few of a
+    difference leave its row.  Two differences may then have nothing in common, if
+    they are small together; those meet by their sizes, at least one of them
+    outside the leader's component.
     """
     both = rest.join(sets, "id").join(sets.select(F.col("id").alias("g"), F.col("elements").alias("theirs")), "g")
-    own = F.concat(F.array_except("elements", "theirs"), F.array_except("theirs", "elements"))
+    own = F.concat(F.array_sort(F.array_except("elements", "theirs")), F.array_sort(F.array_except("theirs", "elements")))
     both = written(both.select("g", "id", "component", F.size("elements").alias("n"), F.size(own).alias("s"), own.alias("own")))
     groups = both.groupBy("g").agg(F.max("n").alias("largest"), F.max(F.when(F.col("id") == F.col("g"), F.col("component"))).alias("home"))
     most = reach(F.col("n"), F.col("largest")).cast("int")
-    step = F.greatest(F.lit(1), F.floor(reach(F.col("largest"), F.col("largest")) / 16)).cast("int")
-    each = both.select("g", "id", F.explode("own").alias("e"))
-    often = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    ordered = each.join(often, ["g", "e"]).groupBy("g", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "e"))), lambda x: x["e"]).alias("shared"))
-    d = both.drop("own").join(ordered, ["g", "id"], "left").join(groups, "g").select("*", most.alias("most"), step.alias("step"))
-    d = written(d.withColumn("band", F.floor(F.col("s") / F.col("step")).cast("int")))
-    at = d.filter("shared is not null").select("g", "id", "component", "n", "s", "most", "step", "band", F.size("shared").alias("k"), F.posexplode("shared").alias("pos", "e"))
-    at = at.withColumn("pos", F.col("s") - F.col("k") + F.col("pos") + 1).filter(F.col("pos") <= F.col("most") + 1)
-    # of two members the one with the smaller difference looks for the bands of the other's
-    bands = at.withColumn("band", F.explode(F.sequence("band", F.floor((F.col("s") + F.col("most")) / F.col("step")).cast("int"))))
-    shared = F.greatest(F.lit(1), F.ceil((F.col("s") + F.greatest(F.col("s"), F.col("band") * F.col("step")) - F.col("most")) / 2))
-    bands = bands.filter(F.col("pos") <= F.col("s") - shared + 1)
+    if few:
+        d = both.join(groups, "g").withColumn("most", most)
+        at = d.select("g", "id", "component", "n", "s", "most", F.posexplode(F.slice("own", 1, F.col("most") + 1)).alias("pos", "e")).withColumn("pos", F.col("pos") + 1)
+        # of two members the one with the smaller difference has half as many to show
+        bands, key = at.filter(F.col("pos") <= F.floor(F.col("most") / 2) + 1), F.xxhash64("g", "e")
+    else:
+        step = F.greatest(F.lit(1), F.floor(reach(F.col("largest"), F.col("largest")) / 16)).cast("int")
+        each = both.select("g", "id", F.explode("own").alias("e"))
+        often = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+        ordered = each.join(often, ["g", "e"]).groupBy("g", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "e"))), lambda x: x["e"]).alias("shared"))
+        d = both.drop("own").join(ordered, ["g", "id"]).join(groups, "g").select("*", most.alias("most"), step.alias("step"))
+        d = written(d.withColumn("band", F.floor(F.col("s") / F.col("step")).cast("int")))
+        at = d.select("g", "id", "component", "n", "s", "most", "step", "band", F.size("shared").alias("k"), F.posexplode("shared").alias("pos", "e"))
+        at = at.withColumn("pos", F.col("s") - F.col("k") + F.col("pos") + 1).filter(F.col("pos") <= F.col("most") + 1)
+        # of two members the one with the smaller difference looks for the bands of the other's
+        bands = at.withColumn("band", F.explode(F.sequence("band", F.floor((F.col("s") + F.col("most")) / F.col("step")).cast("int"))))
+        shared = F.greatest(F.lit(1), F.ceil((F.col("s") + F.greatest(F.col("s"), F.col("band") * F.col("step")) - F.col("most")) / 2))
+        bands, key = bands.filter(F.col("pos") <= F.col("s") - shared + 1), F.xxhash64("g", "e", "band")
     kept = ("id", "component", "n", "s", "pos")
-    x = bands.select(F.xxhash64("g", "e", "band").alias("key"), *kept).alias("x")
-    y = at.select(F.xxhash64("g", "e", "band").alias("key"), *kept).alias("y")
+    x, y = bands.select(key.alias("key"), *kept).alias("x"), at.select(key.alias("key"), *kept).alias("y")
     shared = F.greatest(F.lit(1), F.ceil((F.col("x.s") + F.col("y.s") - reach(F.col("x.n"), F.col("y.n"))) / 2))
     possible = (F.col("x.s") - F.col("x.pos") + 1 >= shared) & (F.col("y.s") - F.col("y.pos") + 1 >= shared)
     order = (F.col("x.s") < F.col("y.s")) | ((F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order & possible)
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    if apart:
+    if few:
         small = d.filter("s <= most")
         x, y = small.filter("home is null or component <> home").alias("x"), small.alias("y")
         near = F.col("x.s") + F.col("y.s") <= reach(F.col("x.n"), F.col("y.n"))
