@@ -37,6 +37,8 @@ from .shared import shared_folder, text_batches
 
 #: Ids in a shard, about: a worker's grammar tables take some 60 bytes an id.
 SHARD_TOKENS = 1 << 19
+#: Text bytes encoded at once.
+PIECE = 1 << 19
 #: Slots of the table that counts pairs.
 SLOT_BITS = 18
 #: A pair is worth a rule from this many occurrences in the shard: a rule takes 12 bytes, and each saves a symbol of 2 or 4 bytes.
@@ -138,9 +140,8 @@ def smallest(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return min(found, wide, key=lambda g: len(g[0]) * (2 if g is found else 4) + len(g[1]) * 12)
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that a sequence of symbols stands for."""
-    seq = seq.astype(np.int64)
+def _spread(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """Expand all symbols level by level."""
     while len(rules) and (seq >= base).any():
         double = seq >= base
         at = np.cumsum(1 + double) - 1 - double
@@ -153,6 +154,20 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return seq
 
 
+def expand(seq: np.ndarray, rules: np.ndarray, base: int, spans: np.ndarray | None = None) -> np.ndarray:
+    """The ids that a sequence of symbols stands for; with the rules' lengths each rule is expanded once."""
+    seq = seq.astype(np.int64)
+    if spans is None or len(rules) >= len(seq):
+        return _spread(seq, rules, base)
+    flat = np.concatenate([np.arange(base), _spread(base + np.arange(len(rules)), rules, base)])
+    rule = seq >= base
+    size, start = np.ones(len(seq), np.int64), seq.copy()
+    which = seq[rule] - base
+    size[rule], start[rule] = spans[which], base + (np.cumsum(spans) - spans)[which]
+    to = np.cumsum(size)
+    return flat[np.repeat(start - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)]
+
+
 def _symbols(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seq = np.frombuffer(row["symbols"], "<u2" if row["width"] == 2 else "<u4").astype(np.int64)
     return seq, np.frombuffer(row["rules"], "<u4").astype(np.int64).reshape(-1, 2), np.frombuffer(row["spans"], "<u4").astype(np.int64)
@@ -165,7 +180,7 @@ def decode_range(row: dict, first: int, end: int) -> np.ndarray:
     to = np.cumsum(size)
     lo, hi = int(np.searchsorted(to, first, "right")), int(np.searchsorted(to, end, "left")) + 1
     before = int(to[lo - 1]) if lo else 0
-    return expand(seq[lo:hi], rules, row["base"])[first - before : end - before]
+    return expand(seq[lo:hi], rules, row["base"], spans)[first - before : end - before]
 
 
 _SPACE, _LETTER, _MARK, _ODD = 0, 1, 2, 3
@@ -217,7 +232,7 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[W.Words, np.ndarr
 
 
 class _Encoder:
-    """Ids of texts, run by run (see pre_tokens), with a direct-mapped memory of runs.
+    """Ids of texts, run by run (see pre_tokens), with a memory of runs in a table of two slots each.
 
     White space is dropped by this kind of vocabulary, so the ids of a text are
     those of its runs in turn.  Runs that are not remembered are encoded many at
@@ -242,18 +257,21 @@ class _Encoder:
 
     def forget(self) -> None:
         self.keys[:] = 0
-        self.flat, self.first = np.empty(1 << 16, np.int32), np.zeros(1, np.int64)
+        self.flat, self.first, self.runs = np.empty(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
 
     def _learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        at = int(self.first[-1])
+        at, n = int(self.first[self.runs]), self.runs
         while at + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + len(sizes) >= len(self.first):
+            self.first = np.concatenate([self.first, np.empty_like(self.first)])
         self.flat[at : at + len(ids)] = ids
-        self.first = np.concatenate([self.first, at + np.cumsum(sizes)])
+        self.first[n + 1 : n + 1 + len(sizes)] = at + np.cumsum(sizes)
+        self.runs += len(sizes)
 
     def _encode_new(self, raw: bytes, words: W.Words, which: np.ndarray, odd: np.ndarray) -> np.ndarray:
         """Encode the runs ``which`` of the batch; their places."""
-        base = len(self.first) - 1
+        base = self.runs
         plain, whole = which[~odd[which]], which[odd[which]]
         for lo in range(0, len(plain), 10_000):
             some = plain[lo : lo + 10_000]
@@ -273,17 +291,23 @@ class _Encoder:
         """All ids, and how many each text has."""
         data, offsets = W.utf8(texts)
         words, odd = pre_tokens(data, offsets)
-        if len(self.first) > REMEMBERED:
+        if self.runs > REMEMBERED:
             self.forget()
         slot = (words.hash & np.uint64(SLOTS - 1)).astype(np.int64)
         run = self.place[slot].astype(np.int64)
         missed = np.flatnonzero(self.keys[slot] != words.hash)
+        if len(missed):  # a run is in one of two slots
+            other = (words.hash[missed] >> np.uint64(40) & np.uint64(SLOTS - 1)).astype(np.int64)
+            found = self.keys[other] == words.hash[missed]
+            run[missed[found]] = self.place[other[found]]
+            missed, other = missed[~found], other[~found]
         if len(missed):
             _, at, back = np.unique(words.hash[missed], return_index=True, return_inverse=True)
             new = missed[at]
             place = self._encode_new(data.tobytes(), words, new, odd)
             run[missed] = place[back]
-            self.keys[slot[new]], self.place[slot[new]] = words.hash[new], place
+            to = np.where(self.keys[slot[new]] == 0, slot[new], other[at])
+            self.keys[to], self.place[to] = words.hash[new], place
         size = self.first[run + 1] - self.first[run]
         to = np.cumsum(size)
         at = np.repeat(self.first[run] - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)
@@ -309,7 +333,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
             kinds = {"part": pa.int32(), "shard": pa.int32(), "start": pa.int64(), "base": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "rules": pa.binary(), "spans": pa.binary(), "width": pa.int32(), "symbols": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in kinds.items()], [*kinds])
 
-        for batch in W.resliced(batches, 2 << 20):
+        for batch in W.resliced(batches, PIECE):
             flat, sizes = encoder.encode(batch.column(1))
             n = len(sizes)
             out = np.full(len(flat) + n, end_id, np.int32)
@@ -361,8 +385,8 @@ def _read(with_ids: bool):
             for i in range(len(batch)):  # one shard at a time
                 doc_ids, lengths = batch.column("doc_ids")[i].values, batch.column("lengths")[i].values.to_numpy().astype(np.int64)
                 row = {k: batch.column(k)[i].as_py() for k in ("start", "base", "rules", "spans", "width", "symbols")}
-                seq, rules, _ = _symbols(row)
-                ids = expand(seq, rules, row["base"]).astype("<u4")
+                seq, rules, spans = _symbols(row)
+                ids = expand(seq, rules, row["base"], spans).astype("<u4")
                 to = np.cumsum(lengths)
                 at = to - lengths
                 columns = {
