@@ -27,7 +27,7 @@ def test_held_out_accuracy_and_exchange(spark):
     rows, labels = corpus(900)
     docs = spark.createDataFrame(rows, SCHEMA)
     known = spark.createDataFrame(labels[:200], "doc_id bigint, quality int")
-    model = Q.co_train(*Q.sample_of(docs, known, "quality"))
+    model = Q.co_train(docs, known)
     assert model.pseudo_labels > 0
     assert model.combined[0] > model.combined[1] >= 0  # the surer view counts more
     truth = dict(labels)
@@ -36,8 +36,46 @@ def test_held_out_accuracy_and_exchange(spark):
     assert np.mean([r.kept == bool(truth[r.doc_id]) for r in held]) > 0.97
     alone = np.mean([(r.metadata_score >= 0.5) == bool(truth[r.doc_id]) for r in held])
     assert 0.6 < alone < 0.97
-    again = Q.co_train(*Q.sample_of(docs.repartition(3), known, "quality"))
-    assert np.allclose(again.content, model.content)
+    again = Q.co_train(docs.repartition(3), known)
+    assert (again.content == model.content).all() and (again.combined == model.combined).all()
+
+
+def test_what_is_handed_over_equals_brute_force(spark):
+    """All confident documents of both views, counted and summed one by one."""
+    import pyarrow as pa
+
+    rows, labels = corpus(400, 5)
+    rows += [(None, "the quiet river " * 20, "de", None, None), (900, None, "en", "spam", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    x, label, weight = Q.sample_of(docs, spark.createDataFrame(labels[:150], "doc_id bigint, quality int"), "quality")
+    model = Q.fit_views(x, label, weight, None)
+    sums, counts = {}, {}
+    for i, text, lang, source, n in rows:
+        batch = pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([text]), pa.array([lang]), pa.array([source]), pa.array([n])], Q._INPUT)
+        (_, content, meta), = Q._slices([batch])
+        a, b = (float(Q._sigmoid(z)[0]) for z in Q._odds(model, content, meta))
+        for value, sure, other in ((1, a, b), (0, 1 - a, 1 - b)):
+            if sure >= Q.SURE:
+                key = (value, meta.tobytes())
+                counts[key] = counts.get(key, 0) + 1
+            if other >= Q.SURE:
+                key = (value, int(Q.cell_of(pa.array([i], pa.int64()))[0]))
+                have = sums.setdefault(key, [0, 0])
+                have[0] += 1
+                have[1] = have[1] + content.dense()[0].astype(float)
+    to_content, to_meta = Q.handed_over(Q._rows(docs.repartition(4)), model)
+    assert counts and {(int(y), v.tobytes()): int(n) for v, y, n in zip(to_meta.x, to_meta.y, to_meta.n)} == counts
+    assert sorted(to_content.n.tolist()) == sorted(n for n, _ in sums.values())
+    for n, total in sums.values():
+        assert min(np.abs(v - total / n).max() for v in to_content.x) < 1e-5
+
+
+def test_documents_labelled_both_ways_and_repeated(spark):
+    rows, labels = corpus(60, 3)
+    docs = spark.createDataFrame(rows + rows[:10], SCHEMA)
+    both = spark.createDataFrame([*labels, (3, 1 - labels[3][1]), labels[4], (None, 1), (5000, 1)], "doc_id bigint, quality int")
+    x, label, _ = Q.sample_of(docs, both, "quality")
+    assert len(x) == 59 and label.sum() == sum(y for i, y in labels if i != 3)
 
 
 def test_dense_and_sparse_scores_agree():

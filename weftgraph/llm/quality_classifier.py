@@ -2,20 +2,29 @@
 
 Two views of a document: its text content (hashed words, and how kinds of
 characters follow each other) and its page metadata (language, source, length).
-Each view has its own logistic classifier.  In rounds, each calibrated
-classifier hands the pool's documents it is most sure of to the other as
-pseudo-labels.  In the end the two calibrated views are combined, with weights
+Each view has its own logistic classifier.  In rounds, each calibrated classifier
+hands every document of the corpus that it is sure of to the other as a
+pseudo-label.  In the end the two calibrated views are combined, with weights
 fitted on held-out labels, and score every document.
 
-The fit uses a bounded sample: at most ``LABELLED`` labelled documents and
-``POOL`` others, chosen by a hash of the doc_id and weighted back to the class
-shares of all labels.  Scoring is one distributed pass without a shuffle.
+* **Labels.**  The fit uses a bounded sample of labelled documents, at most
+  ``LABELLED``, chosen by a hash of the doc_id and weighted back to the class
+  shares of all labels.
+* **Pseudo-labels** come from all documents, in one pass a round, and are summed
+  where they arise.  The metadata view has few different feature vectors, so its
+  pseudo-labels are counts of these: nothing is lost.  For the content view each
+  task sums the feature vectors of what is handed over by class and ``CELLS``
+  cells of a hash of the doc_id; the means, weighted by their documents, are the
+  rows that the fit sees.  Together they weigh ``PSEUDO`` times the labels.
+
+Scoring is one distributed pass without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +36,13 @@ from .shared import text_batches
 
 #: Labelled documents in the fit, half of each class where there are enough.
 LABELLED = 2_400
-#: Documents that may get pseudo-labels.
-POOL = 2_000
 ROUNDS = 4
-#: Calibrated probability from which a pseudo-label is handed over, and how many of each class a round.
-SURE, HANDED = 0.97, 100
+#: Calibrated probability from which a pseudo-label is handed over.
+SURE = 0.97
+#: Cells that the content view's pseudo-labels of a class are summed in, and the weight of all pseudo-labels to that of the labels.
+CELLS, PSEUDO = 16, 0.5
+#: Units of a feature in fixed point.
+FIXED = 1 << 24
 WORD_BUCKETS = 1024
 _LETTER, _UPPER, _DIGIT, _BLANK, _BREAK, _WIDE = range(6)
 
@@ -126,7 +137,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, content, meta in _slices(batches):
         x = np.concatenate([content.dense(), meta], 1)
-        yield pa.RecordBatch.from_arrays([batch.column(5), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -166,69 +177,174 @@ class Model:
     pseudo_labels: int
 
 
-def co_train(x: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Fit the two views on rows with a label (0 or 1) and rows without (-1)."""
-    views = [x[:, :CONTENT], x[:, CONTENT:]]
-    known = np.flatnonzero(label >= 0)
-    held = known[::4]  # for calibration and the combination
-    own = np.setdiff1d(known, held)
-    prior = float((weight[known] * label[known]).sum() / weight[known].sum()) if len(known) else 0.5
+def margins(model: Model, content: _Content, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return content.score(model.content[:-1]) + model.content[-1], meta @ model.metadata[:-1] + model.metadata[-1]
+
+
+def _odds(model: Model, content: _Content, meta: np.ndarray) -> list[np.ndarray]:
+    """Calibrated log-odds of the two views."""
+    return [np.clip(s * z + b, -8, 8) for (s, b), z in zip(model.calibration, margins(model, content, meta), strict=True)]
+
+
+def cell_of(ids: pa.Array) -> np.ndarray:
+    """Cell of each doc_id, null as 0."""
+    bits = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return (W.mix(bits ^ np.uint64(0x510E527FADE682D1)) % np.uint64(CELLS)).astype(np.int64)
+
+
+_HANDED = "view int, place bigint, label int, n bigint, x binary"
+
+
+def _hand_over(shared):
+    """Sums of what each view is sure of, for the other view: counts by metadata vector, feature sums by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        counts: dict[tuple[int, int], int] = {}
+        sums = np.zeros((2, CELLS, CONTENT), np.int64)  # in fixed point, so that the order of the sum doesn't matter
+        number = np.zeros((2, CELLS), np.int64)
+        for batch, content, meta in _slices(batches):
+            by_content, by_meta = (_sigmoid(z) for z in _odds(model, content, meta))
+            cell, place = cell_of(batch.column(0)), _meta_place(meta)
+            for label, from_content, from_meta in ((1, by_content >= SURE, by_meta >= SURE), (0, by_content <= 1 - SURE, by_meta <= 1 - SURE)):
+                for p, n in zip(*(x.tolist() for x in np.unique(place[from_content], return_counts=True)), strict=True):
+                    counts[p, label] = counts.get((p, label), 0) + n
+                if from_meta.any():
+                    dense = np.rint(content.dense()[from_meta] * float(FIXED)).astype(np.int64)
+                    for c in np.unique(cell[from_meta]).tolist():
+                        sums[label, c] += dense[cell[from_meta] == c].sum(0)
+                    number[label] += np.bincount(cell[from_meta], minlength=CELLS)
+        rows = [(1, p, label, n, None) for (p, label), n in counts.items()]
+        rows += [(0, c, label, int(number[label, c]), sums[label, c].tobytes()) for label in (0, 1) for c in range(CELLS) if number[label, c]]
+        if rows:
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["view", "place", "label", "n", "x"])
+
+    return run
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of one or more (view, place, label), vectors read one batch at a time."""
+    total: dict[tuple, list] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            have = total.setdefault((row["view"], row["place"], row["label"]), [0, None])
+            have[0] += row["n"]
+            if row["x"] is not None:
+                x = np.frombuffer(row["x"], np.int64)
+                have[1] = x if have[1] is None else have[1] + x
+    if total:
+        cols = [pa.array([k[i] for k in total], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([n for n, _ in total.values()], pa.int64()), pa.array([None if x is None else x.tobytes() for _, x in total.values()], pa.binary())], ["view", "place", "label", "n", "x"])
+
+
+def _meta_place(meta: np.ndarray) -> np.ndarray:
+    """One number for each metadata vector: its language, source and length places."""
+    length = meta[:, 144:]
+    return meta[:, :16].argmax(1) * 1024 * 16 + meta[:, 16:144].argmax(1) * 16 + np.where(length.any(1), length.argmax(1), 15)
+
+
+def _meta_vector(place: int) -> np.ndarray:
+    out = np.zeros(META, np.float32)
+    out[place // (1024 * 16)] = 1
+    out[16 + place // 16 % 1024] = 1
+    if place % 16 < 15:
+        out[144 + place % 16] = 1
+    return out
+
+
+@dataclass
+class Handed:
+    """Pseudo-labelled rows of one view: features, labels, and how many documents each stands for."""
+
+    x: np.ndarray
+    y: np.ndarray
+    n: np.ndarray
+
+
+def handed_over(docs: DataFrame, model: Model) -> list[Handed]:
+    """What the two views are sure of, over all documents: rows for the content view, rows for the metadata view.
+
+    At most 2 * CELLS vectors and one count for each different metadata vector (16 languages,
+    128 sources and 8 lengths by hash) come to the driver, whatever the corpus holds.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sums = docs.mapInArrow(_hand_over(shared), _HANDED).repartition(2 * CELLS, "view", "place", "label").mapInArrow(_add_up, _HANDED)
+    rows = sorted(sums.collect(), key=lambda r: (r["view"], r["place"], r["label"]))
+    out = []
+    for view, width in ((0, CONTENT), (1, META)):
+        mine = [r for r in rows if r["view"] == view]
+        x = [np.frombuffer(bytes(r["x"]), np.int64) / (r["n"] * float(FIXED)) if view == 0 else _meta_vector(r["place"]) for r in mine]
+        out.append(Handed(np.array(x, np.float32).reshape(len(mine), width), np.array([r["label"] for r in mine], float), np.array([r["n"] for r in mine], float)))
+    return out
+
+
+def fit_views(x: np.ndarray, label: np.ndarray, weight: np.ndarray, handed: list[Handed] | None) -> Model:
+    """Fit both views on labelled rows and what was handed over; calibrate and combine them on a held-out quarter of the labels."""
+    held = np.arange(len(label)) % 4 == 0
+    own = ~held
+    prior = float((weight * label).sum() / weight.sum()) if len(label) else 0.5
     if len(set(label[own].tolist())) < 2 or len(set(label[held].tolist())) < 2:
-        odds = np.log((prior + 1e-3) / (1 - prior + 1e-3))
+        odds = float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))
         return Model(np.zeros(CONTENT + 1), np.zeros(META + 1), [(0.0, odds), (0.0, odds)], np.array([0.0, 0.0, odds]), 0)
-    given = [dict(zip(own.tolist(), label[own].tolist(), strict=True)) for _ in views]
-    free = set(np.flatnonzero(label < 0).tolist())
-    handed = 0
-    for turn in range(rounds + 1):
-        fits, calibrations = [], []
-        for view, mine in zip(views, given, strict=True):
-            at = np.fromiter(mine, int)
-            y = np.array([mine[i] for i in at], float)
-            w = fit_logistic(view[at], y, weight[at], 1e-5)
-            margin = view @ w[:-1] + w[-1]
-            fits.append((w, margin))
-            calibrations.append(_calibrate(margin[held], label[held].astype(float), weight[held]))
-        if turn == rounds:
-            break
-        before = handed
-        for k in (0, 1):
-            slope, base = calibrations[k]
-            p = _sigmoid(slope * fits[k][1] + base)
-            for value, sure in ((1, p), (0, 1 - p)):
-                open_ = [i for i in free if i not in given[1 - k] and sure[i] >= SURE]
-                for i in sorted(open_, key=lambda i: (-sure[i], i))[:HANDED]:
-                    given[1 - k][i] = value
-                    handed += 1
-        if handed == before:
-            break
-    odds = np.stack([s * m + b for (s, b), (_, m) in zip(calibrations, fits, strict=True)], 1)
-    combined = fit_logistic(np.clip(odds[held], -8, 8), label[held].astype(float), weight[held], 1e-3, 800)
+    weights, calibrations, odds = [], [], []
+    for k, view in enumerate((x[:, :CONTENT], x[:, CONTENT:])):
+        rows, y, w = view[own], label[own].astype(float), weight[own]
+        if handed is not None and len(handed[k].n):
+            more = handed[k]
+            rows, y = np.concatenate([rows, more.x]), np.concatenate([y, more.y])
+            w = np.concatenate([w / w.sum(), PSEUDO * more.n / more.n.sum()])
+        w = fit_logistic(rows, y, w, 1e-5)
+        margin = view[held] @ w[:-1] + w[-1]
+        weights.append(w)
+        calibrations.append(_calibrate(margin, label[held].astype(float), weight[held]))
+        odds.append(np.clip(calibrations[k][0] * margin + calibrations[k][1], -8, 8))
+    combined = fit_logistic(np.stack(odds, 1), label[held].astype(float), weight[held], 1e-3, 800)
     combined[:2] = np.maximum(combined[:2], 0)
-    return Model(fits[0][0], fits[1][0], calibrations, combined, handed)
+    return Model(weights[0], weights[1], calibrations, combined, int(sum(h.n.sum() for h in handed)) if handed else 0)
+
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("bigint"))
 
-def sample_of(docs: DataFrame, labels: DataFrame, column: str, labelled: int = LABELLED, pool: int = POOL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels (-1: none) and weights of the bounded sample."""
+
+def co_train(docs: DataFrame, labels: DataFrame, column: str = "quality", rounds: int = ROUNDS) -> Model:
+    """The model of ``rounds`` exchanges; ends earlier when the number of pseudo-labels no longer changes."""
+    x, label, weight = sample_of(docs, labels, column)
+    model, before = fit_views(x, label, weight, None), -1
+    for _ in range(rounds if model.content.any() or model.metadata.any() else 0):
+        model = fit_views(x, label, weight, handed_over(_rows(docs), model))
+        if model.pseudo_labels == before:
+            break
+        before = model.pseudo_labels
+    return model
+
+
+def sample_of(docs: DataFrame, labels: DataFrame, column: str, labelled: int = LABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and weights of the bounded sample of labelled documents.
+
+    Documents with both labels are left out.
+    """
     text_batches(docs)
     known = labels.select(F.col("doc_id").cast("bigint"), F.col(column).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("doc_id", F.lit(7))
-    picked = [known.filter(F.col("label") == v).orderBy(order, "doc_id").limit(labelled // 2) for v in (0, 1)]
-    ids = docs.select(F.col("doc_id").cast("bigint")).filter("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(pool)
-    chosen = picked[0].unionAll(picked[1]).unionAll(ids.withColumn("label", F.lit(None).cast("int"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    # at most labelled + pool rows of two numbers
+    chosen = reduce(DataFrame.unionAll, [known.filter(F.col("label") == v).orderBy(order, "doc_id").limit(labelled // 2) for v in (0, 1)])
+    # at most LABELLED rows of two numbers
     rows = docs.select(*(F.col(c) for c in _INPUT)).join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), F.col("doc_id") == F.col("id")).select(*_INPUT, "label")
-    got = rows.mapInArrow(_features, "label int, x binary").collect()
-    got.sort(key=lambda r: (r["label"] is None, bytes(r["x"])))
+    got = rows.mapInArrow(_features, "doc_id bigint, label int, x binary").collect()
+    got.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
+    # rows that repeat a doc_id count once
+    got = [r for i, r in enumerate(got) if not i or r["doc_id"] != got[i - 1]["doc_id"]]
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(len(got), CONTENT + META)
-    label = np.array([-1 if r["label"] is None else r["label"] for r in got], int)
+    label = np.array([r["label"] for r in got], int)
     turn = np.random.default_rng(1).permutation(len(got))
     x, label = x[turn], label[turn]
     weight = np.ones(len(label))
     for v, n in shares.items():
         if (label == v).any():
             weight[label == v] = n / (label == v).sum()
-    weight[label < 0] = weight[label >= 0].mean() if (label >= 0).any() else 1.0
     return x, label, weight
 
 
@@ -236,8 +352,7 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for batch, content, meta in _slices(batches):
-            margins = content.score(m.content[:-1]) + m.content[-1], meta @ m.metadata[:-1] + m.metadata[-1]
-            odds = [np.clip(s * z + b, -8, 8) for (s, b), z in zip(m.calibration, margins, strict=True)]
+            odds = _odds(m, content, meta)
             both = _sigmoid(odds[0] * m.combined[0] + odds[1] * m.combined[1] + m.combined[2])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.asarray(v, np.float64)) for v in (_sigmoid(odds[0]), _sigmoid(odds[1]), both))], ["doc_id", "content_score", "metadata_score", "score"])
 
@@ -253,16 +368,18 @@ def score(docs: DataFrame, model: Model, keep_from: float = 0.5) -> DataFrame:
     """
     text_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("bigint"))
-    return rows.mapInArrow(_score(shared), "doc_id bigint, content_score double, metadata_score double, score double").withColumn("kept", F.col("score") >= keep_from)
+    return _rows(docs).mapInArrow(_score(shared), "doc_id bigint, content_score double, metadata_score double, score double").withColumn("kept", F.col("score") >= keep_from)
 
 
 def classify(docs: DataFrame, labels: DataFrame, column: str = "quality") -> DataFrame:
     """Train on ``labels`` (doc_id and a 0/1 column) and score every row of ``docs``.
 
     Without labels of both classes every row gets the prior as its score.
+    Documents labelled both ways are left out of the fit; labelled documents are
+    also scored, and may be handed over, like all others.  Very long texts are read
+    whole.
     """
-    return score(docs, co_train(*sample_of(docs, labels, column)))
+    return score(docs, co_train(docs, labels, column))
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
