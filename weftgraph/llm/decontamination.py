@@ -284,3 +284,17 @@ def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+OP4_SQL = r"""
+WITH it AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), @), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM it WHERE len(w) > 0)),
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), @), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM iw),
+win AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
+hit AS (SELECT doc_id, i, n, item FROM win JOIN iw USING (n, k)),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
+its AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit WHERE item IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+""".replace("@", "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'")

@@ -443,3 +443,15 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     members, _ = jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return members.select("doc_id", "n_shingles", "component_id")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), @), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_ JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM d UNION SELECT reach.id, edge.b FROM reach JOIN edge ON edge.a = reach.r)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.m AS component_id FROM d LEFT JOIN s USING (doc_id) JOIN (SELECT id, min(r) AS m FROM reach GROUP BY id) c ON c.id = d.doc_id
+""".replace("@", "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from .chat_format import OP9_SQL, op9_chat_formatting
-from .decontamination import op4_benchmark_decontamination
+from .decontamination import OP4_SQL, op4_benchmark_decontamination
 from .line_dedup import op3_line_dedup
-from .ngram_join import op8_ngram_jaccard_join
+from .ngram_join import OP8_SQL, op8_ngram_jaccard_join
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .source_mixing import OP5_SQL, op5_source_mixing
-from .substring_dedup import op10_substring_dedup
+from .substring_dedup import OP10_SQL, op10_substring_dedup
 from .token_counts import op2_token_counts
 from .token_files import op6_token_id_output
 
@@ -30,4 +30,11 @@ QUERIES = {
 }
 
 #: Queries without a twin are tested against brute force (tests/llm).
-ORACLE_SQL = {"op5_source_mixing": OP5_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLE_SQL = {
+    "op4_benchmark_decontamination": OP4_SQL,
+    "op5_source_mixing": OP5_SQL,
+    "op7_quality_rules": OP7_SQL,
+    "op8_ngram_jaccard_join": OP8_SQL,
+    "op9_chat_formatting": OP9_SQL,
+    "op10_substring_dedup": OP10_SQL,
+}
