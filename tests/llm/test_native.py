@@ -24,7 +24,25 @@ def bad(line):
     n = line.strip(" ").count(" ") + 1
     marks = len(re.findall(r"[#*$%&!?]{2,}", line))
     seps = sum(line.count(c) for c in Q.SEPARATORS)
-    return marks * 4 > n or seps * 4 > n or (len(line) < 300 and re.search("|".join(Q.BOILERPLATE), line.lower()) is not None)
+    links = len(re.findall(r"https?://|www\.|[A-Za-z0-9]@[A-Za-z0-9]", line))
+    return marks * 4 > n or seps * 4 > n or links * 4 > n or (len(line) < 300 and re.search("|".join(Q.BOILERPLATE), line.lower()) is not None)
+
+
+def entry(line):
+    bare = line.strip(" ")
+    return bare != "" and bare.count(" ") < 3 and re.search("[.!?:;…,][\"'»”)]*\\Z", bare) is None
+
+
+def kept_lines(lines):
+    flags, menu, i = [entry(x) for x in lines], set(), 0
+    while i < len(lines):
+        j = i
+        while j < len(lines) and flags[j]:
+            j += 1
+        if j - i >= 4:
+            menu |= set(range(i, j))
+        i = max(j, i + 1)
+    return [x for i, x in enumerate(lines) if i not in menu and not bad(x)]
 
 
 def measures(text):
@@ -35,13 +53,13 @@ def measures(text):
     lines = [x for x in t.split("\n") if words(x)]
     size = lambda x: len("".join(words(x)))
     base = len(w) < 50 or 100 * len(covered) > 50 * len(w)
-    good = [x for x in t.split("\n") if not bad(x)]
+    good = kept_lines(t.split("\n"))
     return len(w), size(t), sum(t.count(c) for c in Q.SYMBOLS), len(lines) - len(set(lines)), len(covered), base, not base and size(t) - sum(map(size, good)) <= size(t) * 0.5, None if text is None else "\n".join(good)
 
 
 def test_measures_and_verdict_equal_brute_force(spark):
     rng = random.Random(2)
-    line = lambda: rng.choice(["some words of a plain line that ends well.", "home | news | sport | about us", "BUY!! NOW!! HERE!!", "All rights reserved 2024", "a b a b a b a", "", " \t", "Les élèves écrivent des lignes que rien ne répète, c'est sûr " + str(rng.random())])
+    line = lambda: rng.choice(["some words of a plain line that ends well.", "home | news | sport | about us", "BUY!! NOW!! HERE!!", "All rights reserved 2024", "Home", "About us", "Contact\r", "see https://a.test/x", "Todos los derechos reservados", "mail me@here.test or www.here.test", "a b a b a b a", "", " \t", "Les élèves écrivent des lignes que rien ne répète, c'est sûr " + str(rng.random())])
     rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 20)))) for i in range(150)]
     half = " ".join(str(i) for i in range(4000))
     rows += [(900, None), (901, ""), (902, f"{half} {half}"), (903, "one"), (904, "a a"), (None, "x " * 60), (5, rows[5][1])]

@@ -11,7 +11,7 @@ from weftgraph.llm.queries import ORACLE_SQL, QUERIES
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", ["op4_benchmark_decontamination", "op8_ngram_jaccard_join", "op10_substring_dedup"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_twin(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{DIR}/*.parquet"):

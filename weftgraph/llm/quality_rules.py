@@ -1,13 +1,15 @@
 """Quality rules: line-first cleaning with Spark expressions only.
 
-Every line is judged by itself (punctuation, navigation, boilerplate); failing
-lines are removed; then a document goes if it fails the base rules or has lost
+Every line is judged by itself (punctuation, navigation, links, boilerplate) or with
+the lines around it (menus); failing lines are removed; then a document goes if it fails the base rules or has lost
 too much of its text.  Everything happens within the row with array functions:
 no shuffle, no Python.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,23 @@ BOILERPLATE = (
     "^licen[sc]ed under",
     "^copyright",
     "spdx-license-identifier",
+    "released under the [a-z0-9. -]+ licen[sc]e",
+    "(is|are) licen[sc]ed under",
+    "(share|follow us) on (facebook|twitter|instagram|linkedin)",
+    "click here",
+    "sign up (now|today|for)",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "cookies akzeptieren",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "accepter les cookies",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "aceptar (las )?cookies",
 )
+#: Lines of a menu: this many or more, one below the other, of at most so many words without an end of sentence.
+MENU_LINES, MENU_WORDS = 4, 3
 
 
 def _let(value: Column, body) -> Column:
@@ -52,13 +70,36 @@ def failing(line: Column) -> Column:
 
     * punctuation: over a quarter of its words carry a run of two or more marks;
     * navigation: it has over one separator to four words;
+    * links: it has over one address (URL or e-mail) to four words;
     * boilerplate: it is short and holds a known phrase.
     """
     words = _count(F.trim(line), " ") + 1
     punctuation = F.regexp_count(line, F.lit("[#*$%&!?]{2,}")) * 4 > words
     navigation = _count(line, SEPARATORS) * 4 > words
+    links = (F.regexp_count(line, F.lit(r"https?://|www\.|[A-Za-z0-9]@[A-Za-z0-9]")) * 4 > words) & (F.instr(line, "www.") + F.instr(line, "://") + F.instr(line, "@") > 0)
     boilerplate = (F.char_length(line) < 300) & F.lower(line).rlike("|".join(BOILERPLATE))
-    return punctuation | navigation | boilerplate
+    return punctuation | navigation | links | boilerplate
+
+
+def _entry(line: Column) -> Column:
+    """Whether a line could be an entry of a menu."""
+    bare = F.trim(line)
+    return (bare != "") & (_count(bare, " ") < MENU_WORDS) & ~bare.rlike(r"[.!?:;…,][\"'»”)]*\z")
+
+
+def kept_lines(lines: Column) -> Column:
+    """The lines that pass every rule; entries that stand in a run of ``MENU_LINES`` or more fail."""
+
+    def passing(entries: Column) -> Column:
+        at = lambda i: (i >= 0) & F.coalesce(F.get(entries, i), F.lit(False))
+
+        def menu(i: Column) -> Column:
+            runs = [[at(i + first + k) for k in range(MENU_LINES)] for first in range(1 - MENU_LINES, 1)]
+            return F.get(entries, i) & reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, run) for run in runs))
+
+        return F.filter(lines, lambda x, i: ~(menu(i) | failing(x)))
+
+    return _let(F.transform(lines, _entry), passing)
 
 
 def _repeated(words: Column) -> Column:
@@ -113,7 +154,7 @@ def judge(docs: DataFrame, most_lost: float = 0.5, least_words: int = 50, most_r
         F.char_length(_drop(F.col("t"), _BLANKS)).cast("bigint").alias("word_chars"),
         _count(F.col("t"), SYMBOLS).cast("bigint").alias("n_symbols"),
         _let(full, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")).alias("n_dup_lines"),
-        F.array_join(F.filter(lines, lambda x: ~failing(x)), "\n").alias("clean"),
+        F.array_join(_let(lines, kept_lines), "\n").alias("clean"),
     )
     # a generator is a barrier: a filter on the verdict above must not measure the text a second time below
     d = d.select("row", "absent", F.explode(F.array(measured)).alias("m"))
@@ -141,18 +182,21 @@ w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)
 tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
   SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1) GROUP BY doc_id),
-line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
-judged AS (SELECT doc_id, l, length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d),
+judged AS (SELECT doc_id, l, i, length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS chars,
   length(regexp_replace(trim(l, ' '), '[^ ]', '', 'g')) + 1 AS n,
   len(regexp_extract_all(l, '[#*$%&!?]{2,}')) AS marks,
+  len(regexp_extract_all(l, 'https?://|www\.|[A-Za-z0-9]@[A-Za-z0-9]')) AS links,
+  trim(l, ' ') <> '' AND length(regexp_replace(trim(l, ' '), '[^ ]', '', 'g')) < 3 AND NOT regexp_matches(trim(l, ' '), '[.!?:;…,]["''»”)]*\z') AS entry,
   length(l) - length(regexp_replace(l, '[|»›•·]', '', 'g')) AS seps,
-  length(l) < 300 AND regexp_matches(lower(l), 'all rights reserved|privacy policy|terms of (use|service)|accept (all )?cookies|uses cookies|enable javascript|lorem ipsum|subscribe to our newsletter|skip to (main )?content|^licen[sc]ed under|^copyright|spdx-license-identifier') AS boiler
+  length(l) < 300 AND regexp_matches(lower(l), '@PHRASES@') AS boiler
   FROM line),
-per AS (SELECT doc_id, sum(chars) AS all_chars, sum(CASE WHEN marks * 4 > n OR seps * 4 > n OR boiler THEN chars ELSE 0 END) AS lost,
-  count(*) FILTER (WHERE chars > 0) - count(DISTINCT l) FILTER (WHERE chars > 0) AS dup FROM judged GROUP BY doc_id)
+menus AS (SELECT *, entry AND count(*) OVER (PARTITION BY doc_id, entry, run) >= 4 AS menu FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, entry ORDER BY i) AS run FROM judged)),
+per AS (SELECT doc_id, sum(chars) AS all_chars, sum(CASE WHEN marks * 4 > n OR seps * 4 > n OR links * 4 > n OR boiler OR menu THEN chars ELSE 0 END) AS lost,
+  count(*) FILTER (WHERE chars > 0) - count(DISTINCT l) FILTER (WHERE chars > 0) AS dup FROM menus GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= word_chars * 0.5 AS kept FROM (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, per.dup::BIGINT AS n_dup_lines,
     coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(ws) AS base_failed, lost
   FROM w JOIN per USING (doc_id) LEFT JOIN rep USING (doc_id))
-"""
+""".replace("@PHRASES@", "|".join(BOILERPLATE))
