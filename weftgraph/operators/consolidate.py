@@ -13,22 +13,44 @@ def tag_rank(tag: Column) -> Column:
     return F.when(tag == "CODE", 1).when(tag == "INFERENCE", 2).otherwise(3)
 
 
+def _let(value: Column, body) -> Column:
+    """body(x) with x bound to value, so that it is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def merged_receipts(places: Column) -> Column:
+    """Receipts of places ``struct<rank, path, line>`` in order: files in first-seen order, each with its lines.
+
+    The places of a file stand together, unless it shows the edge with evidence of
+    different strength; only then its lines are gathered from the whole array.
+    """
+    lines = lambda some: F.array_distinct(F.transform(some, lambda p: p["line"]))
+
+    def runs(p: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda at, k: F.struct(F.get(p, at)["path"].alias("path"), lines(F.slice(p, at + 1, F.coalesce(F.get(starts, k + 1), F.size(p)) - at)).alias("lines")))
+
+    def mixed(p: Column, paths: Column) -> Column:
+        return F.transform(paths, lambda path: F.struct(path.alias("path"), lines(F.filter(p, lambda x: x["path"] == path)).alias("lines")))
+
+    def both(p: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i)["path"] != F.get(p, i - 1)["path"]))
+        paths = F.array_distinct(F.transform(p, lambda x: x["path"]))
+        return _let(starts, lambda s: _let(paths, lambda q: F.when(F.size(s) == F.size(q), runs(p, s)).otherwise(mixed(p, q))))
+
+    return _let(places, both)
+
+
 def consolidate(sightings: DataFrame) -> DataFrame:
     """One edge per (actor, rel, object, label): strongest tag, all receipts, a note.
 
-    Receipts are gathered per file and then per edge, files ordered by strength of
-    evidence and path, lines by strength and number.  An edge's places end in one
-    row, as its text form is one line; edge_counts and receipt_rows are the forms
-    without that limit.
+    Repeated places are dropped before the shuffle's final step.  Receipts are
+    ordered by strength of evidence, then path and line.  An edge's places end in
+    one row, as its text form is one line; edge_tags, edge_counts and receipt_rows
+    are the forms without that limit.
     """
-    rank = tag_rank(F.col("tag")).alias("rank")
-    best = lambda: F.min(F.struct(rank, "tag")).alias("best")
-    files = sightings.groupBy(*EDGE_KEY, "path").agg(F.array_sort(F.collect_set(F.struct(rank, "line"))).alias("lines"), best(), F.min("note").alias("note"))
-    numbers = F.array_distinct(F.transform("lines", lambda x: x["line"])).alias("lines")
-    file = F.struct(F.col("best.rank").alias("rank"), "path", numbers)
-    grouped = files.groupBy(*EDGE_KEY).agg(F.array_sort(F.collect_list(file)).alias("files"), F.min("best").alias("best"), F.min("note").alias("note"))
-    receipts = F.transform("files", lambda f: F.struct(f["path"].alias("path"), f["lines"].alias("lines")))
-    return grouped.select(*EDGE_KEY, F.col("best.tag").alias("tag"), receipts.cast(RECEIPTS).alias("receipts"), F.when(F.col("best.tag") != "CODE", F.col("note")).alias("note"))
+    place = F.struct(tag_rank(F.col("tag")).alias("rank"), "path", "line")
+    grouped = sightings.groupBy(*EDGE_KEY).agg(F.array_sort(F.collect_set(place)).alias("places"), F.min(F.struct(tag_rank(F.col("tag")).alias("rank"), "tag")).alias("best"), F.min("note").alias("note"))
+    return grouped.select(*EDGE_KEY, F.col("best.tag").alias("tag"), merged_receipts(F.col("places")).cast(RECEIPTS).alias("receipts"), F.when(F.col("best.tag") != "CODE", F.col("note")).alias("note"))
 
 
 def receipt_rows(sightings: DataFrame) -> DataFrame:
@@ -46,10 +68,15 @@ def edge_counts(sightings: DataFrame) -> DataFrame:
 
 
 def edge_tags(sightings: DataFrame) -> DataFrame:
-    """Edges with their strongest tag and its note, without receipts: what the lenses need."""
-    each = sightings.groupBy(*EDGE_KEY).agg(F.min(tag_rank(F.col("tag"))).alias("rank"), F.min("note").alias("note"))
+    """Edges with their strongest tag and its note, without receipts: what the lenses need.
+
+    Tags and notes are first grouped as they are, which a hash table can do, and
+    the few that an edge has are then compared.
+    """
+    each = sightings.groupBy(*EDGE_KEY, "tag", "note").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    best = each.groupBy(*EDGE_KEY).agg(F.min(tag_rank(F.col("tag"))).alias("rank"), F.min("note").alias("note"))
     tag = F.when(F.col("rank") == 1, "CODE").when(F.col("rank") == 2, "INFERENCE").otherwise("UNVERIFIED")
-    return each.select(*EDGE_KEY, tag.alias("tag"), F.when(F.col("rank") > 1, F.col("note")).alias("note"))
+    return best.select(*EDGE_KEY, tag.alias("tag"), F.when(F.col("rank") > 1, F.col("note")).alias("note"))
 
 
 def fold_labels(sightings: DataFrame) -> DataFrame:

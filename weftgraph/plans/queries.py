@@ -158,13 +158,13 @@ def feign_labels(spark, d):
 
 
 def full_degree(spark, d):
-    e = consolidate.edge_counts(bind.sightings(spark, d))
+    e = bind.edge_tags(spark, d)
     return e.select(F.explode(F.array("actor", "object")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def full_impact(spark, d):
     """Bounded closure over all edges: the line items are read once, the distinct edges kept."""
-    e = kept(consolidate.edge_counts(bind.sightings(spark, d)))
+    e = _tags(spark, d)
     return graph.impact(e, _start(e, ("http",), "max", "object")).select("node", F.col("ring").cast("bigint").alias("ring"))
 
 
