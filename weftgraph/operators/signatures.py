@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.corpus import after_hits, is_manifest, is_test
+from ..sources.corpus import after_hits, enclosing_key, is_manifest, is_test
 
 
 @dataclass(frozen=True)
@@ -139,7 +139,15 @@ def iac_channels(lines: DataFrame) -> DataFrame:
     """Channels that infrastructure code declares: ``path, line, kind, tech, name``."""
     kinds = (("topic", "kafka", r"resource\s+\"kafka_topic\"\s+\"([^\"]+)\""), ("queue", "sqs", r"resource\s+\"aws_sqs_queue\"\s+\"([^\"]+)\""), ("topic", "sns", r"resource\s+\"aws_sns_topic\"\s+\"([^\"]+)\""), ("topic", "pubsub", r"resource\s+\"google_pubsub_topic\"\s+\"([^\"]+)\""), ("queue", "servicebus", r"resource\s+\"azurerm_servicebus_queue\"\s+\"([^\"]+)\""))
     each = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(t).alias("tech"), F.regexp_extract("text", p, 1).alias("name"))) for k, t, p in kinds)))
-    return lines.filter(F.col("path").rlike(r"\.tf$")).select("path", "line", F.explode(each).alias("c")).select("path", "line", "c.kind", "c.tech", "c.name")
+    terraform = lines.filter(F.col("path").rlike(r"\.tf$")).select("path", "line", F.explode(each).alias("c")).select("path", "line", "c.kind", "c.tech", "c.name")
+    # CloudFormation: the resource's key stands two spaces in, its type below; a topic's own manifest: kind, then metadata.name
+    yaml = lines.filter(F.col("path").rlike(r"\.(ya?ml|template)$"))
+    types = F.regexp_extract("text", r"^\s+Type:\s*[\"']?AWS::(SQS::Queue|SNS::Topic|Kinesis::Stream)", 1)
+    typed = enclosing_key(yaml).withColumn("type", types).filter("type <> '' and section = 'Resources' and entry is not null")
+    cloud = typed.select("path", "line", F.when(F.col("type") == "SQS::Queue", "queue").otherwise("topic").alias("kind"), F.lower(F.substring_index("type", "::", 1)).alias("tech"), F.col("entry").alias("name"))
+    topics = yaml.filter(F.col("text").rlike(r"^kind:\s*KafkaTopic\s*$")).select("path").distinct()
+    named = enclosing_key(yaml.join(topics, "path", "left_semi")).filter("section = 'metadata'").withColumn("name", F.regexp_extract("text", r"^  name:\s*[\"']?([A-Za-z0-9._-]+)", 1)).filter("name <> ''")
+    return terraform.unionByName(cloud).unionByName(named.select("path", "line", F.lit("topic").alias("kind"), F.lit("kafka").alias("tech"), "name"))
 
 
 def iac_subscriptions(lines: DataFrame) -> DataFrame:

@@ -22,6 +22,10 @@ SIZES = {"svc": (160, 60), "ref": (160, 60), "topic": (140, 60), "queue": (140,
 STROKES = {"pub": "#8250df", "sub": "#8250df", "http": "#0969da", "grpc": "#0969da", "gql": "#0969da", "ws": "#0969da", "uses": "#1a7f37"}
 
 
+#: Colours of the classes that a diagram declares.
+CLASSES = {"svc": "fill:#ddf4ff,stroke:#0969da", "ref": "fill:#f6f8fa,stroke:#57606a", "topic": "fill:#fbefff,stroke:#8250df", "db": "fill:#dafbe1,stroke:#1a7f37", "cache": "fill:#fff8c5,stroke:#9a6700", "ext": "fill:#f6f8fa,stroke:#57606a", "focus": "fill:#0969da,color:#fff", "hit1": "fill:#ffebe9,stroke:#cf222e", "hit2": "fill:#fff8c5,stroke:#9a6700", "warn": "fill:#fff1e5,stroke:#bc4c00", "add": "fill:#dafbe1,stroke:#1a7f37", "prop": "fill:#fbefff,stroke:#8250df"}
+
+
 def _by_kind(kind: Column, values: dict, default) -> Column:
     out = F.lit(default)
     for k, v in values.items():
@@ -66,8 +70,11 @@ def flowchart(nodes: DataFrame, edges: DataFrame, direction: str = "LR", marks:
     kinds = n.select("id", "mid", mermaid_class(F.col("kind")).alias("class"))
     if marks is not None:
         kinds = kinds.join(marks.select("id", F.col("class").alias("mark")), "id", "left").select("id", "mid", F.coalesce("mark", "class").alias("class"))
-    classes = kinds.groupBy("class").agg(F.array_join(F.array_sort(F.collect_list("mid")), ",").alias("ids")).select(F.concat(F.lit("  class "), "ids", F.lit(" "), "class").alias("line"))
-    parts = n.select(F.lit(1).alias("part"), "line").unionByName(edge_lines(nodes, edges).select(F.lit(2).alias("part"), "line")).unionByName(classes.select(F.lit(3).alias("part"), "line"))
+    per = kinds.groupBy("class").agg(F.array_join(F.array_sort(F.collect_list("mid")), ",").alias("ids"))
+    colour = _by_kind(F.col("class"), CLASSES, "")
+    declared = per.filter(F.col("class").isin(*CLASSES)).select(F.concat(F.lit("  classDef "), "class", F.lit(" "), colour).alias("line"))
+    classes = per.select(F.concat(F.lit("  class "), "ids", F.lit(" "), "class").alias("line"))
+    parts = n.select(F.lit(1).alias("part"), "line").unionByName(edge_lines(nodes, edges).select(F.lit(2).alias("part"), "line")).unionByName(classes.select(F.lit(3).alias("part"), "line")).unionByName(declared.select(F.lit(4).alias("part"), "line"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]), "\n")
     return parts.agg(F.concat(F.lit(f"flowchart {direction}\n"), body).alias("mermaid"))
 
@@ -107,10 +114,38 @@ def not_shown(nodes: DataFrame, view_edges: DataFrame, edges: DataFrame, gaps: D
     return about.unionByName(hidden.select(F.lit("hidden").alias("what"), T.caption(F.col("actor"), F.col("object"), F.col("label"), F.col("tag")).alias("detail")))
 
 
-def markdown(title: str, nodes: DataFrame, edges: DataFrame, direction: str = "LR") -> DataFrame:
-    """One row ``view``: title, totals, diagram, receipts."""
-    row = stats_line(edges).join(flowchart(nodes, edges, direction)).join(receipts_table(edges))
-    return row.select(F.concat(F.lit(f"# {title}\n\n"), "line", F.lit("\n\n```mermaid\n"), "mermaid", F.lit("\n```\n\n"), "table", F.lit("\n")).alias("view"))
+def markdown(title: str, nodes: DataFrame, edges: DataFrame, direction: str = "LR", answer: str = "", commit: str = "", gaps: DataFrame | None = None, ledger: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """One row ``view``: title, totals with the ledger's commit, answer, diagram, receipts, and what is not shown.
+
+    ``gaps`` and the whole ``ledger`` of edges give the last part; ``title`` names lens and subject.
+    """
+    row = stats_line(edges).join(flowchart(nodes, edges, direction, marks)).join(receipts_table(edges))
+    hidden = F.lit("")
+    if gaps is not None and ledger is not None:
+        said = not_shown(nodes, edges, ledger, gaps)
+        row = row.join(said.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "what", F.lit(": "), "detail"))), "\n").alias("hidden")))
+        hidden = F.when(F.col("hidden") != "", F.concat(F.lit("\nNot shown:\n\n"), "hidden", F.lit("\n"))).otherwise("")
+    head = F.concat(F.lit(f"# {title}\n\n"), "line", F.lit(f" · ledger {commit}" if commit else ""), F.lit(f"\n\n{answer}" if answer else ""))
+    return row.select(F.concat(head, F.lit("\n\n```mermaid\n"), "mermaid", F.lit("\n```\n\n"), "table", F.lit("\n"), hidden).alias("view"))
+
+
+def ring_table(reasons: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row ``table`` of an impact: ring, service, why it breaks, and the primary receipts of its edges."""
+    first = edges.select(F.col("actor").alias("node"), F.get("receipts", F.lit(0)).alias("r")).filter("r is not null")
+    cited = first.groupBy("node").agg(F.array_sort(F.collect_set(F.concat(F.col("r.path"), F.lit(":"), F.get("r.lines", F.lit(0)).cast("string")))).alias("cited"))
+    d = reasons.join(cited, "node", "left")
+    line = F.concat(F.lit("| "), F.col("ring").cast("string"), F.lit(" | "), "node", F.lit(" | "), "reasons", F.lit(" | "), F.array_join(F.transform(F.coalesce("cited", F.array().cast("array<string>")), lambda x: F.concat(F.lit("`"), x, F.lit("`"))), " · "), F.lit(" |"))
+    body = d.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ring", "node", line.alias("line")))), lambda x: x["line"]), "\n").alias("b"))
+    return body.select(F.concat(F.lit("| Ring | Service | Breaks because | Receipts |\n|---|---|---|---|\n"), "b").alias("table"))
+
+
+def path_steps(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges along paths (``nodes``) with their ``step`` from 1: what edge_lines numbers and sequence draws."""
+    from ..operators.graph import flow
+
+    hops = paths.select(F.posexplode(F.arrays_zip(F.slice("nodes", 1, F.size("nodes") - 1).alias("src"), F.slice("nodes", 2, F.size("nodes") - 1).alias("dst"))).alias("at", "hop"))
+    hops = hops.select((F.col("at") + 1).alias("step"), "hop.src", "hop.dst").distinct()
+    return flow(edges).join(hops, ["src", "dst"]).select("step", *edges.columns, "src", "dst")
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:

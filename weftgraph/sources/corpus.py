@@ -145,10 +145,25 @@ def config_values(lines: DataFrame) -> DataFrame:
 
 
 def address_hits(lines: DataFrame) -> DataFrame:
-    """Variables that name an address, channel or data source: ``path, line, var, value``."""
+    """Variables that name an address, channel or data source: ``path, line, var, value``.
+
+    A value that stands on the line below (``name:`` and ``value:`` of a manifest) counts.
+    """
     name = r"\b([A-Z][A-Z0-9_]*(?:ADDR|ADDRESS|URL|URI|HOST|HOSTNAME|ENDPOINT|DSN|BROKERS?|TOPIC|QUEUE))\b"
     value = r"[A-Z0-9_]+[\"']?\s*[:=,]\s*[\"']?([^\"'\s,)]+)"
-    return lines.withColumn("var", F.regexp_extract("text", name, 1)).filter("var <> ''").withColumn("value", F.regexp_extract("text", value, 1)).select("path", "line", "var", "value")
+    found = after_hits(lines, lines.withColumn("var", F.regexp_extract("text", name, 1)).filter("var <> ''"), 1)
+    below = F.regexp_extract(F.coalesce(F.get("after", F.lit(0)), F.lit("")), r"^\s*value:\s*[\"']?([^\"'\s]+)", 1)
+    here = F.regexp_extract("text", value, 1)
+    return found.select("path", "line", "var", F.when(here != "", here).otherwise(below).alias("value"))
+
+
+def api_hosts(lines: DataFrame) -> DataFrame:
+    """Hosts that API descriptions name as their servers: ``path, line, host``."""
+    from ..functions.text import host
+
+    yaml = lines.filter(F.col("path").rlike(r"\.ya?ml$"))
+    inside = enclosing_key(yaml).filter("section = 'servers'")
+    return inside.select("path", "line", host(F.regexp_extract("text", r"url:\s*[\"']?(\S+?)[\"']?\s*$", 1)).alias("host")).filter("host is not null")
 
 
 def contracts(lines: DataFrame) -> DataFrame:
