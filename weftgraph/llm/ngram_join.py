@@ -49,7 +49,7 @@ from . import words as W
 from .shared import beyond_leaders, block_pairs, connected_components, led, text_batches, written
 
 #: Text bytes whose keys meet in one task.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Keys with more members go under a leader instead of giving all pairs.
 PAIRED = 8
 SEEDS = 6
