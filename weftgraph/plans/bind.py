@@ -57,7 +57,7 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.concat(F.lit("svc-"), F.col("n_nationkey").cast("string")).alias("actor"),
         F.lit("uses").alias("rel"),
-        F.concat(F.lit("db-"), "r_name").alias("object"),
+        F.concat(F.lit("db-"), F.replace("r_name", F.lit(" "), F.lit("-"))).alias("object"),
         F.lit("sql").alias("label"),
         F.lit("CODE").alias("tag"),
         F.concat(F.lit("nations/"), F.col("n_nationkey").cast("string")).alias("path"),
@@ -129,11 +129,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = customer.select("c_mktsegment").distinct()
     node = lambda df, id_, kind, tech: df.select(id_.alias("id"), F.lit(kind).alias("kind"), tech.alias("tech"))
     parts = [
-        node(nation, F.concat(F.lit("svc-"), F.col("n_nationkey").cast("string")), "svc", F.lower("r_name")),
+        node(nation, F.concat(F.lit("svc-"), F.col("n_nationkey").cast("string")), "svc", F.lower(F.replace("r_name", F.lit(" "), F.lit("-")))),
         node(brands, F.col("p_brand"), "topic", F.lit("kafka")),
         node(brands, F.concat(F.lit("returns."), "p_brand"), "topic", F.lit("kafka")),
         node(segments, F.concat(F.lit("promo."), "c_mktsegment"), "topic", F.lit("kafka")),
-        node(table(spark, sf_dir, "region"), F.concat(F.lit("db-"), "r_name"), "db", F.lit("postgres")),
+        node(table(spark, sf_dir, "region"), F.concat(F.lit("db-"), F.replace("r_name", F.lit(" "), F.lit("-"))), "db", F.lit("postgres")),
         node(part.select("p_type").distinct(), F.concat(F.lit("ext-"), "p_type"), "ext", F.lit("http")),
         node(segments, F.concat(F.lit("ref-"), "c_mktsegment"), "ref", F.lit("grpc")),
     ]

@@ -19,18 +19,18 @@ sight AS (
   UNION ALL SELECT c, 'grpc', 'ref-' || segment, '-', 'INFERENCE', path, line FROM base
   UNION ALL SELECT s, 'pub', 'returns.' || brand, '-', 'CODE', path, line FROM base WHERE flag = 'R'
   UNION ALL SELECT c, 'sub', 'promo.' || segment, 'group=' || c, 'CODE', path, line FROM base
-  UNION ALL SELECT 'svc-' || n_nationkey, 'uses', 'db-' || r_name, 'sql', 'CODE', 'nations/' || n_nationkey, 1 FROM nation, region WHERE n_regionkey = r_regionkey),
+  UNION ALL SELECT 'svc-' || n_nationkey, 'uses', 'db-' || replace(r_name, ' ', '-'), 'sql', 'CODE', 'nations/' || n_nationkey, 1 FROM nation, region WHERE n_regionkey = r_regionkey),
 perfile AS (SELECT actor, rel, object, label, min(tag) AS tag, path, path || ':' || string_agg(DISTINCT line::VARCHAR, ',' ORDER BY line::VARCHAR) AS item FROM sight GROUP BY actor, rel, object, label, path),
 e AS (SELECT actor, rel, object, label, min(tag) AS tag, string_agg(item, '; ' ORDER BY path) AS receipts FROM perfile GROUP BY actor, rel, object, label)"""
 
 
 NODES = """
 n AS (
-  SELECT 'svc-' || n_nationkey AS id, 'svc' AS kind, lower(r_name) AS tech FROM nation, region WHERE n_regionkey = r_regionkey
+  SELECT 'svc-' || n_nationkey AS id, 'svc' AS kind, lower(replace(r_name, ' ', '-')) AS tech FROM nation, region WHERE n_regionkey = r_regionkey
   UNION ALL SELECT DISTINCT p_brand, 'topic', 'kafka' FROM part
   UNION ALL SELECT DISTINCT 'returns.' || p_brand, 'topic', 'kafka' FROM part
   UNION ALL SELECT DISTINCT 'promo.' || c_mktsegment, 'topic', 'kafka' FROM customer
-  UNION ALL SELECT 'db-' || r_name, 'db', 'postgres' FROM region
+  UNION ALL SELECT 'db-' || replace(r_name, ' ', '-'), 'db', 'postgres' FROM region
   UNION ALL SELECT DISTINCT 'ext-' || p_type, 'ext', 'http' FROM part
   UNION ALL SELECT DISTINCT 'ref-' || c_mktsegment, 'ref', 'grpc' FROM customer)"""
 
@@ -197,7 +197,7 @@ UNION ALL SELECT DISTINCT 'T8', actor || ' names ' || object || ' in code', fals
     "review_to_be": f"""{E}, g AS (SELECT DISTINCT actor, rel, object FROM e WHERE rel = 'pub' AND object LIKE 'returns.%')
 SELECT actor, rel, object, label, tag FROM e WHERE (actor, rel, object) NOT IN (SELECT (actor, rel, object) FROM g) UNION ALL SELECT actor, rel, substr(object, 9), NULL, NULL FROM g""",
     "check_dangling": f"{EN} SELECT actor, rel, object, label, m AS missing FROM (SELECT actor, rel, object, label, unnest([actor, object]) AS m FROM e) WHERE m NOT IN (SELECT id FROM n WHERE kind <> 'ext')",
-    "check_dup_nodes": "SELECT 'CHK-5' AS check_id, 'node again: db-' || r_name AS message FROM region",
+    "check_dup_nodes": "SELECT 'CHK-5' AS check_id, 'node again: db-' || replace(r_name, ' ', '-') AS message FROM region",
     "check_missing_note": f"{E} SELECT 'CHK-7' AS check_id, 'no note on INFERENCE edge' AS message, count(*) AS n FROM e WHERE object = 'ref-BUILDING' HAVING count(*) > 0",
     "check_duplicate_keys": f"{E} SELECT actor, rel, object, label, 2::BIGINT AS n FROM e WHERE rel = 'uses'",
     "check_sorted": f"""WITH {NODES}, l AS (SELECT 'N ' || id || ' ' || kind || ' ' || tech || ' | ' || kind || '/' || id || ':1' AS v FROM n), k AS (SELECT v, row_number() OVER (ORDER BY reverse(v), v) AS line_no FROM l)
@@ -281,4 +281,49 @@ SELECT 'pages/' || page_id AS path, p.template, h.host AS service_id, n AS match
 SELECT path, 'services' AS section, NULL AS entry, 1::BIGINT AS lines, NULL AS image, NULL::BIGINT AS variables FROM f
 UNION ALL SELECT path, 'services', 'svc-' || n, 4, 'postgres:1' || r, 1 FROM f UNION ALL SELECT path, 'services', 'cache-' || n, 2, 'redis:7', 0 FROM f
 UNION ALL SELECT path, 'volumes', NULL, 1, NULL, NULL FROM f UNION ALL SELECT path, 'volumes', 'data', 1, NULL, NULL FROM f""",
+    "source_manifests": "SELECT 'svc-' || n_nationkey || '/go.mod' AS path, 'go' AS ecosystem FROM nation UNION ALL SELECT 'svc-' || n_nationkey || '/src/main/resources/application.properties', 'spring' FROM nation",
+    "source_line_counts": f"""WITH {_FILES} SELECT path, 7::BIGINT AS n_lines FROM su UNION ALL SELECT path, 7 FROM cu UNION ALL SELECT 'infra/region' || r_regionkey || '.tf', 4 FROM region
+UNION ALL SELECT 'svc-' || n || '/' || f, k FROM na, (VALUES ('go.mod', 3), ('server.go', 6), ('src/main/resources/application.properties', 1)) x(f, k)""",
+    "source_routes": f"WITH {_FILES} SELECT 'svc-' || n || '/server.go' AS path, 5::BIGINT AS line, 'GET' AS method, '/n' || n || '/customers/{{id}}' AS template FROM na",
+    "source_symbols": f"WITH {_FILES} SELECT path, 2::BIGINT AS line, 'TOPIC' AS key, 'restock.' || r AS value FROM su",
+    "source_config": f"""WITH {_FILES} SELECT 'svc-' || n || '/src/main/resources/application.properties' AS path, 1::BIGINT AS line, 'spring.cloud.stream.bindings.audit-out-0.destination' AS key, 'audit.' || r AS value FROM na
+UNION ALL SELECT 'infra/region' || r_regionkey || '.tf', unnest([2, 3]), unnest(['topic_arn', 'endpoint']), unnest(['aws_sns_topic.prices-' || r_regionkey || '.arn', 'aws_sqs_queue.work-' || r_regionkey || '.arn']) FROM region""",
+    "source_owners": f"""WITH {_FILES}, p AS (SELECT path, 'svc-' || n AS s FROM su UNION ALL SELECT path, 'svc-' || n FROM cu UNION ALL SELECT 'svc-' || n || '/' || f, 'svc-' || n FROM na, (VALUES ('go.mod'), ('server.go'), ('src/main/resources/application.properties')) x(f) UNION ALL SELECT 'infra/region' || r_regionkey || '.tf', NULL FROM region)
+SELECT path, s AS service_id, s AS root FROM p""",
+    "source_bindings": f"WITH {_FILES} SELECT 'svc-' || n || '/src/main/resources/application.properties' AS path, 1::BIGINT AS line, 'pub' AS rel, 'audit.' || r AS channel FROM na",
+    "source_subscriptions": "SELECT 'prices-' || r_regionkey AS topic, 'work-' || r_regionkey AS queue, 'infra/region' || r_regionkey || '.tf' AS path, 1::BIGINT AS line FROM region",
+    "source_registrations": "SELECT 'Nation' || n_nationkey AS name, 'svc-' || n_nationkey || '/server.go' AS path, 4::BIGINT AS line FROM nation",
+    "source_vendors": f"WITH {_FILES} SELECT 'stripe' AS vendor, path, 7::BIGINT AS line FROM cu",
+    "source_window": f"""WITH {_FILES} SELECT path, 2::BIGINT AS hit, unnest(range(1, 5))::BIGINT AS line, unnest(['import {{ Kafka }} from "kafkajs";', 'await consumer.subscribe({{ topic: "restock.' || t || '", groupId: "shop" }});', 'const c = new Nation' || m || 'Client(addr, grpc.credentials.createInsecure());', 'await fetch("/n' || m || '/customers/' || k || '");']) AS text FROM cu""",
+    "source_receipts": f"""WITH {_FILES}, f AS (
+  SELECT 'svc-' || n AS actor, 'pub' AS rel, 'restock.' || r AS object, 'key=part' AS label, path, path || ':2,3' AS item FROM su
+  UNION ALL SELECT 'svc-' || n, 'uses', 'db-' || r, 'sql', path, path || ':6' FROM su
+  UNION ALL SELECT 'svc-' || n, 'pub', 'audit.' || r, '-', 'svc-' || n || '/src', 'svc-' || n || '/src/main/resources/application.properties:1' FROM na
+  UNION ALL SELECT 'prices-' || r_regionkey, 'pub', 'work-' || r_regionkey, '-', 'infra', 'infra/region' || r_regionkey || '.tf:1' FROM region)
+SELECT actor, rel, object, label, 'CODE' AS tag, string_agg(item, '; ' ORDER BY path) AS receipts FROM f GROUP BY actor, rel, object, label""",
+    "image_kinds": "SELECT p_partkey, [ 'db', 'cache', 'store', NULL, NULL, 'db'][p_partkey % 6 + 1] AS kind, p_partkey % 6 = 3 AS broker FROM part",
+    "channel_names": r"""WITH k AS (SELECT p_brand AS name FROM part UNION SELECT replace(p_type, ' ', '.') FROM part UNION SELECT p_partkey::VARCHAR FROM part)
+SELECT name, regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9._-]*') AND NOT regexp_full_match(name, '[0-9]+') AS valid, string_split(name, '.')[-1] AS last FROM k""",
+    "edge_sentences": f"{E} SELECT actor, rel, object, label, CASE WHEN tag = 'CODE' THEN actor || ' ' || rel || ' ' || object ELSE actor || ' appears to ' || rel || ' ' || object || ' (unconfirmed: confirm: contract of ' || substr(object, 5) || ')' END AS sentence FROM e",
+    "edge_captions": f"{E} SELECT actor, rel, object, label, actor || CASE WHEN tag = 'CODE' THEN ' → ' ELSE ' ⇢ ' END || object || CASE WHEN label = '-' THEN '' ELSE ' · ' || label END AS caption FROM e",
+    "stats_line": f"{E} SELECT (SELECT count(DISTINCT x) FROM (SELECT actor AS x FROM e UNION ALL SELECT object FROM e)) || ' nodes · ' || count(*) || ' edges (' || count(*) FILTER (WHERE tag = 'CODE') || ' CODE / ' || count(*) FILTER (WHERE tag <> 'CODE') || ' inferred)' AS line FROM e",
+    "health_line": f"""{_ALL} SELECT (SELECT count(*) FROM n WHERE kind = 'svc') || ' services (+0 referenced) · ' || (SELECT count(*) FROM e) || ' edges (100% CODE) · sync depth ' || (SELECT max(hops) FROM w) || ' · cycles ' || count(*) FILTER (WHERE id = 'T1') || ' · shared stores ' || count(*) FILTER (WHERE id = 'T3')
+|| ' · ' || count(*) FILTER (WHERE severity = 'high') || ' high / ' || count(*) FILTER (WHERE severity = 'med') || ' med / ' || count(*) FILTER (WHERE severity = 'low') || ' low / ' || count(*) FILTER (WHERE severity = 'info') || ' info' AS line FROM f""",
+    "check_summary": f"{EN} SELECT 'ok: ' || (SELECT count(*) FROM n) || ' nodes, ' || (SELECT count(*) FROM e) || ' edges, ' || (SELECT count(*) FROM orders WHERE o_orderpriority LIKE '%NOT SPECIFIED') || ' gaps' AS line",
+    "silent_nodes": "SELECT 'svc-purchase' AS id, 'no edges' AS warning UNION ALL SELECT 'purchase.seen', 'no producer'",
+    "reachable_pairs": f"""{V}, c AS (SELECT DISTINCT actor AS a, object AS b FROM e WHERE rel = 'http'), r AS (SELECT a, b, 1 AS h FROM c UNION SELECT r.a, c.b, h + 1 FROM r JOIN c ON c.a = r.b WHERE h < 3) SELECT DISTINCT a, b FROM r""",
+    "with_assertions": f"{E} SELECT rel, tag, count(*) AS edges FROM (SELECT rel, tag FROM e UNION ALL SELECT 'uses', 'UNVERIFIED' FROM region) GROUP BY rel, tag",
+    "shard_footers": f"""WITH {_FILES}, s AS (SELECT n, count(*) AS k FROM su GROUP BY n), c AS (SELECT n, count(*) AS k FROM cu GROUP BY n),
+sx AS (SELECT n, sum(1 + 2 + (n <> r)::INT + 1) AS code FROM su GROUP BY n), cx AS (SELECT n, sum(2 + (n <> m)::INT) AS code FROM cu GROUP BY n), ix AS (SELECT n, count(*) AS inf FROM cu WHERE n <> m GROUP BY n),
+rx AS (SELECT m AS n, count(*) AS inf FROM cu WHERE n <> m GROUP BY m)
+SELECT 'svc-' || na.n AS shard, coalesce(5 * s.k, 0) + coalesce(5 * c.k, 0) AS hits, (1 + coalesce(sx.code, 0) + coalesce(cx.code, 0))::BIGINT AS code, (coalesce(ix.inf, 0) + coalesce(rx.inf, 0))::BIGINT AS inferred, 2 * coalesce(c.k, 0) AS gaps
+FROM na LEFT JOIN s USING (n) LEFT JOIN c USING (n) LEFT JOIN sx USING (n) LEFT JOIN cx USING (n) LEFT JOIN ix USING (n) LEFT JOIN rx USING (n)
+UNION ALL SELECT 'infra', 0, (SELECT count(*) FROM region), 0, 0""",
+    "ledger_round_trip": f"""WITH {ledger()}, k AS (SELECT DISTINCT actor, rel, object, label, tag, path, line FROM sight)
+SELECT actor, rel, object, label, tag, CASE WHEN rel = 'grpc' THEN 'confirm: contract of ' || substr(object, 5) END AS note, count(*)::BIGINT AS places FROM k GROUP BY actor, rel, object, label, tag""",
+    "gap_round_trip": "SELECT o_orderkey::VARCHAR AS subject, 'priority not specified' AS detail, 'orders/' || o_orderkey || ':1' AS receipts FROM orders WHERE o_orderpriority LIKE '%NOT SPECIFIED'",
+    "node_round_trip": f"WITH {NODES} SELECT id, kind, tech, kind || '/' || id || ':1' AS receipts FROM n",
+    "refresh_sweep": f"""{E}, o AS (SELECT 'orders/' || o_orderkey AS path FROM orders WHERE o_orderstatus = 'O'),
+k AS (SELECT actor, rel, object, label FROM e WHERE split_part(receipts, ':', 1) NOT IN (SELECT path FROM o) UNION SELECT actor, rel, object, label FROM sight WHERE path IN (SELECT path FROM o) AND object NOT LIKE 'returns.%')
+SELECT rel, count(*) AS edges FROM k GROUP BY rel""",
 }

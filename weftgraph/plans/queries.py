@@ -11,9 +11,9 @@ from ..functions import text as T
 from ..operators import checks, consolidate, graph, resolve, review, signatures
 from ..schema import EDGE_KEY, EDGES
 from ..sources import corpus
-from ..sources.ledger import ledger_lines
+from ..sources.ledger import ledger_lines, parse_edges, parse_gaps, parse_nodes
 from ..sources.shared import kept
-from . import bind, render
+from . import ask, bind, render
 
 
 def _start(edges: DataFrame, rels: tuple[str, ...], end: str, column: str) -> DataFrame:
@@ -427,6 +427,158 @@ def after_context(spark, d):
     return corpus.with_after(lines, 2).filter(F.col("text").contains("|")).select("path", F.col("line").cast("bigint").alias("line"), F.size("after").cast("bigint").alias("following"))
 
 
+def _lines(spark, d) -> DataFrame:
+    return corpus.split_lines(bind.sources(spark, d))
+
+
+def _long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*(F.col(c).cast("bigint").alias(c) if c in ("line", "n_lines", "ring", "step") else F.col(c) for c in columns))
+
+
+def source_manifests(spark, d):
+    return corpus.manifests(bind.sources(spark, d))
+
+
+def source_line_counts(spark, d):
+    return _long(corpus.line_counts(_lines(spark, d)), "path", "n_lines")
+
+
+def source_routes(spark, d):
+    return _long(corpus.routes(_lines(spark, d)), "path", "line", "method", "template")
+
+
+def source_symbols(spark, d):
+    return _long(resolve.symbols(_lines(spark, d)), "path", "line", "key", "value")
+
+
+def source_config(spark, d):
+    return _long(corpus.config_values(_lines(spark, d)), "path", "line", "key", "value")
+
+
+def source_owners(spark, d):
+    files = bind.sources(spark, d)
+    services = corpus.service_names(corpus.split_lines(files)).select("service_id", "root_path")
+    return corpus.owners(files, services)
+
+
+def source_bindings(spark, d):
+    return _long(signatures.stream_bindings(corpus.config_values(_lines(spark, d))), "path", "line", "rel", "channel")
+
+
+def source_subscriptions(spark, d):
+    return _long(signatures.iac_subscriptions(_lines(spark, d)), "topic", "queue", "path", "line")
+
+
+def source_registrations(spark, d):
+    return _long(signatures.registrations(_lines(spark, d)), "name", "path", "line")
+
+
+def source_vendors(spark, d):
+    return _long(resolve.vendor_calls(_lines(spark, d)), "vendor", "path", "line")
+
+
+def source_window(spark, d):
+    """The lines around every subscription, two before and two after."""
+    lines = _lines(spark, d)
+    hits = lines.filter(F.col("text").contains("consumer.subscribe"))
+    return _long(corpus.window_around(lines, hits, 2), "path", "hit", "line", "text").withColumn("hit", F.col("hit").cast("bigint"))
+
+
+def source_receipts(spark, d):
+    """Edges of the extraction with their receipts: the call site and the line that names its value."""
+    seen, _ = _extracted(spark, d)
+    return _view(consolidate.consolidate(seen.filter("rel in ('pub', 'uses')")))
+
+
+def image_kinds(spark, d):
+    """Kinds of the images that suppliers' names make: stores by their kind, brokers and others none."""
+    p = bind.table(spark, d, "part").select("p_partkey", F.concat(F.lit("registry.test/"), F.element_at(F.array(*map(F.lit, ("postgres", "redis", "minio", "cp-kafka", "nginx", "mongo"))), (F.col("p_partkey") % 6 + 1).cast("int")), F.lit(":"), F.col("p_size").cast("string")).alias("image"))
+    return p.select("p_partkey", T.store_kind(F.col("image")).alias("kind"), T.is_broker(F.col("image")).alias("broker"))
+
+
+def channel_names(spark, d):
+    """Which types, brands and keys could name a channel."""
+    part = bind.table(spark, d, "part")
+    names = part.select(F.col("p_brand").alias("name")).unionByName(part.select(F.replace("p_type", F.lit(" "), F.lit(".")).alias("name"))).unionByName(part.select(F.col("p_partkey").cast("string").alias("name"))).distinct()
+    return names.select("name", T.valid_channel(F.col("name")).alias("valid"), T.last_dotted(F.col("name")).alias("last"))
+
+
+def edge_sentences(spark, d):
+    return ask.wording(_tags(spark, d)).select(*EDGE_KEY, "sentence")
+
+
+def edge_captions(spark, d):
+    return _tags(spark, d).select(*EDGE_KEY, T.caption(F.col("actor"), F.col("object"), F.col("label"), F.col("tag")).alias("caption"))
+
+
+def stats_line(spark, d):
+    return render.stats_line(_tags(spark, d))
+
+
+def health_line(spark, d):
+    return review.health_line(review_health(spark, d))
+
+
+def check_summary(spark, d):
+    n, e, g = bind.nodes(spark, d), _tags(spark, d), bind.gaps(spark, d)
+    return checks.summary(n, e, g, checks.dangling(n, e))
+
+
+def silent_nodes(spark, d):
+    """Services without any edge, and channels without a producer, of the events' ledger without its purchases."""
+    seen = bind.visits(spark, d).filter("actor <> 'svc-purchase' and object <> 'svc-purchase'")
+    return checks.silent_nodes(bind.visit_nodes(spark, d), consolidate.edge_tags(seen))
+
+
+def reachable_pairs(spark, d):
+    return graph.reachable(_visits(spark, d), ("http",), 3)
+
+
+def with_assertions(spark, d):
+    """The ledger with what nobody has found in code: every region's store is said to be cached."""
+    said = bind.table(spark, d, "region").select(F.concat(F.lit("db-"), F.replace("r_name", F.lit(" "), F.lit("-"))).alias("actor"), F.lit("uses").alias("rel"), F.concat(F.lit("cache-"), F.replace("r_name", F.lit(" "), F.lit("-"))).alias("object"), F.lit("redis").alias("label"), F.lit("confirm: said by operations").alias("note"))
+    edges = _edges(spark, d)
+    return consolidate.with_assertions(edges, said).groupBy("rel", "tag").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def shard_footers(spark, d):
+    """Totals of the extraction by the service that a file belongs to."""
+    seen, gaps = _extracted(spark, d)
+    hits = signatures.sweep(_lines(spark, d), open_families=signatures.gated(_lines(spark, d)))
+    shard = F.col("path").alias("path")
+    top = lambda df: df.withColumn("shard", T.top_dir(shard))
+    return ask.shard_footers(top(seen), top(gaps), top(hits))
+
+
+def ledger_round_trip(spark, d):
+    """The ledger's text read back: edges with the number of their receipts' lines."""
+    e = _edges(spark, d)
+    text = ledger_lines(bind.nodes(spark, d), e, bind.gaps(spark, d))
+    raw = text.filter("block = 1").select(F.lit(1).alias("line_no"), F.col("line").alias("value"))
+    places = F.aggregate("receipts", F.lit(0).cast("bigint"), lambda n, r: n + F.size(r["lines"]))
+    return parse_edges(raw).select(*EDGE_KEY, "tag", "note", places.alias("places"))
+
+
+def gap_round_trip(spark, d):
+    text = ledger_lines(bind.nodes(spark, d), spark.createDataFrame([], EDGES), bind.gaps(spark, d))
+    raw = text.filter("block = 2").select(F.lit(1).alias("line_no"), F.col("line").alias("value"))
+    return parse_gaps(raw).select("subject", "detail", T.receipt_text(F.col("receipts")).alias("receipts"))
+
+
+def node_round_trip(spark, d):
+    text = ledger_lines(bind.nodes(spark, d), spark.createDataFrame([], EDGES), bind.gaps(spark, d))
+    raw = text.filter("block = 0").select(F.lit(1).alias("line_no"), F.col("line").alias("value"))
+    return parse_nodes(raw).select("id", "kind", "tech", T.receipt_text(F.col("receipts")).alias("receipts"))
+
+
+def refresh_sweep(spark, d):
+    """Stale edges dropped and the re-swept sightings merged in: open orders' files as they are now, without returns."""
+    changed = bind.table(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("path"))
+    seen = bind.sightings(spark, d)
+    now = seen.filter("object not like 'returns.%'").join(changed, "path", "left_semi").select(*seen.columns)
+    return _view(consolidate.refresh(_edges(spark, d), changed, now)).groupBy("rel").agg(F.count(F.lit(1)).alias("edges"))
+
+
 def stream_refresh(spark, d):
     from ..streaming.refresh import replay_events
 
@@ -501,6 +653,33 @@ QUERIES = {
         token_budget,
         yaml_sections,
         after_context,
+        source_manifests,
+        source_line_counts,
+        source_routes,
+        source_symbols,
+        source_config,
+        source_owners,
+        source_bindings,
+        source_subscriptions,
+        source_registrations,
+        source_vendors,
+        source_window,
+        source_receipts,
+        image_kinds,
+        channel_names,
+        edge_sentences,
+        edge_captions,
+        stats_line,
+        health_line,
+        check_summary,
+        silent_nodes,
+        reachable_pairs,
+        with_assertions,
+        shard_footers,
+        ledger_round_trip,
+        gap_round_trip,
+        node_round_trip,
+        refresh_sweep,
         stream_refresh,
     )
 } | {f"review_t{i}": partial(_t, rule=f"t{i}") for i in range(1, 13)}
