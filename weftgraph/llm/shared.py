@@ -119,7 +119,7 @@ def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column, Co
     most = reach(F.col("n"), F.col("largest")).cast("int")
     if few:
         d = both.join(groups, "g").withColumn("most", most)
-        at = d.select("g", "id", "component", "n", "s", "most", F.posexplode(F.slice("own", 1, F.col("most") + 1)).alias("pos", "e")).withColumn("pos", F.col("pos") + 1)
+        at = d.select("g", "id", "component", "n", "s", "most", "own", F.posexplode(F.slice("own", 1, F.col("most") + 1)).alias("pos", "e")).withColumn("pos", F.col("pos") + 1)
         # of two members the one with the smaller difference has half as many to show
         bands, key = at.filter(F.col("pos") <= F.floor(F.col("most") / 2) + 1), F.xxhash64("g", "e")
     else:
@@ -135,11 +135,13 @@ def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column, Co
         bands = at.withColumn("band", F.explode(F.sequence("band", F.floor((F.col("s") + F.col("most")) / F.col("step")).cast("int"))))
         shared = F.greatest(F.lit(1), F.ceil((F.col("s") + F.greatest(F.col("s"), F.col("band") * F.col("step")) - F.col("most")) / 2))
         bands, key = bands.filter(F.col("pos") <= F.col("s") - shared + 1), F.xxhash64("g", "e", "band")
-    kept = ("id", "component", "n", "s", "pos")
+    kept = ("id", "component", "n", "s", "pos", *(["own"] if few else []))
     x, y = bands.select(key.alias("key"), *kept).alias("x"), at.select(key.alias("key"), *kept).alias("y")
     shared = F.greatest(F.lit(1), F.ceil((F.col("x.s") + F.col("y.s") - reach(F.col("x.n"), F.col("y.n"))) / 2))
     possible = (F.col("x.s") - F.col("x.pos") + 1 >= shared) & (F.col("y.s") - F.col("y.pos") + 1 >= shared)
     order = (F.col("x.s") < F.col("y.s")) | ((F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")))
+    if few:  # small enough to be compared at once
+        possible &= F.col("x.s") + F.col("y.s") - 2 * F.size(F.array_intersect("x.own", "y.own")) <= reach(F.col("x.n"), F.col("y.n"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order & possible)
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     if few:
