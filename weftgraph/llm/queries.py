@@ -10,6 +10,7 @@ from .quality_classifier import op1_quality_classifier
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .source_mixing import OP5_SQL, op5_source_mixing
 from .substring_dedup import OP10_SQL, op10_substring_dedup
+from .suffix_dedup import OP13_SQL, op13_suffix_array_dedup
 from .token_counts import op2_token_counts
 from .token_files import op6_token_id_output
 
@@ -26,6 +27,7 @@ QUERIES = {
         op8_ngram_jaccard_join,
         op9_chat_formatting,
         op10_substring_dedup,
+        op13_suffix_array_dedup,
     )
 }
 
@@ -37,4 +39,5 @@ ORACLE_SQL = {
     "op8_ngram_jaccard_join": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op13_suffix_array_dedup": OP13_SQL,
 }

@@ -181,3 +181,11 @@ def split_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def split_places(column: pa.Array, fields: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Flat fields and per-row counts of a list of structs; a null list counts as empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten()
+    return {f: pc.struct_field(flat, f).to_numpy(zero_copy_only=False) for f in fields}, pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
