@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .chat_format import OP9_SQL, op9_chat_formatting
 from .decontamination import OP4_SQL, op4_benchmark_decontamination
+from .delta_lloyd import OP11_SQL, op11_centroid_clustering
+from .hard_negatives import OP12_SQL, op12_hard_negative_mining
 from .line_dedup import op3_line_dedup
 from .ngram_join import OP8_SQL, op8_ngram_jaccard_join
 from .quality_classifier import op1_quality_classifier
@@ -27,6 +29,8 @@ QUERIES = {
         op8_ngram_jaccard_join,
         op9_chat_formatting,
         op10_substring_dedup,
+        op11_centroid_clustering,
+        op12_hard_negative_mining,
         op13_suffix_array_dedup,
     )
 }
@@ -39,5 +43,7 @@ ORACLE_SQL = {
     "op8_ngram_jaccard_join": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_centroid_clustering": OP11_SQL,
+    "op12_hard_negative_mining": OP12_SQL,
     "op13_suffix_array_dedup": OP13_SQL,
 }
