@@ -43,14 +43,15 @@ def merged_receipts(places: Column) -> Column:
 def consolidate(sightings: DataFrame) -> DataFrame:
     """One edge per (actor, rel, object, label): strongest tag, all receipts, a note.
 
-    Repeated places are dropped before the shuffle's final step.  Receipts are
+    Evidence in code has only notes of such evidence.  Repeated places are dropped before the shuffle's final step.  Receipts are
     ordered by strength of evidence, then path and line.  An edge's places end in
     one row, as its text form is one line; edge_tags, edge_counts and receipt_rows
     are the forms without that limit.
     """
     place = F.struct(tag_rank(F.col("tag")).alias("rank"), "path", "line")
-    grouped = sightings.groupBy(*EDGE_KEY).agg(F.array_sort(F.collect_set(place)).alias("places"), F.min(F.struct(tag_rank(F.col("tag")).alias("rank"), "tag")).alias("best"), F.min("note").alias("note"))
-    return grouped.select(*EDGE_KEY, F.col("best.tag").alias("tag"), merged_receipts(F.col("places")).cast(RECEIPTS).alias("receipts"), F.when(F.col("best.tag") != "CODE", F.col("note")).alias("note"))
+    grouped = sightings.groupBy(*EDGE_KEY).agg(F.array_sort(F.collect_set(place)).alias("places"), F.min(F.struct(tag_rank(F.col("tag")).alias("rank"), "tag")).alias("best"), F.min("note").alias("note"), F.min(F.when(F.col("tag") == "CODE", F.col("note"))).alias("certain"))
+    note = F.when(F.col("best.tag") != "CODE", F.col("note")).otherwise(F.col("certain"))
+    return grouped.select(*EDGE_KEY, F.col("best.tag").alias("tag"), merged_receipts(F.col("places")).cast(RECEIPTS).alias("receipts"), note.alias("note"))
 
 
 def receipt_rows(sightings: DataFrame) -> DataFrame:
@@ -74,9 +75,9 @@ def edge_tags(sightings: DataFrame) -> DataFrame:
     the few that an edge has are then compared.
     """
     each = sightings.groupBy(*EDGE_KEY, "tag", "note").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    best = each.groupBy(*EDGE_KEY).agg(F.min(tag_rank(F.col("tag"))).alias("rank"), F.min("note").alias("note"))
+    best = each.groupBy(*EDGE_KEY).agg(F.min(tag_rank(F.col("tag"))).alias("rank"), F.min("note").alias("note"), F.min(F.when(F.col("tag") == "CODE", F.col("note"))).alias("certain"))
     tag = F.when(F.col("rank") == 1, "CODE").when(F.col("rank") == 2, "INFERENCE").otherwise("UNVERIFIED")
-    return best.select(*EDGE_KEY, tag.alias("tag"), F.when(F.col("rank") > 1, F.col("note")).alias("note"))
+    return best.select(*EDGE_KEY, tag.alias("tag"), F.when(F.col("rank") > 1, F.col("note")).otherwise(F.col("certain")).alias("note"))
 
 
 def fold_labels(sightings: DataFrame) -> DataFrame:

@@ -14,13 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import kept
+from . import values as V
 
 MESSAGES = ("pub", "sub")
-_LITERAL = r"[\"'`]([^\"'`]+)[\"'`]"
-_FIELD = r"(?i)\b(?:topics?|destination|queue(?:_?url)?|topic_?arn|subject|channel)\b\s*[:=]\s*\[?\s*[\"'`]([^\"'`]+)[\"'`]"
-
-
-_FIELD_NAME = r"(?i)\b(?:topics?|destination|queue(?:_?url)?|topic_?arn|subject|channel)\b"
 
 
 def symbols(lines: DataFrame) -> DataFrame:
@@ -35,50 +31,77 @@ def symbols(lines: DataFrame) -> DataFrame:
     return lines.select("path", "line", key.alias("key"), value.alias("value")).filter("key is not null")
 
 
+#: An argument up to the comma or bracket that ends it: texts, one level of nested brackets.
+_ARGUMENT = r"\s*[\[{]*\s*((?:[^,()\[\]{}\"'`]++|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|`[^`]*+`|\((?:[^()\"'`]++|\"[^\"]*+\"|'[^']*+'|`[^`]*+`|\([^()]*+\))*+\)|\[\s*[\"'][^\]]*+\])++)"
+#: What opens the argument that names a channel or an address, the surest first.
+_OPENERS = (
+    r"\.(?:topic|subscription|Topic|Subscription)\(",
+    r"\b(?:ProducerRecord\s*(?:<[^>]*>)?|(?:List\.of|Arrays\.asList|Collections\.singleton(?:List)?|Pattern\.compile)|(?:Publish|SendMessage\w*|ReceiveMessage\w*|PutEvents|PutRecords?|GetRecords)Command)\(",
+    r"\b(?:NewRequest|request|Request)\(\s*[\"'`][A-Za-z]+[\"'`]\s*,",
+    r"\bNewRequestWithContext\([^,]+,\s*(?:[\"'][A-Z]+[\"']|http\.Method\w+)\s*,",
+    r"\bNewRequest\(\s*http\.Method\w+\s*,",
+    r"(?i)\b\w*(?:send|send_?message\w*|send_and_wait|send_?batch|produce|publish\w*|emit|subscribe|queuesubscribe|pullsubscribe|consume\w*|listener|eventpattern|messagepattern|agent|task|sendto|sendtoqueue|convertandsend|consumepartition|receiveendpoint|bind_?queue|queue_?bind|xadd|xreadgroup|queue|worker|apply_async|send_task|perform_async|\w*sender|\w*receiver|\w*processor|kafkaconsumer|stream|to|receive_?message\w*)\s*(?:<[^>(]*>)?\(",
+    r"\b(?:fetch|get|post|put|patch|delete|head|Get|Post|Head|PostForm|request|uri|axios|got|baseUrl|connect|Connect|Dial|execute|create_engine|Open|WebSocket|MongoClient|Redis|from_url|createClient|NewClient|insecure_channel|forAddress)(?:ForObject|ForEntity)?\s*(?:<[^>(]*>)?\(",
+    r"^[^({]*[({]",
+)
+_CHANNEL = r"(?i)\b(?:topics?|destination|exchange|queues?|queue_?(?:url|name)|topic_?(?:arn|name|id)|stream_?name|subject|channel)\b[\"']?\s*(?:=|:(?!=))(?!=)"
+_ADDRESS = r"(?i)\b(?:url|uri|base_?url|baseaddress|endpoint|host|addr(?:ess)?)\b[\"']?\s*(?:=|:(?!=))(?!=)"
+_URL = r"([fFrRbBuU@$]{0,2}(?:\"[a-zA-Z][a-zA-Z0-9+.-]*://[^\"]*\"|'[a-zA-Z][a-zA-Z0-9+.-]*://[^']*'|`[a-zA-Z][a-zA-Z0-9+.-]*://[^`]*`))"
+
+
 def _named(hits: DataFrame) -> DataFrame:
-    """Literal, its line, and the identifier that a call site passes."""
+    """``expression`` that a call site names its target by, and the line ``at`` which it stands.
+
+    A field that says so (``topic:``, ``QueueUrl=``, ``url:``) on the line or the ones after it, else the
+    first argument; of calls to addresses and stores also any URL that stands on the line.
+    """
+    message = F.col("rel").isin(*MESSAGES)
+    cut = lambda t: F.substring(t, 1, V.MOST_CHARS)
     near = F.concat(F.array("text"), "after")
-    first = lambda pattern: F.filter(F.transform(near, lambda t, i: F.struct(F.regexp_extract(t, pattern, 1).alias("v"), i.alias("i"))), lambda x: x["v"] != "")
-    field, here = first(_FIELD), F.regexp_extract("text", r"\(\s*\[?\s*" + _LITERAL, 1)
-    below = F.filter(F.transform("after", lambda t, i: F.struct(F.regexp_extract(t, r"^\s*\[?" + _LITERAL, 1).alias("v"), (i + 1).alias("i"))), lambda x: x["v"] != "")
-    call = F.regexp_extract("text", r"[\"'`(]((?:https?|grpc|postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|rediss?|s3)://[^\"'`\s)]+)", 1)
-    url = F.when(call != "", F.struct(call.alias("v"), F.lit(0).alias("i")))
-    one = lambda found: F.get(found, F.lit(0))
-    pick = F.coalesce(url, one(field), F.when(here != "", F.struct(here.alias("v"), F.lit(0).alias("i"))), one(below))
-    # the identifier that a named field has, else the first argument; a function's result is computed at run time
-    name = r"([A-Za-z_][A-Za-z0-9_.]*)"
-    held = F.regexp_extract("text", _FIELD_NAME + r"\s*[:=]\s*\[?\s*" + name + r"\b(?!\s*\()", 1)
-    argument = r"^[^({]*[({]\s*\{?\s*\[?\s*(?:f?[\"'`]?\$?\{)?" + name
-    passed, called = F.regexp_extract("text", argument + r"\b(?!\s*[(:])", 1), F.regexp_extract("text", argument + r"\s*\(", 1)
-    computed = F.when((held == "") & (called != ""), called)
-    ident = F.when(held != "", held).when(called == "", passed)
-    d = hits.withColumn("lit", pick)
-    return d.withColumn("literal", F.col("lit.v")).withColumn("at", F.col("line") + F.coalesce(F.col("lit.i"), F.lit(0))).withColumn("ident", F.nullif(T.last_dotted(ident), F.lit(""))).withColumn("computed", computed).drop("lit")
-
-
-def ladder(hits: DataFrame, defined: DataFrame, config: DataFrame) -> DataFrame:
-    """Hits with ``rung, value, tag, places``: places are ``array<struct<path, line>>``, the binding first."""
-    h = _named(hits).withColumn("hit", F.xxhash64("path", "line", "family", "rel"))
-    local = defined.groupBy("path", F.col("key").alias("ident")).agg(F.min_by(F.struct("value", "line"), "line").alias("local"))
-    keys = config.select(F.explode(T.spellings(F.col("key"))).alias("k"), "path", "line", "value").groupBy("k").agg(F.count_distinct("value").alias("values"), F.min_by(F.struct("value", "path", "line"), F.struct(F.char_length("path"), "path", "line")).alias("config"))
-    names = h.filter("ident is not null").select("hit", F.explode(T.spellings(F.col("ident"))).alias("k"))
-    by_config = names.join(keys, "k").groupBy("hit").agg(F.min_by("config", "k").alias("config"))
-    other = defined.groupBy(F.col("key").alias("ident")).agg(F.count_distinct("value").alias("n"), F.min_by(F.struct("value", "path", "line"), F.struct("path", "line")).alias("other"), F.array_join(F.array_sort(F.collect_set("value")), ", ").alias("all_values"))
-    j = h.join(local, ["path", "ident"], "left").join(by_config, "hit", "left").join(other, "ident", "left")
+    said = lambda t, i, opener: F.struct(F.trim(F.regexp_extract(cut(t), opener + _ARGUMENT, 1)).alias("e"), i.alias("i"))
+    first = lambda pattern: F.get(F.filter(F.transform(near, lambda t, i: said(t, i, pattern)), lambda x: x["e"] != ""), F.lit(0))
+    here = F.coalesce(*(F.nullif(F.trim(F.regexp_extract(cut(F.col("text")), o + _ARGUMENT, 1)), F.lit("")) for o in _OPENERS))
+    # a call that goes on in the next line
+    below = F.trim(F.regexp_extract(cut(F.coalesce(F.get("after", F.lit(0)), F.lit(""))), "^" + _ARGUMENT, 1))
+    argument = F.when(here.isNotNull(), F.struct(here.alias("e"), F.lit(0).alias("i"))).when((below != "") & F.col("text").rlike(r"[(\[{]\s*$"), F.struct(below.alias("e"), F.lit(1).alias("i")))
+    url = F.regexp_extract(cut(F.col("text")), _URL, 1)
+    literal = F.when((url != "") & ~F.coalesce(here.contains("://"), F.lit(False)), F.struct(url.alias("e"), F.lit(0).alias("i")))
+    found = F.when(message, F.coalesce(first(_CHANNEL), argument)).otherwise(F.coalesce(literal, F.when(here.contains("://"), argument), first(_ADDRESS), argument))
+    d = hits.withColumn("found", found)
+    return d.withColumn("parts", V.parts_of(F.col("found.e"))).withColumn("at", (F.col("line") + F.coalesce(F.col("found.i"), F.lit(0))).cast("int")).drop("found")
+
+
+def ladder(hits: DataFrame, defined: DataFrame, config: DataFrame, homes: DataFrame | None = None) -> DataFrame:
+    """Hits with ``rung, value, tag, places, variants``: places are ``array<struct<path, line>>``, the binding of a literal first.
+
+    ``defined`` are values.definitions(), ``config`` key_trees(), ``homes`` (``path, home``) the
+    services of files.  The rung is the weakest that a part of the value needed.  What stays a
+    symbol is ``KEY?`` for a channel (rung 6), and computed (rung 7) for an address, unless it stands in its path.
+    """
+    h = _named(hits).withColumn("id", F.xxhash64(F.lit("site"), "path", "line", "family", "rel"))
+    h = kept(h)
+    done = V.flow(h.select("id", "path", F.col("line").cast("int").alias("line"), "parts").dropDuplicates(["id"]), defined, V.config_definitions(config), homes)
+    j = h.drop("parts").join(done, "id", "left")
+    message = F.col("rel").isin(*MESSAGES)
+    text = V.value_of(F.col("parts"))
+    open_ = F.filter("parts", lambda p: p["kind"] != "text")
+    last = F.get(open_, F.lit(0))
+    symbol = F.when(last["kind"] == "name", T.last_dotted(last["text"])).otherwise(last["text"])
+    whole = F.size(open_) == 0
+    hosted = text.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/{}?#]+([/?#]|$)") | text.rlike(r"^[A-Za-z0-9.-]+:[0-9]+(/|$)") | text.startswith("/")
+    weakest = F.array_max(F.transform("parts", lambda p: F.when(p["kind"] == "text", p["rung"]).otherwise(1)))
+    rung = F.when(F.coalesce(F.size("parts"), F.lit(0)) == 0, 7).when(whole, weakest).when(message & (F.size("parts") == 1) & (last["kind"] != "call"), 6).when(~message & hosted, weakest).otherwise(7)
+    value = F.when(F.col("rung") == 6, F.concat(symbol, F.lit("?"))).when(F.col("rung") < 6, text)
     place = lambda p, n: F.struct(p.alias("path"), n.cast("int").alias("line"))
-    site = place(F.col("path"), F.col("line"))
-    rungs = [
-        (1, F.col("literal").isNotNull(), F.col("literal"), "CODE", F.array(place(F.col("path"), F.col("at")), site)),
-        (2, F.col("local").isNotNull(), F.col("local.value"), "CODE", F.array(site, place(F.col("path"), F.col("local.line")))),
-        (3, F.col("config").isNotNull(), F.col("config.value"), "CODE", F.array(site, place(F.col("config.path"), F.col("config.line")))),
-        (4, F.col("n") == 1, F.col("other.value"), "CODE", F.array(site, place(F.col("other.path"), F.col("other.line")))),
-        (5, F.col("n") > 1, F.col("other.value"), "INFERENCE", F.array(site, place(F.col("other.path"), F.col("other.line")))),
-        (6, F.col("ident").isNotNull() & F.col("rel").isin(*MESSAGES), F.concat("ident", F.lit("?")), "INFERENCE", F.array(site)),
-    ]
-    out = F.struct(F.lit(7).alias("rung"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("tag"), F.array(site).alias("places"))
-    for rung, when, value, tag, places in reversed(rungs):
-        out = F.when(when, F.struct(F.lit(rung).alias("rung"), value.alias("value"), F.lit(tag).alias("tag"), F.array_distinct(places).alias("places"))).otherwise(out)
-    return j.withColumn("r", out).withColumn("ident", F.coalesce("ident", "computed")).select("family", "rel", "path", "line", "text", "after", "ident", "is_test", "all_values", "r.rung", "r.value", "r.tag", "r.places")
+    site, at = place(F.col("path"), F.col("line")), place(F.col("path"), F.col("at"))
+    places = F.when(F.col("rung") == 1, F.array(at, site)).otherwise(F.concat(F.array(site, at), F.flatten(F.transform(F.filter("parts", lambda p: p["kind"] == "text"), lambda p: p["places"]))))
+    places = F.when(F.col("rung") > 5, F.array(site)).otherwise(places)
+    j = j.withColumn("rung", rung).withColumn("value", value)
+    return j.select("family", "rel", "path", "line", "text", "after", symbol.alias("ident"), "is_test", "variants", "rung", "value", F.when(F.col("rung") < 5, "CODE").when(F.col("rung") < 7, "INFERENCE").alias("tag"), F.array_distinct(places).alias("places"))
+
+
+#: The key between topic and value of a template's call.
+_MIDDLE = r"\b\w*[kK]afkaTemplate\.send\(\s*(?:\"[^\"]*\"|[\w.]+)\s*,\s*\"?([A-Za-z_][\w.]*)\"?(?:\(\))?\s*,"
 
 
 def message_label(rel: Column, text: Column) -> Column:
@@ -86,7 +109,7 @@ def message_label(rel: Column, text: Column) -> Column:
     word = r"\s*[:=(]+\s*(?:\[\]byte\()?[\"'`]?([A-Za-z_][A-Za-z0-9_.*#-]*)"
     said = lambda name: F.nullif(F.regexp_extract(text, rf"\b{name}{word}", 1), F.lit(""))
     of = lambda label, name: F.concat(F.lit(f"{label}="), said(name))
-    return F.when(rel == "pub", F.coalesce(of("key", "[kK]ey"), of("rk", "[rR]outing_?[kK]ey"))).otherwise(F.coalesce(of("group", "[gG]roup(?:_?[iI][dD])?"), of("queue", "[qQ]ueue")))
+    return F.when(rel == "pub", F.coalesce(of("key", "[kK]ey"), of("rk", "[rR]outing_?[kK]ey"), F.concat(F.lit("key="), F.nullif(T.last_dotted(F.regexp_extract(text, _MIDDLE, 1)), F.lit(""))))).otherwise(F.coalesce(of("group", "[gG]roup(?:_?[iI][dD])?"), of("queue", "[qQ]ueue")))
 
 
 def target(resolved: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -94,10 +117,10 @@ def target(resolved: DataFrame, hosts: DataFrame) -> DataFrame:
 
     ``hosts`` (``host, id, kind``) are deployables and services.  A known host is
     that node; a public domain is external; a bare unknown host is a reference by
-    inference; loopback is skipped; a path alone is a gap.
+    inference; loopback is skipped; a path alone is a gap, and so is a value that can't name a channel.
     """
     value = F.col("value")
-    url_host = F.coalesce(T.host(value), F.when(value.rlike(r"^[A-Za-z0-9.-]+(:[0-9]+)$"), F.substring_index(value, ":", 1)))
+    url_host = F.coalesce(T.host(value), F.when(value.rlike(r"^[A-Za-z0-9.-]+(:[0-9]+)(/|$)"), F.substring_index(value, ":", 1)))
     # names inside a cluster or a private network are known by their first part
     private = url_host.rlike(r"\.(svc|local|internal|lan|cluster)$|\.svc\.")
     url_host = F.when(private, F.substring_index(url_host, ".", 1)).otherwise(url_host)
@@ -109,20 +132,22 @@ def target(resolved: DataFrame, hosts: DataFrame) -> DataFrame:
     object_ = F.when(message, F.when(F.col("rung") == 6, value).otherwise(channel)).otherwise(F.coalesce("known", "host", F.when(F.col("rel").isin("grpc", "uses"), F.coalesce(F.regexp_extract("text", r"\b(\w+)Stub\(", 1), value))))
     kind = F.when(message, "topic").when(F.col("known").isNotNull(), F.col("known_kind")).when(F.col("rel") == "uses", "store").when(public, "ext").otherwise("ref")
     method = F.upper(F.regexp_extract("text", r"\.(get|post|put|delete|patch|Get|Post)\(", 1))
-    path = F.regexp_extract(value, r"^[a-z+]+://[^/]+(/[^\"'`]*)", 1)
+    path = F.regexp_extract(value, r"^(?:[a-z+]+://[^/]+|[A-Za-z0-9.-]+:[0-9]+)(/[^\"'`]*)", 1)
     near = F.array_join(F.concat(F.array("text"), "after"), " ") if "after" in resolved.columns else F.col("text")
     label = F.when(message, message_label(F.col("rel"), near)).when(F.col("rel") == "uses", optional_label(T.engine(value), F.col("text"))).when((F.col("rel") == "http") & (path != ""), T.http_label(F.when(method == "", "ANY").otherwise(method), path)).otherwise("-")
     tag = F.when(message, F.col("tag")).when(F.col("known").isNotNull(), F.col("tag")).when(public, F.col("tag")).otherwise("INFERENCE")
-    skip = F.coalesce(T.is_loopback(F.col("host")), F.lit(False)) | (message & ~F.coalesce(T.valid_channel(channel), F.lit(False)) & (F.col("rung") < 6))
+    skip = F.coalesce(T.is_loopback(F.col("host")), F.lit(False))
+    rejected = message & ~F.coalesce(T.valid_channel(channel), F.lit(False)) & (F.col("rung") < 6)
     named = F.coalesce(object_, F.lit("")) != ""
-    gap = F.when(~named | (F.col("rung") == 7) & (F.col("rel") != "grpc"), F.concat_ws(" ", F.lit("unresolved"), "rel", F.col("ident")))
+    gap = F.when(rejected, F.concat_ws(" ", F.lit("no channel name:"), "rel", value)).when(~named | (F.col("rung") == 7) & (F.col("rel") != "grpc"), F.concat_ws(" ", F.lit("unresolved"), "rel", F.col("ident")))
     return d.filter(~skip).select(*resolved.columns, F.when(gap.isNull(), object_).alias("object"), kind.alias("kind"), F.coalesce(label, F.lit("-")).alias("label"), tag.alias("edge_tag"), gap.alias("gap"))
 
 
 def edges_of(targets: DataFrame, owned: DataFrame) -> DataFrame:
     """Sightings of the services that own the call sites; self calls, test code and unowned files give none."""
     d = targets.filter("gap is null and not is_test").join(owned.select("path", F.col("service_id").alias("actor")), "path").filter("actor is not null and actor <> object")
-    note = F.when(F.col("edge_tag") != "CODE", F.concat(F.lit("confirm: what "), F.coalesce("ident", "object"), F.lit(" names")))
+    told = F.nullif(F.col("variants"), F.lit("")) if "variants" in targets.columns else F.lit(None).cast("string")
+    note = F.when(F.col("edge_tag") != "CODE", F.concat_ws("; ", F.concat(F.lit("confirm: what "), F.coalesce("ident", "object"), F.lit(" names")), told)).otherwise(told)
     return d.select("actor", "rel", "object", "label", F.col("edge_tag").alias("tag"), F.posexplode("places").alias("rank", "p"), note.alias("note")).select("actor", "rel", "object", "label", "tag", F.col("p.path").alias("path"), F.col("p.line").alias("line"), "note")
 
 
@@ -196,35 +221,113 @@ def grpc_calls(resolved: DataFrame, lines: DataFrame, owned: DataFrame) -> DataF
     calls = stubs.join(to, "name").join(service.withColumnRenamed("service_id", "actor"), "path")
     # a caller's own copy of a contract says nothing of its server
     calls = calls.withColumn("object", F.when((F.col("tag") != "CODE") & (F.col("actor") == F.col("object")), F.col("name")).otherwise(F.col("object"))).filter("actor <> object")
+    called = S.rpc_calls(lines).withColumn("k", F.lower("rpc")).join(S.rpcs(lines).select("name", F.lower("rpc").alias("k"), F.col("rpc").alias("declared")), ["name", "k"])
+    called = called.groupBy("name", "path", "line").agg(F.array_sort(F.collect_set("declared")).alias("rpcs"))
+    calls = calls.join(called, ["name", "path", "line"], "left")
     note = F.when(F.col("tag") != "CODE", F.concat(F.lit("confirm: who serves "), "name"))
-    return calls.select("actor", F.lit("grpc").alias("rel"), "object", F.lit("-").alias("label"), "tag", "path", "line", note.alias("note"))
+    return calls.select("actor", F.lit("grpc").alias("rel"), "object", rpc_label(F.col("rpcs")).alias("label"), "tag", "path", "line", note.alias("note"))
+
+
+def rpc_label(rpcs: Column, most: int = 6) -> Column:
+    """Up to six names, and the number of those beyond; ``-`` for none."""
+    shown = F.array_join(F.slice(rpcs, 1, most), ", ")
+    return F.coalesce(F.when(F.size(rpcs) > most, F.concat(shown, F.lit(", +"), (F.size(rpcs) - most).cast("string"), F.lit(" more"))).when(F.size(rpcs) > 0, shown), F.lit("-"))
+
+
+def surroundings(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Services (``service_id, root_path``) and hosts (``host, id, kind``) that a corpus declares itself.
+
+    Services by their manifests, under the name of the deployable that runs them, without
+    those that own no code; hosts are deployables, services, and the servers of API descriptions.
+    """
+    from ..sources import corpus
+    from ..sources.keys import key_trees
+
+    swept = files.filter(~corpus.is_excluded(F.col("path")))
+    lines = corpus.split_lines(swept)
+    units = kept(corpus.declared_units(key_trees(swept)))
+    named = corpus.named_by_deployment(corpus.service_names(lines), units)
+    services = kept(corpus.without_wrappers(named, swept).select("service_id", "root_path").distinct())
+    deployed = corpus.deployable_hosts(units)
+    own = services.select(F.col("service_id").alias("host")).join(deployed.select("host"), "host", "left_anti").select("host", F.col("host").alias("id"), F.lit("svc").alias("kind")).distinct()
+    owned = corpus.owners(swept, services)
+    # a description in a service's folder says under which hosts it is reached
+    api = corpus.api_hosts(lines).join(owned.filter("service_id is not null"), "path").groupBy("host").agg(F.min("service_id").alias("id"))
+    known = deployed.unionByName(own)
+    return services, kept(known.unionByName(api.join(known.select("host"), "host", "left_anti").select("host", "id", F.lit("svc").alias("kind"))))
+
+
+def declared_nodes(files: DataFrame) -> DataFrame:
+    """Nodes that manifests, deployment and infrastructure code declare: ``id, kind, tech, path, line``."""
+    from ..sources import corpus
+    from ..sources.keys import key_trees
+    from . import signatures as S
+
+    swept = files.filter(~corpus.is_excluded(F.col("path")))
+    lines = corpus.split_lines(swept)
+    units = kept(corpus.declared_units(key_trees(swept)))
+    named = corpus.without_wrappers(corpus.named_by_deployment(corpus.service_names(lines), units), swept)
+    svc = named.select(F.col("service_id").alias("id"), F.lit("svc").alias("kind"), "tech", "path", "line")
+    kinds = corpus.deployable_hosts(units)
+    first = units.groupBy("name").agg(F.min(F.struct("path", "line", "image")).alias("u")).join(kinds, F.col("name") == F.col("host"))
+    image = F.lower(F.regexp_extract("u.image", r"^(?:.*/)?([^/:@]+)", 1))
+    deployed = first.join(svc, "id", "left_anti").select("id", "kind", image.alias("tech"), "u.path", "u.line")
+    channels = S.iac_channels(lines).select(F.col("name").alias("id"), "kind", "tech", "path", "line")
+    all_ = svc.unionByName(deployed).unionByName(channels)
+    return all_.groupBy("id", "kind").agg(F.min(F.struct("path", "line", "tech")).alias("n")).select("id", "kind", "n.tech", "n.path", "n.line")
+
+
+def undeclared_variables(files: DataFrame) -> DataFrame:
+    """Gaps of variables that code reads as an address or channel and no configuration declares: ``subject, detail, path, line``."""
+    from ..sources import corpus
+    from ..sources.keys import key_trees
+
+    swept = files.filter(~corpus.is_excluded(F.col("path")) & ~corpus.is_test(F.col("path")))
+    read = corpus.split_lines(swept).select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(V.READ), F.lit(0))).alias("t"))
+    var = F.coalesce(*(F.nullif(F.regexp_extract("t", V.READ, g), F.lit("")) for g in (1, 3, 4)))
+    fallback = F.coalesce(*(F.nullif(F.regexp_extract("t", V.READ, g), F.lit("")) for g in (2, 5)))
+    wanted = read.select("path", "line", var.alias("var"), fallback.alias("fallback")).filter(F.col("fallback").isNull() & F.col("var").rlike(r"^[A-Z][A-Z0-9_]*(ADDR|ADDRESS|URL|URI|HOST|HOSTNAME|ENDPOINT|DSN|BROKERS?|TOPIC|QUEUE)$"))
+    declared = key_trees(swept).select(F.explode(F.array_distinct(F.transform(F.array("key", "leaf"), T.shouty))).alias("var")).distinct()
+    missing = wanted.join(declared, "var", "left_anti")
+    return missing.select("path", F.concat(F.lit("read but not declared: "), "var").alias("detail"), "line").withColumn("subject", F.col("path")).select("subject", "detail", "path", "line")
 
 
-def extract(files: DataFrame, services: DataFrame, hosts: DataFrame, wrappers: DataFrame | None = None, bindings: DataFrame | None = None, scopes: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Sightings and gaps of a corpus (``path, text``) with known services and hosts.
+def extract(files: DataFrame, services: DataFrame | None = None, hosts: DataFrame | None = None, wrappers: DataFrame | None = None, bindings: DataFrame | None = None, scopes: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Sightings and gaps of a corpus (``path, text``), with services and hosts as given, or as the corpus declares them.
 
     ``wrappers`` (``symbol, family, rel``) are confirmed project wrappers, ``bindings``
     (``queue, exchange``) the exchanges of queues; ``scopes`` bounds the sweep to some folders.
     """
     from ..sources import corpus
+    from ..sources.keys import key_trees
+    from . import receivers as R
     from . import signatures as S
 
     inside = reduce(lambda a, b: a | b, (F.col("path").startswith(s) for s in scopes)) if scopes else F.lit(True)
+    if services is None or hosts is None:
+        own_services, own_hosts = surroundings(files)
+        services, hosts = own_services if services is None else services, own_hosts if hosts is None else hosts
     swept = files.filter(~corpus.is_excluded(F.col("path")))
-    every, lines = corpus.split_lines(swept), corpus.split_lines(swept.filter(inside))
-    hits = S.sweep(lines, open_families=S.gated(every))
+    every = kept(corpus.split_lines(swept))
+    lines = every.filter(inside)
+    families = kept(S.gated(every))
+    hits = S.sweep(lines, open_families=families)
+    bare = R.bare_calls(lines, R.receivers(lines), hits.filter(F.col("rel").isin(*MESSAGES)))
+    hits = hits.unionByName(bare.join(F.broadcast(families), "family", "left_semi"))
     if wrappers is not None:
         hits = S.with_wrappers(lines, hits, wrappers)
     owned = corpus.owners(files.select("path"), services)
     # the values of all files may resolve a name in scope
-    resolved = kept(ladder(S.real_clients(hits, lines), symbols(every), corpus.config_values(every)))
+    config = kept(key_trees(swept))
+    homes = owned.select("path", F.col("service_id").alias("home")).filter("home is not null")
+    resolved = kept(ladder(S.real_clients(hits), kept(V.definitions(every)), config, homes))
     by_path, no_route = path_calls(resolved, every, owned)
     served = grpc_calls(resolved, every, owned)
     named = resolved.filter(~((F.col("rel") == "http") & F.coalesce(F.col("value").startswith("/"), F.lit(False))))
     # a stub that names its contract is resolved by that; others by their address
     named = named.filter(~((F.col("rel") == "grpc") & S.first_of(F.col("text"), S.STUBS).isNotNull()))
     targets = target(named, hosts)
-    gaps = gaps_of(targets, owned).unionByName(no_route)
+    gaps = gaps_of(targets, owned).unionByName(no_route).unionByName(undeclared_variables(files.filter(inside)))
     if bindings is not None:
         queues = targets.filter("family = 'rabbit' and rel = 'sub' and gap is null").withColumn("queue", F.col("object")).drop("object", "label", "gap")
         bound = bound_exchange(queues, bindings)
@@ -233,7 +336,7 @@ def extract(files: DataFrame, services: DataFrame, hosts: DataFrame, wrappers: D
     service = owned.select("path", F.col("service_id").alias("actor")).filter("actor is not null")
     plain = lambda df, rel, object_, label: df.join(service, "path").select("actor", rel.alias("rel"), object_.alias("object"), F.lit(label).alias("label"), F.lit("CODE").alias("tag"), "path", "line", F.lit(None).cast("string").alias("note"))
     vendors = plain(vendor_calls(lines.filter(~corpus.is_test(F.col("path")))), F.lit("http"), F.col("vendor"), "-")
-    streams = plain(S.stream_bindings(corpus.config_values(lines)), F.col("rel"), F.col("channel"), "-")
+    streams = plain(S.stream_bindings(config.filter(inside)), F.col("rel"), F.col("channel"), "-")
     fanned = S.iac_subscriptions(lines).select(F.col("topic").alias("actor"), F.lit("pub").alias("rel"), F.col("queue").alias("object"), F.lit("-").alias("label"), F.lit("CODE").alias("tag"), "path", "line", F.lit(None).cast("string").alias("note"))
     seen = reduce(DataFrame.unionByName, [edges_of(targets, owned), by_path, served, vendors, streams, fanned])
     return seen, gaps

@@ -34,20 +34,20 @@ _JOBS = r"(?i)bullmq|\bbull\b|celery|sidekiq|redis"
 
 #: Public call names of the client libraries, by family.
 SIGNATURES: tuple[Signature, ...] = (
-    Signature("kafka", "pub", r"kafkaTemplate\.send\(|new ProducerRecord|@SendTo\(|\bproducer\.(send|produce|send_and_wait|sendBatch)\(|kafka\.(Message|WriterConfig)\{|sarama\.ProducerMessage\{|streamBridge\.send\(|\bKStream\w*\.to\(|\.to\(\s*[\"'][^\"']+[\"']\s*(,\s*Produced|\))", _KAFKA),
-    Signature("kafka", "sub", r"@KafkaListener\(|@StreamListener\(|\b(AIO)?KafkaConsumer\(|\bconsumer\.subscribe\(|kafka\.ReaderConfig\{|\.ConsumePartition\(|@(EventPattern|MessagePattern)\(|@app\.agent\(", _KAFKA),
-    Signature("rabbit", "pub", r"\.convertAndSend\(|\.basic_?[pP]ublish\(|\.sendToQueue\(|\bchannel\.publish\(|\.PublishWithContext\(|\bch\.Publish\(|\b_?(bus|publishEndpoint)\.Publish(<|\()", _RABBIT),
-    Signature("rabbit", "sub", r"@RabbitListener\(|\.basic_?[cC]onsume\(|\bchannel\.consume\(|\.queue_?[bB]ind\(|\.QueueBind\(|\bch\.Consume\(|:\s*IConsumer<|\.ReceiveEndpoint\(", _RABBIT),
-    Signature("aws", "pub", r"\bSendMessage(Batch)?(Command)?\(|\.send_message\(|\bPublishCommand\(|\bsns\.publish\(|\.put_(events|records?)\(|\bPut(Events|Records?)(Command)?\(", _AWS),
-    Signature("aws", "sub", r"\bReceiveMessage(Command)?\(|\.receive_message\(|@SqsListener\(|\.get_records\(|@KinesisListener\(", _AWS),
+    Signature("kafka", "pub", r"[kK]afkaTemplate\.send(Default)?\(|new ProducerRecord|@SendTo\(|\b\w*[pP]roducer\.(send|produce|send_and_wait|sendBatch)\(|\.produce\(|kafka\.(Message|WriterConfig)\{|sarama\.ProducerMessage\{|streamBridge\.send\(|\bKStream\w*\.to\(|\.to\(\s*[\"'][^\"']+[\"']\s*(,\s*Produced|\))", _KAFKA),
+    Signature("kafka", "sub", r"@KafkaListener\(|@StreamListener\(|\b(AIO)?KafkaConsumer\(|\bconsumer\.subscribe\(|kafka\.ReaderConfig\{|\.ConsumePartition\(|@(EventPattern|MessagePattern)\(|@app\.agent\(|\.Consume\(\s*ctx|\b[bB]uilder\.stream\(|\bapp\.topic\(|\.subscribe\(\s*(List\.of|Arrays\.asList|Collections\.singleton|Pattern\.compile|\[)", _KAFKA),
+    Signature("rabbit", "pub", r"\.convertAndSend\(|\.basic_?[pP]ublish\(|\.sendToQueue\(|\bchannel\.publish\(|\.PublishWithContext\(|\bch\.Publish\(|\.Publish\(\s*ctx|\.Publish<|\b_?(bus|publishEndpoint)\.Publish(<|\()", _RABBIT),
+    Signature("rabbit", "sub", r"@RabbitListener\(|\.basic_?[cC]onsume\(|\bchannel\.consume\(|\.queue_?[bB]ind\(|\.QueueBind\(|\bbindQueue\(|@QueueBinding\b|\bch\.Consume\(|:\s*IConsumer<|\.ReceiveEndpoint\(", _RABBIT),
+    Signature("aws", "pub", r"\bSendMessage(Batch)?(Command)?\(|\.send_message(_batch)?\(|\bsendMessage(Batch)?\(|\bPublishCommand\(|\bsns\.publish\(|\.put_(events|records?)\(|\bPut(Events|Records?)(Command)?\(", _AWS),
+    Signature("aws", "sub", r"\b[rR]eceiveMessage(Command)?\(|\.receive_message\(|\bSqsMessageHandler\b|\bGetRecords(Command)?\(|@SqsListener\(|\.get_records\(|@KinesisListener\(", _AWS),
     Signature("gcp", "pub", r"\.topic\([^)]*\)\.publish|\bpublisher\.publish\(|\.publishMessage\(|\btopic\.Publish\(", _GCP),
     Signature("gcp", "sub", r"\.subscription\(|\.Subscription\(|\bsubscriber\.subscribe\(|\bsub\.Receive\(", _GCP),
     Signature("nats", "pub", r"\b(nc|js|nats)\.(p|P)ublish\(", _NATS),
     Signature("nats", "sub", r"\b(nc|js|nats)\.(Queue|Pull)?(s|S)ubscribe\(", _NATS),
-    Signature("azure", "pub", r"\.(get_)?(queue|topic)_sender\(|\.createSender\(|\.CreateSender\(|\.SendMessageAsync\(|\bEventHubProducerClient\b", _AZURE),
+    Signature("azure", "pub", r"\.(get_)?(queue|topic)_sender\(|\.createSender\(|\.CreateSender\(|\.SendMessageAsync\(|\.send_messages\(|\bEventHubProducerClient\b", _AZURE),
     Signature("azure", "sub", r"\.(get_)?(queue|subscription)_receiver\(|\.createReceiver\(|\.CreateProcessor\(|\bServiceBusProcessor\b|\bEventProcessorClient\b", _AZURE),
-    Signature("jobs", "pub", r"\.xadd\(|\bnew Queue\(|\.apply_async\(|\.send_task\(|\.perform_async\(", _JOBS),
-    Signature("jobs", "sub", r"\.xreadgroup\(|\bnew Worker\(|@shared_task|@(app|celery)\.task|include Sidekiq::(Worker|Job)", _JOBS),
+    Signature("jobs", "pub", r"\.xadd\(|\.XAdd\(|\.delay\(|\bnew Queue\(|\.apply_async\(|\.send_task\(|\.perform_async\(", _JOBS),
+    Signature("jobs", "sub", r"\.xreadgroup\(|\.XReadGroup\(|\bnew Worker\(|@shared_task|@(app|celery)\.task|include Sidekiq::(Worker|Job)", _JOBS),
     Signature(
         "http",
         "http",
@@ -57,12 +57,12 @@ SIGNATURES: tuple[Signature, ...] = (
     ),
     Signature("graphql", "gql", r"\bgraphql_client\.execute\(|\bgqlClient\.\w+\(|new ApolloClient\(|\bGraphQLClient\("),
     Signature("websocket", "ws", r"new WebSocket\(|\bwebsockets\.connect\(|\bwebsocket\.Dial"),
-    Signature("grpc", "grpc", r"\b\w+Stub\(|\bnew(Blocking|Future)?Stub\(|\bNew\w+Client\(\s*[\w.]*(conn|Conn|cc)\b|\bnew \w+Client\([^)]*(credentials|channel)|@GrpcClient\("),
+    Signature("grpc", "grpc", r"\b\w+Stub\(|\bnew(Blocking|Future)?Stub\(|\bNew\w+Client\(\s*[\w.]*(conn|Conn|cc)\b|\bnew \w+Client\([^)]*(credentials|channel)|@GrpcClient\(|\bgrpc\.(insecure_channel|Dial|DialContext|NewClient)\("),
     Signature(
         "store",
         "uses",
         r"\b(postgres(ql)?|mysql|mariadb|sqlserver|oracle|mongodb(\+srv)?|rediss?|valkey|memcached|neo4j|elasticsearch|opensearch|clickhouse|cassandra|s3)://|\bjdbc:\w+:|\bsql\.Open\(|\bgorm\.Open\(|\bpgx(pool)?\.(Connect|New)|\bcreate_engine\(|\bmongoose\.connect\(|\bMongoClient\(|\bRedis\("
-        r"|\bredis\.(from_url|Redis|StrictRedis|createClient|NewClient)\(|\bAddStackExchangeRedisCache\(|\bConnectionMultiplexer\b|\bnew Jedis|\bDynamoDB(Client)?\(|\bS3Client\(|boto3\.(client|resource)\(\s*[\"'](s3|dynamodb)|\bbigquery\.(NewClient|Client)\(|\bfirestore\.(NewClient|Client)\(|\bspanner\.NewClient\(|\bCosmosClient\(|\bBlobServiceClient\(",
+        r"|\bredis\.(from_url|Redis|StrictRedis|createClient|NewClient)\(|\bAddStackExchangeRedisCache\(|\bConnectionMultiplexer\b|\bnew Jedis|\bDynamoDB(Client)?\(|\bS3Client\(|boto3\.(client|resource)\(\s*[\"'](s3|dynamodb)|\bbigquery\.(NewClient|Client)\(|\bfirestore\.(NewClient|Client)\(|\bspanner\.NewClient\(|\bCosmosClient\(|\bLettuceConnectionFactory\(|\bAlloyDBEngine\b|\balloydbconn\.|\bSpannerConnection\b|\bBlobServiceClient\(",
     ),
 )
 
@@ -98,14 +98,9 @@ def with_wrappers(lines: DataFrame, hits: DataFrame, wrappers: DataFrame) -> Dat
     return hits.unionByName(own.select("family", "rel", "path", "line", "text", "after", is_test(F.col("path")).alias("is_test"))).distinct()
 
 
-def real_clients(hits: DataFrame, lines: DataFrame) -> DataFrame:
-    """Bare ``x.send(`` and ``x.publish(`` only where x is built as a producer in the same file; lambdas passed to subscribe go."""
-    receiver = F.regexp_extract("text", r"\b([A-Za-z_][A-Za-z0-9_]*)\.(?:send|publish)\(", 1)
-    built = lines.select("path", F.regexp_extract("text", r"\b([A-Za-z_][A-Za-z0-9_]*)\s*(?::=|=)\s*.*(?:Producer|Publisher|Writer|producer\()", 1).alias("name")).filter("name <> ''").distinct().withColumn("built", F.lit(True))
-    bare = hits.withColumn("name", receiver).join(built, ["path", "name"], "left")
-    kept = bare.filter((F.col("name") == "") | F.col("built").isNotNull() | (F.col("name") == "producer"))
-    rx = F.col("text").rlike(r"\.subscribe\(\s*(\(?\w*\)?\s*=>|\{\s*next:)")
-    return kept.filter(~rx).select(*hits.columns)
+def real_clients(hits: DataFrame) -> DataFrame:
+    """Hits without lambdas that are passed to subscribe; what a bare ``x.send(`` sends is for receivers.bare_calls()."""
+    return hits.filter(~F.col("text").rlike(r"\.subscribe\(\s*(\(?\w*\)?\s*=>|\{\s*next:)"))
 
 
 #: How a server registers a gRPC contract, by language; the first group is its name.
@@ -161,6 +156,34 @@ def iac_subscriptions(lines: DataFrame) -> DataFrame:
     return tf.groupBy("path", F.col("block").alias("line")).agg(ref("aws_sns_topic").alias("topic"), ref("aws_sqs_queue").alias("queue")).filter("topic is not null and queue is not null").select("topic", "queue", "path", "line")
 
 
+def rpc_calls(lines: DataFrame) -> DataFrame:
+    """Calls on stubs: ``name, path, line, rpc`` of the contract, the stub's line and the called method.
+
+    A call belongs to the last stub that its variable was given above it; calls chained to
+    the stub's construction count as well.  Methods are compared without the case of their first letter.
+    """
+    from ..operators.values import MOST_CHARS
+
+    text = F.substring("text", 1, MOST_CHARS)
+    made = lines.filter(~F.col("path").endswith(".proto")).select("path", "line", text.alias("text"), first_of(text, STUBS).alias("name")).filter("name is not null")
+    held = made.withColumn("var", F.regexp_extract("text", r"([A-Za-z_][A-Za-z0-9_]*)\s*(?:,\s*\w+)?\s*(?::\s*[\w.]+\s*)?(?::=|=)(?!=)", 1)).filter("var <> ''").select("path", "var", "name", F.col("line").alias("made"))
+    called = lines.select("path", "line", F.explode(F.regexp_extract_all(text, F.lit(r"\b(?:this\.|self\.)?(\w+\.[A-Za-z]\w*)\("), F.lit(1))).alias("c")).select("path", "line", F.substring_index("c", ".", 1).alias("var"), F.substring_index("c", ".", -1).alias("rpc"))
+    by_var = called.join(held, ["path", "var"]).filter("line >= made").groupBy("path", "line", "var", "rpc").agg(F.max(F.struct("made", "name")).alias("m")).select("m.name", "path", F.col("m.made").alias("line"), "rpc")
+    chained = made.withColumn("rpc", F.regexp_extract("text", r"(?:Stub|Client)\([^()]*(?:\([^()]*\))?[^()]*\)\.([A-Za-z]\w*)\(", 1)).filter("rpc <> ''").select("name", "path", "line", "rpc")
+    return by_var.unionByName(chained).distinct()
+
+
+def rpcs(lines: DataFrame) -> DataFrame:
+    """Methods that contracts declare: ``name, rpc``."""
+    proto = lines.filter(F.col("path").endswith(".proto"))
+    from pyspark.sql import Window
+
+    service = F.nullif(F.regexp_extract("text", r"^\s*service\s+(\w+)", 1), F.lit(""))
+    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = proto.withColumn("name", F.last(service, ignorenulls=True).over(w)).filter("name is not null")
+    return inside.select("name", F.explode(F.regexp_extract_all("text", F.lit(r"\brpc\s+(\w+)"), F.lit(1))).alias("rpc")).distinct()
+
+
 def uncovered(manifests: DataFrame, covered: tuple[str, ...] = ("npm", "go", "python", "maven", "gradle", "compose", "docker", "spring", "helm")) -> DataFrame:
     """Ecosystems of the corpus that no signature row speaks for."""
     return manifests.filter(~F.col("ecosystem").isin(*covered)).select("ecosystem").distinct()

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, consolidate, graph, resolve, review, signatures
+from ..operators import checks, consolidate, graph, receivers, resolve, review, signatures, values
 from ..schema import EDGE_KEY, EDGES
-from ..sources import corpus
+from ..sources import corpus, keys
 from ..sources.ledger import ledger_lines, parse_edges, parse_gaps, parse_nodes
 from ..sources.shared import kept
 from . import ask, bind, render
@@ -330,7 +330,7 @@ def ladder_rungs(spark, d):
     """Which rung of the resolution ladder names the call sites."""
     lines = corpus.split_lines(bind.sources(spark, d))
     hits = signatures.sweep(lines, open_families=signatures.gated(lines))
-    found = resolve.ladder(hits, resolve.symbols(lines), corpus.config_values(lines))
+    found = resolve.ladder(hits, values.definitions(lines), keys.key_trees(bind.sources(spark, d)))
     return found.groupBy("rel", F.col("rung").cast("bigint").alias("rung")).agg(F.count(F.lit(1)).alias("hits"))
 
 

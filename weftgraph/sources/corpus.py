@@ -218,6 +218,22 @@ def deployables(lines: DataFrame) -> DataFrame:
     return compose.unionByName(kube)
 
 
+def declared_units(trees: DataFrame) -> DataFrame:
+    """What compose files and Kubernetes manifests run, from key_trees(): ``name, path, line, image, build``.
+
+    However the files are indented; each document of a manifest is a workload of its own.
+    """
+    compose = trees.filter(file_name(F.col("path")).rlike(r"^(docker-)?compose.*\.ya?ml$") & F.col("key").startswith("services."))
+    of = lambda *keys: F.max(F.when(F.col("rest").isin(*keys), F.col("value")))
+    c = compose.withColumn("name", F.regexp_extract("key", r"^services\.([^.]+)", 1)).withColumn("rest", F.regexp_extract("key", r"^services\.[^.]+\.(.*)$", 1))
+    c = c.groupBy("path", "name").agg(F.min("line").alias("line"), of("image").alias("image"), of("build", "build.context").alias("build"))
+    manifests_ = trees.filter(F.col("path").rlike(r"\.ya?ml$"))
+    at = lambda key: F.max(F.when(F.col("key") == key, F.struct("line", "value")))
+    k = manifests_.groupBy("path", "doc").agg(at("kind").alias("kind"), at("metadata.name").alias("name"), F.min(F.when(F.col("key").rlike(r"(^|\.)containers\.[0-9]+\.image$"), F.struct("line", "value"))).alias("image"))
+    k = k.filter(F.col("kind.value").isin("Deployment", "StatefulSet", "Service", "DaemonSet") & F.col("name").isNotNull())
+    return c.select("name", "path", "line", "image", "build").unionByName(k.select("name.value", "path", "name.line", "image.value").toDF("name", "path", "line", "image").withColumn("build", F.lit(None).cast("string")))
+
+
 def deployable_hosts(units: DataFrame) -> DataFrame:
     """Host names of deployables: ``host, id, kind``; images of stores are stores, brokers are not drawn."""
     from ..functions.text import is_broker, store_kind
