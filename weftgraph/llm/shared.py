@@ -38,6 +38,16 @@ def text_batches(df: DataFrame, most: int = 4 << 20) -> None:
         df.sparkSession.conf.set(key, str(most))
 
 
+#: Tasks of one exchange at most.  Groups are bounded by their own size and follow each other in a task;
+#: a task for every group would make blocks that grow with the square of the input.
+MOST_TASKS = 20_000
+
+
+def tasks(groups: int) -> int:
+    """Partitions for so many groups."""
+    return max(1, min(groups, MOST_TASKS))
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder, and read them back."""
     spark = df.sparkSession

@@ -35,13 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import text_batches, written
+from .shared import tasks, text_batches, written
 
 #: Text bytes whose runs meet in one group of the first pass; suffixes in one group of the second.
 BUCKET_BYTES = 32 << 20
 BUCKET_SUFFIXES = 1 << 20
-#: Tasks of an exchange at most; more groups share a task, one after the other.
-MOST_TASKS = 20_000
 #: Different texts around a digit in a batch, and in all, beyond which its windows are dealt singly.
 FEW, MANY = 8, 256
 #: Suffixes that are scanned at once.
@@ -361,10 +359,6 @@ def _cut(width: int):
     return run
 
 
-def _tasks(groups: int) -> int:
-    return max(1, min(groups, MOST_TASKS))
-
-
 def remove_repeated_bytes(docs: DataFrame, width: int = 100, bucket_bytes: int = BUCKET_BYTES, bucket_suffixes: int = BUCKET_SUFFIXES) -> DataFrame:
     """Remove the bytes covered by ``width``-byte strings that also start earlier.
 
@@ -389,7 +383,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 100, bucket_bytes: int =
     tag = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") if repeated else F.lit(0)
     docs = docs.select("doc_id", tag.alias("tag"), "text")
     buckets = max(1, -(-sizes // bucket_bytes))
-    runs = docs.mapInArrow(_first_digits(width, buckets), _RUNS).repartition(_tasks(buckets), "bucket")
+    runs = docs.mapInArrow(_first_digits(width, buckets), _RUNS).repartition(tasks(buckets), "bucket")
     places = written(runs.groupBy("bucket").applyInArrow(_runs_decided, _PLACES))
     opened = places.filter(F.col("kind") != _REPEATED)
     suffixes = opened.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
@@ -397,7 +391,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 100, bucket_bytes: int =
     by_doc = opened.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n", "kind", "deal")).alias("open"))
     # a left join here too, so that both joins read one exchange of the texts
     segments = docs.join(by_doc, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "open").mapInArrow(_open_bytes(width, buckets), _SEGMENTS)
-    late = segments.repartition(_tasks(buckets), "bucket").groupBy("bucket").applyInArrow(_windows_decided(width), _PLACES)
+    late = segments.repartition(tasks(buckets), "bucket").groupBy("bucket").applyInArrow(_windows_decided(width), _PLACES)
     gone = places.filter(F.col("kind") == _REPEATED).unionByName(late).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     out = docs.join(gone, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "gone")
     return out.mapInArrow(_cut(width), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string, removed array<struct<first:int,end:int>>")
