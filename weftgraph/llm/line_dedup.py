@@ -159,9 +159,18 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _grams(line: Column) -> Column:
-    """Triples of characters as a set of hashes: the k-th occurrence of a triple is an element of its own."""
-    triples = F.array_sort(F.transform(F.sequence(F.lit(1), F.char_length(line) - 2), lambda j: F.xxhash64(F.substr(line, j, F.lit(3)))))
-    return F.element_at(F.transform(F.array(triples), lambda g: F.transform(g, lambda v, j: F.xxhash64(v, j - F.array_position(g, v)))), 1)
+    """Triples of characters as a set of hashes: the k-th occurrence of a triple is an element of its own.
+
+    Equal triples stand together once sorted, and each run of them is numbered from its start: linear after the sort.
+    """
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def numbered(g: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: (i == 0) | (F.get(g, i) != F.get(g, i - 1)))
+        return let(starts, lambda s: F.flatten(F.transform(s, lambda at, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(s, k + 1), F.size(g)) - at - 1), lambda n: F.xxhash64(F.get(g, at), n)))))
+
+    triples = lambda c: F.array_sort(F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda j: F.xxhash64(F.get(c, j), F.get(c, j + 1), F.get(c, j + 2))))
+    return let(let(F.split(line, ""), triples), numbered)
 
 
 def _reach(n: Column, m: Column) -> Column:
@@ -181,7 +190,8 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A null or empty text, and lines without a word, give no rows; rows that
     repeat a doc_id share the places of equal line numbers; an empty table gives
-    no rows.  Two different lines count as equal with probability 2**-63 a pair.
+    no rows; a very long line is cut, hashed and compared whole, in time linear in it but for
+    one sort.  Two different lines count as equal with probability 2**-63 a pair.
     """
     lines = lines_of(docs)
     keys = keyed(lines)
