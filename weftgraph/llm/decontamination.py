@@ -50,7 +50,9 @@ class SuffixAutomaton:
             for i, word in enumerate(item):
                 state = self.step[state][word]
                 if i + 1 >= width:
-                    self._mark(self.items, state, width).add(name)
+                    # only the last `width` words count: from their state the next is a link away at most
+                    state = self._holder(state, width)
+                    self._mark(self.items, state).add(name)
             if 0 < len(item) < width:
                 at = self._holder(state, len(item))
                 self.short[at] = [*(self.short[at] or []), (len(item), name)]
@@ -94,8 +96,7 @@ class SuffixAutomaton:
             state = self.link[state]
         return state
 
-    def _mark(self, where: list, state: int, size: int) -> set:
-        at = self._holder(state, size)
+    def _mark(self, where: list, at: int) -> set:
         if where[at] is None:
             where[at] = set()
         return where[at]
@@ -115,10 +116,11 @@ class SuffixAutomaton:
                 state, size = 0, 0
                 continue
             if size >= width:
-                at = self._holder(state, width)
-                if self.items[at]:
-                    yield i + 1 - width, i + 1, self.items[at]
-            at = state
+                # the matched length is cut to the window's, which bounds all walks to shorter suffixes by it
+                state, size = self._holder(state, width), width
+                if self.items[state]:
+                    yield i + 1 - width, i + 1, self.items[state]
+            at = state if self.least < width else 0
             while at > 0:  # whole shorter items among the suffixes
                 for n, name in self.short[at] or ():
                     if n <= size:
