@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import beyond_leaders, block_pairs, connected_components, led, text_batches, written
+from .shared import beyond_leaders, block_pairs, connected_components, led, tasks, text_batches, written
 
 #: Text bytes whose keys meet in one task.
 BUCKET_BYTES = 4 << 20
@@ -272,31 +272,33 @@ def _emit(n: int, num: int, den: int, buckets: int, shared):
             f = f[np.argsort(bucket[f].astype(np.uint16) if buckets < 65536 else bucket[f], kind="stable")]
             yield _rows(bucket[f], keys[f], owners[f], hot[f])
             if len(local):
-                local = local[np.argsort(bucket[local], kind="stable")]
-                yield _rows(bucket[local] + buckets, keys[local], owners[local], np.ones(len(local), bool))
+                # nothing more meets them: each batch's go on in a group of their own, however many batches share a key
+                group = -1 - int(W.mix(owners[:1].astype(np.int64).view(np.uint64))[0] >> np.uint64(34))
+                yield _rows(np.full(len(local), group), keys[local], owners[local], np.ones(len(local), bool), bucket[local])
 
     return run
 
 
-def _rows(bucket, keys, ids, hot) -> pa.RecordBatch:
-    """One row of arrays per hash range; the inputs are ordered by it."""
+def _rows(bucket, keys, ids, hot, upper=None) -> pa.RecordBatch:
+    """One row of arrays per hash range; the inputs are ordered by it.  ``upper`` are the ranges of keys that go elsewhere."""
     own, counts = np.unique(bucket, return_counts=True)
     lists = lambda x: W.lists(pa.array(x), counts)
     # the bucket holds the upper bits of the key, so the lower half is enough: a chance match is only a candidate
     low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), lists(low), lists(ids), lists(hot)], ["bucket", "keys", "ids", "hot"])
+    ranges = pa.nulls(len(own), pa.list_(pa.int32())) if upper is None else lists(upper.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), lists(low), lists(ids), lists(hot), ranges], ["bucket", "keys", "ids", "hot", "upper"])
 
 
-def _meet(buckets: int):
+def _meet():
     """Pairs of documents that share a sketch word; members of frequent words as (key, id)."""
 
     def run(key, table):
         bucket = key[0].as_py()
         keys, _ = W.split_lists(table.column("keys"))
         ids, _ = W.split_lists(table.column("ids"))
-        base = np.int64(bucket % buckets) << np.int64(32)
-        full = base | keys.view(np.uint32).astype(np.int64)
-        if bucket >= buckets:
+        base = W.split_lists(table.column("upper"))[0].astype(np.int64) if bucket < 0 else np.int64(bucket)
+        full = base << np.int64(32) | keys.view(np.uint32).astype(np.int64)
+        if bucket < 0:
             return _found(ids[:0], ids[:0], full, ids)
         hot = table.column("hot").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         order = np.lexsort((ids, keys))
@@ -377,8 +379,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     to_rep = nodes.select("doc_id", "rep").filter("doc_id is not null").distinct()
     reps = nodes.filter("doc_id = rep").dropDuplicates(["doc_id", "n_shingles", "sketch"]).drop("rep")
 
-    emitted = docs.mapInArrow(_emit(n, num, den, buckets, shared), "bucket int, keys array<int>, ids array<bigint>, hot array<boolean>")
-    met = written(emitted.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(buckets), "key bigint, a bigint, b bigint"))
+    emitted = docs.mapInArrow(_emit(n, num, den, buckets, shared), "bucket int, keys array<int>, ids array<bigint>, hot array<boolean>, upper array<int>")
+    met = written(emitted.repartition(tasks(buckets), "bucket").groupBy("bucket").applyInArrow(_meet(), "key bigint, a bigint, b bigint"))
     pairs = met.filter("key is null").select("a", "b").distinct()
     for c in "ab":
         pairs = pairs.join(to_rep.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}")), c)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import text_batches
+from .shared import tasks, text_batches
 
 #: Text bytes whose windows meet in one task of the second stage.
 BUCKET_BYTES = 8 << 20
@@ -183,7 +183,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, bucket_bytes: int
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     buckets = _width_of(docs, bucket_bytes)
     hashed = docs.mapInArrow(_hash_windows(width, buckets), _SHUFFLED)
-    flags = hashed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_decide(buckets), "doc_id bigint, hash bigint")
+    flags = hashed.repartition(tasks(buckets), "bucket").groupBy("bucket").applyInArrow(_decide(buckets), "doc_id bigint, hash bigint")
     flags = flags.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
     joined = docs.join(flags, "doc_id", "left").select("doc_id", "text", "hashes")
     return joined.mapInArrow(_cut(width), "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string, removed array<struct<first:int,end:int>>")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import shared_folder, text_batches
+from .shared import shared_folder, tasks, text_batches
 
 #: Ids in a shard, about: a worker's grammar tables take some 60 bytes an id.
 SHARD_TOKENS = 1 << 19
@@ -363,14 +363,14 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1,
     text_batches(docs)
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    dealt = docs.repartitionByRange(max(1, int(-(-total // bytes_per_part))), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.repartitionByRange(tasks(int(-(-total // bytes_per_part))), "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(_write(path, end_id, shard_tokens), _SCHEMA).write.parquet(folder)
 
 
 def read_shards(spark, folder: str) -> DataFrame:
     """The shards, with ``start`` counted from the first document of all.
 
-    One row per written part (16 MB of text) meets in the window; shards within a
+    One row per written part (16 MB of text, more beyond ``MOST_TASKS`` parts) meets in the window; shards within a
     part were counted as they were written.
     """
     shards = spark.read.schema(_SCHEMA).parquet(folder)
