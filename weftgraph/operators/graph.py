@@ -233,7 +233,10 @@ def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def stores_only(view_nodes: DataFrame, view_edges: DataFrame, kinds: tuple[str, ...]) -> View:
     """A lens narrowed to edges that touch nodes of some kinds."""
     kept = view_nodes.filter(F.col("kind").isin(*kinds)).select("id")
-    edges = view_edges.join(kept, (F.col("object") == F.col("id")) | (F.col("actor") == F.col("id")), "left_semi")
+    # two equi-joins: an edge counts by its object, else by its actor
+    by_object = view_edges.join(kept.withColumnRenamed("id", "object"), "object", "left_semi")
+    by_actor = view_edges.join(kept.withColumnRenamed("id", "object"), "object", "left_anti").join(kept.withColumnRenamed("id", "actor"), "actor", "left_semi")
+    edges = by_object.select(view_edges.columns).unionByName(by_actor.select(view_edges.columns))
     return View(endpoints(view_nodes, edges), edges)
 
 

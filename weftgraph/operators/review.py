@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SYNC
-from . import graph
+from ..sources.shared import kept
+from . import components, graph
 
 _EVIDENCE = "array<struct<actor:string,rel:string,object:string>>"
 
@@ -37,6 +38,22 @@ def t1_sync_cycle(edges: DataFrame, most: int = 6) -> DataFrame:
     return _finding(found, "T1", "high", F.concat(F.lit("sync cycle "), F.array_join(ring, " → ")), F.col("nodes"), steps)
 
 
+def t1_sync_component(edges: DataFrame) -> DataFrame:
+    """T1 by strongly connected components: one finding for all cycles among the same services.
+
+    For ledgers whose simple cycles are too many to list.  The evidence is a shortest cycle through the
+    component's first service.
+    """
+    calls = _calls(edges, ("http", "grpc", "gql"))
+    found = kept(components.strongly_connected(calls))
+    members = found.groupBy("component").agg(F.array_sort(F.collect_set("id")).alias("members"))
+    ring = components.shortest_cycles(calls, found)
+    shown = members.join(ring, "component").withColumn("closed", F.concat("nodes", F.slice("nodes", 1, 1)))
+    steps = F.transform(F.sequence(F.lit(1), F.size("nodes")), lambda i: _key(F.element_at("closed", i), F.lit("sync"), F.element_at("closed", i + 1)))
+    text = F.concat(F.lit("sync cycles among "), F.size("members").cast("string"), F.lit(" services, such as "), F.coalesce(F.array_join("closed", " → "), F.lit("one of more than 6 hops")))
+    return _finding(shown, "T1", "high", text, F.col("members"), F.coalesce(F.when(F.col("nodes").isNotNull(), steps), F.array().cast(_EVIDENCE)))
+
+
 def t2_event_then_callback(edges: DataFrame) -> DataFrame:
     sub = edges.filter("rel = 'sub'").select(F.col("actor").alias("x"), F.col("object").alias("t")).distinct()
     pub = edges.filter("rel = 'pub'").select(F.col("actor").alias("p"), F.col("object").alias("t")).distinct()
@@ -60,11 +77,13 @@ def t4_orphan_channel(edges: DataFrame, scopes_all: bool = True) -> DataFrame:
     return _finding(found, "T4", "low", F.concat("object", F.when(F.col("subs") == 0, " has no consumer").otherwise(" has no producer")), F.col("who"), F.transform("who", lambda w: _key(w, rel, F.col("object"))))
 
 
+def _calls(edges: DataFrame, rels: tuple[str, ...]) -> DataFrame:
+    return edges.filter(F.col("rel").isin(*rels)).select(F.col("actor").alias("src"), F.col("object").alias("dst"))
+
+
 def sync_depth(edges: DataFrame, most: int = 6) -> DataFrame:
     """Longest simple path over sync edges by its first node, at most ``most``: ``start, depth``."""
-    starts = edges.filter(F.col("rel").isin(*SYNC)).select(F.col("actor").alias("id")).distinct()
-    paths = graph.simple_paths(edges, starts, None, most, SYNC)
-    return paths.groupBy(F.col("nodes")[0].alias("start")).agg(F.max("hops").alias("depth"))
+    return components.chain_depths(_calls(edges, SYNC), most)
 
 
 def t5_deep_sync_chain(edges: DataFrame, least: int = 3, most: int = 6) -> DataFrame:
@@ -131,9 +150,10 @@ def t12_inference_debt(edges: DataFrame) -> DataFrame:
     return _finding(share.filter("5 * k > n"), "T12", "info", F.concat(F.col("k").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" edges are not from code")), F.array().cast("array<string>"), F.array())
 
 
-def findings(nodes: DataFrame, edges: DataFrame, scopes_all: bool = True, cycle_hops: int = 6, contracts: DataFrame | None = None) -> DataFrame:
-    """All findings of the twelve rules."""
-    all_ = reduce(DataFrame.unionByName, [t1_sync_cycle(edges, cycle_hops), t2_event_then_callback(edges), t3_shared_store(nodes, edges), t4_orphan_channel(edges, scopes_all), t5_deep_sync_chain(edges), t6_hub(nodes, edges), t7_chatty_pair(edges), t8_hard_wired(edges), t9_unkeyed_event(edges), t10_ping_pong(edges), t11_unowned_contract(nodes, edges, contracts), t12_inference_debt(edges)])
+def findings(nodes: DataFrame, edges: DataFrame, scopes_all: bool = True, cycle_hops: int | None = 6, contracts: DataFrame | None = None) -> DataFrame:
+    """All findings of the twelve rules; without ``cycle_hops`` cycles are told by component, not one by one."""
+    cyclic = t1_sync_component(edges) if cycle_hops is None else t1_sync_cycle(edges, cycle_hops)
+    all_ = reduce(DataFrame.unionByName, [cyclic, t2_event_then_callback(edges), t3_shared_store(nodes, edges), t4_orphan_channel(edges, scopes_all), t5_deep_sync_chain(edges), t6_hub(nodes, edges), t7_chatty_pair(edges), t8_hard_wired(edges), t9_unkeyed_event(edges), t10_ping_pong(edges), t11_unowned_contract(nodes, edges, contracts), t12_inference_debt(edges)])
     return all_
 
 

@@ -104,6 +104,28 @@ f AS (SELECT 'T1' AS id, 'high' AS severity FROM cyc UNION ALL SELECT 'T2', 'med
   UNION ALL SELECT 'T8', 'low' FROM {_ONCE} UNION ALL SELECT 'T9', 'info' FROM {_T9} UNION ALL SELECT 'T11', 'info' FROM n WHERE kind = 'ref'
   UNION ALL SELECT 'T12', 'info' FROM (SELECT count(*) FILTER (WHERE tag <> 'CODE') AS k, count(*) AS n FROM e) WHERE 5 * k > n)"""
 
+_T7 = "(SELECT actor, object FROM sight WHERE rel IN ('http', 'grpc', 'gql', 'ws') GROUP BY actor, object HAVING count(DISTINCT label) >= 4)"
+_T10 = "(SELECT DISTINCT a.actor AS p, b.actor AS c, a.object AS t, x.object AS u FROM e a JOIN e b ON a.object = b.object AND a.rel = 'pub' AND b.rel = 'sub' JOIN e x ON x.actor = b.actor AND x.rel = 'pub' JOIN e y ON y.object = x.object AND y.rel = 'sub' AND y.actor = a.actor WHERE a.actor < b.actor AND a.object <> x.object)"
+_T11 = "(SELECT DISTINCT object AS id FROM e WHERE (rel = 'grpc' OR rel = 'http' AND object NOT IN (SELECT 'svc-' || n_nationkey FROM nation WHERE n_regionkey <> 0)) AND object NOT IN (SELECT id FROM n WHERE kind = 'ext') UNION SELECT id FROM n WHERE kind = 'ref')"
+#: Components of the calls between services by mutual reachability, and chains through the eight services that most call (enough for six hops).
+_DENSE = """
+call AS (SELECT DISTINCT actor AS a, object AS b FROM sight WHERE rel IN ('http', 'grpc', 'gql') AND actor <> object),
+reach AS (SELECT a, b FROM call UNION SELECT reach.a, call.b FROM reach JOIN call ON call.a = reach.b),
+comp AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+first8 AS (SELECT b AS x FROM call WHERE b IN (SELECT a FROM call) GROUP BY b ORDER BY count(*) DESC, b LIMIT 8),
+chain AS (SELECT a AS start, [a, b] AS p, b AS at, 1 AS hops FROM call
+  UNION ALL SELECT start, list_append(p, b), b, hops + 1 FROM chain JOIN call ON call.a = chain.at WHERE hops < 6 AND b IN (SELECT x FROM first8) AND NOT list_contains(p, b)),
+depth AS (SELECT start, max(hops) AS depth FROM chain GROUP BY start)"""
+_FULL = f"""{EN},{_DENSE},
+f AS (SELECT 'T1' AS id, 'high' AS severity FROM (SELECT DISTINCT component FROM comp) UNION ALL SELECT 'T2', 'med' FROM {_T2} UNION ALL SELECT 'T3', 'high' FROM {_T3} UNION ALL SELECT 'T4', 'low' FROM {_T4}
+  UNION ALL SELECT 'T5', 'med' FROM depth WHERE depth >= 3 UNION ALL SELECT 'T6', 'med' FROM {_HUBS} UNION ALL SELECT 'T7', 'low' FROM {_T7} UNION ALL SELECT 'T8', 'low' FROM {_ONCE} UNION ALL SELECT 'T9', 'info' FROM {_T9}
+  UNION ALL SELECT 'T10', 'info' FROM {_T10} UNION ALL SELECT 'T11', 'info' FROM {_T11} UNION ALL SELECT 'T12', 'info' FROM (SELECT count(*) FILTER (WHERE tag <> 'CODE') AS k, count(*) AS n FROM e) WHERE 5 * k > n)"""
+_STEPS = """WITH RECURSIVE
+o AS (SELECT o_custkey || ':' || o_orderpriority AS src, lead(o_custkey || ':' || o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders),
+c AS (SELECT DISTINCT src, dst FROM o WHERE dst IS NOT NULL AND src <> dst),
+r AS (SELECT src, dst FROM c UNION SELECT r.src, c.dst FROM r JOIN c ON c.src = r.dst),
+comp AS (SELECT x.src AS id, min(x.dst) AS component FROM r x JOIN r y ON x.src = y.dst AND x.dst = y.src GROUP BY x.src)"""
+
 #: What the files of bind.sources() say, from the tables and not from the text.
 _FILES = """
 na AS (SELECT n_nationkey::VARCHAR AS n, n_regionkey::VARCHAR AS r FROM nation),
@@ -188,6 +210,20 @@ string_agg(DISTINCT actor || CASE WHEN subs = 0 THEN ' pub ' ELSE ' sub ' END ||
 SELECT 'T11' AS id, 'info' AS severity, id || ' has no contract in scope' AS finding, id AS participants, '' AS evidence FROM d""",
     "review_t12": f"{E}, h AS (SELECT count(*) FILTER (WHERE tag <> 'CODE') AS k, count(*) AS n FROM e) SELECT 'T12' AS id, 'info' AS severity, k || ' of ' || n || ' edges are not from code' AS finding, '' AS participants, '' AS evidence FROM h WHERE 5 * k > n",
     "review_severities": f"{_ALL} SELECT severity, count(*) AS findings FROM f GROUP BY severity",
+    "review_all_severities": f"{_FULL} SELECT id, severity, count(*) AS findings FROM f GROUP BY id, severity",
+    "review_all_cycles": f"""{E},{_DENSE}, m AS (SELECT component, list(id ORDER BY id) AS ids FROM comp GROUP BY component),
+k AS (SELECT component, min(b) AS x FROM comp JOIN call ON call.a = component AND (b, component) IN (SELECT (a, b) FROM call) GROUP BY component)
+SELECT 'T1' AS id, 'high' AS severity, 'sync cycles among ' || len(ids) || ' services, such as ' || component || ' → ' || x || ' → ' || component AS finding, array_to_string(ids, ',') AS participants, component || ' sync ' || x || '; ' || x || ' sync ' || component AS evidence FROM m JOIN k USING (component)""",
+    "review_all_chains": f"{E},{_DENSE} SELECT 'T5' AS id, 'med' AS severity, 'sync chain of ' || CASE WHEN depth >= 6 THEN '>=6' ELSE depth::VARCHAR END || ' hops from ' || start AS finding, start AS participants, '' AS evidence FROM depth WHERE depth >= 3",
+    "review_all_health": f"""{_FULL} SELECT (SELECT count(*) FROM n WHERE kind = 'svc') AS services, (SELECT count(*) FROM n WHERE kind = 'ref') AS referenced, (SELECT count(*) FROM e) AS edges,
+  (SELECT round(100 * count(*) FILTER (WHERE tag = 'CODE') / count(*))::BIGINT FROM e) AS code_percent, (SELECT max(depth)::BIGINT FROM depth) AS sync_depth, count(*) FILTER (WHERE id = 'T1') AS cycles, count(*) FILTER (WHERE id = 'T3') AS shared_stores,
+  count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'med') AS med, count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info FROM f""",
+    "sync_components": f"{_STEPS} SELECT id, component FROM comp",
+    "condensed_chains": f"""{_STEPS}, d AS (SELECT DISTINCT coalesce(x.component, src) AS a, coalesce(y.component, dst) AS b FROM c LEFT JOIN comp x ON x.id = src LEFT JOIN comp y ON y.id = dst WHERE coalesce(x.component, src) <> coalesce(y.component, dst)),
+w AS (SELECT a AS id, b AS at, 1 AS h FROM d UNION SELECT w.id, d.b, h + 1 FROM w JOIN d ON d.a = w.at)
+SELECT id, max(h)::BIGINT AS depth FROM (SELECT id, h FROM w UNION ALL SELECT b, 0 FROM d) GROUP BY id""",
+    "chain_depths": f"""{_STEPS}, w AS (SELECT src AS start, [src, dst] AS p, dst AS at, 1 AS h FROM c UNION ALL SELECT start, list_append(p, c.dst), c.dst, h + 1 FROM w JOIN c ON c.src = w.at WHERE h < 4 AND NOT list_contains(p, c.dst))
+SELECT start, max(h)::BIGINT AS depth FROM w GROUP BY start""",
     "review_warned": f"{EN} SELECT x AS id FROM {_T2} UNION SELECT p FROM {_T2} UNION SELECT actor FROM e WHERE rel = 'uses' AND object IN (SELECT object FROM {_T3})",
     "review_inferred": f"""{E} SELECT 'T9' AS id, actor || ' writes ' || object || ' without a key for ' || k || ' consumers' AS finding, object LIKE 'Brand#1%' AS inferred FROM {_T9}
 UNION ALL SELECT DISTINCT 'T8', actor || ' names ' || object || ' in code', false FROM {_ONCE} GROUP BY actor, rel, object""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, consolidate, graph, receivers, resolve, review, signatures, values
+from ..operators import checks, components, consolidate, graph, receivers, resolve, review, signatures, values
 from ..schema import EDGE_KEY, EDGES
 from ..sources import corpus, keys
 from ..sources.ledger import ledger_lines, parse_edges, parse_gaps, parse_nodes
@@ -205,6 +205,51 @@ def review_severities(spark, d):
     return found.groupBy("severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
+def review_all_severities(spark, d):
+    """All twelve rules over the line items' ledger, cycles by component."""
+    n, e = bind.nodes(spark, d), _edges(spark, d)
+    found = review.findings(n, e, cycle_hops=None, contracts=_contracts(spark, d))
+    return found.groupBy("id", "severity").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def review_all_cycles(spark, d):
+    return _rule(review.t1_sync_component(_tags(spark, d)))
+
+
+def review_all_chains(spark, d):
+    return _rule(review.t5_deep_sync_chain(_tags(spark, d)))
+
+
+def review_all_health(spark, d):
+    n, e = bind.nodes(spark, d), _edges(spark, d)
+    return review.health(n, e, kept(review.findings(n, e, cycle_hops=None, contracts=_contracts(spark, d))))
+
+
+def _priority_steps(spark, d) -> DataFrame:
+    """A graph of many small cycles and chains: the priorities of each customer's orders, one after the other."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    at = F.concat(F.col("o_custkey").cast("string"), F.lit(":"), F.col("o_orderpriority"))
+    steps = bind.table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", at.alias("src")).withColumn("dst", F.lead("src").over(w))
+    return steps.filter("dst is not null").select("src", "dst")
+
+
+def sync_components(spark, d):
+    """Strongly connected components of two nodes or more."""
+    return components.strongly_connected(_priority_steps(spark, d))
+
+
+def condensed_chains(spark, d):
+    """Longest chains where components stand for their members."""
+    pairs = kept(_priority_steps(spark, d))
+    flat = components.condensation(pairs, kept(components.strongly_connected(pairs)))
+    return components.longest_chains(flat).select("id", F.col("depth").cast("bigint").alias("depth"))
+
+
+def chain_depths(spark, d):
+    """Longest simple path of at most four hops from each node, through cycles as well."""
+    return components.chain_depths(_priority_steps(spark, d), 4).select("start", F.col("depth").cast("bigint").alias("depth"))
+
+
 def review_warned(spark, d):
     n, e = bind.nodes(spark, d), _tags(spark, d)
     return review.warned(review.t2_event_then_callback(e).unionByName(review.t3_shared_store(n, e)))
@@ -619,6 +664,13 @@ QUERIES = {
         review_warned,
         review_inferred,
         review_health,
+        review_all_severities,
+        review_all_cycles,
+        review_all_chains,
+        review_all_health,
+        sync_components,
+        condensed_chains,
+        chain_depths,
         review_to_be,
         check_dangling,
         check_dup_nodes,
