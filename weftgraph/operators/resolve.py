@@ -55,6 +55,10 @@ def _named(hits: DataFrame) -> DataFrame:
     A field that says so (``topic:``, ``QueueUrl=``, ``url:``) on the line or the ones after it, else the
     first argument; of calls to addresses and stores also any URL that stands on the line.
     """
+    # the next lines count only while a bracket of the call is open: what follows is another statement
+    depth = lambda t: F.char_length(F.regexp_replace(t, r"[^(\[{]", "")) - F.char_length(F.regexp_replace(t, r"[^)\]}]", ""))
+    so_far = lambda i: F.aggregate(F.slice("after", 1, i), depth(F.col("text")), lambda d, t: d + depth(t))
+    hits = hits.withColumn("after", F.filter("after", lambda _, i: (depth(F.col("text")) > 0) & (so_far(i) > 0)))
     message = F.col("rel").isin(*MESSAGES)
     cut = lambda t: F.substring(t, 1, V.MOST_CHARS)
     near = F.concat(F.array("text"), "after")

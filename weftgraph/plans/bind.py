@@ -159,6 +159,47 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_lines(pages.unionByName(docs))
 
 
+def filled(df: DataFrame, path: str, text: str) -> DataFrame:
+    """Files of a template with <column> filled in."""
+
+    def expression(template: str):
+        parts = [F.col(x) if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"<(\w+)>", template))]
+        return F.concat(*parts)
+
+    return df.select(expression(path).alias("path"), expression(text).alias("text"))
+
+
+def idioms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second corpus of source files, ``path, text``: nothing but the files is known of it.
+
+    Names stand behind constants, injected values, nested settings and variables of the
+    deployment; receivers are known by their types; nations are services, whose customers and
+    suppliers are their source files.
+    """
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("n"), F.col("n_regionkey").cast("string").alias("r"), ((F.col("n_nationkey") + 1) % 25).cast("string").alias("m"))
+    file_of = lambda name, key, at: table(spark, sf_dir, name).select(F.col(key).cast("string").alias("k"), (F.col(key) % 5).cast("string").alias("t"), F.col(at).cast("string").alias("n")).join(nation, "n")
+    compose = filled(nation, "docker-compose.n<n>.yml", "services:\n    svc-<n>:\n        build: ./svc-<n>\n        environment:\n            PEER<n>_URL: http://svc-<m>:8080\n")
+    package = filled(nation, "svc-<n>/package.json", '{\n "name": "@shop/svc-<n>",\n "dependencies": {"kafkajs": "2"}\n}\n')
+    settings = filled(nation, "svc-<n>/src/main/resources/application.yml", "app:\n  topics:\n    made: made.<r>\n  other: other.<n>\n")
+    production = filled(nation, "svc-<n>/src/main/resources/application-prod.yml", "app:\n  other: prod.<n>\n")
+    names = filled(nation, "svc-<n>/src/names.ts", 'export const SHIPPED_<n> = "shipped.<r>";\n')
+    contract = filled(nation, "svc-<n>/stock.proto", "service Stock<n> {\n  rpc Level (Q) returns (L);\n  rpc Move (Q) returns (L);\n}\n")
+    server = filled(nation, "svc-<n>/main.go", "package main\n\nfunc main() {\n\tpb.RegisterStock<n>Server(s, srv)\n}\n")
+    client = filled(nation, "svc-<n>/client.go", "package main\n\tstub := pb.NewStock<m>Client(conn)\n\tstub.Level(ctx, q)\n\tstub.Other(ctx, q)\n")
+    script = filled(
+        file_of("customer", "c_custkey", "c_nationkey"),
+        "svc-<n>/src/c<k>.ts",
+        'const BASE = process.env.PEER<n>_URL;\nconst ROOT = BASE;\nawait fetch(`${ROOT}/customers/${id}/<k>`);\nconst p: Producer = kafka.producer();\np.send(SHIPPED_<n>, m);\nres.send("no.topic");\nawait axios.get(`${process.env.NONE_<t>_URL}/x`);\n',
+    )
+    listener = filled(
+        file_of("supplier", "s_suppkey", "s_nationkey"),
+        "svc-<n>/src/S<k>.java",
+        '@Value("${app.topics.made}")\nprivate String made;\nprivate final KafkaTemplate<String, Item> template;\ntemplate.send(made, item);\n@KafkaListener(topics = "${app.other}")\n'
+        '@KafkaListener(topics = "${app.late:late.<t>}")\n@KafkaListener(topics = "${app.none}")\nkafkaTemplate.send("kept.<r>", item.id(), item);\n',
+    )
+    return reduce(DataFrame.unionByName, [compose, package, settings, production, names, contract, server, client, script, listener])
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus of source files, ``path, text``, written from the tables: nations are services, each with a module and a server.
 
@@ -170,15 +211,6 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("string").alias("n")).join(nation, "n")
     customer = customer.withColumn("k", F.col("key").cast("string")).withColumn("m", (F.col("key") % 25).cast("string")).withColumn("t", (F.col("key") % 5).cast("string"))
 
-    def filled(df: DataFrame, path: str, text: str) -> DataFrame:
-        """Files of a template with <column> filled in."""
-
-        def expression(template: str):
-            parts = [F.col(x) if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"<(\w+)>", template))]
-            return F.concat(*parts)
-
-        return df.select(expression(path).alias("path"), expression(text).alias("text"))
-
     module = filled(nation, "svc-<n>/go.mod", "module shop.test/svc-<n>\n\nrequire google.golang.org/grpc v1.60\n")
     server = filled(nation, "svc-<n>/server.go", 'package main\n\nfunc main() {\n\tpb.RegisterNation<n>Server(s, srv)\n\tmux.HandleFunc("GET /n<n>/customers/{id}", h)\n}\n')
     settings = filled(nation, "svc-<n>/src/main/resources/application.properties", "spring.cloud.stream.bindings.audit-out-0.destination=audit.<r>\n")

@@ -132,7 +132,34 @@ na AS (SELECT n_nationkey::VARCHAR AS n, n_regionkey::VARCHAR AS r FROM nation),
 su AS (SELECT s_suppkey::VARCHAR AS k, n, r, 'svc-' || n || '/src/supplier' || s_suppkey || '.py' AS path FROM supplier JOIN na ON n = s_nationkey::VARCHAR),
 cu AS (SELECT c_custkey::VARCHAR AS k, n, r, (c_custkey % 25)::VARCHAR AS m, (c_custkey % 5)::VARCHAR AS t, 'svc-' || n || '/src/customer' || c_custkey || '.ts' AS path FROM customer JOIN na ON n = c_nationkey::VARCHAR)"""
 
+#: What the files of bind.idioms() say.
+_IDIOMS = """
+na AS (SELECT n_nationkey::VARCHAR AS n, n_regionkey::VARCHAR AS r, ((n_nationkey + 1) % 25)::VARCHAR AS m, 'svc-' || n_nationkey AS svc, 'svc-' || n_nationkey || '/src/main/resources/application' AS app FROM nation),
+cu AS (SELECT c_custkey AS k, (c_custkey % 5)::VARCHAR AS t, na.*, svc || '/src/c' || c_custkey || '.ts' AS path FROM customer JOIN na ON n = c_nationkey::VARCHAR),
+su AS (SELECT s_suppkey AS k, (s_suppkey % 5)::VARCHAR AS t, na.*, svc || '/src/S' || s_suppkey || '.java' AS path FROM supplier JOIN na ON n = s_nationkey::VARCHAR)"""
+
 ORACLE_SQL = {
+    "idiom_edges": f"""WITH {_IDIOMS}
+SELECT svc AS actor, 'http' AS rel, 'svc-' || m AS object, 'ANY /customers/{{id}}/{{id}}' AS label, 'CODE' AS tag, NULL::VARCHAR AS note, 3 * count(*) + 1 AS places FROM cu GROUP BY svc, m
+UNION ALL SELECT svc, 'pub', 'shipped.' || r, '-', 'CODE', NULL, count(*) + 1 FROM cu GROUP BY svc, r
+UNION ALL SELECT svc, 'pub', 'made.' || r, '-', 'CODE', NULL, 2 * count(*) + 1 FROM su GROUP BY svc, r
+UNION ALL SELECT svc, 'sub', 'other.' || n, '-', 'CODE', 'base file; all values: prod.' || n || ' (' || app || '-prod.yml:2), other.' || n || ' (' || app || '.yml:4)', count(*) + 1 FROM su GROUP BY svc, n, app
+UNION ALL SELECT svc, 'sub', 'late.' || t, '-', 'CODE', NULL, count(*) FROM su GROUP BY svc, t
+UNION ALL SELECT svc, 'sub', 'app.none?', '-', 'INFERENCE', 'confirm: what app.none names', count(*) FROM su GROUP BY svc
+UNION ALL SELECT svc, 'pub', 'kept.' || r, 'key=id', 'CODE', NULL, count(*) FROM su GROUP BY svc, r
+UNION ALL SELECT svc, 'grpc', 'svc-' || m, 'Level', 'CODE', NULL, 1 FROM na""",
+    "idiom_gaps": f"""WITH {_IDIOMS} SELECT svc AS subject, 'unresolved http NONE_' || t || '_URL' AS detail, count(*) AS places FROM cu GROUP BY svc, t
+UNION ALL SELECT path, 'read but not declared: NONE_' || t || '_URL', 1 FROM cu""",
+    "idiom_rungs": """WITH c AS (SELECT count(*) AS c FROM customer), s AS (SELECT count(*) AS s FROM supplier)
+SELECT 'http' AS rel, 3::BIGINT AS rung, c AS hits FROM c UNION ALL SELECT 'http', 7, c FROM c UNION ALL SELECT 'pub', 4, c FROM c UNION ALL SELECT 'pub', 3, s FROM s UNION ALL SELECT 'pub', 1, s FROM s
+UNION ALL SELECT 'sub', unnest([2, 3, 6]), s FROM s UNION ALL SELECT 'grpc', 7, count(*) FROM nation""",
+    "idiom_receivers": f"WITH {_IDIOMS} SELECT path, 'p' AS name, 'kafka' AS family FROM cu UNION ALL SELECT path, 'template', 'kafka' FROM su",
+    "idiom_nodes": "SELECT 'svc-' || n_nationkey AS id, 'svc' AS kind, 'npm' AS tech, 'svc-' || n_nationkey || '/package.json' AS path, 2::BIGINT AS line FROM nation",
+    "idiom_hosts": "SELECT 'svc-' || n_nationkey AS host, 'svc-' || n_nationkey AS id, 'svc' AS kind FROM nation",
+    "config_trees": f"""WITH {_IDIOMS}, x AS (SELECT unnest([('docker-compose.n' || n || '.yml', 3, 'services.' || svc || '.build', 'build', './' || svc), ('docker-compose.n' || n || '.yml', 5, 'services.' || svc || '.environment.PEER' || n || '_URL', 'PEER' || n || '_URL', 'http://svc-' || m || ':8080'),
+  (svc || '/package.json', 2, 'name', 'name', '@shop/' || svc), (svc || '/package.json', 3, 'dependencies.kafkajs', 'kafkajs', '2'), (app || '.yml', 3, 'app.topics.made', 'made', 'made.' || r), (app || '.yml', 4, 'app.other', 'other', 'other.' || n), (app || '-prod.yml', 2, 'app.other', 'other', 'prod.' || n)]) AS t FROM na)
+SELECT t[1] AS path, t[2]::BIGINT AS line, t[3] AS key, t[4] AS leaf, t[5] AS value FROM x""",
+    "rpc_calls": "SELECT 'Stock' || (n_nationkey + 1) % 25 AS name, 'svc-' || n_nationkey || '/client.go' AS path, 2::BIGINT AS line, unnest(['Level', 'Other']) AS rpc FROM nation",
     "bind_nodes": f"WITH {NODES} SELECT id, kind, tech, kind || '/' || id || ':1' AS receipts FROM n",
     "bind_edges": f"{E} {_VIEW} FROM e",
     "bind_gaps": "SELECT o_orderkey::VARCHAR AS subject, 'priority not specified' AS detail, 'orders/' || o_orderkey || ':1' AS receipts FROM orders WHERE o_orderpriority LIKE '%NOT SPECIFIED'",

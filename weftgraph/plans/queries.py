@@ -379,6 +379,49 @@ def ladder_rungs(spark, d):
     return found.groupBy("rel", F.col("rung").cast("bigint").alias("rung")).agg(F.count(F.lit(1)).alias("hits"))
 
 
+def idiom_edges(spark, d):
+    """From files alone to edges: value flow, typed receivers, nested settings, deployment, RPC names."""
+    seen, _ = resolve.extract(bind.idioms(spark, d))
+    places = seen.groupBy(*EDGE_KEY).agg(F.count_distinct("path", "line").alias("places"))
+    return consolidate.edge_tags(seen).join(places, EDGE_KEY).select(*EDGE_KEY, "tag", "note", "places")
+
+
+def idiom_gaps(spark, d):
+    _, gaps = resolve.extract(bind.idioms(spark, d))
+    return gaps.groupBy("subject", "detail").agg(F.count(F.lit(1)).alias("places"))
+
+
+def idiom_rungs(spark, d):
+    """Rungs of the ladder that the call sites of the second corpus need, typed receivers among them."""
+    files = bind.idioms(spark, d)
+    lines = kept(corpus.split_lines(files))
+    hits = signatures.sweep(lines, open_families=signatures.gated(lines))
+    hits = hits.unionByName(receivers.bare_calls(lines, receivers.receivers(lines), hits))
+    homes = corpus.owners(files, resolve.surroundings(files)[0]).select("path", F.col("service_id").alias("home")).filter("home is not null")
+    found = resolve.ladder(hits, values.definitions(lines), keys.key_trees(files), homes)
+    return found.groupBy("rel", F.col("rung").cast("bigint").alias("rung")).agg(F.count(F.lit(1)).alias("hits"))
+
+
+def idiom_receivers(spark, d):
+    return receivers.receivers(corpus.split_lines(bind.idioms(spark, d))).select("path", "name", "family")
+
+
+def idiom_nodes(spark, d):
+    return _long(resolve.declared_nodes(bind.idioms(spark, d)), "id", "kind", "tech", "path", "line")
+
+
+def idiom_hosts(spark, d):
+    return resolve.surroundings(bind.idioms(spark, d))[1].select("host", "id", "kind")
+
+
+def config_trees(spark, d):
+    return _long(keys.key_trees(bind.idioms(spark, d)), "path", "line", "key", "leaf", "value")
+
+
+def rpc_calls(spark, d):
+    return _long(signatures.rpc_calls(corpus.split_lines(bind.idioms(spark, d))), "name", "path", "line", "rpc")
+
+
 def service_names(spark, d):
     return corpus.service_names(corpus.split_lines(bind.sources(spark, d))).select("service_id", "root_path", "tech", "path", F.col("line").cast("bigint").alias("line"))
 
@@ -685,6 +728,14 @@ QUERIES = {
         refresh_dep_subsumed,
         extract_edges,
         extract_gaps,
+        idiom_edges,
+        idiom_gaps,
+        idiom_rungs,
+        idiom_receivers,
+        idiom_nodes,
+        idiom_hosts,
+        config_trees,
+        rpc_calls,
         sweep_families,
         ladder_rungs,
         service_names,
