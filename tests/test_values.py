@@ -302,3 +302,11 @@ def test_signature_alternatives(spark):
     hits = signatures.sweep(corpus.split_lines(spark.createDataFrame(rows, "path string, text string"))).collect()
     found = {(h.family, h.rel, h.text) for h in hits}
     assert {(f, r, t) for (f, r), ts in idioms.items() for t in ts} <= found
+
+
+def test_routes_are_matched_by_segment(spark):
+    routes = spark.createDataFrame([("GET", "/users/{name}", "users"), ("ANY", "/orders/{id}", "orders"), ("GET", "/orders/latest", "recent"), ("ANY", "/a/{x}/c", "left"), ("ANY", "/a/b/{y}", "far"), ("GET", "/twice/{x}", "one"), ("GET", "/twice/:y", "two"), ("ANY", "/", "home")], "method string, template string, service_id string")
+    rows = {"/users/bob": ("GET", "users"), "/orders/latest": ("ANY", "recent"), "/orders/{id}": ("POST", "orders"), "/a/b/c": ("GET", "far"), "/twice/1": ("GET", None), "/none": ("GET", None), "/users/bob/x": ("GET", None), "/": (None, None), "/users/post": ("POST", None)}
+    calls = spark.createDataFrame([("f", i, m, t) for i, (t, (m, _)) in enumerate(rows.items())], "path string, line int, method string, template string")
+    got = {r.template: (r.service_id if r.outcome == "INFERENCE" else None) for r in resolve.route_matches(calls, routes).collect()}
+    assert got == {t: s for t, (_, s) in rows.items()} | {"/": "home"}

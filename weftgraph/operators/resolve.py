@@ -176,6 +176,43 @@ def matched_routes(paths: DataFrame, routes: DataFrame) -> DataFrame:
     return paths.join(routes.select("template", "service_id").distinct(), "template", "left").withColumn("matches", n).withColumn("outcome", F.when(F.col("matches") == 1, "INFERENCE").otherwise("GAP"))
 
 
+def _segments(template: Column) -> Column:
+    return F.filter(F.split(template, "/"), lambda s: s != "")
+
+
+def _wild(segment: Column) -> Column:
+    return segment.rlike(r"^(\{.*\}|:.+|<.+>|\*)$")
+
+
+def route_matches(calls: DataFrame, routes: DataFrame) -> DataFrame:
+    """Calls (``path, line, method, template``) with the route that serves them, segment by segment.
+
+    ``routes`` has ``method, template, service_id``.  A route's wildcard matches any one segment; of
+    the routes that match, the one with the most literal segments wins, then the one whose
+    literals stand further left.  A call's own wildcard (an id) matches wildcards only; a
+    method ANY, of call or route, matches all.  Returns the columns of ``calls`` and ``route,
+    service_id, matches, outcome``: INFERENCE for one service, GAP for none or several of equal rank.
+
+    Routes of the same shape (number of segments, places of the literals) share a key made of
+    their literals, so a call takes one equi-join for each shape of its length, not a comparison with every route.
+    """
+    parts = F.col("parts")
+    shaped = routes.select(F.upper("method").alias("verb"), F.col("template").alias("route"), "service_id", _segments(F.col("template")).alias("parts")).distinct()
+    mask = F.array_join(F.transform(parts, lambda s: F.when(_wild(s), "0").otherwise("1")), "")
+    shaped = shaped.select("verb", "route", "service_id", F.size(parts).alias("n"), mask.alias("mask"), F.array_join(F.filter(parts, lambda s: ~_wild(s)), "/").alias("key"))
+    own = calls.withColumn("parts", _segments(F.col("template"))).withColumn("n", F.size("parts")).join(shaped.select("n", "mask").distinct(), "n")
+    literal = lambda i: F.substring("mask", i + 1, F.lit(1)) == "1"
+    own = own.withColumn("key", F.array_join(F.filter(parts, lambda _, i: literal(i)), "/")).filter(~F.exists(F.filter(parts, lambda _, i: literal(i)), _wild))
+    met = own.join(shaped, ["n", "mask", "key"]).filter((F.col("verb") == "ANY") | (F.upper("method") == "ANY") | (F.upper("method") == F.col("verb")))
+    rank = F.struct(F.char_length(F.replace("mask", F.lit("0"))).alias("literals"), "mask")
+    per = met.groupBy(*calls.columns, rank.alias("rank")).agg(F.count_distinct("service_id").alias("matches"), F.min(F.struct("service_id", "route")).alias("r"))
+    best = per.groupBy(*calls.columns).agg(F.max_by(F.struct("matches", "r"), "rank").alias("b"))
+    # grouping takes null columns as equal, a join would not
+    out = calls.distinct().join(best.select(*(F.col(c).alias(f"_{c}") for c in calls.columns), "b"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in calls.columns], "left")
+    n = F.coalesce(F.col("b.matches"), F.lit(0))
+    return out.select(*calls.columns, F.col("b.r.route").alias("route"), F.col("b.r.service_id").alias("service_id"), n.alias("matches"), F.when(n == 1, "INFERENCE").otherwise("GAP").alias("outcome"))
+
+
 def contract_tag(stubs: DataFrame, registrations: DataFrame, hints: DataFrame) -> DataFrame:
     """gRPC stubs (``name``) with the service that registers the contract, or a hint, or neither."""
     reg = registrations.select("name", F.col("service_id").alias("server")).distinct()
@@ -198,16 +235,17 @@ def path_calls(resolved: DataFrame, lines: DataFrame, owned: DataFrame) -> tuple
     """
     from ..sources import corpus
 
-    calls = resolved.filter((F.col("rel") == "http") & F.col("value").startswith("/") & ~F.col("is_test")).withColumn("template", T.template(F.col("value")))
+    calls = resolved.filter((F.col("rel") == "http") & F.col("value").startswith("/") & ~F.col("is_test"))
+    verb = F.upper(F.regexp_extract("text", r"\.(get|post|put|delete|patch|Get|Post)\(", 1))
+    calls = calls.groupBy("path", "line", T.template(F.col("value")).alias("template")).agg(F.max(verb).alias("method")).withColumn("method", F.when(F.col("method") == "", "ANY").otherwise(F.col("method")))
     routes = corpus.routes(lines).join(owned.select("path", "service_id"), "path").filter("service_id is not null")
-    first = routes.groupBy("template", "service_id").agg(F.min(F.struct("path", "line")).alias("route"))
-    matched = matched_routes(calls.select("path", "line", "template").distinct(), first)
+    first = routes.groupBy(F.col("template").alias("route"), "service_id").agg(F.min(F.struct("path", "line")).alias("at"))
+    matched = kept(route_matches(calls, routes.select("method", "template", "service_id")))
     caller = owned.select("path", F.col("service_id").alias("actor"))
-    method = calls.groupBy("path", "line").agg(F.max(F.upper(F.regexp_extract("text", r"\.(get|post|put|delete|patch|Get|Post)\(", 1))).alias("method"))
-    one = matched.filter("outcome = 'INFERENCE'").join(first, ["template", "service_id"]).join(method, ["path", "line"]).join(caller, "path").filter("actor is not null and actor <> service_id")
-    label = T.http_label(F.when(F.col("method") == "", "ANY").otherwise(F.col("method")), F.col("template"))
-    places = F.array(F.struct("path", "line"), F.col("route"))
-    seen = one.select("actor", F.lit("http").alias("rel"), F.col("service_id").alias("object"), label.alias("label"), F.lit("INFERENCE").alias("tag"), F.explode(places).alias("p"), F.concat(F.lit("confirm: the only route "), "template").alias("note"))
+    one = matched.filter("outcome = 'INFERENCE'").join(first, ["route", "service_id"]).join(caller, "path").filter("actor is not null and actor <> service_id")
+    label = T.http_label(F.col("method"), F.col("route"))
+    places = F.array(F.struct("path", "line"), F.col("at"))
+    seen = one.select("actor", F.lit("http").alias("rel"), F.col("service_id").alias("object"), label.alias("label"), F.lit("INFERENCE").alias("tag"), F.explode(places).alias("p"), F.concat(F.lit("confirm: the only route "), "route").alias("note"))
     gaps = matched.filter("outcome = 'GAP'").select("path", "line", "template").distinct().join(caller, "path", "left")
     return seen.select("actor", "rel", "object", "label", "tag", "p.path", "p.line", "note"), gaps.select(F.coalesce("actor", "path").alias("subject"), F.concat(F.lit("no single route "), "template").alias("detail"), "path", "line")
 

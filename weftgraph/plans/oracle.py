@@ -159,6 +159,9 @@ UNION ALL SELECT 'sub', unnest([2, 3, 6]), s FROM s UNION ALL SELECT 'grpc', 7,
     "config_trees": f"""WITH {_IDIOMS}, x AS (SELECT unnest([('docker-compose.n' || n || '.yml', 3, 'services.' || svc || '.build', 'build', './' || svc), ('docker-compose.n' || n || '.yml', 5, 'services.' || svc || '.environment.PEER' || n || '_URL', 'PEER' || n || '_URL', 'http://svc-' || m || ':8080'),
   (svc || '/package.json', 2, 'name', 'name', '@shop/' || svc), (svc || '/package.json', 3, 'dependencies.kafkajs', 'kafkajs', '2'), (app || '.yml', 3, 'app.topics.made', 'made', 'made.' || r), (app || '.yml', 4, 'app.other', 'other', 'other.' || n), (app || '-prod.yml', 2, 'app.other', 'other', 'prod.' || n)]) AS t FROM na)
 SELECT t[1] AS path, t[2]::BIGINT AS line, t[3] AS key, t[4] AS leaf, t[5] AS value FROM x""",
+    "route_shapes": """WITH p AS (SELECT p_partkey AS k, p_brand AS b, k = (SELECT max(p_partkey) FROM part) AS is_last FROM part),
+q AS (SELECT 'parts/' || k AS path, CASE WHEN k % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, CASE WHEN b LIKE 'Brand#1%' THEN b WHEN b LIKE 'Brand#2%' THEN 'left' WHEN is_last THEN 'last' WHEN k % 2 = 0 THEN 'catalog' END AS service_id, CASE WHEN b LIKE 'Brand#2%' THEN 2 ELSE 1 END AS m FROM p)
+SELECT path, method, service_id, CASE WHEN service_id IS NULL THEN 0 ELSE m END::BIGINT AS matches, CASE WHEN service_id IS NOT NULL AND m = 1 THEN 'INFERENCE' ELSE 'GAP' END AS outcome FROM q""",
     "rpc_calls": "SELECT 'Stock' || (n_nationkey + 1) % 25 AS name, 'svc-' || n_nationkey || '/client.go' AS path, 2::BIGINT AS line, unnest(['Level', 'Other']) AS rpc FROM nation",
     "bind_nodes": f"WITH {NODES} SELECT id, kind, tech, kind || '/' || id || ':1' AS receipts FROM n",
     "bind_edges": f"{E} {_VIEW} FROM e",

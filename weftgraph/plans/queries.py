@@ -469,6 +469,18 @@ def route_match(spark, d):
     return resolve.matched_routes(p, named).select("path", "template", "service_id", F.col("matches").cast("bigint").alias("matches"), "outcome")
 
 
+def route_shapes(spark, d):
+    """Parts as calls against routes with and without wildcards: the most literal one wins, two equal ones are a gap."""
+    part = bind.table(spark, d, "part")
+    calls = part.select(F.concat(F.lit("parts/"), F.col("p_partkey").cast("string")).alias("path"), F.lit(1).alias("line"), F.when(F.col("p_partkey") % 2 == 0, "GET").otherwise("POST").alias("method"), F.concat(F.lit("/parts/"), F.col("p_brand"), F.lit("/"), F.col("p_partkey").cast("string")).alias("template"))
+    brands = part.select("p_brand").distinct()
+    own = lambda start, service: brands.filter(F.col("p_brand").startswith(start)).select(F.lit("ANY").alias("method"), F.concat(F.lit("/parts/"), "p_brand", F.lit("/{id}")).alias("template"), service.alias("service_id"))
+    fixed = part.agg(F.max("p_partkey").alias("k")).select(F.lit("ANY").alias("method"), F.concat(F.lit("/parts/{brand}/"), F.col("k").cast("string")).alias("template"), F.lit("last").alias("service_id"))
+    catalog = fixed.select(F.lit("GET").alias("method"), F.lit("/parts/:brand/{id}").alias("template"), F.lit("catalog").alias("service_id"))
+    routes = own("Brand#1", F.col("p_brand")).unionByName(own("Brand#2", F.lit("left"))).unionByName(own("Brand#2", F.lit("right"))).unionByName(fixed).unionByName(catalog)
+    return resolve.route_matches(calls, routes).select("path", "method", "service_id", F.col("matches").cast("bigint").alias("matches"), "outcome")
+
+
 def mermaid_ids(spark, d):
     return render.mermaid_ids(bind.nodes(spark, d)).select("id", "mid", render.mermaid_class(F.col("kind")).alias("class"))
 
@@ -747,6 +759,7 @@ QUERIES = {
         owner_deepest_prefix,
         grpc_owner_tag,
         route_match,
+        route_shapes,
         mermaid_ids,
         mermaid_edges,
         drawio_geometry,
