@@ -84,7 +84,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
 def _per_slice(batch: pa.RecordBatch, n: int):
     ids = batch.column(0)
     data, offsets = W.utf8(batch.column(1))
-    for lo, hi in W.slices(offsets, 1 << 20):
+    for lo, hi in W.slices(offsets, 1 << 18):
         at = offsets[lo : hi + 1]
         hashes, rows = shingle_sets(data[at[0] : at[-1]], at - at[0], n)
         yield ids.slice(lo, hi - lo), hashes, np.searchsorted(rows, np.arange(hi - lo + 1))
