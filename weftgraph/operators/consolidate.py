@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import EDGE_KEY, RECEIPTS
+from ..sources.shared import kept
 
 
 def tag_rank(tag: Column) -> Column:
@@ -88,10 +89,25 @@ def fold_labels(sightings: DataFrame) -> DataFrame:
     return sightings.withColumn("label", F.when((F.col("label") == "-") & (lo == hi), lo).otherwise(F.col("label")))
 
 
+def with_receipts(chosen: DataFrame, sightings: DataFrame) -> DataFrame:
+    """The chosen edges of a lens, cut from edges without receipts, with the receipts of their sightings and of no others."""
+    keys = kept(chosen.select(*EDGE_KEY).distinct())
+    same = [sightings[c].eqNullSafe(keys[c]) for c in EDGE_KEY]
+    return consolidate(sightings.join(keys, same, "left_semi"))
+
+
 def merge(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Union of two edge sets; edges in both have the receipts of both."""
-    exploded = left.unionByName(right).select(*EDGE_KEY, "tag", "note", F.explode("receipts").alias("r")).select(*EDGE_KEY, "tag", "note", F.col("r.path").alias("path"), F.explode("r.lines").alias("line"))
-    return consolidate(exploded)
+    """Union of two edge sets; edges in both have the receipts of both.
+
+    Both are consolidated, so an edge of one side only passes as it is; only the receipts of
+    edges that both have are taken apart and put together again.
+    """
+    sides = left.select(*EDGE_KEY, "tag", "receipts", "note").unionByName(right.select(*EDGE_KEY, "tag", "receipts", "note"))
+    grouped = kept(sides.groupBy(*EDGE_KEY).agg(F.collect_list(F.struct("tag", "receipts", "note")).alias("sides")))
+    one = F.col("sides")[0]
+    alone = grouped.filter(F.size("sides") == 1).select(*EDGE_KEY, one["tag"].alias("tag"), one["receipts"].alias("receipts"), one["note"].alias("note"))
+    places = grouped.filter(F.size("sides") > 1).select(*EDGE_KEY, F.explode("sides").alias("s")).select(*EDGE_KEY, "s.tag", "s.note", F.explode("s.receipts").alias("r"))
+    return alone.unionByName(consolidate(places.select(*EDGE_KEY, "tag", "note", F.col("r.path").alias("path"), F.explode("r.lines").alias("line"))))
 
 
 def with_assertions(edges: DataFrame, said: DataFrame) -> DataFrame:

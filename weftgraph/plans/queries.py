@@ -60,9 +60,14 @@ def dep_orient(spark, d):
     return graph.dependency(_tags(spark, d)).select(*EDGE_KEY, "dependent", "dependency")
 
 
+def _shown(spark, d, chosen: DataFrame) -> DataFrame:
+    """A lens' edges with their receipts, which are gathered for them only."""
+    return _view(consolidate.with_receipts(chosen, bind.sightings(spark, d)))
+
+
 def lens_focus(spark, d):
-    e = _edges(spark, d)
-    return _view(graph.focus(e, _start(e, ("http",), "max", "actor")))
+    e = _tags(spark, d)
+    return _shown(spark, d, graph.focus(e, _start(e, ("http",), "max", "actor")))
 
 
 def lens_data(spark, d):
@@ -78,8 +83,8 @@ def overview_clusters(spark, d):
 
 
 def lens_lineage(spark, d):
-    e = _edges(spark, d)
-    return _view(graph.lineage(e, _start(e, ("pub",), "min", "object")))
+    e = _tags(spark, d)
+    return _shown(spark, d, graph.lineage(e, _start(e, ("pub",), "min", "object")))
 
 
 def lineage_channels(spark, d):
@@ -125,8 +130,8 @@ def diff_relabelled(spark, d):
 
 
 def lens_custom_stores(spark, d):
-    view = graph.stores_only(bind.nodes(spark, d), graph.overview(_edges(spark, d)), ("db",))
-    return _view(view.edges)
+    view = graph.stores_only(bind.nodes(spark, d), graph.overview(_tags(spark, d)), ("db",))
+    return _shown(spark, d, view.edges)
 
 
 def view_nodes(spark, d):
