@@ -41,40 +41,90 @@ def test_held_out_accuracy_and_exchange(spark):
 
 
 def test_what_is_handed_over_equals_brute_force(spark):
-    """All confident documents of both views, counted and summed one by one."""
+    """All confident documents of both views but the labelled ones, counted and summed one by one."""
     import pyarrow as pa
 
     rows, labels = corpus(400, 5)
     rows += [(None, "the quiet river " * 20, "de", None, None), (900, None, "en", "spam", 0)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    x, label, weight = Q.sample_of(docs, spark.createDataFrame(labels[:150], "doc_id bigint, quality int"), "quality")
+    ids, x, label, weight = Q.sample_of(docs, spark.createDataFrame(labels[:150], "doc_id bigint, quality int"), "quality")
+    assert set(ids.tolist()) == set(range(150))
     model = Q.fit_views(x, label, weight, None)
-    sums, counts = {}, {}
+    model.calibration[1] = tuple(5 * v for v in model.calibration[1])  # surer than its labels make it
+    slope, bend, number, counts = np.zeros(Q.CONTENT + 1), np.zeros(Q.CONTENT + 1), 0, {}
     for i, text, lang, source, n in rows:
+        if i is not None and i < 150:
+            continue
         batch = pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([text]), pa.array([lang]), pa.array([source]), pa.array([n])], Q._INPUT)
-        (_, content, meta), = Q._slices([batch])
+        ((_, content, meta),) = Q._slices([batch])
         a, b = (float(Q._sigmoid(z)[0]) for z in Q._odds(model, content, meta))
         for value, sure, other in ((1, a, b), (0, 1 - a, 1 - b)):
             if sure >= Q.SURE:
                 key = (value, meta.tobytes())
                 counts[key] = counts.get(key, 0) + 1
             if other >= Q.SURE:
-                key = (value, int(Q.cell_of(pa.array([i], pa.int64()))[0]))
-                have = sums.setdefault(key, [0, 0])
-                have[0] += 1
-                have[1] = have[1] + content.dense()[0].astype(float)
-    to_content, to_meta = Q.handed_over(Q._rows(docs.repartition(4)), model)
-    assert counts and {(int(y), v.tobytes()): int(n) for v, y, n in zip(to_meta.x, to_meta.y, to_meta.n)} == counts
-    assert sorted(to_content.n.tolist()) == sorted(n for n, _ in sums.values())
-    for n, total in sums.values():
-        assert min(np.abs(v - total / n).max() for v in to_content.x) < 1e-5
+                v = np.append(content.dense()[0].astype(float), 1)
+                slope += (Q._sigmoid(v @ model.content) - value) * v
+                bend += np.abs(v) * np.abs(v).sum() / 4
+                number += 1
+    handed = Q.handed_over(Q._rows(docs.repartition(4)), model, ids)
+    assert counts and {(int(y), v.tobytes()): int(n) for v, y, n in zip(handed.x, handed.y, handed.n)} == counts
+    assert handed.number == number > 0
+    assert np.abs(handed.slope - slope / number).max() < 1e-4 and np.abs(handed.bend - bend / number).max() < 1e-3
+    assert handed.documents == number + sum(counts.values())
+
+
+def test_each_round_lowers_the_loss_over_labels_and_pseudo_labels():
+    rng = np.random.default_rng(3)
+    x, y = rng.random((60, 5)), (rng.random(60) < 0.5).astype(float)
+    more, t = rng.random((400, 5)), (rng.random(400) < 0.7).astype(float)
+    one = np.append
+    loss = lambda w, x, y: float(np.mean(np.log1p(np.exp(-(2 * y - 1) * (x @ w[:-1] + w[-1])))))
+    w = Q.fit_logistic(x, y, np.ones(60), 1e-5)
+    ones = np.concatenate([more, np.ones((400, 1))], 1)
+    losses = []
+    for _ in range(40):
+        losses.append(loss(w, x, y) + Q.PSEUDO * loss(w, more, t))
+        slope = ones.T @ (Q._sigmoid(ones @ w) - t) / 400
+        bend = (ones * ones.sum(1, keepdims=True)).mean(0) / 4
+        w = Q.fit_logistic(x, y, np.ones(60), 1e-5, 2000, more=(w, Q.PSEUDO * slope, Q.PSEUDO * bend))
+    assert all(b <= a + 1e-6 for a, b in zip(losses, losses[1:])) and losses[-1] < losses[0]
+    both = Q.fit_logistic(np.concatenate([x, more]), one(y, t), one(np.ones(60) / 60, Q.PSEUDO * np.ones(400) / 400), 1e-5, 5000)
+    assert losses[-1] - (loss(both, x, y) + Q.PSEUDO * loss(both, more, t)) < 1e-3
+
+
+def test_the_exchange_teaches_the_content_view_words_without_labels(spark):
+    """Half of the corpus has words that no labelled document has; its sources tell its quality."""
+    rng = random.Random(7)
+    words = {(half, fine): [f"{half}{fine}w{i}" for i in range(12)] for half in "ab" for fine in (0, 1)}
+    rows, truth = [], {}
+    for i in range(1200):
+        half, fine = ("a", "b")[i >= 400], int(rng.random() < 0.5)
+        truth[i] = fine
+        shared = [f"common{j}" for j in range(12)]
+        text = " ".join(rng.choice(words[half, fine] if rng.random() < 0.4 else shared) for _ in range(40))
+        sure = rng.random() < 0.8  # others come from a source that says nothing
+        rows.append((i, text, "en", ("good" if fine else "bad") if sure else "any", 200))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame([(i, truth[i]) for i in range(400)], "doc_id bigint, quality int")
+
+    def log_loss(model):
+        held = [r for r in Q.score(docs, model).collect() if r.doc_id >= 400 and rows[r.doc_id][3] == "any"]
+        p = np.clip([r.score for r in held], 1e-6, 1 - 1e-6)
+        y = np.array([truth[r.doc_id] for r in held])
+        content = np.mean([(r.content_score >= 0.5) == bool(truth[r.doc_id]) for r in held])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)), content
+
+    (without, blind), (with_, taught) = log_loss(Q.co_train(docs, known, rounds=0)), log_loss(Q.co_train(docs, known))
+    assert taught > 0.9 > blind + 0.15
+    assert with_ < without - 0.2
 
 
 def test_documents_labelled_both_ways_and_repeated(spark):
     rows, labels = corpus(60, 3)
     docs = spark.createDataFrame(rows + rows[:10], SCHEMA)
     both = spark.createDataFrame([*labels, (3, 1 - labels[3][1]), labels[4], (None, 1), (5000, 1)], "doc_id bigint, quality int")
-    x, label, _ = Q.sample_of(docs, both, "quality")
+    _, x, label, _ = Q.sample_of(docs, both, "quality")
     assert len(x) == 59 and label.sum() == sum(y for i, y in labels if i != 3)
 
 

@@ -10,12 +10,14 @@ fitted on held-out labels, and score every document.
 * **Labels.**  The fit uses a bounded sample of labelled documents, at most
   ``LABELLED``, chosen by a hash of the doc_id and weighted back to the class
   shares of all labels.
-* **Pseudo-labels** come from all documents, in one pass a round, and are summed
-  where they arise.  The metadata view has few different feature vectors, so its
-  pseudo-labels are counts of these: nothing is lost.  For the content view each
-  task sums the feature vectors of what is handed over by class and ``CELLS``
-  cells of a hash of the doc_id; the means, weighted by their documents, are the
-  rows that the fit sees.  Together they weigh ``PSEUDO`` times the labels.
+* **Pseudo-labels** come from all documents but those of the labelled sample, in one pass a
+  round, and are summed where they arise.  The metadata view has few different feature vectors,
+  so its pseudo-labels are counts of these: nothing is lost.  For the content view each pass sums
+  the exact gradient of the loss over all documents that the metadata view handed over, and a
+  bound on its curvature.  Together they are a quadratic that lies above that loss everywhere and touches
+  it at the present weights; the fit minimises the labels' loss plus this quadratic, so that each round
+  lowers the loss over labels and all pseudo-labels (majorise and minimise).  Pseudo-labels weigh
+  ``PSEUDO`` times the labels.
 
 Scoring is one distributed pass without a shuffle.
 """
@@ -39,8 +41,8 @@ LABELLED = 2_400
 ROUNDS = 4
 #: Calibrated probability from which a pseudo-label is handed over.
 SURE = 0.97
-#: Cells that the content view's pseudo-labels of a class are summed in, and the weight of all pseudo-labels to that of the labels.
-CELLS, PSEUDO = 16, 0.5
+#: Weight of all pseudo-labels to that of the labels.
+PSEUDO = 0.5
 #: Units of a feature in fixed point.
 FIXED = 1 << 24
 WORD_BUCKETS = 1024
@@ -107,6 +109,21 @@ class _Content:
         out[:, -SHAPES:] = self.shape
         return out.astype(np.float32)
 
+    def slopes(self, weights: np.ndarray, label: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Of the chosen rows, in fixed point: the sum of the loss' gradients, and of a bound on its curvature.
+
+        The curvature of a row's loss is at most a quarter of ``x x'``, which lies below the diagonal of ``|x| * sum(|x|) / 4``.
+        """
+        off = np.where(chosen, np.rint((_sigmoid(self.score(weights[:-1]) + weights[-1]) - label) * 2.0**20) / 2.0**20, 0.0)
+        total = 1 + np.bincount(self.row, self.value, minlength=self.rows) + np.abs(self.shape).sum(1)
+        bend = np.where(chosen, np.rint(total * 2.0**20) / 2.0**22, 0.0)
+        out = np.zeros((2, CONTENT + 1))
+        for k, by in enumerate((off, bend)):  # sums of whole numbers, exact in any order
+            out[k, :CONTENT] = np.bincount(self.at, np.rint(self.value * by[self.row] * FIXED), minlength=CONTENT)
+            out[k, CONTENT - SHAPES : CONTENT] += np.rint((np.abs(self.shape) if k else self.shape) * by[:, None] * FIXED).sum(0)
+            out[k, CONTENT] = np.rint(by * FIXED).sum()
+        return out.astype(np.int64)
+
     def score(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * weights[self.at], minlength=self.rows) + self.shape @ weights[-SHAPES:]
 
@@ -144,15 +161,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 200) -> np.ndarray:
-    """Weights and, last, the intercept of a ridge logistic regression (accelerated gradient steps)."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 200, more: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+    """Weights and, last, the intercept of a ridge logistic regression (accelerated gradient steps).
+
+    ``more`` adds a quadratic: its centre, its gradient there and its diagonal.
+    """
+    centre, slope, bend = more or (0.0, 0.0, 0.0)
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
     weight = weight / weight.sum()
-    size = 0.25 * float((weight[:, None] * x * x).sum()) + ridge
-    w = np.zeros(x.shape[1])
+    size = 0.25 * float((weight[:, None] * x * x).sum()) + ridge + float(np.max(bend))
+    w = np.zeros(x.shape[1]) if more is None else centre.copy()
     v, t = w.copy(), 1.0
     for _ in range(steps):
-        g = x.T @ (weight * (_sigmoid(x @ v) - y)) + ridge * np.append(v[:-1], 0)
+        g = x.T @ (weight * (_sigmoid(x @ v) - y)) + ridge * np.append(v[:-1], 0) + slope + bend * (v - centre)
         new = v - g / size
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / t_new * (new - w), new, t_new
@@ -186,36 +207,31 @@ def _odds(model: Model, content: _Content, meta: np.ndarray) -> list[np.ndarray]
     return [np.clip(s * z + b, -8, 8) for (s, b), z in zip(model.calibration, margins(model, content, meta), strict=True)]
 
 
-def cell_of(ids: pa.Array) -> np.ndarray:
-    """Cell of each doc_id, null as 0."""
-    bits = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    return (W.mix(bits ^ np.uint64(0x510E527FADE682D1)) % np.uint64(CELLS)).astype(np.int64)
-
-
 _HANDED = "view int, place bigint, label int, n bigint, x binary"
 
 
 def _hand_over(shared):
-    """Sums of what each view is sure of, for the other view: counts by metadata vector, feature sums by cell."""
+    """What each view is sure of, for the other: counts by metadata vector; gradient and curvature of the content view's loss."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model, labelled = shared.value
         counts: dict[tuple[int, int], int] = {}
-        sums = np.zeros((2, CELLS, CONTENT), np.int64)  # in fixed point, so that the order of the sum doesn't matter
-        number = np.zeros((2, CELLS), np.int64)
+        sums = np.zeros((2, CONTENT + 1), np.int64)  # in fixed point, so that the order of the sum doesn't matter
+        number = 0
         for batch, content, meta in _slices(batches):
             by_content, by_meta = (_sigmoid(z) for z in _odds(model, content, meta))
-            cell, place = cell_of(batch.column(0)), _meta_place(meta)
-            for label, from_content, from_meta in ((1, by_content >= SURE, by_meta >= SURE), (0, by_content <= 1 - SURE, by_meta <= 1 - SURE)):
-                for p, n in zip(*(x.tolist() for x in np.unique(place[from_content], return_counts=True)), strict=True):
+            # labelled documents have their say already, and a quarter of them judges the views
+            free = ~np.isin(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), labelled) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            place = _meta_place(meta)
+            for label, from_content in ((1, by_content >= SURE), (0, by_content <= 1 - SURE)):
+                for p, n in zip(*(x.tolist() for x in np.unique(place[from_content & free], return_counts=True)), strict=True):
                     counts[p, label] = counts.get((p, label), 0) + n
-                if from_meta.any():
-                    dense = np.rint(content.dense()[from_meta] * float(FIXED)).astype(np.int64)
-                    for c in np.unique(cell[from_meta]).tolist():
-                        sums[label, c] += dense[cell[from_meta] == c].sum(0)
-                    number[label] += np.bincount(cell[from_meta], minlength=CELLS)
+            sure = ((by_meta >= SURE) | (by_meta <= 1 - SURE)) & free
+            if sure.any():
+                sums += content.slopes(model.content, (by_meta >= 0.5).astype(float), sure)
+                number += int(sure.sum())
         rows = [(1, p, label, n, None) for (p, label), n in counts.items()]
-        rows += [(0, c, label, int(number[label, c]), sums[label, c].tobytes()) for label in (0, 1) for c in range(CELLS) if number[label, c]]
+        rows += [(0, k, 0, number, sums[k].tobytes()) for k in (0, 1) if number]
         if rows:
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["view", "place", "label", "n", "x"])
@@ -255,32 +271,41 @@ def _meta_vector(place: int) -> np.ndarray:
 
 @dataclass
 class Handed:
-    """Pseudo-labelled rows of one view: features, labels, and how many documents each stands for."""
+    """Pseudo-labels: for the content view mean gradient, mean bound on the curvature and number of documents; for the metadata view rows, labels and documents of each."""
 
+    slope: np.ndarray
+    bend: np.ndarray
+    number: int
     x: np.ndarray
     y: np.ndarray
     n: np.ndarray
 
+    @property
+    def documents(self) -> int:
+        return self.number + int(self.n.sum())
 
-def handed_over(docs: DataFrame, model: Model) -> list[Handed]:
-    """What the two views are sure of, over all documents: rows for the content view, rows for the metadata view.
 
-    At most 2 * CELLS vectors and one count for each different metadata vector (16 languages,
-    128 sources and 8 lengths by hash) come to the driver, whatever the corpus holds.
+def handed_over(docs: DataFrame, model: Model, labelled: np.ndarray) -> Handed:
+    """What the two views are sure of, over all documents but the ``labelled`` (at most LABELLED ids).
+
+    Two vectors and one count for each different metadata vector (16 languages, 128 sources
+    and 8 lengths by hash) come to the driver, whatever the corpus holds.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    sums = docs.mapInArrow(_hand_over(shared), _HANDED).repartition(2 * CELLS, "view", "place", "label").mapInArrow(_add_up, _HANDED)
+    shared = docs.sparkSession.sparkContext.broadcast((model, labelled))
+    sums = docs.mapInArrow(_hand_over(shared), _HANDED).repartition(8, "view", "place", "label").mapInArrow(_add_up, _HANDED)
     rows = sorted(sums.collect(), key=lambda r: (r["view"], r["place"], r["label"]))
-    out = []
-    for view, width in ((0, CONTENT), (1, META)):
-        mine = [r for r in rows if r["view"] == view]
-        x = [np.frombuffer(bytes(r["x"]), np.int64) / (r["n"] * float(FIXED)) if view == 0 else _meta_vector(r["place"]) for r in mine]
-        out.append(Handed(np.array(x, np.float32).reshape(len(mine), width), np.array([r["label"] for r in mine], float), np.array([r["n"] for r in mine], float)))
-    return out
+    first = [(np.frombuffer(bytes(r["x"]), np.int64) / (r["n"] * float(FIXED)), r["n"]) for r in rows if r["view"] == 0]
+    mine = [r for r in rows if r["view"] == 1]
+    x = np.array([_meta_vector(r["place"]) for r in mine], np.float32).reshape(len(mine), META)
+    none = np.zeros(CONTENT + 1)
+    return Handed(first[0][0] if first else none, first[1][0] if first else none, first[0][1] if first else 0, x, np.array([r["label"] for r in mine], float), np.array([r["n"] for r in mine], float))
 
 
-def fit_views(x: np.ndarray, label: np.ndarray, weight: np.ndarray, handed: list[Handed] | None) -> Model:
-    """Fit both views on labelled rows and what was handed over; calibrate and combine them on a held-out quarter of the labels."""
+def fit_views(x: np.ndarray, label: np.ndarray, weight: np.ndarray, handed: Handed | None, before: Model | None = None) -> Model:
+    """Fit both views on labelled rows and what was handed over; calibrate and combine them on a held-out quarter of the labels.
+
+    ``before`` is the model at which ``handed`` was measured.
+    """
     held = np.arange(len(label)) % 4 == 0
     own = ~held
     prior = float((weight * label).sum() / weight.sum()) if len(label) else 0.5
@@ -289,19 +314,20 @@ def fit_views(x: np.ndarray, label: np.ndarray, weight: np.ndarray, handed: list
         return Model(np.zeros(CONTENT + 1), np.zeros(META + 1), [(0.0, odds), (0.0, odds)], np.array([0.0, 0.0, odds]), 0)
     weights, calibrations, odds = [], [], []
     for k, view in enumerate((x[:, :CONTENT], x[:, CONTENT:])):
-        rows, y, w = view[own], label[own].astype(float), weight[own]
-        if handed is not None and len(handed[k].n):
-            more = handed[k]
-            rows, y = np.concatenate([rows, more.x]), np.concatenate([y, more.y])
-            w = np.concatenate([w / w.sum(), PSEUDO * more.n / more.n.sum()])
-        w = fit_logistic(rows, y, w, 1e-5)
+        rows, y, w, more = view[own], label[own].astype(float), weight[own], None
+        if handed is not None and k == 0 and handed.number:
+            more = (before.content, PSEUDO * handed.slope, PSEUDO * handed.bend)
+        if handed is not None and k == 1 and len(handed.n):
+            rows, y = np.concatenate([rows, handed.x]), np.concatenate([y, handed.y])
+            w = np.concatenate([w / w.sum(), PSEUDO * handed.n / handed.n.sum()])
+        w = fit_logistic(rows, y, w, 1e-5, more=more)
         margin = view[held] @ w[:-1] + w[-1]
         weights.append(w)
         calibrations.append(_calibrate(margin, label[held].astype(float), weight[held]))
         odds.append(np.clip(calibrations[k][0] * margin + calibrations[k][1], -8, 8))
     combined = fit_logistic(np.stack(odds, 1), label[held].astype(float), weight[held], 1e-3, 800)
     combined[:2] = np.maximum(combined[:2], 0)
-    return Model(weights[0], weights[1], calibrations, combined, int(sum(h.n.sum() for h in handed)) if handed else 0)
+    return Model(weights[0], weights[1], calibrations, combined, handed.documents if handed else 0)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -309,19 +335,20 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def co_train(docs: DataFrame, labels: DataFrame, column: str = "quality", rounds: int = ROUNDS) -> Model:
-    """The model of ``rounds`` exchanges; ends earlier when the number of pseudo-labels no longer changes."""
-    x, label, weight = sample_of(docs, labels, column)
-    model, before = fit_views(x, label, weight, None), -1
+    """The model of ``rounds`` exchanges; ends earlier when neither pseudo-labels nor weights change."""
+    ids, x, label, weight = sample_of(docs, labels, column)
+    model = fit_views(x, label, weight, None)
     for _ in range(rounds if model.content.any() or model.metadata.any() else 0):
-        model = fit_views(x, label, weight, handed_over(_rows(docs), model))
-        if model.pseudo_labels == before:
+        new = fit_views(x, label, weight, handed_over(_rows(docs), model, ids), model)
+        still = new.pseudo_labels == model.pseudo_labels and np.abs(new.content - model.content).max() < 1e-3
+        model = new
+        if still:
             break
-        before = model.pseudo_labels
     return model
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, column: str, labelled: int = LABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and weights of the bounded sample of labelled documents.
+def sample_of(docs: DataFrame, labels: DataFrame, column: str, labelled: int = LABELLED) -> tuple[np.ndarray, ...]:
+    """Ids, features, labels and weights of the bounded sample of labelled documents.
 
     Documents with both labels are left out.
     """
@@ -339,13 +366,14 @@ def sample_of(docs: DataFrame, labels: DataFrame, column: str, labelled: int = L
     got = [r for i, r in enumerate(got) if not i or r["doc_id"] != got[i - 1]["doc_id"]]
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(len(got), CONTENT + META)
     label = np.array([r["label"] for r in got], int)
+    ids = np.array([r["doc_id"] for r in got], np.int64)
     turn = np.random.default_rng(1).permutation(len(got))
-    x, label = x[turn], label[turn]
+    ids, x, label = ids[turn], x[turn], label[turn]
     weight = np.ones(len(label))
     for v, n in shares.items():
         if (label == v).any():
             weight[label == v] = n / (label == v).sum()
-    return x, label, weight
+    return ids, x, label, weight
 
 
 def _score(shared):
@@ -376,7 +404,7 @@ def classify(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Dat
 
     Without labels of both classes every row gets the prior as its score.
     Documents labelled both ways are left out of the fit; labelled documents are
-    also scored, and may be handed over, like all others.  Very long texts are read
+    scored like all others, but never handed over.  Very long texts are read
     whole.
     """
     return score(docs, co_train(docs, labels, column))
