@@ -188,7 +188,7 @@ def op11_centroid_clustering(spark, sf_dir: str) -> DataFrame:
 def _round_sql(r: int, last: bool) -> str:
     """Assignment r, and unless it is the last the centroids that follow from it."""
     sql = f"""
-a{r} AS MATERIALIZED (SELECT i, vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT i, vec_id, v, c, list_sum(list_transform(list_zip(v, w), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept CROSS JOIN c{r}) GROUP BY i, vec_id, v),"""
+a{r} AS MATERIALIZED (SELECT i, vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT i, vec_id, v, c, list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept CROSS JOIN c{r}) GROUP BY i, vec_id, v),"""
     if not last:
         sql += f"""
 m{r} AS (SELECT c, list(x ORDER BY k) AS w FROM (SELECT c, k, (s - ((s % n) + n) % n) // n AS x FROM (SELECT c, k, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS k FROM a{r}) GROUP BY c, k)) GROUP BY c),
@@ -198,7 +198,7 @@ c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m{r}.w, c{r}.w) AS w FROM c{r} LEFT
 
 OP11_SQL = f"""
 WITH fine AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-kept AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(e, x -> floor(64 * x)::BIGINT) AS v FROM fine WHERE len(e) = 64 AND len(list_filter(e, x -> x IS NOT NULL AND isfinite(x))) = 64),
+kept AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(e, lambda x: floor(64 * x)::BIGINT) AS v FROM fine WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
 c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1)::INTEGER AS c, v AS w FROM kept WHERE vec_id IS NOT NULL QUALIFY c < 16),
 {"".join(_round_sql(r, r == 3) for r in range(4))}
 t AS (SELECT c, sum(d)::BIGINT AS n FROM a3 GROUP BY c)

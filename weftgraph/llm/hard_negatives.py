@@ -212,8 +212,8 @@ def op12_hard_negative_mining(spark, sf_dir: str) -> DataFrame:
 
 
 OP12_SQL = """
-WITH rows_ AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], x -> floor(256 * x)) AS v
-  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+WITH rows_ AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 s AS MATERIALIZED (SELECT a.id AS anchor_id, a.label AS own, r.id, r.label, list_inner_product(a.v, r.v)::BIGINT AS score FROM rows_ a, rows_ r WHERE a.id % 100 = 0),
 p AS (SELECT anchor_id, own, id AS positive_id, score AS positive_score FROM s WHERE label = own AND id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
 n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score FROM p JOIN s USING (anchor_id) WHERE s.label <> p.own AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
