@@ -310,3 +310,24 @@ def test_routes_are_matched_by_segment(spark):
     calls = spark.createDataFrame([("f", i, m, t) for i, (t, (m, _)) in enumerate(rows.items())], "path string, line int, method string, template string")
     got = {r.template: (r.service_id if r.outcome == "INFERENCE" else None) for r in resolve.route_matches(calls, routes).collect()}
     assert got == {t: s for t, (_, s) in rows.items()} | {"/": "home"}
+
+
+def test_a_second_reader_objects(spark):
+    from weftgraph.operators import checks
+    from weftgraph.schema import EDGES
+
+    lines = spark.createDataFrame([("a.py", 1, 'send("orders")'), ("a.py", 2, "send(TOPIC)"), ("b.py", 7, "  }")], "path string, line int, text string")
+    edges = [
+        ("a", "pub", "orders", "-", "CODE", [("a.py", [1])], None),
+        ("a", "pub", "paid", "-", "CODE", [("a.py", [2])], None),
+        ("a", "pub", "orders", "k", "CODE", [("a.py", [1]), ("b.py", [7])], None),
+        ("a", "sub", "x?", "-", "INFERENCE", [("a.py", [2])], "guess"),
+        ("a", "sub", "y?", "-", "INFERENCE", [("a.py", [2])], "confirm: y"),
+        ("a", "sub", "y?", "-", "INFERENCE", [("a.py", [1])], "confirm: y"),
+    ]
+    found = checks.verifier_violations(spark.createDataFrame(edges, EDGES), lines).collect()
+    assert {(r.rule, r.object, r.label) for r in found} == {("receipt", "paid", "-"), ("definition", "paid", "-"), ("receipt", "orders", "k"), ("note", "x?", "-"), ("duplicate", "y?", "-")}
+    drawn = spark.createDataFrame([("flowchart LR\n  s_a --> t_b\n  s_a -.-> t_c\n",)], "mermaid string")
+    xml = lambda n: spark.createDataFrame([("<root>" + '<mxCell id="e" edge="1" source="a"/>' * n + "</root>",)], "xml string")
+    assert checks.drawn_counts(drawn, xml(2)).count() == 0
+    assert [r.message for r in checks.drawn_counts(drawn, xml(1)).collect()] == ["2 edges in Mermaid, 1 in draw.io"]

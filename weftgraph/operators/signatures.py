@@ -132,7 +132,7 @@ def stream_bindings(config: DataFrame) -> DataFrame:
 
 def iac_channels(lines: DataFrame) -> DataFrame:
     """Channels that infrastructure code declares: ``path, line, kind, tech, name``."""
-    kinds = (("topic", "kafka", r"resource\s+\"kafka_topic\"\s+\"([^\"]+)\""), ("queue", "sqs", r"resource\s+\"aws_sqs_queue\"\s+\"([^\"]+)\""), ("topic", "sns", r"resource\s+\"aws_sns_topic\"\s+\"([^\"]+)\""), ("topic", "pubsub", r"resource\s+\"google_pubsub_topic\"\s+\"([^\"]+)\""), ("queue", "servicebus", r"resource\s+\"azurerm_servicebus_queue\"\s+\"([^\"]+)\""))
+    kinds = (("topic", "kafka", r"resource\s+\"kafka_topic\"\s+\"([^\"]+)\""), ("queue", "sqs", r"resource\s+\"aws_sqs_queue\"\s+\"([^\"]+)\""), ("topic", "sns", r"resource\s+\"aws_sns_topic\"\s+\"([^\"]+)\""), ("topic", "pubsub", r"resource\s+\"google_pubsub_topic\"\s+\"([^\"]+)\""), ("queue", "pubsub", r"resource\s+\"google_pubsub_subscription\"\s+\"([^\"]+)\""), ("queue", "servicebus", r"resource\s+\"azurerm_servicebus_queue\"\s+\"([^\"]+)\""), ("topic", "servicebus", r"resource\s+\"azurerm_servicebus_topic\"\s+\"([^\"]+)\""))
     each = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(t).alias("tech"), F.regexp_extract("text", p, 1).alias("name"))) for k, t, p in kinds)))
     terraform = lines.filter(F.col("path").rlike(r"\.tf$")).select("path", "line", F.explode(each).alias("c")).select("path", "line", "c.kind", "c.tech", "c.name")
     # CloudFormation: the resource's key stands two spaces in, its type below; a topic's own manifest: kind, then metadata.name

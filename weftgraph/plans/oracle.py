@@ -156,6 +156,10 @@ UNION ALL SELECT 'sub', unnest([2, 3, 6]), s FROM s UNION ALL SELECT 'grpc', 7,
     "idiom_receivers": f"WITH {_IDIOMS} SELECT path, 'p' AS name, 'kafka' AS family FROM cu UNION ALL SELECT path, 'template', 'kafka' FROM su",
     "idiom_nodes": "SELECT 'svc-' || n_nationkey AS id, 'svc' AS kind, 'npm' AS tech, 'svc-' || n_nationkey || '/package.json' AS path, 2::BIGINT AS line FROM nation",
     "idiom_hosts": "SELECT 'svc-' || n_nationkey AS host, 'svc-' || n_nationkey AS id, 'svc' AS kind FROM nation",
+    "idiom_verified": f"WITH {_IDIOMS} SELECT unnest(['receipt', 'definition']) AS rule, svc AS actor, 'grpc' AS rel, 'svc-' || m AS object, 'Level' AS label FROM na",
+    "variable_states": f"WITH {_IDIOMS} SELECT 'PEER' || n || '_URL' AS var, 'unread' AS state FROM na WHERE n NOT IN (SELECT n FROM cu) UNION ALL SELECT DISTINCT 'NONE_' || t || '_URL', 'undeclared' FROM cu",
+    "uncovered_ecosystems": "SELECT DISTINCT ['cargo', 'ruby', 'php', 'elixir'][n_regionkey] AS ecosystem FROM nation WHERE n_regionkey BETWEEN 1 AND 4",
+    "iac_channels": """SELECT 'infra/p' || p_partkey || '.tf' AS path, 1::BIGINT AS line, ['topic', 'queue', 'queue', 'topic'][p_partkey % 5 + 1] AS kind, ['kafka', 'sqs', 'pubsub', 'servicebus'][p_partkey % 5 + 1] AS tech, 'part-' || p_partkey AS name FROM part WHERE p_partkey % 5 < 4""",
     "config_trees": f"""WITH {_IDIOMS}, x AS (SELECT unnest([('docker-compose.n' || n || '.yml', 3, 'services.' || svc || '.build', 'build', './' || svc), ('docker-compose.n' || n || '.yml', 5, 'services.' || svc || '.environment.PEER' || n || '_URL', 'PEER' || n || '_URL', 'http://svc-' || m || ':8080'),
   (svc || '/package.json', 2, 'name', 'name', '@shop/' || svc), (svc || '/package.json', 3, 'dependencies.kafkajs', 'kafkajs', '2'), (app || '.yml', 3, 'app.topics.made', 'made', 'made.' || r), (app || '.yml', 4, 'app.other', 'other', 'other.' || n), (app || '-prod.yml', 2, 'app.other', 'other', 'prod.' || n)]) AS t FROM na)
 SELECT t[1] AS path, t[2]::BIGINT AS line, t[3] AS key, t[4] AS leaf, t[5] AS value FROM x""",

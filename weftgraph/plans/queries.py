@@ -419,6 +419,34 @@ def idiom_hosts(spark, d):
     return resolve.surroundings(bind.idioms(spark, d))[1].select("host", "id", "kind")
 
 
+def idiom_verified(spark, d):
+    """What a second reader objects to in the edges of the second corpus."""
+    files = bind.idioms(spark, d)
+    seen, _ = resolve.extract(files)
+    return checks.verifier_violations(kept(consolidate.consolidate(seen)), corpus.split_lines(files))
+
+
+def variable_states(spark, d):
+    """Declared variables that nothing reads, and read ones that nothing declares."""
+    lines = kept(corpus.split_lines(bind.idioms(spark, d)))
+    return resolve.unread_variables(corpus.address_hits(lines), lines)
+
+
+def uncovered_ecosystems(spark, d):
+    """Ecosystems without a signature, of one manifest for each nation."""
+    names = F.array(*(F.lit(x) for x in ("package.json", "Cargo.toml", "Gemfile", "composer.json", "mix.exs")))
+    files = bind.table(spark, d, "nation").select(F.concat_ws("/", F.col("n_nationkey").cast("string"), F.get(names, F.col("n_regionkey").cast("int"))).alias("path"))
+    return signatures.uncovered(corpus.manifests(files))
+
+
+def iac_channels(spark, d):
+    """Channels that infrastructure code declares, one resource for each part."""
+    kinds = F.array(*(F.lit(x) for x in ("kafka_topic", "aws_sqs_queue", "google_pubsub_subscription", "azurerm_servicebus_topic", "aws_instance")))
+    part = bind.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), F.get(kinds, (F.col("p_partkey") % 5).cast("int")).alias("t"))
+    files = part.select(F.concat(F.lit("infra/p"), "k", F.lit(".tf")).alias("path"), F.concat(F.lit('resource "'), "t", F.lit('" "part-'), "k", F.lit('" {\n}\n')).alias("text"))
+    return _long(signatures.iac_channels(corpus.split_lines(files)), "path", "line", "kind", "tech", "name")
+
+
 def config_trees(spark, d):
     return _long(keys.key_trees(bind.idioms(spark, d)), "path", "line", "key", "leaf", "value")
 
@@ -751,6 +779,10 @@ QUERIES = {
         idiom_receivers,
         idiom_nodes,
         idiom_hosts,
+        idiom_verified,
+        variable_states,
+        uncovered_ecosystems,
+        iac_channels,
         config_trees,
         rpc_calls,
         sweep_families,
