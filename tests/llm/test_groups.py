@@ -1,6 +1,7 @@
 """Large groups of near copies: leaders, differences to them, and long sets, against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -73,6 +74,45 @@ def test_pairs_beyond_leaders_lose_no_link(spark, seed):
     assert wanted <= found
 
 
+def executions(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    found = store.executionsList()
+    return store, [found.apply(i) for i in range(found.size())]
+
+
+def joined_rows(spark, keys, since):
+    """Largest number of rows that a join on ``keys`` made in the executions after the one numbered ``since``."""
+    store, found = executions(spark)
+    seq = lambda x: [x.apply(i) for i in range(x.size())]
+    most = 0
+    for execution in (e for e in found if e.executionId() > since):
+        values = store.executionMetrics(execution.executionId())
+        for node in seq(store.planGraph(execution.executionId()).allNodes()):
+            if "Join" in node.name() and re.search(r"Join \[" + ", ".join(rf"{k}#\d+L?" for k in keys) + r"\]", node.desc()):
+                for m in seq(node.metrics()):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_elements_of_an_unlike_leader_make_no_row_a_member(spark):
+    """Members share a passage with their leader and lack the rest of it; few of them are linked."""
+    passage, rest_of_leader, members = list(range(40)), list(range(100, 300)), 150
+    sets = {0: passage + rest_of_leader}
+    for i in range(1, members):
+        like = i - 1 if i % 10 == 0 else i  # every tenth is a near copy of the one before
+        sets[i] = passage + [1000 * like + k for k in range(60 - 2 * (like != i))] + [300 + i % 7]
+    close = lambda a, b: 9 * len(set(sets[a]) ^ set(sets[b])) <= len(sets[a]) + len(sets[b])
+    wanted = {(a, b) for a in sets for b in sets if a < b and close(a, b)}
+    assert len(wanted) == 14
+    frame = spark.createDataFrame([(0, i, i) for i in sets], "g bigint, id bigint, component bigint")
+    elements = spark.createDataFrame(list(sets.items()), "id bigint, elements array<bigint>")
+    before = max((e.executionId() for e in executions(spark)[1]), default=-1)
+    found = {(r.a, r.b) for r in shared.beyond_leaders(frame, elements, lambda n, m: F.floor((n + F.least(m, F.floor(n * 100 / 80))) * 20 / 180)).collect()}
+    assert wanted <= found
+    assert 0 < joined_rows(spark, ("g", "e"), before) < members * 20 < members * len(rest_of_leader)
+
+
 def test_leader_has_the_most_keys(spark):
     members = [(k, 7) for k in range(6)] + [(k, 10 + k) for k in range(6)] + [(k, 20 + k) for k in range(6)] + [(9, 3)]
     frame = spark.createDataFrame(members, "key bigint, id bigint")

@@ -113,9 +113,10 @@ def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column, Co
     those of a linked pair share many elements, and two sets that share many share
     one of the first few in a common order (prefix filter): here the rarest of the
     group first, as many as the sizes of the two differences leave possible.
-    Elements of one member only count in that order, but aren't joined.  Near
-    copies that were changed in different places share no rare element and don't
-    meet, however many there are.
+    Elements of one member only count in that order, but aren't joined; those of most
+    members are kept as an array of the group, so that a leader unlike its members doesn't
+    make a row of each of its elements for each of them.  Near copies that were changed in
+    different places share no rare element and don't meet, however many there are.
 
     Where the bound is a small number (``few``), nothing is counted: elements that the
     leader lacks come before those that only it has, and only the first few of a
@@ -126,7 +127,7 @@ def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column, Co
     both = rest.join(sets, "id").join(sets.select(F.col("id").alias("g"), F.col("elements").alias("theirs")), "g")
     own = F.concat(F.array_sort(F.array_except("elements", "theirs")), F.array_sort(F.array_except("theirs", "elements")))
     both = written(both.select("g", "id", "component", F.size("elements").alias("n"), F.size(own).alias("s"), own.alias("own")))
-    groups = both.groupBy("g").agg(F.max("n").alias("largest"), F.max(F.when(F.col("id") == F.col("g"), F.col("component"))).alias("home"))
+    groups = both.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("largest"), F.max(F.when(F.col("id") == F.col("g"), F.col("component"))).alias("home"))
     most = reach(F.col("n"), F.col("largest")).cast("int")
     if few:
         d = both.join(groups, "g").withColumn("most", most)
@@ -135,11 +136,15 @@ def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column, Co
         bands, key = at.filter(F.col("pos") <= F.floor(F.col("most") / 2) + 1), F.xxhash64("g", "e")
     else:
         step = F.greatest(F.lit(1), F.floor(reach(F.col("largest"), F.col("largest")) / 16)).cast("int")
-        each = both.select("g", "id", F.explode("own").alias("e"))
-        often = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-        ordered = each.join(often, ["g", "e"]).groupBy("g", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "e"))), lambda x: x["e"]).alias("shared"))
-        d = both.drop("own").join(ordered, ["g", "id"]).join(groups, "g").select("*", most.alias("most"), step.alias("step"))
-        d = written(d.withColumn("band", F.floor(F.col("s") / F.col("step")).cast("int")))
+        often = written(both.select("g", F.explode("own").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
+        # elements in which most of the group differ, such as those that only the leader has, come last in the order: they follow as arrays
+        usual = often.join(groups.select("g", "members"), "g").filter("2 * often > members").groupBy("g").agg(F.collect_list("e").alias("usual"))
+        groups = groups.join(usual, "g", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
+        d = both.join(groups, "g").withColumn("tail", F.array_sort(F.array_intersect("own", "usual"))).withColumn("own", F.array_except("own", "usual"))
+        d = written(d.select("g", "id", "component", "n", "s", "own", "tail", most.alias("most"), step.alias("step")).withColumn("band", F.floor(F.col("s") / F.col("step")).cast("int")))
+        ordered = d.select("g", "id", F.explode("own").alias("e")).join(often, ["g", "e"]).groupBy("g", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "e"))), lambda x: x["e"]).alias("shared"))
+        d = d.drop("own").join(ordered, ["g", "id"], "left").withColumn("shared", F.concat(F.coalesce("shared", F.array().cast("array<bigint>")), "tail"))
+        d = written(d.drop("tail").filter(F.size("shared") > 0))
         at = d.select("g", "id", "component", "n", "s", "most", "step", "band", F.size("shared").alias("k"), F.posexplode("shared").alias("pos", "e"))
         at = at.withColumn("pos", F.col("s") - F.col("k") + F.col("pos") + 1).filter(F.col("pos") <= F.col("most") + 1)
         # of two members the one with the smaller difference looks for the bands of the other's
