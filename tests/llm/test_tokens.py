@@ -100,6 +100,20 @@ def test_grammar_has_no_pair_left_that_is_worth_a_rule():
         assert max(len(x) for p, x in pairs.items() if p[0] != p[1]) < least and len(seq) < 300 * 5
 
 
+def test_grammar_sorts_frequent_pairs_only(monkeypatch):
+    """Pairs that wait for more frequent ones aren't sorted in every round."""
+    rng = np.random.default_rng(6)
+    often = [rng.integers(0, 200, 4) for _ in range(12)]
+    rare = [rng.integers(1000, 40000, 20) for _ in range(400)]
+    parts = [often[k] for k in range(12) for _ in range(10 * 2**k // 4 + 8)] + [x for x in rare for _ in range(8)]
+    ids = np.concatenate([x for i in rng.permutation(len(parts)) for x in (parts[i], rng.integers(40000, 49000, 1))])
+    taken, sort = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda x, *a, **k: (taken.append(len(x)), sort(x, *a, **k))[1])
+    seq, rules, spans = T.re_pair(ids, 49000)
+    assert T.expand(seq, rules, 49000, spans).tolist() == ids.tolist()
+    assert 0 < sum(taken) < 3 * len(ids)
+
+
 def test_wide_symbols_only_where_smaller():
     rng = np.random.default_rng(5)
     ids = np.concatenate([np.tile(rng.integers(0, 59000, 400), 5) for _ in range(60)] + [np.tile(np.arange(k, k + 1000), 8) for k in range(0, 59000, 1000)])

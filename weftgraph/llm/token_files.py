@@ -53,6 +53,36 @@ def _slot(pair: np.ndarray) -> np.ndarray:
     return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
 
+def _pairs(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The pairs that begin at ``at``, as one number each."""
+    return seq[at].astype(np.int64) << 32 | seq[at + 1]
+
+
+def _around(at: np.ndarray, offsets: tuple, n: int) -> np.ndarray:
+    """Places below ``n`` that are so far from one of ``at``, each once."""
+    marked = np.zeros(n + 2, bool)
+    for k in offsets:
+        marked[at + k] = True
+    return np.flatnonzero(marked[:n])
+
+
+def _counted(seq: np.ndarray, slots: np.ndarray, full: np.ndarray, floor: int) -> tuple[np.ndarray, ...]:
+    """Places whose slot holds ``floor`` pairs or more, their pairs, these in order, where each kind starts, and the kinds' counts."""
+    at = np.flatnonzero((full >= floor).take(slots))
+    pair = _pairs(seq, at)
+    # a run of one symbol has its pairs at every second place
+    again = np.flatnonzero((pair[1:] == pair[:-1]) & (at[1:] == at[:-1] + 1)) + 1
+    if len(again):
+        first = np.concatenate([[True], again[1:] != again[:-1] + 1])
+        offset = np.arange(len(again)) - np.maximum.accumulate(np.where(first, np.arange(len(again)), 0))
+        pair[again[offset % 2 == 0]] = -1
+    ordered = np.sort(pair)
+    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(at) else at
+    counts = np.diff(np.append(start, len(ordered)))
+    counts[ordered[start] < 0] = 0
+    return at, pair, ordered, start, counts
+
+
 def re_pair(ids: np.ndarray, base: int, rounds: int | None = None, least: int | None = None, most_rules: int | None = None, begun: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules, expansion lengths) of a grammar for ``ids`` (all below ``base``).
 
@@ -63,36 +93,27 @@ def re_pair(ids: np.ndarray, base: int, rounds: int | None = None, least: int |
     if least is None:
         least = LEAST_PAIRS[base + most_rules > 65536]
     if begun is None:
-        seq, rules, spans = ids.astype(np.int64), np.empty((0, 2), np.int64), np.ones(base, np.int64)
+        seq, rules, spans = ids.astype(np.int32), np.empty((0, 2), np.int64), np.ones(base, np.int64)
     else:
-        seq, rules, spans = begun[0], begun[1], np.concatenate([np.ones(base, np.int64), begun[2]])
+        seq, rules, spans = begun[0].astype(np.int32), begun[1], np.concatenate([np.ones(base, np.int64), begun[2]])
+    slots = _slot(seq[:-1].astype(np.int64) << 32 | seq[1:]).astype(np.int32)
+    full = np.bincount(slots, minlength=1 << SLOT_BITS)
     done = 0
     while (rounds is None or done < rounds) and len(seq) > 1 and len(rules) < most_rules:
         done += 1
-        pair = seq[:-1] << 32 | seq[1:]
-        slot = _slot(pair)
         # a slot of the hash table holds at least its pairs' counts: where it has too few, none of them is frequent
-        at = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])
-        if not len(at):
-            break
-        pair, slot = pair[at], slot[at]
-        # a run of one symbol has its pairs at every second place
-        again = np.flatnonzero((pair[1:] == pair[:-1]) & (at[1:] == at[:-1] + 1)) + 1
-        if len(again):
-            first = np.concatenate([[True], again[1:] != again[:-1] + 1])
-            offset = np.arange(len(again)) - np.maximum.accumulate(np.where(first, np.arange(len(again)), 0))
-            pair[again[offset % 2 == 0]] = -1
-        ordered = np.sort(pair)
-        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(start, len(ordered)))
-        counts[ordered[start] < 0] = 0
+        floor = max(least, int(full.max()) // 5)
+        at, pair, ordered, start, counts = _counted(seq, slots, full, floor)
         # the most frequent first: the others wait until these are replaced
-        worth = np.flatnonzero(counts >= max(least, int(counts.max()) // 4))
+        if (lower := max(least, int(counts.max(initial=0)) // 4)) < floor:
+            at, pair, ordered, start, counts = _counted(seq, slots, full, lower)
+        worth = np.flatnonzero(counts >= max(least, int(counts.max(initial=0)) // 4))
         kinds, counts = ordered[start[worth]], counts[worth]
         # equal counts in an order that doesn't rise along a passage
         kinds = kinds[np.lexsort((W.mix(kinds.view(np.uint64)), -counts))[: most_rules - len(rules)]]
         if not len(kinds):
             break
+        slot = slots[at]
         table = np.zeros(1 << SLOT_BITS, np.int32)
         own = _slot(kinds)
         table[own] = np.arange(len(kinds))
@@ -108,27 +129,31 @@ def re_pair(ids: np.ndarray, base: int, rounds: int | None = None, least: int |
             same = kinds[lost[found]] == pair[left]
             where[left[same]] = lost[found[same]]
             hit[left[same]] = True
-        at = at[hit]
-        rank = np.zeros(len(seq) + 1, np.int32)
-        rank[at + 1] = len(kinds) - where[hit]
+        at, which = at[hit], where[hit]
         # no two neighbours have one rank, so what is replaced never overlaps, and the first kind is replaced everywhere
-        mine = rank[at + 1]
-        keep = (mine > rank[at]) & (mine > rank[np.minimum(at + 2, len(seq))])
-        at, which = at[keep], len(kinds) - mine[keep]
+        touch, earlier = at[1:] == at[:-1] + 1, which[1:] < which[:-1]
+        keep = np.ones(len(at), bool)
+        keep[1:] &= ~touch | earlier
+        keep[:-1] &= ~touch | (which[:-1] < which[1:])
+        at, which = at[keep], which[keep]
         enough = np.bincount(which, minlength=len(kinds)) >= least
         used = np.flatnonzero(enough)
         if not len(used):
             break
         at, which = at[enough[which]], which[enough[which]]
         made = np.stack([kinds[used] >> 32, kinds[used] & 0xFFFFFFFF], 1)
-        seq = seq.copy()
         seq[at] = base + len(rules) + (np.cumsum(enough) - 1)[which]
         kept = np.ones(len(seq), bool)
         kept[at + 1] = False
-        seq = seq[kept]
+        # the pairs that reach into what is replaced leave the table, and those of the new symbols enter it
+        np.subtract.at(full, slots[_around(at, (-1, 0, 1), len(slots))], 1)
+        seq, slots = seq[kept], slots[kept[1:]]
+        new = _around(at - np.arange(len(at)), (-1, 0), len(slots))
+        slots[new] = _slot(_pairs(seq, new))
+        np.add.at(full, slots[new], 1)
         spans = np.concatenate([spans, spans[made].sum(1)])
         rules = np.concatenate([rules, made])
-    return seq, rules, spans[base:]
+    return seq.astype(np.int64), rules, spans[base:]
 
 
 def smallest(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
