@@ -136,13 +136,14 @@ def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column, Co
         bands, key = at.filter(F.col("pos") <= F.floor(F.col("most") / 2) + 1), F.xxhash64("g", "e")
     else:
         step = F.greatest(F.lit(1), F.floor(reach(F.col("largest"), F.col("largest")) / 16)).cast("int")
-        often = written(both.select("g", F.explode("own").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
+        each = both.join(groups.select("g", "members"), "g").select("g", "members", F.explode("own").alias("e"))
+        often = written(each.groupBy("g", "members", "e").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
         # elements in which most of the group differ, such as those that only the leader has, come last in the order: they follow as arrays
-        usual = often.join(groups.select("g", "members"), "g").filter("2 * often > members").groupBy("g").agg(F.collect_list("e").alias("usual"))
+        usual = often.filter("2 * often > members").groupBy("g").agg(F.collect_list("e").alias("usual"))
         groups = groups.join(usual, "g", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
         d = both.join(groups, "g").withColumn("tail", F.array_sort(F.array_intersect("own", "usual"))).withColumn("own", F.array_except("own", "usual"))
         d = written(d.select("g", "id", "component", "n", "s", "own", "tail", most.alias("most"), step.alias("step")).withColumn("band", F.floor(F.col("s") / F.col("step")).cast("int")))
-        ordered = d.select("g", "id", F.explode("own").alias("e")).join(often, ["g", "e"]).groupBy("g", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "e"))), lambda x: x["e"]).alias("shared"))
+        ordered = d.select("g", "id", F.explode("own").alias("e")).join(often.drop("members"), ["g", "e"]).groupBy("g", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "e"))), lambda x: x["e"]).alias("shared"))
         d = d.drop("own").join(ordered, ["g", "id"], "left").withColumn("shared", F.concat(F.coalesce("shared", F.array().cast("array<bigint>")), "tail"))
         d = written(d.drop("tail").filter(F.size("shared") > 0))
         at = d.select("g", "id", "component", "n", "s", "most", "step", "band", F.size("shared").alias("k"), F.posexplode("shared").alias("pos", "e"))
