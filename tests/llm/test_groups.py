@@ -113,6 +113,44 @@ def test_elements_of_an_unlike_leader_make_no_row_a_member(spark):
     assert 0 < joined_rows(spark, ("g", "e"), before) < members * 20 < members * len(rest_of_leader)
 
 
+def generated_rows(spark, since):
+    """Largest number of rows that an explode made in the executions after the one numbered ``since``."""
+    store, found = executions(spark)
+    seq = lambda x: [x.apply(i) for i in range(x.size())]
+    most = 0
+    for execution in (e for e in found if e.executionId() > since):
+        values = store.executionMetrics(execution.executionId())
+        for node in seq(store.planGraph(execution.executionId()).allNodes()):
+            if node.name() == "Generate":
+                for m in seq(node.metrics()):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_members_that_can_be_linked_with_none_show_few_elements(spark):
+    """Most members have only a passage in common, and a few frequent elements; some pairs are linked just so."""
+    passage, members = list(range(30)), 120
+    sets = {0: passage + list(range(100, 200))}
+    for i in range(1, members):
+        sets[i] = passage + [1000 * i + k for k in range(100, 165)] + [300 + i % 3, 310 + i % 5]
+    # 20 elements apart of 180, those of one member only, which come first: on one side, and on both
+    sets[200], sets[201] = [10**6 + k for k in range(20, 100)], [10**6 + k for k in range(100)]
+    sets[202], sets[203] = [2 * 10**6 + k for k in range(10, 100)], [2 * 10**6 + k for k in (*range(10), *range(20, 100))]
+    sets[204] = [3 * 10**6 + k for k in range(900)]
+    close = lambda a, b: 9 * len(set(sets[a]) ^ set(sets[b])) <= len(sets[a]) + len(sets[b])
+    wanted = {(a, b) for a in sets for b in sets if a < b and close(a, b)}
+    assert wanted == {(200, 201), (202, 203)}
+    reach = lambda n, m: F.floor((n + F.least(m, F.floor(n * 100 / 80))) * 20 / 180)
+    for ids in (sets, [i for i in sets if i != 204]):
+        frame = spark.createDataFrame([(0, i, i) for i in ids], "g bigint, id bigint, component bigint")
+        elements = spark.createDataFrame([(i, sets[i]) for i in ids], "id bigint, elements array<bigint>")
+        before = max((e.executionId() for e in executions(spark)[1]), default=-1)
+        assert wanted <= {(r.a, r.b) for r in shared.beyond_leaders(frame, elements, reach).collect()}
+    # sets have 97 elements on average, of which 21 may differ: 43 elements are looked at instead of all 167
+    assert 0 < generated_rows(spark, before) <= (members + 4) * 43 < sum(len(set(sets[i]) ^ set(sets[0])) for i in ids) / 3
+
+
 def test_leader_has_the_most_keys(spark):
     members = [(k, 7) for k in range(6)] + [(k, 10 + k) for k in range(6)] + [(k, 20 + k) for k in range(6)] + [(9, 3)]
     frame = spark.createDataFrame(members, "key bigint, id bigint")

@@ -113,6 +113,10 @@ def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column, Co
     those of a linked pair share many elements, and two sets that share many share
     one of the first few in a common order (prefix filter): here the rarest of the
     group first, as many as the sizes of the two differences leave possible.
+    Before that a member goes that can be linked with none: in a plain common order, more of
+    the first elements of its difference than linked sets may differ in are among no other
+    member's first ones (of linked members' differences, cut to one length, each has at most
+    that many that the other lacks).
     Elements of one member only count in that order, but aren't joined; those of most
     members are kept as an array of the group, so that a leader unlike its members doesn't
     make a row of each of its elements for each of them.  Near copies that were changed in
@@ -127,14 +131,23 @@ def beyond_leaders(rest: DataFrame, sets: DataFrame, reach: Callable[[Column, Co
     both = rest.join(sets, "id").join(sets.select(F.col("id").alias("g"), F.col("elements").alias("theirs")), "g")
     own = F.concat(F.array_sort(F.array_except("elements", "theirs")), F.array_sort(F.array_except("theirs", "elements")))
     both = written(both.select("g", "id", "component", F.size("elements").alias("n"), F.size(own).alias("s"), own.alias("own")))
-    groups = both.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("largest"), F.max(F.when(F.col("id") == F.col("g"), F.col("component"))).alias("home"))
-    most = reach(F.col("n"), F.col("largest")).cast("int")
+    sized = lambda rows: rows.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("largest"), F.avg("n").cast("bigint").alias("mean"), F.max(F.when(F.col("id") == F.col("g"), F.col("component"))).alias("home"))
+    groups, most = sized(both), reach(F.col("n"), F.col("largest")).cast("int")
     if few:
         d = both.join(groups, "g").withColumn("most", most)
         at = d.select("g", "id", "component", "n", "s", "most", "own", F.posexplode(F.slice("own", 1, F.col("most") + 1)).alias("pos", "e")).withColumn("pos", F.col("pos") + 1)
         # of two members the one with the smaller difference has half as many to show
         bands, key = at.filter(F.col("pos") <= F.floor(F.col("most") / 2) + 1), F.xxhash64("g", "e")
     else:
+        # one number of first elements for the whole group: of two linked members' first ones each has all but ``most`` among the other's
+        at_once = (2 * reach(F.col("mean"), F.col("mean")) + 1).cast("int")
+        d = both.join(groups, "g").select("g", "id", "component", "n", "s", "own", most.alias("most"), F.slice("own", 1, at_once).alias("first"))
+        each = d.select("g", "id", F.explode("first").alias("e"))
+        again = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("often")).filter("often > 1").drop("often")
+        met = each.join(again, ["g", "e"]).groupBy("g", "id").agg(F.count(F.lit(1)).alias("met"))
+        d = d.join(met, ["g", "id"], "left").filter(F.size("first") - F.coalesce("met", F.lit(0)) <= F.col("most"))
+        both = written(d.drop("most", "first", "met"))
+        groups = sized(both)
         step = F.greatest(F.lit(1), F.floor(reach(F.col("largest"), F.col("largest")) / 16)).cast("int")
         each = both.join(groups.select("g", "members"), "g").select("g", "members", F.explode("own").alias("e"))
         often = written(each.groupBy("g", "members", "e").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
